@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, quality_sql
+from . import quality, quality_sql, simhash
 from .common import table
 
 
@@ -12,5 +12,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op10_quality_rules": quality_sql.SQL}
