@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, quality_sql, simhash
+from . import decontam, licenses, quality, quality_sql, simhash, tokenbin
 from .common import table
 
 
-def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op10_quality_rules": quality_sql.SQL}
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_simhash_near_dedup, op5_license_scan, op6_token_ids, op10_quality_rules)}
+ORACLES = {"op5_license_scan": licenses.SQL, "op10_quality_rules": quality_sql.SQL}
