@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, quality, quality_sql, simhash, tokenbin
+from . import decontam, licenses, linededup, mixing, quality, quality_sql, simhash, tokenbin, warc
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -24,9 +32,25 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_simhash_near_dedup, op5_license_scan, op6_token_ids, op10_quality_rules)}
-ORACLES = {"op5_license_scan": licenses.SQL, "op10_quality_rules": quality_sql.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_simhash_near_dedup,
+        op3_warc_revisits,
+        op4_source_mixing,
+        op5_license_scan,
+        op6_token_ids,
+        op8_line_dedup,
+        op10_quality_rules,
+    )
+}
+ORACLES = {"op3_warc_revisits": warc.SQL, "op4_source_mixing": mixing.SQL, "op5_license_scan": licenses.SQL, "op8_line_dedup": linededup.SQL, "op10_quality_rules": quality_sql.SQL}
