@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, linededup, mixing, quality, quality_sql, simhash, tokenbin, warc
+from . import decontam, licenses, linededup, lm, mixing, passages, quality, quality_sql, simhash, tokenbin, warc
 from .common import table
 
 
@@ -32,10 +32,18 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ QUERIES = {
         op4_source_mixing,
         op5_license_scan,
         op6_token_ids,
+        op7_substring_dedup,
         op8_line_dedup,
+        op9_lm_scoring,
         op10_quality_rules,
     )
 }
