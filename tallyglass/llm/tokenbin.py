@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, scratch, texts
 
 END = 2
-#: Words whose ids a Python worker keeps; the rest is encoded anew.
-KEPT_WORDS = 300_000
+#: Words whose ids a Python worker keeps; the rest is encoded anew. Characters encoded together.
+KEPT_WORDS, TOGETHER = 800_000, 6_000_000
+#: New words are encoded in lines of this many, with a word between them that is one id and stands in none of them.
+LINE, BETWEEN = 400, "\u2764"
 NO_ID = -(1 << 63)
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 _encoders: dict = {}
@@ -43,24 +45,39 @@ class Encoder:
 
         self.tokenizer, self.kept, self.dtype = Tokenizer.from_file(path), {}, np.dtype(dtype)
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        between = ids(BETWEEN)
+        self.between = between[0] if len(between) == 1 else None
         self.by_words = ids("It's one-two  \n three,\tfour.") == [i for w in ("It's", "one-two", "three,", "four.") for i in ids(w)]
 
+    def _each(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            yield w, np.array(e.ids, self.dtype).tobytes()
+
+    def _fresh(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        if self.between is None:
+            yield from self._each(words)
+            return
+        yield from self._each([w for w in words if BETWEEN in w])
+        plain, width = [w for w in words if BETWEEN not in w], self.dtype.itemsize
+        lines = [plain[at : at + LINE] for at in range(0, len(plain), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends, data, start = [*np.flatnonzero(ids == self.between).tolist(), len(ids)], ids.tobytes(), 0
+            for w, end in zip(line, ends, strict=True):
+                yield w, data[width * start : width * end]
+                start = end + 1
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [np.array([*e.ids, END], self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        kept = self.kept
-        new = list({w for words in split for w in words if w not in kept})
-        fresh = {}
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, self.dtype).tobytes()
-        end = np.array([END], self.dtype).tobytes()
+        kept, end = self.kept, np.array([END], self.dtype).tobytes()
+        fresh = dict(self._fresh(list({w for words in split for w in words if w not in kept})))
         if len(kept) + len(fresh) <= KEPT_WORDS:
             kept.update(fresh)
             return [np.frombuffer(b"".join([*map(kept.__getitem__, words), end]), self.dtype) for words in split]
-        out = [np.frombuffer(b"".join([*(kept.get(w) or fresh.get(w, b"") for w in words), end]), self.dtype) for words in split]
+        get, new = kept.get, fresh.get
+        out = [np.frombuffer(b"".join([*(get(w) or new(w, b"") for w in words), end]), self.dtype) for words in split]
         for w, ids in fresh.items():
             if len(kept) >= KEPT_WORDS:
                 break
@@ -68,6 +85,14 @@ class Encoder:
         return out
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``TOGETHER`` characters."""
+    sizes = np.cumsum([len(t) for t in b.column("text").to_pylist()]) // TOGETHER
+    starts = np.flatnonzero(np.diff(sizes, prepend=-1))
+    for s, e in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        yield b.slice(int(s), int(e - s))
+
+
 def encoder(path: str, dtype: str) -> Encoder:
     return _encoders.get((path, dtype)) or _encoders.setdefault((path, dtype), Encoder(path, dtype))
 
@@ -83,8 +108,7 @@ def _write(target: str, vocabulary: str, dtype: str):
         total = 0
         with files.open_output_stream(f"{path}.bin") as out:
             for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    b = whole.slice(at, 500)
+                for b in slices(whole):
                     encoded = e.encode(b.column("text").to_pylist())
                     out.write(b"".join(x.tobytes() for x in encoded))
                     offsets.append(total + np.cumsum([len(x) for x in encoded], dtype=np.int64))
