@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 
-SIMILARITY, RECALL, SAMPLES = 0.8, 0.995, 4
+SIMILARITY, RECALL, SAMPLES = 0.8, 0.995, 2
 #: The benchmark goes to the executors in blocks of at most so many characters (and one item).
 BLOCK_CHARS = 4_000_000
 #: Every ASCII character that is no letter, digit or underscore separates words, and so do blanks and punctuation beyond ASCII.
@@ -121,6 +121,7 @@ class Items:
             keys = embed_keys(ids, self.reps)
             order = np.argsort(keys, axis=1)
             self.classes.append((length, k, q, max(1, length - q + 1 - k * q), [i for i, _ in own], ids, np.take_along_axis(keys, order, 1), order))
+        self.codes = [np.unique(c[5] + np.arange(len(c[5]))[:, None] * (len(self.vocabulary) + 1)) for c in self.classes]
         self.margin = max((c[0] + 2 * c[1] for c in self.classes), default=0) + 1
         # for each q: the sorted codes, and for each code the classes (lengths) that have it
         self.grams = {}
@@ -129,6 +130,18 @@ class Items:
             owner = [sorted(set(found[c])) for c in codes.tolist()]
             self.grams[q] = codes, np.concatenate([[0], np.cumsum([len(o) for o in owner])]), np.array([x for o in owner for x in o])
 
+    def enough_words(self, c: int, item: np.ndarray, flat: np.ndarray, s: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether the surroundings of each start have as many of the item's words as a match needs."""
+        length, k, own, base = self.classes[c][0], self.classes[c][1], self.codes[c], len(self.vocabulary) + 1
+        out = np.zeros(len(s), bool)
+        for at in range(0, len(s), 20_000):
+            p = slice(at, at + 20_000)
+            x = np.minimum(s[p, None] + np.arange(-k, length + 2 * k), len(flat) - 1)
+            code = np.where(x >= first[p, None], flat[np.maximum(x, 0)], 0) + item[p, None] * base
+            found = own[np.minimum(np.searchsorted(own, code), len(own) - 1)] == code
+            out[p] = found.sum(axis=1) >= length - k
+        return out
+
     def code(self, w) -> int:
         out = 0
         for x in w:
@@ -153,7 +166,9 @@ class Items:
             cls = owner[np.repeat(first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
             order = np.argsort(cls, kind="stable")
             pos, cls = pos[order], cls[order]
-            bounds = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else np.array([], int)
+            if not len(cls):
+                continue
+            bounds = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
             for b, e in zip(bounds, np.append(bounds[1:], len(cls)), strict=True):
                 length, k, q_, need, *_ = self.classes[cls[b]]
                 p = pos[b:e]
@@ -169,14 +184,17 @@ class Items:
         return out
 
 
-def fit(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """(least edits that turn some stretch of ``region`` into ``item``, where that stretch ends)."""
-    row, steps = np.zeros(len(region) + 1, np.int64), np.arange(len(region) + 1)
-    for i, x in enumerate(item):
-        new = np.append(i + 1, np.minimum(row[:-1] + (region != x), row[1:] + 1))
-        row = np.minimum.accumulate(new - steps) + steps
-    end = int(np.argmin(row))
-    return int(row[end]), end
+def fit(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of rows: (least edits that turn some stretch of the region into the item, where the first such stretch ends)."""
+    steps = np.arange(regions.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(items), len(steps)), np.int32)
+    for i in range(items.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (regions != items[:, i, None]), row[:, 1:] + 1, out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    end = row.argmin(axis=1)
+    return row[np.arange(len(row)), end], end
 
 
 def search(items: Items, docs: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -184,45 +202,52 @@ def search(items: Items, docs: list[str]) -> Iterator[tuple[int, int, int, int,
     if not items.classes:
         return
     gap = np.zeros(items.margin, np.int64)
-    pieces, starts, size = [gap], [], len(gap)
+    pieces, starts, ends, size = [gap], [], [], len(gap)
     for t in docs:
         w = words(t)
         starts.append(size)
         pieces += [np.fromiter(map(items.vocabulary.get, w, repeat(0)), np.int64, len(w)), gap]
+        ends.append(size + len(w))
         size += len(w) + len(gap)
-    flat, starts = np.concatenate(pieces), np.array(starts)
+    flat, starts, ends = np.concatenate(pieces), np.array(starts, np.int64), np.array(ends, np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for c, s in items.places(flat).items():
         length, k, _, _, ids, known, keys, order = items.classes[c]
-        s = s[s + length <= len(flat)]
-        doc = np.searchsorted(starts, s, "right") - 1
-        pairs = set()
+        # a start between two documents belongs to the one that follows
+        doc = np.searchsorted(ends, s, "right")
+        s, doc = s[doc < len(ends)], doc[doc < len(ends)]
+        hits = []
         for at in range(0, len(s), 20_000):
             own = s[at : at + 20_000]
             found = embed_keys(flat[own[:, None] + np.arange(length)], items.reps)
             for r in range(items.reps):
-                lo, hi = np.searchsorted(keys[r], found[r], "left"), np.searchsorted(keys[r], found[r], "right")
-                for w in np.flatnonzero(hi > lo):
-                    pairs.update((int(order[r, x]), at + int(w)) for x in range(lo[w], hi[w]))
-        pairs = sorted(pairs, key=lambda p: (not (flat[s[p[1]] : s[p[1]] + length] == known[p[0]]).all(), p))
-        done = defaultdict(list)
-        for i, w in pairs:
-            here, d = int(s[w]), max(0, int(doc[w]))
-            if any(abs(here - x) < length for x in done[i, d]):
-                continue
-            if (flat[here : here + length] == known[i]).all():
-                cost, start = 0, here
-            else:
-                low = max(here - k, int(starts[d]) if len(starts) else 0)
-                region = flat[low : here + length + 2 * k]
-                if np.isin(known[i], region).sum() < length - k:
-                    continue  # more words than edits are missing
-                cost, end = fit(known[i], region)
-                if cost > k:
-                    continue
+                lo = np.searchsorted(keys[r], found[r], "left")
+                n = np.searchsorted(keys[r], found[r], "right") - lo
+                w = np.repeat(np.arange(len(own)), n)
+                nth = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+                hits.append(order[r][lo[w] + nth] * len(s) + at + w)
+        hit = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+        item, w = hit // max(len(s), 1), hit % max(len(s), 1)
+        near = items.enough_words(c, item, flat, s[w], starts[doc[w]])
+        item, w = item[near], w[near]
+        exact = (flat[s[w][:, None] + np.arange(length)] == known[item]).all(axis=1)
+        place = doc[w] * len(ids) + item
+        rest = ~exact & ~np.isin(place, place[exact])  # an exact place is the best there is
+        found = [(int(d), int(i), 0, int(at)) for d, i, at in zip(doc[w][exact], item[exact], s[w][exact], strict=True)]
+        item, w = item[rest], w[rest]
+        for at in range(0, len(w), 4096):
+            i, d = item[at : at + 4096], doc[w[at : at + 4096]]
+            low = np.maximum(s[w[at : at + 4096]] - k, starts[d])
+            x = low[:, None] + np.arange(length + 3 * k)
+            regions = np.where(x < len(flat), flat[np.minimum(x, len(flat) - 1)], 0)
+            cost, end = fit(known[i], regions)
+            ok = cost <= k
+            if ok.any():
                 # the same stretch read backwards ends where it begins
-                start = low + end - fit(known[i][::-1], region[:end][::-1])[1]
-            done[i, d].append(here)
+                back = np.where(np.arange(length + 3 * k) < end[ok, None], regions[ok], -1)[:, ::-1]
+                begin = length + 3 * k - fit(known[i[ok]][:, ::-1], back)[1]
+                found += zip(d[ok].tolist(), i[ok].tolist(), cost[ok].tolist(), (low[ok] + begin).tolist(), strict=True)
+        for d, i, cost, start in found:
             new = (cost, max(0, start - int(starts[d])), length)
             best[d, ids[i]] = min(best.get((d, ids[i]), new), new)
     for (d, item), (cost, start, length) in sorted(best.items()):
