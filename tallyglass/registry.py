@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from .plans import identify, search
+
+MODULES = [search, identify]
 
 
 def queries() -> dict:
@@ -16,4 +18,4 @@ def oracles() -> dict:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return identify.flagship(spark, sf_dir)
