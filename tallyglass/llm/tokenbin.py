@@ -125,7 +125,7 @@ def _write(target: str, vocabulary: str, dtype: str):
 
 def write(docs: DataFrame, target: str, vocabulary: str, dtype: str = "<u2") -> DataFrame:
     """Write the files below ``target`` (a URI that all executors reach) and return the manifest with each partition's ``base``."""
-    d = texts(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    d = texts(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = cut(d.mapInArrow(_write(target, vocabulary, dtype), MANIFEST))
     return manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["base"])
 
