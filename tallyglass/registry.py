@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import identify, search
+from .plans import identify, prices, search
 
-MODULES = [search, identify]
+MODULES = [search, identify, prices]
 
 
 def queries() -> dict:

@@ -48,11 +48,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame; its source is passed by reference, so no session-wide name is made."""
     text = VIEWS[name]
     source = text.rsplit("FROM ", 1)[1].split()[0]
-    head, tail = text.rsplit(f"FROM {source}", 1)
+    head, tail = (t.replace("{", "{{").replace("}", "}}") for t in text.rsplit(f"FROM {source}", 1))
     return spark.sql(f"{head}FROM {{{source}}}{tail}", **{source: table(spark, sf_dir, source)})
 
 
 def with_views(sql: str, *more: str) -> str:
     """A DuckDB text with the views it names, and further (name AS (..)) parts, put before it."""
     names = [n for n in VIEWS if n in sql or any(n in m for m in more)]
-    return "WITH " + ", ".join([*(f"{n} AS ({VIEWS[n]})" for n in names), *more]) + "\n" + sql
+    parts = [*(f"{n} AS ({VIEWS[n]})" for n in names), *more]
+    return ("WITH " + ", ".join(parts) + "\n" if parts else "") + sql
