@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import identify, prices, search
+from .plans import history, identify, prices, search
 
-MODULES = [search, identify, prices]
+MODULES = [search, identify, prices, history]
 
 
 def queries() -> dict:
