@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import history, identify, prices, search
+from .plans import history, identify, ocr, prices, search
 
-MODULES = [search, identify, prices, history]
+MODULES = [search, identify, prices, history, ocr]
 
 
 def queries() -> dict:
