@@ -17,7 +17,7 @@ VIEWS["v_requests"] = """SELECT o_custkey AS request_id, o_orderkey AS pos, o_or
 
 V = lambda n: (lambda sp, d: view(sp, d, n))
 PART = lambda sp, d: table(sp, d, "part").select(F.col("p_partkey").alias("card_id"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("ungraded"), F.when(F.col("p_size") > 25, F.col("p_retailprice") * 10).alias("grade_10"))
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+NOW = lambda: F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def key_cards(sp, d):
@@ -46,7 +46,7 @@ QUERIES = {
     "p5_recent_sales": lambda sp, d: p.recent_sales(view(sp, d, "v_sales"), PART(sp, d)),
     "p6_extract_search_hits": lambda sp, d: p.extract_search_hits(view(sp, d, "v_hit_pages")),
     "p7_extract_certificates": lambda sp, d: p.extract_certificates(view(sp, d, "v_cert_pages")),
-    "p8_price_freshness": lambda sp, d: p.freshness(view(sp, d, "v_catalog"), view(sp, d, "v_history").select("id", "card_id", F.col("scanned_at").alias("cached_at"), F.when(F.col("scan_type") != "click", F.col("price_loose")).alias("price")), NOW),
+    "p8_price_freshness": lambda sp, d: p.freshness(view(sp, d, "v_catalog"), view(sp, d, "v_history").select("id", "card_id", F.col("scanned_at").alias("cached_at"), F.when(F.col("scan_type") != "click", F.col("price_loose")).alias("price")), NOW()),
     "p9_batch_prices": lambda sp, d: p.batch_prices(view(sp, d, "v_requests").withColumnRenamed("pos", "at"), view(sp, d, "v_catalog"), PART(sp, d).select("card_id", F.col("ungraded").alias("price"))),
     "p10_classify_sales": lambda sp, d: p.classify_sales(view(sp, d, "v_sales")),
     "p11_convert_currency": lambda sp, d: p.convert_currency(PART(sp, d).select("card_id", F.col("ungraded").alias("price")), table(sp, d, "events").select(F.struct("ts", "event_id").alias("day"), (F.lit(140) + F.round("value", 1)).alias("rate"))),
