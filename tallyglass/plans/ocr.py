@@ -26,7 +26,7 @@ def entries(sp, d):
 
 
 def boxes(sp, d):
-    return view(sp, d, "v_boxes").withColumn("box_id", F.expr("CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey"))
+    return view(sp, d, "v_boxes").withColumn("box_id", F.expr("(CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey) * 1000 + box_width"))
 
 
 def merged(sp, d):
@@ -91,7 +91,7 @@ def region(name: str, sep: str) -> str:
     return f"coalesce(string_agg(text, {sep} ORDER BY top, block_id, text) FILTER ({cond}), '')"
 
 
-BX = "bx AS (SELECT DISTINCT image_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS box_id, box_left, box_top, box_width, box_height FROM v_boxes{})"
+BX = "bx AS (SELECT DISTINCT image_id, (CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey) * 1000 + box_width AS box_id, box_left, box_top, box_width, box_height FROM v_boxes{})"
 RG = f"""rg AS (SELECT image_id, box_id, {region('name', 'chr(10)')} AS name_text, {region('whole', 'chr(10)')} AS whole_text, {region('left', "' '")} AS lt, {region('right', "' '")} AS rt, count(*) FILTER (cx BETWEEN box_left AND box_left + box_width AND cy BETWEEN box_top AND box_top + box_height) AS blocks
   FROM (SELECT *, "left" + width / 2 AS cx, top + height / 2 AS cy FROM bx JOIN v_blocks USING (image_id)) GROUP BY image_id, box_id)"""
 R2 = r"r2 AS (SELECT image_id, box_id, name_text, whole_text, CASE WHEN regexp_matches(lt, '\d+/\d+') THEN lt WHEN regexp_matches(rt, '\d+/\d+') THEN rt WHEN lt <> '' THEN lt ELSE rt END AS number_text, blocks FROM rg)"
