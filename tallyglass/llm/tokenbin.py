@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +26,9 @@ from .common import cut, partitions, scratch, texts
 
 END = 2
 #: Words whose ids a Python worker keeps; the rest is encoded anew. Characters encoded together.
-KEPT_WORDS, TOGETHER = 800_000, 6_000_000
-#: New words are encoded in lines of this many, with a word between them that is one id and stands in none of them.
-LINE, BETWEEN = 400, "\u2764"
+KEPT_WORDS, TOGETHER = 500_000, 2_000_000
+#: New words are encoded in lines of this many, so many lines at a time, with a word between them that is one id and stands in none of them.
+LINE, LINES, BETWEEN = 400, 40, "\u2764"
 NO_ID = -(1 << 63)
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 _encoders: dict = {}
@@ -60,12 +61,14 @@ class Encoder:
         yield from self._each([w for w in words if BETWEEN in w])
         plain, width = [w for w in words if BETWEEN not in w], self.dtype.itemsize
         lines = [plain[at : at + LINE] for at in range(0, len(plain), LINE)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            ends, data, start = [*np.flatnonzero(ids == self.between).tolist(), len(ids)], ids.tobytes(), 0
-            for w, end in zip(line, ends, strict=True):
-                yield w, data[width * start : width * end]
-                start = end + 1
+        for at in range(0, len(lines), LINES):
+            some = lines[at : at + LINES]
+            for line, e in zip(some, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(x) for x in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                ends, data, start = [*np.flatnonzero(ids == self.between).tolist(), len(ids)], ids.tobytes(), 0
+                for w, end in zip(line, ends, strict=True):
+                    yield w, data[width * start : width * end]
+                    start = end + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
@@ -87,7 +90,7 @@ class Encoder:
 
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about ``TOGETHER`` characters."""
-    sizes = np.cumsum([len(t) for t in b.column("text").to_pylist()]) // TOGETHER
+    sizes = np.cumsum(pc.utf8_length(b.column("text")).to_numpy(zero_copy_only=False)) // TOGETHER
     starts = np.flatnonzero(np.diff(sizes, prepend=-1))
     for s, e in zip(starts, [*starts[1:], len(sizes)], strict=True):
         yield b.slice(int(s), int(e - s))
