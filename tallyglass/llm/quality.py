@@ -71,11 +71,13 @@ def _measure_text(d: DataFrame, carried: list[str]) -> DataFrame:
     covered = F.size(F.array_distinct(F.concat("starts", F.transform("starts", lambda p: p + 1), F.transform("starts", lambda p: p + 2))))
     d = d.withColumn("n_repeat_words", F.when(F.col("repeats"), covered).otherwise(0).cast("long"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return d.select(
-        *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    # The counts leave through a generator: a caller's filter on them stays above it, where a projection would be copied into the filter.
+    counts = F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("word_chars", "n_words").alias("mean_word_length"), share("n_symbols", "n_words").alias("symbol_ratio"), share("n_stop", "n_words").alias("stop_ratio"),
         share("n_dup_lines", "n_lines").alias("dup_line_ratio"), share("n_repeat_words", "n_words").alias("repeat_ratio"),
     )
+    return d.select(*carried, F.explode(F.array(counts)).alias("counts")).select(*carried, "counts.*")
 
 
 def broken(thresholds=THRESHOLDS) -> Column:
