@@ -78,7 +78,9 @@ def targets(tokens: DataFrame, budget: float = BUDGET, entropy: float | None = E
     if keep_all:
         target = F.floor(F.pow("share", F.lit(a - 1.0)) * F.col("total") / F.lit(shared.agg(F.min(F.pow("share", F.lit(a - 1.0)))).first()[0] or 1.0) + 1e-6)
     else:
-        target = F.floor(F.col("weight") * F.lit(float(budget * every)))
+        # a whole number that the order of a sum of doubles puts just below itself is not cut
+        aim = F.col("weight") * F.lit(float(budget * every))
+        target = F.floor(aim + F.greatest(aim * 1e-12, F.lit(1e-6)))
     return weighted.withColumn("target", target).select("source", "total", "weight", F.floor(F.col("target") / F.col("total")).alias("passes"), (F.col("target") % F.col("total")).alias("rest"))
 
 
@@ -131,7 +133,8 @@ def _sql(budget: float = BUDGET, entropy: float = ENTROPY, max_epochs: float = M
             parts.append(f"{x}{r} AS (SELECT lo + (hi - lo) * greatest(k0, 0) / {GRID} AS lo, lo + (hi - lo) * least(k1, {GRID}) / {GRID} AS hi FROM {b}, (SELECT coalesce({low}, 0) AS k0, coalesce({high}, 1) AS k1 FROM {x}g{r}))")
     parts += [
         f"al AS (SELECT round(greatest((SELECT lo FROM e{ROUNDS}), (SELECT hi FROM m{ROUNDS})), 9) AS a)",
-        f"pl AS (SELECT source, total, floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM sh, al) * ({budget} * (SELECT sum(total)::DOUBLE FROM tot)))::BIGINT AS target FROM sh, al)",
+        f"am AS (SELECT source, total, pow(p, a) / (SELECT sum(pow(p, a)) FROM sh, al) * ({budget} * (SELECT sum(total)::DOUBLE FROM tot)) AS aim FROM sh, al)",
+        "pl AS (SELECT source, total, floor(aim + greatest(aim * 1e-12, 1e-6))::BIGINT AS target FROM am)",
         "d AS (SELECT doc_id, t.source, n_tokens, target // total AS passes, target % total AS rest FROM t JOIN pl USING (source))",
         f"w AS (SELECT doc_id, source, n_tokens, e AS epoch, md5('{SEED}|' || e || '|' || doc_id) AS perm_key FROM (SELECT doc_id, source, n_tokens, unnest(range(0, passes)) AS e FROM d WHERE passes > 0))",
         f"l AS (SELECT doc_id, source, n_tokens, passes AS epoch, rest, md5('{SEED}|' || passes || '|' || doc_id) AS perm_key FROM d WHERE rest > 0)",
