@@ -24,6 +24,8 @@ ENTROPY, MAX_EPOCHS, BUDGET = 0.98, 4.0, 1.0
 GRID, ROUNDS = 32, 6
 #: Hexadecimal digits of the permutation key that name a block: 4,096 blocks a source.
 BLOCK_DIGITS, SEED = 3, "mix-1"
+#: Parts in which the documents of one source meet its plan, so that a source with most of the rows is no single task's.
+SALTS = 64
 
 
 def source_tokens(docs: DataFrame) -> DataFrame:
@@ -88,11 +90,18 @@ def keyed(d: DataFrame, epoch, name: str = "perm_key") -> DataFrame:
     return d.withColumn(name, F.md5(F.concat_ws("|", F.lit(SEED), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
 
 
+def with_plan(tokens: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each document with its source's row of the plan, which is repeated for every part of the source."""
+    part = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS))
+    repeated = plan.withColumn("part", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return tokens.withColumn("part", part).join(repeated, ["source", "part"]).drop("part")
+
+
 def draw(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, source, epoch, block, perm_key, n_tokens``, a row for each time a document is drawn; (epoch, block, perm_key) is the order."""
     tokens = source_tokens(docs)
     plan = cut(targets(tokens, **how))
-    d = tokens.join(plan, "source")
+    d = with_plan(tokens, plan)
     whole = d.filter("passes > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int") - 1)).alias("epoch"))
     whole = keyed(whole, F.col("epoch"))
     last = keyed(d.filter("rest > 0").select("doc_id", "source", "n_tokens", "rest", F.col("passes").cast("int").alias("epoch")), F.col("epoch")).withColumn("block", F.substring("perm_key", 1, BLOCK_DIGITS))
