@@ -116,9 +116,10 @@ def draw(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, as often as they are drawn; with ``keep_all`` none is lost. Rows without an id stay once."""
-    drawn = draw(docs.filter("doc_id IS NOT NULL"), **how).groupBy("doc_id").agg(F.count("*").alias("times"))
-    rows = docs.filter("doc_id IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
-    copies = rows.join(drawn, "doc_id").select(F.explode(F.array_repeat("row", F.col("times").cast("int"))).alias("row")).select("row.*")
+    # rows of one id and source are drawn in the same passes, which follow each other from 0
+    drawn = draw(docs.filter("doc_id IS NOT NULL"), **how).groupBy("doc_id", "source").agg((F.max("epoch") + 1).alias("times"))
+    rows = docs.filter("doc_id IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"))
+    copies = rows.join(drawn, ["doc_id", "source"]).select(F.explode(F.array_repeat("row", F.col("times").cast("int"))).alias("row")).select("row.*")
     return copies.union(docs.filter("doc_id IS NULL"))
 
 

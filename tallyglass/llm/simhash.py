@@ -7,7 +7,7 @@ t_i bits in some used partition i. The thresholds come from dynamic programming
 Defined cases: a null text is empty; a text without a word has fingerprint 0 and links like any other; rows with the same
 fingerprint are linked; a null ``doc_id`` takes part, and ``component_id`` is the smallest non-null id reachable (null if there
 is none); repeated rows stay repeated rows; an empty table gives an empty result; further columns are ignored by
-:func:`near_duplicates` and passed through by :func:`keep_one`.
+:func:`near_duplicates` and passed through by :func:`keep_one`, which leaves one row of a group whatever repeats in it.
 """
 
 from __future__ import annotations
@@ -54,6 +54,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(_fingerprints, "doc_id long, fp long, n_shingles long")
 
 
+def _keyed_fingerprints(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t)[0] for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("_no_id", "_id", "_text")), pa.array(fp, pa.int64())], ["_no_id", "_id", "_text", "fp"])
+
+    return rows.mapInArrow(run, "_no_id boolean, _id long, _text long, fp long")
+
+
 def bit_matrix(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -217,19 +226,35 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keys.mapInArrow(_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row."""
-    fps = cut(fingerprints(docs).select("doc_id", "fp"))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def _labels(fps: DataFrame, first, radius: int) -> DataFrame:
+    """``fps`` with ``least``: the least value of ``first`` in the component of the fingerprint ``fp``."""
+    distinct = cut(fps.groupBy("fp").agg(F.min(first).alias("first")))
     roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    return fps.join(named.join(least, "root").select("fp", "least"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row."""
+    found = _labels(cut(fingerprints(docs).select("doc_id", "fp")), F.col("doc_id"), radius)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose ``doc_id`` is the smallest of its group; rows without an id stay."""
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), radius)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    """Of ``docs``, all columns, one row of each group: of its least ``doc_id``, and only without any a row that has no id.
+
+    Rows are told apart by id and text; those alike in both are reduced to one afterwards, by their other columns.
+    """
+    key = [F.col("doc_id").isNull().alias("_no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
+    names = ["_no_id", "_id", "_text"]
+    fps = cut(_keyed_fingerprints(docs.select(*key, F.coalesce("text", F.lit("")).alias("text"))))
+    found = _labels(fps, F.struct(*names), radius).select(*names, (F.struct(*names) == F.col("least")).alias("kept"))
+    # keys whose rows go, or stay but for the repetitions
+    marked = cut(found.groupBy(*names).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key)
+    single = rows.join(marked.select(*names), names, "left_anti").select("_row.*")
+    repeated = marked.filter("kept").select(*names)
+    if repeated.isEmpty():
+        return single
+    return single.union(rows.join(repeated, names, "left_semi").groupBy(*names).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*"))

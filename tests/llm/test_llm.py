@@ -264,6 +264,20 @@ def test_mixing_budget(spark):
     assert kept.select("doc_id").distinct().count() == 100
 
 
+def test_repeated_rows_and_null_ids_leave_one(spark):
+    a, b = " ".join(f"p{k}" for k in range(40)), " ".join(f"q{k * k}" for k in range(40))
+    d = docs(spark, [(1, a, "s")] * 3 + [(1, b, "s"), (None, a, "s"), (2, a, "t"), (None, b, "s"), (None, "z y x", "s"), (None, "z y x", "s")])
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(d).collect())
+    assert kept == sorted([(1, a), (1, b), (0, "z y x")])
+
+
+def test_mix_draws_repeated_rows_as_often_as_any(spark):
+    d = docs(spark, [(k, "a b c d", "big") for k in range(40)] + [(100, "x y", "small")] * 3 + [(100, "x y z", "big")])
+    how = {"keep_all": True, "entropy": None, "max_epochs": 2.0}
+    drawn, mixed = ({r.source: r["count"] for r in x.filter("doc_id = 100").groupBy("source").count().collect()} for x in (mixing.draw(d, **how), mixing.mix(d, **how)))
+    assert mixed == drawn and drawn["small"] == 6
+
+
 def test_lines(spark):
     got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, [(1, "a\nb\nc\nd", "x"), (2, "q\na\nb\n\nc\nz", "x"), (3, "a\nb", "x")])).collect()}
     assert got[1].text == "a\nb\nc\nd" and got[2].text == "q\n\nz" and got[2].n_removed == 3 and got[3].text == "a\nb"
