@@ -6,7 +6,7 @@ each source is taken whole as often as its target allows, and the rest comes fro
 permutation, whose blocks of documents are taken whole up to the one that the target cuts.
 
 Defined cases: null text is empty; a null source is the source ''; documents without a word carry no tokens and are drawn with their
-source's passes; a null ``doc_id`` is drawn like any other; rows that repeat a ``doc_id`` share its place and are drawn together or in
+source's passes (a source without a token has none, with ``keep_all`` one); a null ``doc_id`` is drawn like any other; rows that repeat a ``doc_id`` share its place and are drawn together or in
 order of equal keys; an empty table gives an empty result; further columns are ignored by :func:`draw` and kept by :func:`mix`.
 """
 
@@ -33,9 +33,13 @@ def source_tokens(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "source", F.size(F.array_remove(F.split("text", f"{SPACE}+"), "")).cast("long").alias("n_tokens"))
 
 
-def shares(tokens: DataFrame) -> tuple[DataFrame, int, int]:
+def sources(tokens: DataFrame) -> DataFrame:
+    return cut(tokens.groupBy("source").agg(F.sum("n_tokens").alias("total")))
+
+
+def shares(totals: DataFrame) -> tuple[DataFrame, int, int]:
     """(source, total, share) of the sources with a token, their number and all tokens."""
-    totals = cut(tokens.groupBy("source").agg(F.sum("n_tokens").alias("total")).filter("total > 0"))
+    totals = totals.filter("total > 0")
     n, every = totals.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
     return totals.withColumn("share", F.col("total") / F.lit(float(every or 1))), n, int(every)
 
@@ -71,19 +75,25 @@ def exponent(shared: DataFrame, n: int, budget: float | None, entropy: float | N
 def targets(tokens: DataFrame, budget: float = BUDGET, entropy: float | None = ENTROPY, max_epochs: float | None = MAX_EPOCHS, keep_all: bool = False) -> DataFrame:
     """``source, total, weight, passes, rest``: whole passes over a source and the tokens of the pass that is cut.
 
-    With ``keep_all`` the budget is the least that takes every source whole once.
+    With ``keep_all`` the budget is the least that takes every source whole once; sources without a token pass once.
     """
-    shared, n, every = shares(tokens)
+    totals = sources(tokens)
+    shared, n, every = shares(totals)
     a = exponent(shared, n, None if keep_all else budget, entropy, max_epochs)
     z = shared.agg(F.sum(F.pow("share", F.lit(a)))).first()[0] or 1.0
     weighted = shared.withColumn("weight", F.pow("share", F.lit(a)) / F.lit(z))
     if keep_all:
-        target = F.floor(F.pow("share", F.lit(a - 1.0)) * F.col("total") / F.lit(shared.agg(F.min(F.pow("share", F.lit(a - 1.0)))).first()[0] or 1.0) + 1e-6)
+        aim = F.pow("share", F.lit(a - 1.0)) * F.col("total") / F.lit(shared.agg(F.min(F.pow("share", F.lit(a - 1.0)))).first()[0] or 1.0)
     else:
-        # a whole number that the order of a sum of doubles puts just below itself is not cut
         aim = F.col("weight") * F.lit(float(budget * every))
-        target = F.floor(aim + F.greatest(aim * 1e-12, F.lit(1e-6)))
-    return weighted.withColumn("target", target).select("source", "total", "weight", F.floor(F.col("target") / F.col("total")).alias("passes"), (F.col("target") % F.col("total")).alias("rest"))
+    # a whole number that the order of a sum of doubles puts just below itself is not cut
+    target = F.floor(aim + F.greatest(aim * 1e-12, F.lit(1e-6)))
+    if keep_all:
+        target = F.greatest(target, F.col("total"))
+    dealt = weighted.withColumn("target", target).select("source", "total", "weight", F.floor(F.col("target") / F.col("total")).alias("passes"), (F.col("target") % F.col("total")).alias("rest"))
+    if not keep_all:
+        return dealt
+    return dealt.union(totals.filter("total = 0").select("source", "total", F.lit(0.0), F.lit(1).cast("long"), F.lit(0).cast("long")))
 
 
 def keyed(d: DataFrame, epoch, name: str = "perm_key") -> DataFrame:

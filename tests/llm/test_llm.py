@@ -278,6 +278,14 @@ def test_mix_draws_repeated_rows_as_often_as_any(spark):
     assert mixed == drawn and drawn["small"] == 6
 
 
+def test_keep_all_loses_no_document(spark):
+    d = docs(spark, [(1, "a b", "s"), (2, "", "empty"), (3, None, "empty")])
+    assert sorted(r.doc_id for r in mixing.mix(d, keep_all=True, entropy=None).collect()) == [1, 2, 3]
+    big = [3 * 10**15 + 7 * k * k for k in range(40)]
+    tokens = spark.createDataFrame([(k, f"s{k}", n) for k, n in enumerate(big)], "doc_id long, source string, n_tokens long")
+    assert all(r.passes >= 1 for r in mixing.targets(tokens, keep_all=True, entropy=None, max_epochs=2.0).collect())
+
+
 def test_lines(spark):
     got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, [(1, "a\nb\nc\nd", "x"), (2, "q\na\nb\n\nc\nz", "x"), (3, "a\nb", "x")])).collect()}
     assert got[1].text == "a\nb\nc\nd" and got[2].text == "q\n\nz" and got[2].n_removed == 3 and got[3].text == "a\nb"
