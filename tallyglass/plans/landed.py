@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as c
+from ..operators import identify as full
 from ..operators import search
 from ..sources.shared import landing
 from ..sources.views import VIEWS, table, view, with_views
 from ..streaming import frames
+from . import identify
 from .search import CAT, QRY, j1
 
 VIEWS["v_variants"] = """SELECT concat('{', CASE p_partkey % 3 WHEN 0 THEN concat('"id":"a', p_partkey, '"') WHEN 1 THEN concat('"id":null,"cardId":"b', p_partkey, '"') ELSE concat('"cardId":"c', p_partkey, '"') END, ',"name":"', p_name, '"',
@@ -16,6 +18,8 @@ VIEWS["v_variants"] = """SELECT concat('{', CASE p_partkey % 3 WHEN 0 THEN conca
        CASE p_partkey % 5 WHEN 0 THEN concat(',"images":{"small":"s', p_partkey, '"},"imageUrl":"w"') WHEN 1 THEN concat(',"imageUrl":"i', p_partkey, '"') ELSE '' END, CASE p_partkey % 6 WHEN 0 THEN ',"colors":["Red","Blue"]' WHEN 1 THEN ',"color":"Green"' ELSE '' END, '}') AS record FROM part"""
 #: Cards on a landed page, and in a landed asset.
 PAGE_CARDS, ASSET_CARDS = 50, 1000
+#: Micro-batches of the stream of scans.
+SCAN_BATCHES = 2
 
 
 def landed_pages(sp, d):
@@ -79,6 +83,23 @@ def identified_stream(sp, d):
     return sp.read.schema("query_id long, card_id long, rank int").parquet(f"{path}/out").select("query_id", "card_id", "rank")
 
 
+def identified_in_full(sp, d):
+    """The whole identification of ``r8_identify`` over a stream of scans, in ``SCAN_BATCHES`` micro-batches."""
+    path, queries = landing(sp, "scans"), QRY(sp, d)
+    queries.repartition(SCAN_BATCHES, "query_id").write.parquet(f"{path}/in")
+    scans = sp.readStream.schema(queries.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def find(batch):
+        own = identify.QV(sp, d).join(batch.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+        return full.identify(batch, own, CAT(sp, d), identify.VEC(sp, d), identify.totals(sp, d), least_sim=identify.WITH_TEXT, floor=identify.FLOOR)
+
+    sink = lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    run = frames.stream_identify(scans, find, sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = sp.read.schema("query_id long, candidates array<long>, source string, partial boolean, partial_reason string").parquet(f"{path}/out")
+    return found.select("query_id", F.array_join("candidates", ",").alias("candidates"), "source", "partial", "partial_reason")
+
+
 QUERIES = {
     "a1_read_catalog_pages": catalog_pages,
     "a2_map_variant_fields": lambda sp, d: c.map_variant_fields(view(sp, d, "v_variants")).withColumn("colors", F.array_join("colors", ",")),
@@ -87,6 +108,7 @@ QUERIES = {
     "a20_manifest": asset_manifest,
     "a25_write_results_jsonl": results_jsonl,
     "s3_stream_identify": identified_stream,
+    "s3_stream_identify_full": identified_in_full,
 }
 
 ORACLES = {
@@ -99,4 +121,5 @@ ORACLES = {
     "a20_manifest": with_views(f"SELECT sha256(t) AS sha256, octet_length(encode(t))::BIGINT AS size FROM (SELECT string_agg(card_id || ':' || name || chr(10), '' ORDER BY card_id) AS t FROM v_catalog GROUP BY card_id // {ASSET_CARDS})"),
     "a25_write_results_jsonl": with_views(f"SELECT query_id, string_agg(rank || ':' || card_id, ',' ORDER BY rank) AS candidates FROM ({j1()}) GROUP BY query_id"),
     "s3_stream_identify": with_views(j1()),
+    "s3_stream_identify_full": identify.ORACLES["r8_identify"],
 }

@@ -58,3 +58,12 @@ def test_identify_batches_equal_one_run(spark, sf):
     w.processAllAvailable()
     w.stop()
     assert sorted(map(tuple, found)) == sorted(map(tuple, search.name_search(q, catalog).collect()))
+
+
+def test_stream_identifies_as_the_batch_does(spark, sf):
+    from tallyglass import registry
+
+    queries = registry.queries()
+    key = lambda r: r.query_id
+    batch, stream = (sorted(queries[n](spark, sf).collect(), key=key) for n in ("r8_identify", "s3_stream_identify_full"))
+    assert stream == batch and {"image", "both"} & {r.source for r in stream}
