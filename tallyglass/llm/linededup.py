@@ -1,53 +1,80 @@
 """Line dedup by overlapping windows of three consecutive lines.
 
 Lines without a word are left alone and skipped when windows are formed. A window's key is 96 bits of hash; of all windows with one
-key the first by (doc_id, line) stays, the later ones are removed: their positions are merged and the lines at them dropped.
+key the first by (doc_id, row, line) stays, the later ones are removed: their positions are merged and the lines at them dropped.
 
-Defined cases: null text is empty; texts under three lines with a word have no window and stay whole; a null ``doc_id`` sorts
-first, and such rows count as one document; rows that repeat a ``doc_id`` are one document's copies, which the first occurrence's
-place does not tell apart, so both keep it; empty tables give empty results; further columns are ignored by :func:`dedup_lines`.
+Every row gets a number of its own when the texts are written to the shared folder, together with the hashes of their lines, so each
+text is parsed once and rows are told apart whatever repeats in them. The first window of a key is found in two steps, in parts of the
+rows and then among the parts' first ones, so that a passage that very many rows share is no single task's.
+
+Defined cases: null text is empty; texts under three lines with a word have no window and stay whole; a null ``doc_id`` sorts first;
+rows that repeat a ``doc_id`` are separate texts, in the order of the input's files: of two equal ones the later loses its windows, and
+a line that stands in no repeated window stays; empty tables give empty results; further columns are ignored by :func:`dedup_lines`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import partitions, scratch, texts
 
 WINDOW = 3
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def worded(line: Column) -> Column:
+    return F.ltrim(line, F.lit(BLANKS)) != ""
+
+
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    d = texts(docs).select("doc_id", F.split("text", "\n").alias("lines"))
-    return d.withColumn("worded", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"[^\x20\x09-\x0D]")))
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text, n_lines, keys``, written and read back; ``keys`` has two hashes of each line with a word."""
+    lines = F.filter(F.split("text", "\n"), worded)
+    keys = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b")))
+    d = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", keys.alias("keys"))
+    path = scratch(docs.sparkSession, "lines")
+    d.write.parquet(path)
+    return docs.sparkSession.read.parquet(path).withColumn("n_lines", F.size("keys").cast("long"))
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, h1, h2``: every window; ``pos`` counts lines with a word."""
-    d = _lines(docs).filter(F.size("worded") >= WINDOW).select("doc_id", F.transform("worded", lambda i: F.get("lines", i)).alias("l"))
-    at = lambda i: [F.get("l", i + k) for k in range(WINDOW)]
-    keyed = F.transform(F.sequence(F.lit(0), F.size("l") - WINDOW), lambda i: F.struct(i.alias("pos"), F.xxhash64(*at(i)).alias("h1"), F.hash(*at(i)).alias("h2")))
-    return d.select("doc_id", F.inline(keyed))
+def windows(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, pos, h1, h2``: every window; ``pos`` counts lines with a word."""
+    of = lambda i, name: [F.get("keys", i + k)[name] for k in range(WINDOW)]
+    each = F.transform(F.sequence(F.lit(0), F.size("keys") - WINDOW), lambda i: F.struct(i.alias("pos"), F.xxhash64(*of(i, "a")).alias("h1"), F.hash(*of(i, "b")).alias("h2")))
+    return rows.filter(F.size("keys") >= WINDOW).select("row", "doc_id", F.inline(each))
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """``doc_id, gone``: by document the sorted positions, among lines with a word, that later windows cover."""
-    w = windows(docs)
-    first = w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = w.join(first, ["h1", "h2"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    starts = later.groupBy("doc_id").agg(F.collect_set("pos").alias("p"))
-    return starts.select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: F.sequence(x, x + (WINDOW - 1)))))).alias("gone"))
+def later(w: DataFrame) -> DataFrame:
+    """``row, pos`` of the windows that are not the first of their key."""
+    parts, place = partitions(w.sparkSession), ["doc_id", "row", "pos"]
+    w = w.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    w = w.withColumn("late", F.row_number().over(Window.partitionBy("h1", "h2", "part").orderBy(*place)) > 1)
+    # windows already found late need no common place
+    w = w.withColumn("part", F.when(F.col("late"), F.col("part")).otherwise(-1))
+    return w.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2", "part").orderBy(*place))).filter("late OR nth > 1").select("row", "pos")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` for every row: lines with a word, how many of them went, and the text that is left."""
-    gone = covered(docs).withColumnRenamed("doc_id", "gone_id")
-    d = _lines(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    out = F.transform("gone", lambda j: F.get("worded", j))
-    d = d.select("doc_id", "lines", F.size("worded").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), out.alias("out"))
-    kept = F.when(F.col("out").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("out", i)), "\n"))
-    return d.select("doc_id", "n_lines", F.when(F.col("out").isNull(), 0).otherwise(F.col("n_removed")).cast("long").alias("n_removed"), kept.alias("text"))
+    rows = numbered(docs)
+    gone = later(windows(rows)).groupBy("row").agg(F.collect_list("pos").alias("starts"))
+    gone = gone.select("row", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (WINDOW - 1))))).alias("gone"))
+    every = lambda x: F.sequence(F.lit(0), F.size(x) - 1)
+
+    def rest(lines: Column) -> Column:
+        own = F.filter(every(lines), lambda i: worded(F.get(lines, i)))
+        out = _with(own, lambda o: F.transform("gone", lambda j: F.get(o, j)))
+        return F.array_join(F.transform(F.array_except(every(lines), out), lambda i: F.get(lines, i)), "\n")
+
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_with(F.split("text", "\n"), rest))
+    return rows.select("row", "doc_id", "text", "n_lines").join(gone, "row", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("text"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,6 @@ def test_edge_cases_run(spark, odd, none, bench):
         assert licenses.license_scan(d).count() == n
         assert tokenbin.round_trip(d).count() == n
         assert lm.score(d).count() == n
-        # two rows that repeat one doc_id share a row of lines to drop
         assert linededup.dedup_lines(d).count() == n
         assert mixing.mix(d, keep_all=True, entropy=None).count() >= n
         assert mixing.mix(d, keep_all=True, entropy=None).columns == d.columns
@@ -291,6 +290,33 @@ def test_lines(spark):
     assert got[1].text == "a\nb\nc\nd" and got[2].text == "q\n\nz" and got[2].n_removed == 3 and got[3].text == "a\nb"
 
 
+def brute_lines(rows):
+    """(doc_id, n_lines, n_removed, text) of rows in their order of (doc_id, place in the input), null ids first."""
+    seen, out = set(), []
+    for doc, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = (t or "").split("\n")
+        own = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for k in range(len(own) - 2):
+            key = tuple(lines[i] for i in own[k : k + 3])
+            if key in seen:
+                gone |= {own[k], own[k + 1], own[k + 2]}
+            seen.add(key)
+        out.append((doc, len(own), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_lines_brute(spark, some):
+    rows = [(9, "a\nb\nc\ntail"), (9, "u1\nu2\nu3\nt2"), (1, "a\nb\nc"), (None, "a\nb\nc\nown"), (None, "n1\n\n \nn2\nn3"), (5, "x\ny\nz"), (5, "x\ny\nz"), (6, None), (6, ""), (7, "r\nr\nr\nr\nr"), (8, "p\nq\nr\np\nq\nr")]
+    rows += [(100, "\n".join(f"line {k}" for k in range(20_000))), (101, "\n".join(f"line {k}" for k in range(10_000, 30_000)))]
+    for parts in (1, 3):
+        # one task or a few in a row: the order of the input is the same
+        d = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        assert sorted((tuple(r) for r in linededup.dedup_lines(d).collect()), key=repr) == brute_lines(rows)
+    whole = [(r.doc_id, r.text) for r in some.collect()]
+    assert sorted((tuple(r) for r in linededup.dedup_lines(some).collect()), key=repr) == brute_lines(whole)
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://www.A.com:80/x/?b=2&a=1", 100, "response", '"e1"', None, {"Content-Type": "t", "Date": "d1"}, "p1"),
