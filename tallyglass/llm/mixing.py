@@ -3,11 +3,14 @@
 Source i with token share p_i gets weight p_i^a / sum_j p_j^a. The exponent a in [0, 1] is the largest whose weights reach the target
 entropy, raised if need be until no source is repeated more than ``max_epochs`` times. A budget of tokens is then dealt out:
 each source is taken whole as often as its target allows, and the rest comes from one more pass in the order of a keyed
-permutation, whose blocks of documents are taken whole up to the one that the target cuts.
+permutation, whose blocks of documents are taken whole up to the one that the target cuts; of that one, the documents up to a key.
+So a source's row of the plan (whole passes and the last key drawn) decides for each of its documents how often it is drawn, and
+the texts themselves are not joined by document.
 
 Defined cases: null text is empty; a null source is the source ''; documents without a word carry no tokens and are drawn with their
-source's passes (a source without a token has none, with ``keep_all`` one); a null ``doc_id`` is drawn like any other; rows that repeat a ``doc_id`` share its place and are drawn together or in
-order of equal keys; an empty table gives an empty result; further columns are ignored by :func:`draw` and kept by :func:`mix`.
+source's passes (a source without a token has none, with ``keep_all`` one); a null ``doc_id`` is drawn like any other; rows that repeat a
+``doc_id`` have one place in the permutation and are each drawn or not drawn there together; an empty table gives an empty result;
+further columns are ignored by :func:`draw` and kept by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -17,15 +20,16 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, texts
+from .common import SPACE, cut, partitions, texts
 
 #: Share of the largest possible entropy to reach, passes over one source at most, budget in times of all tokens.
 ENTROPY, MAX_EPOCHS, BUDGET = 0.98, 4.0, 1.0
 GRID, ROUNDS = 32, 6
 #: Hexadecimal digits of the permutation key that name a block: 4,096 blocks a source.
 BLOCK_DIGITS, SEED = 3, "mix-1"
-#: Parts in which the documents of one source meet its plan, so that a source with most of the rows is no single task's.
-SALTS = 64
+#: A plan of at most so many sources and characters of their names is broadcast. A longer one is joined, in parts of a source's
+#: documents, so that a source with most of the rows is no single task's.
+FEW_SOURCES, FEW_CHARS, SALTS = 50_000, 4_000_000, 64
 
 
 def source_tokens(docs: DataFrame) -> DataFrame:
@@ -100,37 +104,57 @@ def keyed(d: DataFrame, epoch, name: str = "perm_key") -> DataFrame:
     return d.withColumn(name, F.md5(F.concat_ws("|", F.lit(SEED), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
 
 
-def with_plan(tokens: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each document with its source's row of the plan, which is repeated for every part of the source."""
-    part = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS))
-    repeated = plan.withColumn("part", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    return tokens.withColumn("part", part).join(repeated, ["source", "part"]).drop("part")
+def meet(rows: DataFrame, by_source: DataFrame, few: bool, *spread: str) -> DataFrame:
+    """``rows`` with their source's row of ``by_source``; where that is long, ``spread`` names the columns that deal a source's rows out."""
+    if few:
+        return rows.join(F.broadcast(by_source), "source")
+    repeated = by_source.withColumn("_part", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(SALTS))).join(repeated, ["source", "_part"]).drop("_part")
+
+
+def plan(tokens: DataFrame, **how) -> tuple[DataFrame, bool]:
+    """``source, total, passes, rest, last_key`` and whether that is short: the pass that is cut takes the keys up to ``last_key``."""
+    dealt = cut(targets(tokens, **how))
+    n, chars = dealt.agg(F.count("*"), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
+    few = n <= FEW_SOURCES and chars <= FEW_CHARS
+    last = meet(tokens, dealt.filter("rest > 0").select("source", "passes", "rest"), few, "doc_id", "n_tokens")
+    last = keyed(last, F.col("passes")).withColumn("block", F.substring("perm_key", 1, BLOCK_DIGITS))
+    sums = last.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("in_block"))
+    sums = sums.withColumn("before", F.sum("in_block").over(Window.partitionBy("source").orderBy("block")) - F.col("in_block"))
+    # the last block that is begun; those before it are whole
+    ends = cut(sums.filter("before < rest").groupBy("source").agg(F.max_by(F.struct("block", "before"), "block").alias("end")).select("source", F.col("end.block").alias("end"), F.col("end.before").alias("before")))
+    inside = meet(last.drop("before"), ends, few, "doc_id", "n_tokens").filter("block = end")
+    # rows of equal key are peers, which the frame takes together
+    taken = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("perm_key"))).filter("upto <= rest")
+    keys = ends.join(taken.groupBy("source").agg(F.max("perm_key").alias("key")), "source", "left").select("source", F.coalesce("key", "end").alias("last_key"))
+    return cut(dealt.join(keys, "source", "left").select("source", "total", "passes", "rest", "last_key")), few
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """A row with ``epoch`` and ``perm_key`` for each time a row with its source's plan is drawn."""
+    again = keyed(rows, F.col("passes"), "cut_key").withColumn("times", F.col("passes") + F.coalesce(F.col("cut_key") <= F.col("last_key"), F.lit(False)).cast("int"))
+    return keyed(again.filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))), F.col("epoch"))
 
 
 def draw(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, source, epoch, block, perm_key, n_tokens``, a row for each time a document is drawn; (epoch, block, perm_key) is the order."""
-    tokens = source_tokens(docs)
-    plan = cut(targets(tokens, **how))
-    d = with_plan(tokens, plan)
-    whole = d.filter("passes > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int") - 1)).alias("epoch"))
-    whole = keyed(whole, F.col("epoch"))
-    last = keyed(d.filter("rest > 0").select("doc_id", "source", "n_tokens", "rest", F.col("passes").cast("int").alias("epoch")), F.col("epoch")).withColumn("block", F.substring("perm_key", 1, BLOCK_DIGITS))
-    sums = last.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block"))
-    sums = sums.withColumn("upto", F.sum("in_block").over(Window.partitionBy("source").orderBy("block")))
-    placed = last.join(sums, ["source", "block"]).filter(F.col("upto") - F.col("in_block") < F.col("rest"))
-    cut_here = placed.filter("upto > rest").withColumn("sum", F.col("upto") - F.col("in_block") + F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("perm_key", "doc_id")))
-    out = ["doc_id", "source", "epoch", "perm_key", "n_tokens"]
-    drawn = whole.select(out).union(placed.filter("upto <= rest").select(out)).union(cut_here.filter("sum <= rest").select(out))
-    return drawn.select("doc_id", "source", F.col("epoch").cast("long").alias("epoch"), F.substring("perm_key", 1, BLOCK_DIGITS).alias("block"), "perm_key", "n_tokens")
+    tokens = cut(source_tokens(docs))
+    by_source, few = plan(tokens, **how)
+    return drawn(meet(tokens, by_source, few, "doc_id", "n_tokens")).select("doc_id", "source", "epoch", F.substring("perm_key", 1, BLOCK_DIGITS).alias("block"), "perm_key", "n_tokens")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as they are drawn; with ``keep_all`` none is lost. Rows without an id stay once."""
-    # rows of one id and source are drawn in the same passes, which follow each other from 0
-    drawn = draw(docs.filter("doc_id IS NOT NULL"), **how).groupBy("doc_id", "source").agg((F.max("epoch") + 1).alias("times"))
-    rows = docs.filter("doc_id IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"))
-    copies = rows.join(drawn, ["doc_id", "source"]).select(F.explode(F.array_repeat("row", F.col("times").cast("int"))).alias("row")).select("row.*")
-    return copies.union(docs.filter("doc_id IS NULL"))
+    """The rows of ``docs``, all columns, as often as :func:`draw` draws them, in an order in which every stretch holds the target weights.
+
+    A source's passes follow each other in the order of their permutations and are spread evenly over the whole.
+    """
+    by_source, few = plan(cut(source_tokens(docs)), **how)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("t"))
+    d = drawn(meet(rows, by_source, few, "doc_id", "t"))
+    share = F.conv(F.substring("perm_key", 1, 12), 16, 10).cast("double") / float(16**12)
+    all_passes = F.col("passes") + F.when(F.col("total") > 0, F.col("rest") / F.col("total")).otherwise(0.0)
+    d = d.select("row", ((F.col("epoch") + share) / all_passes).alias("at"), "perm_key", "t")
+    return d.repartitionByRange(partitions(docs.sparkSession), "at").sortWithinPartitions("at", "perm_key", "t").select("row.*")
 
 
 def _sql(budget: float = BUDGET, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS) -> str:
@@ -158,7 +182,7 @@ def _sql(budget: float = BUDGET, entropy: float = ENTROPY, max_epochs: float = M
         "d AS (SELECT doc_id, t.source, n_tokens, target // total AS passes, target % total AS rest FROM t JOIN pl USING (source))",
         f"w AS (SELECT doc_id, source, n_tokens, e AS epoch, md5('{SEED}|' || e || '|' || doc_id) AS perm_key FROM (SELECT doc_id, source, n_tokens, unnest(range(0, passes)) AS e FROM d WHERE passes > 0))",
         f"l AS (SELECT doc_id, source, n_tokens, passes AS epoch, rest, md5('{SEED}|' || passes || '|' || doc_id) AS perm_key FROM d WHERE rest > 0)",
-        f"lc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY perm_key, doc_id ROWS UNBOUNDED PRECEDING) AS s, sum(n_tokens) OVER (PARTITION BY source ORDER BY left(perm_key, {BLOCK_DIGITS})) - sum(n_tokens) OVER (PARTITION BY source, left(perm_key, {BLOCK_DIGITS})) AS before FROM l)",
+        f"lc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY perm_key) AS s, sum(n_tokens) OVER (PARTITION BY source ORDER BY left(perm_key, {BLOCK_DIGITS})) - sum(n_tokens) OVER (PARTITION BY source, left(perm_key, {BLOCK_DIGITS})) AS before FROM l)",
         "o AS (SELECT doc_id, source, n_tokens, epoch, perm_key FROM w UNION ALL SELECT doc_id, source, n_tokens, epoch, perm_key FROM lc WHERE s <= rest AND before < rest)",
     ]
     return f"WITH {', '.join(parts)} SELECT doc_id, source, epoch::BIGINT AS epoch, left(perm_key, {BLOCK_DIGITS}) AS block, perm_key, n_tokens FROM o"

@@ -1,6 +1,6 @@
 """Token-id output: flat unsigned integer files with 64-bit document offsets.
 
-For each partition of the documents, in ascending ``doc_id`` order, three files: ``.bin`` (the ids, 16 or 32 bits each, little-endian),
+For each partition of the documents, in ascending ``doc_id`` order or one given, three files: ``.bin`` (the ids, 16 or 32 bits each, little-endian),
 ``.off`` (n_docs + 1 offsets in ids, 64 bits) and ``.ids`` (the documents' ids, 64 bits). A manifest row per partition has the
 number of ids before it, from a prefix sum. A task writes under a name of its own and only the manifest, itself written once,
 says which files count, so a repeated task does no harm.
@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, scratch, texts
@@ -79,8 +80,7 @@ class Encoder:
         if len(kept) + len(fresh) <= KEPT_WORDS:
             kept.update(fresh)
             return [np.frombuffer(b"".join([*map(kept.__getitem__, words), end]), self.dtype) for words in split]
-        get, new = kept.get, fresh.get
-        out = [np.frombuffer(b"".join([*(get(w) or new(w, b"") for w in words), end]), self.dtype) for words in split]
+        out = [np.frombuffer(b"".join([*(kept[w] if w in kept else fresh[w] for w in words), end]), self.dtype) for words in split]
         for w, ids in fresh.items():
             if len(kept) >= KEPT_WORDS:
                 break
@@ -126,19 +126,49 @@ def _write(target: str, vocabulary: str, dtype: str):
     return run
 
 
-def write(docs: DataFrame, target: str, vocabulary: str, dtype: str = "<u2") -> DataFrame:
-    """Write the files below ``target`` (a URI that all executors reach) and return the manifest with each partition's ``base``."""
-    d = texts(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = cut(d.mapInArrow(_write(target, vocabulary, dtype), MANIFEST))
+def id_type(vocabulary: str) -> str:
+    """The narrowest unsigned type that holds every id of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    most = max(END, *Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values())
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def stored_order(docs: DataFrame) -> Column | None:
+    """The place of each row in the files that ``docs`` was just read from (their number, then the row's index); None where it was not."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return None
+    return F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long") * (1 << 40) + F.col("_metadata.row_index")
+
+
+def write(docs: DataFrame, target: str, vocabulary: str, dtype: str = "<u2", order: Column | None = None) -> DataFrame:
+    """Write the files below ``target`` (a URI that all executors reach) and return the manifest with each partition's ``base``.
+
+    Documents stand in the order of ``order``, a number, or else of ``doc_id``.
+    """
+    by = ["doc_id", "text"] if order is None else ["at"]
+    d = texts(docs, *([] if order is None else [order.alias("at")])).repartitionByRange(partitions(docs.sparkSession), by[0]).sortWithinPartitions(*by)
+    manifest = cut(d.select("doc_id", "text").mapInArrow(_write(target, vocabulary, dtype), MANIFEST))
     return manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["base"])
 
 
-def mapped(files: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where it is local, else read."""
-    if isinstance(files, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if files.get_file_info(path).size else np.zeros(0, dtype)
-    with files.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class Mapped:
+    """Stretches of a file as arrays: memory-mapped where it is local, else read one by one."""
+
+    def __init__(self, files: fs.FileSystem, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        self.size = files.get_file_info(path).size // self.dtype.itemsize
+        local = isinstance(files, fs.LocalFileSystem)
+        self.array = np.memmap(path, self.dtype, "r") if local and self.size else None
+        self.file = None if local else files.open_input_file(path)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.array is not None:
+            return np.asarray(self.array[at])
+        a, b, width = at.start, min(at.stop, self.size), self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((b - a) * width, a * width) if self.file and b > a else b"", self.dtype)
 
 
 def _read(target: str, dtype: str):
@@ -146,11 +176,11 @@ def _read(target: str, dtype: str):
         files, root = fs.FileSystem.from_uri(target)
         for m in batches:
             for path, base in zip(m.column("path").to_pylist(), m.column("base").to_pylist(), strict=True):
-                ids, off, own = (mapped(files, f"{root}/{path}{end}", t) for end, t in ((".bin", dtype), (".off", "<i8"), (".ids", "<i8")))
-                for at in range(0, len(own), 10_000):
-                    o = np.asarray(off[at : at + 10_001])
-                    crc = [zlib.crc32(np.asarray(ids[a:b]).astype("<u4").tobytes()) for a, b in zip(o[:-1], o[1:], strict=True)]
-                    d = np.asarray(own[at : at + 10_000])
+                ids, off, own = (Mapped(files, f"{root}/{path}{end}", t) for end, t in ((".bin", dtype), (".off", "<i8"), (".ids", "<i8")))
+                for at in range(0, own.size, 10_000):
+                    o = off[at : at + 10_001]
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+                    d = own[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64(), mask=d == NO_ID), pa.array(base + o[:-1]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
@@ -168,6 +198,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    target = scratch(docs.sparkSession, "token-ids")
-    return read(write(docs, target, vocabulary or default_vocabulary()), target)
+def round_trip(docs: DataFrame, vocabulary: str | None = None, order: Column | None = None) -> DataFrame:
+    target, vocabulary = scratch(docs.sparkSession, "token-ids"), vocabulary or default_vocabulary()
+    dtype = id_type(vocabulary)
+    return read(write(docs, target, vocabulary, dtype, order), target, dtype)

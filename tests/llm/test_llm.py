@@ -57,7 +57,7 @@ def test_edge_cases_run(spark, odd, none, bench):
         assert tokenbin.round_trip(d).count() == n
         assert lm.score(d).count() == n
         assert linededup.dedup_lines(d).count() == n
-        assert mixing.mix(d, keep_all=True, entropy=None).count() >= n
+        assert mixing.mix(d, keep_all=True, entropy=None, max_epochs=1.0).count() == n
         assert mixing.mix(d, keep_all=True, entropy=None).columns == d.columns
         assert quality.keep_good(d).columns == simhash.keep_one(d).columns == decontam.clean(d, bench).columns == d.columns
         assert decontam.contaminated(d, bench).count() == 0
@@ -270,11 +270,81 @@ def test_repeated_rows_and_null_ids_leave_one(spark):
     assert kept == sorted([(1, a), (1, b), (0, "z y x")])
 
 
-def test_mix_draws_repeated_rows_as_often_as_any(spark):
-    d = docs(spark, [(k, "a b c d", "big") for k in range(40)] + [(100, "x y", "small")] * 3 + [(100, "x y z", "big")])
-    how = {"keep_all": True, "entropy": None, "max_epochs": 2.0}
-    drawn, mixed = ({r.source: r["count"] for r in x.filter("doc_id = 100").groupBy("source").count().collect()} for x in (mixing.draw(d, **how), mixing.mix(d, **how)))
-    assert mixed == drawn and drawn["small"] == 6
+def brute_draws(rows, how):
+    """Times that each row (id, text, source) is drawn: whole passes, then the permutation up to the budget, equal keys together."""
+    import hashlib
+    import math
+
+    n_words = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    total = {}
+    for n, (_, _, s) in zip(n_words, rows, strict=True):
+        total[s or ""] = total.get(s or "", 0) + n
+    every = sum(total.values())
+    p = {s: n / every for s, n in total.items() if n}
+    keep_all, a = how.get("keep_all"), 1.0
+    if keep_all:
+        # the largest exponent that repeats no source more than max_epochs times as often as the one repeated least
+        ratio = lambda a: max(x ** (a - 1) for x in p.values()) / min(x ** (a - 1) for x in p.values())
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if ratio(mid) > how["max_epochs"] else (lo, mid)
+        a = round(hi, 9)
+    else:
+        spread = lambda a: math.log(sum(x**a for x in p.values())) - a * sum(x**a * math.log(x) for x in p.values()) / sum(x**a for x in p.values())
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if spread(mid) >= how["entropy"] * math.log(len(p)) else (lo, mid)
+        a = round(lo, 9)
+    z, least = sum(x**a for x in p.values()), min((x ** (a - 1) for x in p.values()), default=1)
+    times = [0] * len(rows)
+    key = lambda epoch, doc: hashlib.md5(f"mix-1|{epoch}|{'' if doc is None else doc}".encode()).hexdigest()
+    for s, n in total.items():
+        own = [k for k, r in enumerate(rows) if (r[2] or "") == s]
+        if not n:
+            for k in own:
+                times[k] = int(bool(keep_all))
+            continue
+        target = math.floor((p[s] ** (a - 1) * n / least if keep_all else p[s] ** a / z * every) + 1e-6)
+        target = max(target, n) if keep_all else target
+        passes, rest = divmod(target, n)
+        keys = {k: key(passes, rows[k][0]) for k in own}
+        for k in own:
+            before = sum(n_words[j] for j in own if keys[j] <= keys[k])
+            begun = sum(n_words[j] for j in own if keys[j][:3] < keys[k][:3]) < rest
+            times[k] = passes + (begun and before <= rest)
+    return times
+
+
+@pytest.mark.parametrize("how", [{"keep_all": True, "entropy": None, "max_epochs": 2.0}, {"entropy": 0.9, "max_epochs": None}])
+def test_mix_brute(spark, how):
+    from collections import Counter
+
+    rows = [(k, "w " * (1 + k % 7), "big") for k in range(300)] + [(1000 + k, "v w", "small") for k in range(40)] + [(7, "a b", "small"), (7, "c d e", "big"), (7, "c d e", "big")]
+    rows += [(2000, " ", "none"), (2001, None, "none"), (3, "", None), (None, "x y", "small"), (None, "x y", "small"), (None, "z", None), (5000, "q " * 30, "other")]
+    times = brute_draws(rows, how)
+    want = Counter()
+    for r, n in zip(rows, times, strict=True):
+        want[r] += n
+    d = docs(spark, rows)
+    got = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(d, **how).collect())
+    assert got == +want and (not how.get("keep_all") or min(times) >= 1)
+    told = Counter((r.doc_id, r.source, r.n_tokens) for r in mixing.draw(d, **how).collect())
+    by = Counter()
+    for (i, t, s), n in want.items():
+        by[i, s or "", len((t or "").split())] += n
+    assert told == +by
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_mix_order_holds_the_weights_everywhere(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    d = docs(spark, [(k, "w w w w", "big" if k % 10 else "small") for k in range(4000)])
+    got = [r.source for r in mixing.mix(d, keep_all=True, entropy=None, max_epochs=2.0).collect()]
+    assert got.count("big") == 3600 and got.count("small") == 800
+    for part in (got[:1100], got[1100:2200], got[3300:]):
+        assert abs(part.count("small") / len(part) - 800 / 4400) < 0.05
 
 
 def test_keep_all_loses_no_document(spark):
@@ -333,7 +403,38 @@ def test_revisits(spark):
     assert warc.resolve(d.limit(0)).count() == 0
 
 
-def test_pipeline(spark, sf):
+def test_token_fallbacks():
+    path = tokenbin.default_vocabulary()
+    assert tokenbin.id_type(path) == "<u2"
+    made = ["a \u2764 b\u2764 c", "It's one-two  \n three,\tfour.", "", "x " * 50]
+    want = [x.tolist() for x in tokenbin.Encoder(path, "<u4").encode(made)]
+    for name, value in (("by_words", False), ("between", None)):
+        e = tokenbin.Encoder(path, "<u4")
+        setattr(e, name, value)
+        assert [x.tolist() for x in e.encode(made)] == want
+
+
+def test_files_are_read_alike_when_not_local(tmp_path):
+    from pyarrow import fs
+
+    np.arange(100, dtype="<u2").tofile(tmp_path / "x.bin")
+    far = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    a, b = tokenbin.Mapped(fs.LocalFileSystem(), str(tmp_path / "x.bin"), "<u2"), tokenbin.Mapped(far, "x.bin", "<u2")
+    assert a.size == b.size == 100 and b.file is not None
+    for lo, hi in ((0, 10), (90, 200), (5, 5)):
+        assert a[lo:hi].tolist() == b[lo:hi].tolist()
+
+
+def test_tokens_keep_the_stored_order(spark, tmp_path):
+    rows = [(int(k), f"w{k} x") for k in np.random.default_rng(2).permutation(400)] + [(5, "again"), (None, "none")]
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    got = tokenbin.round_trip(d, order=tokenbin.stored_order(d)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    assert tokenbin.stored_order(spark.range(3)) is None
+
+
+def test_pipeline(spark, sf, odd, none, tmp_path):
     import corpus_pipeline
 
     made = spark.read.parquet(f"{sf}/documents.parquet")
@@ -341,6 +442,17 @@ def test_pipeline(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         made = stage(spark, made, sf)
         assert made.columns == columns, name
-    ids = {r.doc_id for r in made.select("doc_id").distinct().collect()}
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in out} == ids and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+    mixed = [r.doc_id for r in made.select("doc_id").collect()]
+    out = corpus_pipeline.run(spark, sf).orderBy("start").collect()
+    assert [r.doc_id for r in out] == mixed and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+    good = " ".join(f"the word{k} of" for k in range(30))
+    more = docs(spark, [(None, " ".join(f"the {k * k}thing of" for k in range(50)), "a"), (8, good + " and more of it", "a"), (8, good + " and more of it", "a"), (8, " ".join(f"the other{k} in" for k in range(40)), "b"), (9, good.replace("word", "item"), None)])
+    for k, (d, want) in enumerate(((odd.union(more), None), (none, []))):
+        folder = tmp_path / f"sf{k}"
+        d.write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(folder / "benchmark.parquet"))
+        got = [r.doc_id for r in corpus_pipeline.run(spark, str(folder)).collect()]
+        if want is None:
+            assert None in got and got.count(8) >= 2 and 9 in got and not {1, 2, 3, 4} & set(got)
+        else:
+            assert got == want
