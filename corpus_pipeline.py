@@ -24,12 +24,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; small sources are repeated, none more than twice."""
+    """Every document stays; small sources are repeated, none more than twice; the rows come in the mixed order."""
     return mixing.mix(docs, keep_all=True, entropy=None, max_epochs=2.0)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokenbin.round_trip(docs)
+    """Token files in the order in which the mixing stage wrote its rows."""
+    return tokenbin.round_trip(docs, order=tokenbin.stored_order(docs))
 
 
 STAGES = [
