@@ -4,7 +4,8 @@ A template is mandatory wording with ``<<opt words>>`` (may be left out) and ``<
 into an automaton over words; a text matches where the automaton, started at the template's opening words, accepts.
 
 Defined cases: null text is empty (no words, labels ''); a null ``doc_id`` stays null; repeated rows are scanned each; an empty
-table gives an empty result; further columns are ignored. Whole texts are read, of any length.
+table gives an empty result; further columns are ignored. Whole texts are read, of any length. The bodies of the Apache, GNU and
+Mozilla licenses have no template of their own, only their notices and the references to them by name.
 """
 
 from __future__ import annotations
@@ -20,11 +21,50 @@ from .common import texts
 #: Base phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: Wording of public licenses' texts and notices, as words; each begins with at least two mandatory words.
+#: Wording of public licenses, as words. Each begins with at least two mandatory words. Labels that end in "-text" are
+#: for whole texts, "-notice" for whole notices in source files; the rest are one-sentence references to a license by its name.
+_DAMAGES = "arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<opt 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<opt 2>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution"
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by <<var 8>> as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 8>> be liable for any direct indirect incidental "
+    "special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or "
+    "profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+    "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC_DISCLAIMER = (
+    "the software is provided as is and <<var 6>> disclaims all warranties with regard to this software including all implied warranties of "
+    "merchantability and fitness in no event shall <<var 6>> be liable for any special direct indirect or consequential damages or any damages "
+    "whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of "
+    "or in connection with the use or performance of this software"
+)
+_GNU_NOTICE = (
+    "is free software you can redistribute it and or modify it under the terms of the gnu {0} general public license as published by the free "
+    "software foundation either version {1} of the license or <<opt at your option>> any later version <<var 4>> is distributed in the hope that "
+    "it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
+    "gnu {0} general public license for more details"
+)
 TEMPLATES = [
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and <<opt associated documentation files>> <<var 4>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute <<opt sublicense>> and or sell copies of the software"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt 1>> redistributions of source code must retain the <<opt above>> copyright notice"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt the software>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt including the next paragraph>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<var 2>> in no event shall <<var 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise " + _DAMAGES),
+    ("isc-text", "permission to use copy modify <<opt and>> <<opt or>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies " + _ISC_DISCLAIMER),
+    ("0bsd-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted " + _ISC_DISCLAIMER),
+    ("bsd-2-clause-text", f"{_BSD} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause-text", f"{_BSD} <<opt 3>> neither the name of <<var 8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_DISCLAIMER}"),
+    ("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt 1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<opt 2>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<opt 3>> this notice may not be removed or altered from any source distribution"),
+    ("bsl-1.0-text", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license <<opt the software>> to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and <<var 2>> in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise " + _DAMAGES),
+    ("unlicense-text", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<var 2>> in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise " + _DAMAGES),
+    ("apache-2.0-notice", "licensed under the apache license version 2 0 <<opt the license>> you may not use this file except in compliance with the license you may obtain a copy of the license at <<var 10>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-2.0-notice", _GNU_NOTICE.format("", 2)),
+    ("gpl-3.0-notice", _GNU_NOTICE.format("", 3)),
+    ("agpl-3.0-notice", _GNU_NOTICE.format("affero", 3)),
+    ("lgpl-2.1-notice", _GNU_NOTICE.format("lesser", "2 1")),
+    ("lgpl-3.0-notice", _GNU_NOTICE.format("lesser", 3)),
+    ("mpl-2.0-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var 6>>"),
     ("apache-2.0", "licensed under the apache license <<opt version>> 2 0 <<opt the license>>"),
     ("mit", "licensed under the <<opt terms of the>> mit license"),
     ("mit", "released under the <<opt terms of the>> mit license"),
