@@ -10,7 +10,8 @@ from the last response of the spans before.
 
 Defined cases: a revisit without an earlier response has outcome ``no_response``, one without a common validator ``no_validator``;
 a null URL has none earlier; earlier means smaller (ts, record_id); repeated records resolve alike; null headers are empty;
-null ``ts`` sorts first; empty tables give empty results; further columns are ignored.
+null ``ts`` sorts first; of header names that differ in letter case only, the spelling that sorts last counts; records of equal (ts,
+record_id) are ordered by Spark, revisits before or after responses of that place alike; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +37,25 @@ def strong(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with names in lower case; of names that differ in case only, the spelling that sorts last gives the value."""
+    own = F.map_entries(F.coalesce(headers, F.expr("cast(map() as map<string,string>)")))
+    spelt, each = F.array_sort(own), F.transform(own, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.array_distinct(F.transform(each, lambda e: e["key"]))
+    last = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(spelt, lambda e: F.lower(e["key"]) == n), -1)["value"]))
+    return F.when(F.size(names) < F.size(each), last).otherwise(F.map_from_entries(each))
+
+
 def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     """``record_id, url_key, base_id, outcome, headers, payload`` for every revisit."""
-    lower = F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", F.expr("cast(map() as map<string,string>)"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    r = records.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", F.floor(F.col("ts") / span).alias("span"), "kind", "etag", "last_modified", lower.alias("headers"), "payload")
+    url_key = canonical(F.col("url"))
+    # records without a URL have nobody to meet and each a group of its own
+    group = F.coalesce(url_key, F.concat(F.lit("\0"), F.coalesce(F.col("record_id").cast("string"), F.lit(""))))
+    r = records.select("record_id", url_key.alias("url_key"), group.alias("group"), "ts", F.floor(F.col("ts") / span).alias("span"), "kind", "etag", "last_modified", lower_names(F.col("headers")).alias("headers"), "payload")
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "headers", "payload"))
-    near = Window.partitionBy("url_key", "span").orderBy("ts", "record_id")
+    near = Window.partitionBy("group", "span").orderBy("ts", "record_id")
     inside = r.withColumn("base", F.last(full, ignorenulls=True).over(near))
-    ends = r.groupBy("url_key", "span").agg(F.max_by(full, F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).alias("end"))
+    ends = r.filter("url_key IS NOT NULL").groupBy("url_key", "span").agg(F.max_by(full, F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).alias("end"))
     before = ends.withColumn("end", F.last("end", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.filter("end IS NOT NULL").select(F.col("url_key").alias("k"), F.col("span").alias("s"), "end")
     v = inside.filter("kind = 'revisit'").join(before, (F.col("url_key") == F.col("k")) & F.col("span").eqNullSafe(F.col("s")), "left")

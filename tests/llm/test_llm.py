@@ -183,19 +183,55 @@ def test_tokens_round_trip(spark, some):
     assert [tuple(r) for r in tokenbin.round_trip(d).orderBy("start").collect()] == want
 
 
-def test_license_templates(spark):
-    texts = {1: "Licensed under the Apache License, Version 2.0.", 2: "licensed under the MIT license", 3: "MIT License MIT license", 4: "under the apache of licenses", 5: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", 6: "permission is hereby granted free of charge to any person obtaining a duplicate"}
+def wording(template, keep=lambda k: True, fill=1):
+    """A text that the template stands for: the optional regions that ``keep`` names, and ``fill`` words in each replaceable one."""
+    out = []
+    for k, (kind, v) in enumerate(licenses.parse(template)):
+        out += v if kind == "words" else (v if keep(k) else []) if kind == "opt" else ["anyone"] * min(v, fill)
+    return out
+
+
+def test_license_phrases(spark):
+    mit = dict(licenses.TEMPLATES)["mit-text"]
+    texts = {1: "Licensed under the Apache License, Version 2.0.", 2: "licensed under the MIT license", 3: "MIT License MIT license", 4: "under the apache of licenses", 5: "Copyright x. " + " ".join(wording(mit)).upper() + ".", 6: " ".join(wording(mit)[:120]), 7: None, 8: ""}
     got = {r.doc_id: r for r in licenses.license_scan(docs(spark, [(k, v, "a") for k, v in texts.items()])).collect()}
-    assert {k: got[k].labels for k in texts} == {1: "apache,apache-2.0", 2: "mit", 3: "mit", 4: "", 5: "mit-text", 6: ""}
-    assert (got[3].n_base, got[3].first_word, got[3].last_word) == (2, 0, 2)
+    assert {k: got[k].labels for k in texts} == {1: "apache,apache-2.0", 2: "mit", 3: "mit", 4: "", 5: "mit-text", 6: "", 7: "", 8: ""}
+    assert (got[3].n_base, got[3].first_word, got[3].last_word) == (2, 0, 2) and got[5].score == 1.0 and got[7].n_words == 0
     with pytest.raises(ValueError):
         licenses.Automaton("<<opt a>> b")
-    for _, template in licenses.TEMPLATES:
-        a, p = licenses.Automaton(template), re.compile(licenses.pattern(template))
-        for variant in range(4):
-            w = [x for kind, v in licenses.parse(template) for x in (v if kind == "words" else v if kind == "opt" and variant % 2 else ["q"] * (variant * 2) if kind == "var" else [])]
-            joined = " " + " ".join(w) + " "
-            assert a.accepts([x.encode() for x in w], 0) == bool(p.match(joined))
+
+
+@pytest.mark.parametrize("n", range(len(licenses.TEMPLATES)), ids=lambda n: licenses.TEMPLATES[n][0])
+def test_license_templates_hold_their_mandatory_wording(n):
+    _, template = licenses.TEMPLATES[n]
+    a, p, parts = licenses.Automaton(template), re.compile(licenses.pattern(template)), licenses.parse(template)
+
+    def accepted(words):
+        found = a.accepts([x.encode() for x in words], 0)
+        assert found == bool(p.match(" " + " ".join(words) + " "))
+        return found
+
+    for left_out in (None, *(k for k, (kind, _) in enumerate(parts) if kind == "opt")):
+        for fill in (0, 1, 99):
+            assert accepted(wording(template, lambda k: k != left_out, fill))
+    assert accepted(wording(template, lambda k: False))
+    at = 0
+    for k, (kind, v) in enumerate(parts):
+        for i in range(len(v)) if kind == "words" else []:
+            w = wording(template, lambda k: False, 0)
+            w[at + i] = "changed"
+            assert not accepted(w), (k, i)
+        at += len(v) if kind == "words" else 0
+        if kind == "var" and k + 1 < len(parts) and parts[k + 1][0] == "words":
+            long = [x for j, (kind2, v2) in enumerate(parts) for x in (v2 if kind2 == "words" else ["q"] * (v2 + 1) if j == k else [])]
+            assert not accepted(long)
+
+
+def test_license_texts_are_told_apart():
+    for label, t in licenses.TEMPLATES:
+        if label.endswith(("-text", "-notice")):
+            found = licenses.scan(" ".join(wording(t)), licenses.compiled())[5].split(",")
+            assert [x for x in found if x.endswith(("-text", "-notice"))] == [label]
 
 
 def test_passages_brute(spark, some):
@@ -403,6 +439,35 @@ def test_revisits(spark):
     assert warc.resolve(d.limit(0)).count() == 0
 
 
+RECORDS = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, payload string, url_key string, span string, end string"
+
+
+def test_revisits_with_ties_repeats_and_odd_headers(spark):
+    u, more = "https://a.com/x", ("k", "s", "e")
+    rows = [
+        (1, u, 100, "response", '"e"', None, {"Date": "d0", "date": "d1", "ETAG": "y", "Server": None, "X": "own"}, "p1", *more),
+        (2, u, 100, "response", '"f"', None, {"Date": "d2"}, "p2", *more),
+        (3, u, 100, "revisit", '"f"', None, {"DATE": "d3", "Date": "d4", "X": "not taken"}, None, *more),
+        (3, u, 100, "revisit", '"f"', None, {"DATE": "d3", "Date": "d4", "X": "not taken"}, None, *more),
+        (4, u, None, "revisit", '"f"', None, None, None, *more),
+        (5, u, 30_000, "revisit", 'W/"f"', None, {}, None, *more),
+        (6, None, 200, "response", '"f"', None, {}, "p6", *more),
+        (7, None, 300, "revisit", '"f"', None, {}, None, *more),
+        (None, None, 300, "revisit", '"f"', None, {}, None, *more),
+        (8, u, 30_001, "response", None, "m", {"Vary": "v", "Content-Type": "c"}, None, *more),
+        (9, u, 30_002, "revisit", None, "m", {"vary": "w", "expires": "never"}, None, *more),
+        (10, "", 5, "revisit", None, "m", None, None, *more),
+    ]
+    got = sorted(((r.record_id or 0), r.outcome, r.base_id, r.headers, r.payload) for r in warc.resolve(spark.createDataFrame(rows, RECORDS)).collect())
+    two = {"date": "d4"}
+    assert got == [
+        (0, "no_response", None, None, None), (3, "resolved", 2, two, "p2"), (3, "resolved", 2, two, "p2"), (4, "no_response", None, None, None), (5, "resolved", 2, {"date": "d2"}, "p2"),
+        (7, "no_response", None, None, None), (9, "resolved", 8, {"content-type": "c", "vary": "w", "expires": "never"}, None), (10, "no_response", None, None, None),
+    ]
+    first = spark.createDataFrame([*rows[:1], (20, u, 200, "revisit", '"e"', None, {"etag": "z"}, None, *more)], RECORDS)
+    assert warc.resolve(first).first().headers == {"date": "d1", "etag": "z", "server": None, "x": "own"}
+
+
 def test_token_fallbacks():
     path = tokenbin.default_vocabulary()
     assert tokenbin.id_type(path) == "<u2"
