@@ -250,6 +250,45 @@ def test_passages_brute(spark, some):
         assert len(a) >= 50 and len(sa & sb) / len(sa | sb) >= 0.8 - 1e-9
 
 
+def test_near_passages_against_brute_force(spark):
+    """Families of edited passages, some led by an earlier text that has a mere phrase or half a passage of them."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"v{k}" for k in rng.integers(0, 50_000, n)]
+
+    def edited(w, share):
+        w = list(w)
+        for at in rng.choice(len(w), int(share * len(w)), replace=False):
+            w[at] = f"e{rng.integers(0, 1 << 30)}"
+        return w
+
+    rows = []
+    for family in range(16):
+        base = word(int(rng.integers(60, 140)))
+        if family % 2:
+            rows += [word(40) + base[at : at + 5] + word(80) for at in (0, 10, 20, 30, 40)] + [word(60) + base[: len(base) // 2] + word(60)]
+        rows += [word(int(rng.integers(0, 200))) + edited(base, (0.0, 0.01, 0.015, 0.02)[k % 4]) + word(int(rng.integers(0, 200))) for k in range(6)]
+    rows = [" ".join(w) for w in rows]
+    sh = [passages.shingles(passages.word_hashes(t)) for t in rows]
+    truth = {(i, j) for i in range(len(rows)) for j in range(i) if len(np.intersect1d(sh[i], sh[j])) >= 30 and passages.verify(sh[i], sh[j])}
+    data = [(k, t) for k, t in enumerate(rows)]
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 7, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(sorted(tuple(r) for r in passages.near_passages(spark.createDataFrame(spark.sparkContext.parallelize(data, n), "doc_id long, text string")).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    pairs = {(r[0], r[3]) for r in found[0]}
+    late = {i for i, _ in truth}
+    assert len(late) > 60 and len(late & {i for i, _ in pairs}) / len(late) >= 0.95
+    assert all(i > j for i, j in pairs)
+    want, got = (components_of(len(rows), lambda i, j: (i, j) in p) for p in (truth, pairs))
+    linked = sum(want[i] == want[j] for i in range(len(rows)) for j in range(i))
+    assert sum(want[i] == want[j] and got[i] == got[j] for i in range(len(rows)) for j in range(i)) / linked >= 0.9
+
+
 def test_compact_windows_cover_each_stretch_once():
     h = np.random.default_rng(0).permutation(60).astype(np.uint64)
     w = passages.compact_windows(h, 5)
