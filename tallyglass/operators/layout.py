@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,72 +92,118 @@ def visible_boxes(boxes: DataFrame, most: float = 0.55) -> DataFrame:
     return boxes.join(covered, ["image_id", "z"], "left").withColumn("covered_share", F.round(F.coalesce("covered", F.lit(0)) / area, 6)).filter(F.col("covered_share") <= most).drop("covered")
 
 
-#: Distances of the passes as shares of the image's short side; bounds of a card's width over height; depth of splits; least share of area.
-PASSES, ASPECT, DEPTH, LEAST = (0.08, 0.15, 0.25, 0.40, 0.60), (0.40, 1.10), 4, 0.008
-
-
-def _clusters(b: pd.DataFrame, distance: float) -> list[list[int]]:
-    cx, cy = (b["left"] + b["width"] / 2).to_numpy(), (b["top"] + b["height"] / 2).to_numpy()
-    left, out = set(range(len(b))), []
-    while left:
-        todo = [min(left)]
-        left.discard(todo[0])
-        own = []
-        while todo:
-            i = todo.pop()
-            own.append(i)
-            near = [j for j in left if (cx[i] - cx[j]) ** 2 + (cy[i] - cy[j]) ** 2 <= distance**2]
-            left.difference_update(near)
-            todo += near
-        out.append(sorted(own))
-    return out
-
-
-def _bounds(b: pd.DataFrame) -> tuple[float, float, float, float]:
-    return float(b["left"].min()), float(b["top"].min()), float((b["left"] + b["width"]).max()), float((b["top"] + b["height"]).max())
-
-
-def _split(b: pd.DataFrame, depth: int) -> list[pd.DataFrame]:
-    x1, y1, x2, y2 = _bounds(b)
-    shape = (x2 - x1) / max(y2 - y1, 1)
-    if ASPECT[0] <= shape <= ASPECT[1] or depth == 0 or len(b) < 2:
-        return [b]
-    wide = shape > ASPECT[1]
-    centre = b["left"] + b["width"] / 2 if wide else b["top"] + b["height"] / 2
-    low = centre < ((x1 + x2) / 2 if wide else (y1 + y2) / 2)
-    if low.all() or not low.any():
-        return [b]
-    return [y for x in (b[low], b[~low]) for y in _split(x, depth - 1)]
-
-
-def _cluster_image(b: pd.DataFrame) -> pd.DataFrame:
-    width, height = float(b["image_width"].iloc[0]), float(b["image_height"].iloc[0])
-    b, best = b.sort_values(["top", "left", "text"]).reset_index(drop=True), []
-    largest = None
-    for share in PASSES:
-        regions = []
-        for own in _clusters(b, share * min(width, height)):
-            if largest is None or len(own) > len(largest):
-                largest = b.iloc[own]
-            for part in _split(b.iloc[own], DEPTH):
-                x1, y1, x2, y2 = _bounds(part)
-                if len(part) >= 2 and (x2 - x1) * (y2 - y1) >= LEAST * width * height:
-                    regions.append(part)
-        if len(regions) > len(best):
-            best = regions
-        if len(best) >= 3:
-            break
-    rows = []
-    for part in best or [largest]:
-        x1, y1, x2, y2 = _bounds(part)
-        rows.append((((x1 + x2) / 2 - width / 2) ** 2 + ((y1 + y2) / 2 - height / 2) ** 2, x1, y1, x2 - x1, y2 - y1, "\n".join(part["text"])))
-    rows.sort()
-    return pd.DataFrame([(b["image_id"].iloc[0], i, *r[1:]) for i, r in enumerate(rows)], columns=["image_id", "place", "left", "top", "width", "height", "text"])
+#: Distances of the passes as shares of the image's short side; bounds of a card's width over height; depth of splits; least share of
+#: area; least blocks of a region; regions after which no further pass is made.
+PASSES, ASPECT, DEPTH, LEAST, FEWEST, PLENTY = (0.08, 0.15, 0.25, 0.40, 0.60), (0.40, 1.10), 4, 0.008, 2, 3
+REGION = "image_id long, place long, left double, top double, width double, height double, text string"
+
+
+class _Image:
+    """The blocks of one image, sorted by (top, left, text): left, top, right, bottom and centres as arrays."""
+
+    def __init__(self, width: float, height: float, frames: np.ndarray, texts: list[str]):
+        self.width, self.height, self.texts = width, height, texts
+        self.x1, self.y1, self.x2, self.y2 = frames[:, 0], frames[:, 1], frames[:, 0] + frames[:, 2], frames[:, 1] + frames[:, 3]
+        self.cx, self.cy = frames[:, 0] + frames[:, 2] / 2, frames[:, 1] + frames[:, 3] / 2
+        # of few blocks all distances are kept for all passes
+        self.far = [self.distances(k) for k in range(len(frames))] if len(frames) <= 64 else None
+
+    def distances(self, k: int) -> np.ndarray:
+        return np.sqrt((self.cx - self.cx[k]) ** 2 + (self.cy - self.cy[k]) ** 2)
+
+    def bounds(self, own: np.ndarray) -> tuple[float, float, float, float]:
+        return float(self.x1[own].min()), float(self.y1[own].min()), float(self.x2[own].max()), float(self.y2[own].max())
+
+    def area(self, own: np.ndarray) -> float:
+        x1, y1, x2, y2 = self.bounds(own)
+        return (x2 - x1) * (y2 - y1)
+
+    def clusters(self, distance: float) -> list[np.ndarray]:
+        """Blocks connected by steps between centres of at most ``distance``, in the order of their first block."""
+        name, n = np.full(len(self.cx), -1), 0
+        for i in range(len(name)):
+            if name[i] >= 0:
+                continue
+            name[i], todo = n, [i]
+            while todo:
+                k = todo.pop()
+                near = np.flatnonzero((name < 0) & ((self.far[k] if self.far else self.distances(k)) <= distance))
+                name[near] = n
+                todo += near.tolist()
+            n += 1
+        return [np.flatnonzero(name == k) for k in range(n)]
+
+    def regions(self, own: np.ndarray, depth: int = 0) -> list[np.ndarray]:
+        """The cluster if it is shaped like a card, else what its halves give; nothing if it is too small or cannot be halved."""
+        if len(own) < FEWEST:
+            return []
+        x1, y1, x2, y2 = self.bounds(own)
+        if (x2 - x1) * (y2 - y1) < LEAST * self.width * self.height:
+            return []
+        shape = (x2 - x1) / (y2 - y1) if y2 > y1 else np.inf
+        if ASPECT[0] <= shape <= ASPECT[1]:
+            return [own]
+        if depth >= DEPTH or len(own) < 2 * FEWEST:
+            return []
+        low = self.cx[own] <= x1 + (x2 - x1) / 2 if shape > ASPECT[1] else self.cy[own] <= y1 + (y2 - y1) / 2
+        halves = own[low], own[~low]
+        return [r for h in halves for r in self.regions(h, depth + 1)] if min(map(len, halves)) >= FEWEST else []
+
+    def detect(self) -> list[np.ndarray]:
+        best: list[np.ndarray] = []
+        short = min(self.width, self.height)
+        for share in PASSES:
+            found = [r for c in self.clusters(share * short) for r in self.regions(c)]
+            best = found if len(found) > len(best) else best
+            if len(best) >= PLENTY:
+                break
+        if not best:
+            whole = [c for c in self.clusters(PASSES[-1] * short) if len(c) >= FEWEST]
+            return [max(whole, key=self.area)] if whole else []
+        middle = lambda b: ((b[0] + b[2]) / 2 - self.width / 2) ** 2 + ((b[1] + b[3]) / 2 - self.height / 2) ** 2
+        return sorted(best, key=lambda own: middle(self.bounds(own)))
+
+
+def _cluster_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by image: many images a batch; an image that a batch cuts goes on with the next one."""
+
+    def regions(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, sizes = t.column("image_id").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("image_width", "image_height")], axis=1)
+        frames, texts = np.stack([t.column(c).to_numpy() for c in ("left", "top", "width", "height")], axis=1), t.column("text").to_pylist()
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        rows = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+            image = _Image(*sizes[s].tolist(), frames[s:e], texts[s:e])
+            for place, own in enumerate(image.detect()):
+                x1, y1, x2, y2 = image.bounds(own)
+                rows.append((int(ids[s]), place, x1, y1, x2 - x1, y2 - y1, "\n".join(image.texts[k] for k in own)))
+        if rows:
+            types = [pa.int64()] * 2 + [pa.float64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in REGION.split(", ")])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column("image_id").to_numpy()
+        last = int(np.searchsorted(ids, ids[-1]))
+        if last == 0 and (not held or held[0].column("image_id")[0].as_py() == ids[0]):
+            held.append(b)
+            continue
+        yield from regions(pa.Table.from_batches([*held, b.slice(0, last)]))
+        held = [b.slice(last)]
+    if held:
+        yield from regions(pa.Table.from_batches(held))
 
 
 def cluster_blocks(blocks: DataFrame) -> DataFrame:
-    """Regions of text blocks per image, nearest to the centre first: connected blocks at rising distances, split where the shape is no card's; the pass with most regions wins.
+    """Regions of text blocks per image, nearest to the centre first: connected blocks at rising distances, halved where the shape is no card's; the pass with most regions wins.
 
-    An image's few blocks are worked on together; images run in parallel. ``blocks(image_id, image_width, image_height, left, top, width, height, text)``.
+    Where no pass finds a card's shape, the largest cluster of the widest distance is the region. An image's few blocks are worked on
+    together, in the order of (top, left, text); images run in parallel, many to a batch. Blocks without an image or a frame are left out.
+    ``blocks(image_id, image_width, image_height, left, top, width, height, text)``.
     """
-    return blocks.groupBy("image_id").applyInPandas(_cluster_image, "image_id long, place long, left double, top double, width double, height double, text string")
+    numbers = ["image_width", "image_height", "left", "top", "width", "height"]
+    b = blocks.select(F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("double").alias(c) for c in numbers], F.coalesce("text", F.lit("")).alias("text")).dropna()
+    by_image = b.repartition("image_id").sortWithinPartitions("image_id", "top", "left", "text", "width", "height")
+    return by_image.mapInArrow(_cluster_images, REGION)

@@ -113,3 +113,66 @@ def test_cluster_blocks(spark):
     rows = [(1, 640, 480, x + dx, 50 + 20 * k, 60, 15, f"{x}-{k}") for x in (50, 420) for k in range(6) for dx in (0, 5)]
     got = layout.cluster_blocks(spark.createDataFrame(rows, "image_id long, image_width int, image_height int, left int, top int, width int, height int, text string")).collect()
     assert len(got) == 2
+
+
+def brute_regions(width, height, blocks):
+    """Blocks (left, top, width, height, text): by closure of the pairs that are near, and halving."""
+    blocks = sorted(blocks, key=lambda b: (b[1], b[0], b[4], b[2], b[3]))
+    box = lambda own: (min(b[0] for b in own), min(b[1] for b in own), max(b[0] + b[2] for b in own), max(b[1] + b[3] for b in own))
+    mid = lambda b: (b[0] + b[2] / 2, b[1] + b[3] / 2)
+
+    def closed(far):
+        groups = []
+        for b in blocks:
+            near = [g for g in groups if any(((mid(b)[0] - mid(x)[0]) ** 2 + (mid(b)[1] - mid(x)[1]) ** 2) ** 0.5 <= far for x in g)]
+            groups = [g for g in groups if g not in near] + [[x for g in near for x in g] + [b]]
+        return sorted((sorted(g, key=blocks.index) for g in groups), key=lambda g: blocks.index(g[0]))
+
+    def cards(own, left):
+        x1, y1, x2, y2 = box(own)
+        if len(own) < 2 or (x2 - x1) * (y2 - y1) / (width * height) < 0.008:
+            return []
+        shape = (x2 - x1) / (y2 - y1)
+        if 0.4 <= shape <= 1.1:
+            return [own]
+        axis, at = (0, x1 + (x2 - x1) / 2) if shape > 1.1 else (1, y1 + (y2 - y1) / 2)
+        halves = [b for b in own if mid(b)[axis] <= at], [b for b in own if mid(b)[axis] > at]
+        return [c for h in halves for c in cards(h, left - 1)] if left and len(own) >= 4 and min(map(len, halves)) >= 2 else []
+
+    best = []
+    for share in (0.08, 0.15, 0.25, 0.4, 0.6):
+        found = [c for g in closed(share * min(width, height)) for c in cards(g, 4)]
+        best = max(best, found, key=len)
+        if len(best) >= 3:
+            break
+    if not best:
+        whole = [g for g in closed(0.6 * min(width, height)) if len(g) >= 2]
+        best = [max(whole, key=lambda g: (box(g)[2] - box(g)[0]) * (box(g)[3] - box(g)[1]))] if whole else []
+    off = lambda own: ((box(own)[0] + box(own)[2]) / 2 - width / 2) ** 2 + ((box(own)[1] + box(own)[3]) / 2 - height / 2) ** 2
+    return [(*box(own), "\n".join(b[4] for b in own)) for own in sorted(best, key=off)]
+
+
+def test_cluster_blocks_brute(spark, sf):
+    from tallyglass.plans.ocr import QUERIES
+    from tallyglass.sources.views import view
+
+    images = {}
+    for r in view(spark, sf, "v_blocks").collect():
+        images.setdefault(r.image_id, []).append((r.left, r.top, r.width, r.height, r.text))
+    want = sorted((i, k, *map(float, x[:4]), x[4]) for i, b in images.items() for k, x in enumerate(brute_regions(640, 480, b)))
+    got = sorted((r.image_id, r.place, r.left, r.top, r.left + r.width, r.top + r.height, r.text) for r in QUERIES["c7_cluster_blocks"](spark, sf).collect())
+    assert got == want and len(got) > 1000
+
+
+def test_cluster_blocks_of_large_and_empty_images(spark):
+    import random
+
+    random.seed(4)
+    rows = [(1, 640, 480, random.randrange(600), random.randrange(440), 30, 12, f"t{k}") for k in range(300)]
+    rows += [(2, 640, 480, None, 4, 30, 12, "x"), (2, 640, 480, 5, 4, 30, 12, None), (None, 640, 480, 5, 4, 30, 12, "y"), (3, 640, 480, 9, 9, 0, 0, "p"), (3, 640, 480, 9, 9, 0, 0, "p")]
+    schema = "image_id long, image_width int, image_height int, left int, top int, width int, height int, text string"
+    got = layout.cluster_blocks(spark.createDataFrame(rows, schema)).orderBy("image_id", "place").collect()
+    want = brute_regions(640, 480, [r[3:] for r in rows if r[0] == 1])
+    assert [(r.left, r.top, r.left + r.width, r.top + r.height, r.text) for r in got if r.image_id == 1] == [(*map(float, x[:4]), x[4]) for x in want]
+    assert [r.text for r in got if r.image_id == 3] == ["p\np"] and not [r for r in got if r.image_id == 2]
+    assert layout.cluster_blocks(spark.createDataFrame([], schema)).count() == 0
