@@ -28,6 +28,8 @@ from .components import components
 BITS, RADIUS, SHINGLE = 64, 3, 3
 #: Groups up to this size are compared by shifting the sorted column, larger ones one by one.
 SMALL_GROUP = 48
+#: Parts in which the fingerprints of a component meet its label.
+PARTS = 16
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> tuple[int, int]:
@@ -230,9 +232,11 @@ def _labels(fps: DataFrame, first, radius: int) -> DataFrame:
     """``fps`` with ``least``: the least value of ``first`` in the component of the fingerprint ``fp``."""
     distinct = cut(fps.groupBy("fp").agg(F.min(first).alias("first")))
     roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    return fps.join(named.join(least, "root").select("fp", "least"), "fp")
+    linked = distinct.join(roots, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)))
+    # a component's label goes to each part of it, so that a very large one is no single task's
+    least = linked.groupBy("root").agg(F.min("first").alias("least")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    named = linked.join(least, ["root", "part"]).select("fp", "least")
+    return fps.join(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "fp")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
