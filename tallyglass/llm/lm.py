@@ -1,11 +1,13 @@
 """Log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Classes are the ``CLASSES`` - 2 most frequent words, one for all other words and one for the end of a text. The score of class w after
-classes u, v is (A[u] + B[v]) . R[w] + b[w]; probabilities are normalised exactly, by one matrix product for every pair of contexts.
-A word outside the classes has the probability of its class times its smoothed share of that class. Training walks over all
-training documents in two rounds: in each, every task trains on its own documents from the common parameters, which are then
-averaged by the number of tokens. Counts of all words come from one aggregation and stay distributed; only words frequent
-enough to fit in ``HEAD`` go to the executors, the rest is joined.
+The model's symbols are the ``WORDS`` most frequent words seen twice or more, one for all other words and one for the end of a text. They are dealt into
+classes of like frequency, and the probability of w after u, v is that of its class times that of w inside the class, each a softmax over
+log-bilinear scores: S[class] . q + s[class] and R[w] . q + b[w] with q = A[u] + B[v]. Both are normalised exactly, in batched matrix
+products. A word without a symbol has the probability of the symbol for others times its smoothed share of their occurrences.
+
+Texts are encoded once into files of symbols. Training walks ``ROUNDS`` times over all training documents: each time, every task trains
+on its own documents from the common parameters, which are then averaged by the number of tokens, chunk by chunk. Counts of all words come
+from one aggregation and stay distributed; only the ``HEAD`` most frequent go to the executors, the rest is joined.
 
 Defined cases: null text is empty (the end alone); a null ``doc_id`` is not held out; repeated rows are scored each, and counted each
 in training; without training documents counts are zero and the score equals the base; an empty table gives an empty result;
@@ -17,23 +19,22 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, partitions, scratch, texts
 
-#: Classes, width of the vectors, noise words a batch, tokens a batch, step size.
-CLASSES, WIDTH, NOISE, BATCH, STEP = 512, 16, 25, 4096, 0.08
+#: Words with a symbol, width of the vectors, noise classes a batch, noise words a class and batch, tokens a batch, step size, passes.
+WORDS, WIDTH, NOISE, BESIDE, BATCH, STEP, ROUNDS = 8190, 16, 16, 4, 4096, 0.05, 2
 #: Most words whose counts are sent to the executors.
 HEAD = 300_000
-#: Words counted in a task before it hands them on; groups in which tasks' parameters are averaged.
-COUNTED, SLOTS = 300_000, 32
-UNKNOWN, END = CLASSES - 2, CLASSES - 1
+#: Words counted in a task before it hands them on; parameters in a chunk; tokens scored together; parts of a range of counts.
+COUNTED, CHUNK, TOGETHER, PARTS = 300_000, 4096, 1 << 15, 1024
 
 
 def split(text: str) -> list[bytes]:
@@ -45,99 +46,174 @@ def held_out() -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    seen, n = Counter(), 0
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+    def out(words, counts):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "c"])
 
     for b in batches:
+        n += b.num_rows
         for t in b.column("text").to_pylist():
             seen.update(split(t))
             if len(seen) > COUNTED:
-                yield out()
+                yield out(list(seen), list(seen.values()))
                 seen.clear()
-    yield out()
+    yield out([*seen, None], [*seen.values(), n])
 
 
 def counts(train: DataFrame) -> DataFrame:
-    """``word, c`` over all training documents; words are UTF-8 bytes."""
+    """``word, c`` over all training documents; words are UTF-8 bytes, and the null word counts the documents."""
     return cut(train.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
 
 
-class Parameters:
-    """The model: A, B (contexts), R (words), b (bias), and the noise distribution."""
+def head(c: DataFrame, n_words: int, most: int) -> Column:
+    """A test for the ``most`` most frequent words: all above a count, and of those with that count the ones of smallest hash (or, by their
+    spread, a few less). The count is found by splitting its range in ``PARTS``, again and again."""
+    if n_words <= most:
+        return F.lit(True)
+    lo, hi, above = 1, int(c.agg(F.max("c")).first()[0]), 0
+    tied = n_words
+    while lo < hi:
+        width = -(-(hi - lo + 1) // PARTS)
+        sizes = {int(r.k): r.n for r in c.filter(F.col("c").between(lo, hi)).groupBy(F.floor((F.col("c") - lo) / width).alias("k")).agg(F.count("*").alias("n")).collect()}
+        for k in sorted(sizes, reverse=True):
+            if above + sizes[k] > most:
+                lo, hi, tied = lo + k * width, min(hi, lo + (k + 1) * width - 1), sizes[k]
+                break
+            above += sizes[k]
+    hashed, share = F.pmod(F.xxhash64("word"), F.lit(1 << 40)), (most - above) / tied
+    same = c.filter(F.col("c") == lo)
+    while (bound := int(share * (1 << 40))) and same.filter(hashed < bound).count() > most - above:
+        share *= 0.98
+    return (F.col("c") > lo) | ((F.col("c") == lo) & (hashed < bound))
 
-    def __init__(self, class_counts: np.ndarray):
+
+class Parameters:
+    """A, B (contexts), R, b (words), S, s (classes) of symbols sorted by falling count; ``edges`` bounds the classes."""
+
+    def __init__(self, symbol_counts: np.ndarray):
+        p = (symbol_counts + 1) / (symbol_counts + 1).sum()
+        n = len(p)
+        # classes of equal sums of square roots, which balances how many there are and how many words a class has
+        upto = np.cumsum(np.sqrt(p))
+        self.of = np.unique((upto / upto[-1] * math.ceil(math.sqrt(n))).astype(np.int64).clip(0, math.ceil(math.sqrt(n)) - 1), return_inverse=True)[1]
+        self.edges = np.append(np.searchsorted(self.of, np.arange(self.of[-1] + 1)), n)
+        own = np.add.reduceat(p, self.edges[:-1])
         rng = np.random.default_rng(1)
-        q = (class_counts + 1) / (class_counts + 1).sum()
-        self.noise = q.astype(np.float64)
-        self.tables = [(rng.standard_normal((CLASSES, WIDTH)) * 0.05).astype(np.float32) for _ in range(3)] + [np.log(q).astype(np.float32)]
+        start = lambda k: (rng.standard_normal((k, WIDTH)) * 0.05).astype(np.float32)
+        self.noise = own
+        self.tables = [start(n), start(n), start(n), np.log(p / own[self.of]).astype(np.float32), start(len(own)), np.log(own).astype(np.float32)]
 
-    def pack(self) -> bytes:
-        return np.concatenate([t.ravel() for t in self.tables]).astype("<f4").tobytes()
+    def flat(self) -> np.ndarray:
+        return np.concatenate([t.ravel() for t in self.tables])
 
-    def unpacked(self, flat: np.ndarray) -> Parameters:
+    def filled(self, flat: np.ndarray) -> Parameters:
         new = object.__new__(Parameters)
-        n = CLASSES * WIDTH
-        new.noise, new.tables = self.noise, [flat[k * n : (k + 1) * n].reshape(CLASSES, WIDTH).copy() for k in range(3)] + [flat[3 * n :].copy()]
+        new.of, new.edges, new.noise = self.of, self.edges, self.noise
+        ends = np.cumsum([t.size for t in self.tables])
+        new.tables = [x.reshape(t.shape).astype(np.float32) for x, t in zip(np.split(flat, ends[:-1]), self.tables, strict=True)]
         return new
 
-    def log_z(self) -> np.ndarray:
-        """log of the normaliser after every pair of context classes."""
-        a, b, r, bias = self.tables
-        out = np.empty((CLASSES, CLASSES), np.float32)
-        for u in range(CLASSES):
-            s = (a[u] + b) @ r.T + bias
-            top = s.max(axis=1)
-            out[u] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log P(w | u, v), ``v`` the nearer."""
+        a, b, r, bias, s, s_bias = self.tables
+        out = np.empty(len(w))
+        for at in range(0, len(w), TOGETHER):
+            x = w[at : at + TOGETHER]
+            q, k = a[u[at : at + TOGETHER]] + b[v[at : at + TOGETHER]], self.of[x]
+            own = _log_softmax(q @ s.T + s_bias, k)
+            order = np.argsort(k.astype(np.uint16), kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(k[order]) != 0))
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+                rows = order[i:j]
+                lo, hi = self.edges[k[rows[0]]], self.edges[k[rows[0]] + 1]
+                if hi - lo > 1:
+                    own[rows] += _log_softmax(q[rows] @ r[lo:hi].T + bias[lo:hi], x[rows] - lo)
+            out[at : at + TOGETHER] = own
         return out
 
 
+def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    top = scores.max(axis=1)
+    own = scores[np.arange(len(at)), at] - top
+    scores -= top[:, None]
+    return own - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+
+def _sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of ``at`` and the sums of the rows of ``g`` there."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    a = at[order]
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    return a[starts], np.add.reduceat(g[order], starts, axis=0)
+
+
 class Trainer:
-    """Noise-contrastive estimation with noise shared by a batch, and AdaGrad steps."""
+    """Noise-contrastive estimation for the class and for the word in its class, and AdaGrad steps.
+
+    Noise classes come from their frequencies and are shared by a batch; noise words are evenly drawn from their class and shared by the
+    batch's tokens of that class.
+    """
 
     def __init__(self, start: Parameters, seed: int):
-        self.p, self.rng, self.n = start.unpacked(np.concatenate([t.ravel() for t in start.tables])), np.random.default_rng(seed), 0
-        self.square = [np.full(t.shape, 1e-2, np.float32) for t in self.p.tables]
-        self.edges, self.log_noise = np.cumsum(start.noise), np.log(NOISE * start.noise).astype(np.float32)
+        self.p, self.rng, self.n = start.filled(start.flat()), np.random.default_rng(seed), 0
+        self.square = [np.full(t.shape, 1e-5, np.float32) for t in self.p.tables]  # low, as few tokens of a batch are of a rare word
+        self.upto, self.log_noise = np.cumsum(start.noise), np.log(NOISE * start.noise).astype(np.float32)
+        self.sizes = np.diff(start.edges)
+        self.log_beside = np.log(BESIDE / self.sizes).astype(np.float32)
+
+    def _step(self, table: int, at: np.ndarray, g: np.ndarray) -> None:
+        rows, g = _sums(at, g)
+        g /= BATCH
+        t, s = self.p.tables[table], self.square[table]
+        s[rows] += g * g
+        t[rows] += STEP * g / np.sqrt(s[rows])
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        """One batch: word classes ``w`` after ``u``, ``v`` (``v`` the nearer)."""
-        a, b, r, bias = self.p.tables
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), CLASSES - 1)
-        q, rw, rn = a[u] + b[v], r[w], r[noise]
-        pull = 1 / (1 + np.exp((q * rw).sum(axis=1) + bias[w] - self.log_noise[w]))
-        push = -1 / (1 + np.exp(-(q @ rn.T + bias[noise] - self.log_noise[noise])))
-        gq = pull[:, None] * rw + push @ rn
-        gr = self._spread(w, pull[:, None] * q)
-        np.add.at(gr, noise, push.T @ q)
-        gb = np.bincount(w, pull, CLASSES) + np.bincount(noise, push.sum(axis=0), CLASSES)
-        for t, s, g in zip(self.p.tables, self.square, (self._spread(u, gq), self._spread(v, gq), gr, gb), strict=True):
-            g = (g / len(w)).astype(np.float32)
-            s += g * g
-            t += STEP * g / np.sqrt(s)
+        """One batch: symbols ``w`` after ``u``, ``v`` (``v`` the nearer)."""
+        a, b, r, bias, s, s_bias = self.p.tables
+        k = self.p.of[w]
+        q = a[u] + b[v]
+        noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.upto) - 1)
+        beside = self.p.edges[:-1, None] + (self.rng.random((len(self.sizes), BESIDE)) * self.sizes[:, None]).astype(np.int64)
+        sk, sn, rw = s[k], s[noise], r[w]
+        pull = 1 / (1 + np.exp((q * sk).sum(axis=1) + s_bias[k] - self.log_noise[k]))
+        push = -1 / (1 + np.exp(-(q @ sn.T + s_bias[noise] - self.log_noise[noise])))
+        several = (self.sizes[k] > 1).astype(np.float32)
+        at = beside[k]
+        rn = r[at]
+        pull_w = several / (1 + np.exp((q * rw).sum(axis=1) + bias[w] - self.log_beside[k]))
+        push_w = -several[:, None] / (1 + np.exp(-(np.einsum("nd,nkd->nk", q, rn) + bias[at] - self.log_beside[k][:, None])))
+        gq = pull[:, None] * sk + push @ sn + pull_w[:, None] * rw + np.einsum("nk,nkd->nd", push_w, rn)
+        classes, g = _sums(k, np.concatenate([push_w, (push_w[:, :, None] * q[:, None, :]).reshape(len(w), -1)], axis=1))
+        places = beside[classes].ravel()
+        self._step(0, u, gq)
+        self._step(1, v, gq)
+        self._step(2, w, pull_w[:, None] * q)
+        self._step(2, places, g[:, BESIDE:].reshape(-1, WIDTH))
+        self._step(3, w, pull_w)
+        self._step(3, places, g[:, :BESIDE].ravel())
+        self._step(4, np.concatenate([k, noise]), np.concatenate([pull[:, None] * q, push.T @ q]))
+        self._step(5, np.concatenate([k, noise]), np.concatenate([pull, push.sum(axis=0)]))
         self.n += len(w)
 
-    @staticmethod
-    def _spread(at: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.bincount((at[:, None] * WIDTH + np.arange(WIDTH)).ravel(), g.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH)
 
+def contexts(texts_: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w) of all tokens of texts that are given as symbols with the end; before a text stand two ends."""
+    w = np.concatenate(texts_).astype(np.int64)
+    starts = np.cumsum([0, *map(len, texts_[:-1])])
+    v = np.append(end, w[:-1])
+    v[starts] = end
+    u = np.append(end, v[:-1])
+    u[starts] = end
+    return u, v, w
 
-def sequence(classes: dict, text: str) -> np.ndarray:
-    """Two ends, the classes of the words, and the end."""
-    w = split(text)
-    out = np.full(len(w) + 3, END, np.int64)
-    out[2:-1] = np.fromiter(map(classes.get, w, repeat(UNKNOWN)), np.int64, len(w))
-    return out
 
-
-def _train(shared, part: int):
+def _train(shared, end: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        start, classes = shared.value
-        pid = TaskContext.get().partitionId()
-        trainer, held, size = Trainer(start, 1000 * part + pid), [], 0
+        trainer, held, size = Trainer(shared.value, seed + TaskContext.get().partitionId()), [], 0
 
         def learn(least: int):
             nonlocal held, size
@@ -151,103 +227,157 @@ def _train(shared, part: int):
             held, size = [(u[k], v[k], w[k])], len(k)
 
         for b in batches:
-            for t in b.column("text").to_pylist():
-                s = sequence(classes, t)
-                held.append((s[:-2], s[1:-1], s[2:]))
-                size += len(s) - 2
+            found = [np.frombuffer(x, np.uint16) for x in b.column("symbols").to_pylist()]
+            at = 0
+            while at < len(found):
+                some = []
+                while at < len(found) and size < 32 * BATCH:
+                    some.append(found[at])
+                    size += len(found[at])
+                    at += 1
+                if some:
+                    held.append(contexts(some, end))
                 if size >= 32 * BATCH:
                     learn(BATCH)
         if size:
             learn(1)
         if trainer.n:
-            yield pa.RecordBatch.from_arrays([pa.array([pid % SLOTS], pa.int32()), pa.array([float(trainer.n)]), pa.array([trainer.p.pack()], pa.binary())], ["slot", "n", "p"])
+            flat = trainer.p.flat().astype("<f4")
+            chunks = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([float(trainer.n)] * len(chunks)), pa.array(chunks, pa.binary())], ["chunk", "n", "p"])
 
     return run
 
 
-def _average(rows: pd.DataFrame) -> pd.DataFrame:
-    n = rows["n"].sum()
-    p = sum(np.frombuffer(x, "<f4").astype(np.float64) * k for x, k in zip(rows["p"], rows["n"], strict=True)) / n
-    return pd.DataFrame({"slot": [int(rows["slot"].iloc[0])], "n": [n], "p": [p.astype("<f4").tobytes()]})
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums chunk by chunk as they come: memory holds one sum for each chunk of this part."""
+    sums: dict[int, list] = {}
+    for b in batches:
+        for k, n, p in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist(), b.column("p").to_pylist(), strict=True):
+            x = np.frombuffer(p, "<f4").astype(np.float64) * n
+            if k in sums:
+                sums[k][0] += n
+                sums[k][1] += x
+            else:
+                sums[k] = [n, x]
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([(x / n).astype("<f4").tobytes() for n, x in sums.values()], pa.binary())], ["chunk", "p"])
+
+
+def fit(encoded: DataFrame, start: Parameters, end: int) -> Parameters:
+    """``ROUNDS`` passes over the training documents; each ends in an average of what the tasks learned."""
+    spark = encoded.sparkSession
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(start)
+        found = encoded.filter("NOT held_out").select("symbols").mapInArrow(_train(shared, end, 100_003 * k), "chunk int, n double, p binary")
+        rows = found.repartition(partitions(spark), "chunk").mapInArrow(_average, "chunk int, p binary").collect()
+        if rows:
+            start = start.filled(np.concatenate([np.frombuffer(r.p, "<f4") for r in sorted(rows, key=lambda r: r.chunk)]))
+    return start
 
 
-def fit(train: DataFrame, start: Parameters, classes: dict) -> Parameters:
-    """Two rounds over disjoint halves of the training documents; each ends in an average of what the tasks learned."""
-    spark = train.sparkSession
-    half = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0))
-    for part in range(2):
-        shared = spark.sparkContext.broadcast((start, classes))
-        found = train.filter(half == part).select("text").mapInArrow(_train(shared, part), "slot int, n double, p binary")
-        rows = found.groupBy("slot").applyInPandas(_average, "slot int, n double, p binary").toPandas()
-        if len(rows):
-            start = start.unpacked(np.frombuffer(_average(rows)["p"].iloc[0], "<f4").copy())
-    return start
+@dataclass
+class Vocabulary:
+    """The most frequent words with their counts, by falling count; the symbols; and the corpus' sums."""
+
+    words: list[bytes]
+    c: np.ndarray
+    n_words: int
+    n_docs: int
+    n_distinct: int
 
+    def __post_init__(self):
+        # words seen once stand for those never seen
+        own = self.c[:WORDS][self.c[:WORDS] > 1]
+        others = self.n_words - int(own.sum())
+        # symbols by falling count; the last two rows before sorting are the symbol of other words and the end
+        every = np.concatenate([own, [others, self.n_docs]])
+        order = np.argsort(-every, kind="stable")
+        self.symbol_counts = every[order]
+        symbol = np.empty(len(every), np.int64)
+        symbol[order] = np.arange(len(every))
+        self.symbol, self.unknown, self.end = symbol[:-2], int(symbol[-2]), int(symbol[-1])
+        self.denominator = self.n_words + self.n_docs + self.n_distinct + (self.n_docs > 0) + 1
+        # all words without a symbol, with one more for those never seen
+        self.outside = float(others + (self.n_distinct - len(own)) + 1)
+
+
+def _encode(shared):
+    names = ["doc_id", "n_tokens", "n_head", "base_head", "share_head", "rest", "symbols"]
 
-def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, log_z, head, log_base, log_rest, log_base_end = shared.value
-        a, b, r, bias = p.tables
-        k, none = 1 / math.log(10), len(log_base)
+        v: Vocabulary = shared.value
+        known = {w: i for i, w in enumerate(v.words)}
+        none = len(v.words)
+        log_base = np.append(np.log10((v.c + 1) / v.denominator), 0.0)
+        log_share = np.append(np.where(np.arange(none) < len(v.symbol), 0.0, np.log10((v.c + 1) / v.outside)), 0.0)
+        symbols = np.full(none + 1, v.unknown, np.uint16)
+        symbols[: len(v.symbol)] = v.symbol
+        base_end = math.log10((v.n_docs + 1) / v.denominator)
         for batch in batches:
             rows = []
             for t in batch.column("text").to_pylist():
                 w = split(t)
-                at = np.fromiter(map(head.get, w, repeat(none)), np.int64, len(w))
-                known = at < none
-                s = np.full(len(w) + 3, END, np.int64)
-                s[2:-1] = np.minimum(at, UNKNOWN)
-                own = at[known]
-                lm = 0.0
-                for i in range(0, len(s) - 2, 100_000):
-                    u, v, x = s[i : i + 100_002][:-2], s[i + 1 : i + 100_002][: len(s[i : i + 100_002]) - 2], s[i + 2 : i + 100_002]
-                    lm += float((((a[u] + b[v]) * r[x]).sum(axis=1) + bias[x] - log_z[u, v]).sum(dtype=np.float64)) * k
-                lm += float(log_rest[own].sum())
-                rows.append((len(w) + 1, int(known.sum()), float(log_base[own].sum()) + log_base_end, lm, [w[i] for i in np.flatnonzero(~known)]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_tokens", "n_head", "base_head", "lm_head", "rest"])
+                at = np.fromiter(map(known.get, w, repeat(none)), np.int64, len(w))
+                unseen = np.flatnonzero(at == none)
+                rows.append((len(w) + 1, len(w) - len(unseen), float(log_base[at].sum()) + base_end, float(log_share[at].sum()), [w[i] for i in unseen], np.append(symbols[at], np.uint16(v.end)).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
+def _score(shared, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p: Parameters = shared.value
+        for b in batches:
+            found, out = [np.frombuffer(x, np.uint16) for x in b.column("symbols").to_pylist()], []
+            at = 0
+            while at < len(found):
+                some, size = [], 0
+                while at < len(found) and (not some or size + len(found[at]) <= 8 * TOGETHER):
+                    some.append(found[at])
+                    size += len(found[at])
+                    at += 1
+                out.append(np.add.reduceat(p.log_p(*contexts(some, end)), np.cumsum([0, *map(len, some[:-1])])))
+            if out:
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("row", "doc_id", "held_out", "n_tokens", "n_head", "base_head")), pa.array(np.concatenate(out) / math.log(10) + b.column("share_head").to_numpy())], ["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "lm_head"])
+
+    return run
+
+
+def learned(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary, Parameters]:
+    """(texts as symbols, counts outside the head, vocabulary, fitted parameters)."""
     spark = docs.sparkSession
     d = texts(docs)
-    train = d.filter(~held_out())
-    c = counts(train)
-    n_docs = train.count()
-    n_words, words = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, vocabulary = n_words + n_docs, words + (n_docs > 0)
-    # the least count that at most HEAD words reach: how many words have each count, counts above 2^16 taken together
-    sizes = c.groupBy(F.least("c", F.lit(65_536)).alias("c")).agg(F.count("*").alias("n")).collect()
-    least, taken = 65_537, 0
-    for r in sorted(sizes, key=lambda r: -r.c):
-        if taken + r.n > HEAD:
-            break
-        taken, least = taken + r.n, r.c
-    frequent = c.filter(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    words_, cs = [bytes(w) for w in frequent["word"]], frequent["c"].to_numpy(np.int64)
-    classes = {w: i for i, w in enumerate(words_[:UNKNOWN])}
-    in_class = np.zeros(CLASSES)
-    in_class[: len(classes)] = cs[: len(classes)]
-    in_class[UNKNOWN], in_class[END] = n_words - in_class[:UNKNOWN].sum(), n_docs
-    p = Parameters(in_class)
-    if n_docs:
-        p = fit(train, p, classes)
-    denominator = total + vocabulary + 1
-    # all words outside the classes, with one more for those never seen
-    outside = float(in_class[UNKNOWN] + (words - len(classes)) + 1)
-    log_rest = np.where(np.arange(len(cs)) < UNKNOWN, 0.0, np.log10((cs + 1) / outside))
-    shared = spark.sparkContext.broadcast((p, p.log_z(), {w: i for i, w in enumerate(words_)}, np.log10((cs + 1) / denominator), log_rest, math.log10((n_docs + 1) / denominator)))
-    s = cut(d.mapInArrow(_score(shared), "doc_id long, n_tokens long, n_head long, base_head double, lm_head double, rest array<binary>").withColumn("row", F.monotonically_increasing_id()))
-    rest = s.select("row", F.explode("rest").alias("word")).join(c.filter(F.col("c") < least), "word", "left")
+    every = counts(d.filter(~held_out()))
+    c = every.filter("word IS NOT NULL")
+    n_docs = every.filter("word IS NULL").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    n_words, distinct = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    frequent = head(c, distinct, HEAD)
+    top = c.filter(frequent).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    v = Vocabulary([bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64), int(n_words), int(n_docs), int(distinct))
+    path = scratch(spark, "symbols")
+    encoded = d.mapInArrow(_encode(spark.sparkContext.broadcast(v)), "doc_id long, n_tokens long, n_head long, base_head double, share_head double, rest array<binary>, symbols binary")
+    encoded.select(F.monotonically_increasing_id().alias("row"), held_out().alias("held_out"), "*").write.parquet(path)
+    encoded = spark.read.parquet(path)
+    p = Parameters(v.symbol_counts)
+    return encoded, c.filter(~frequent), v, fit(encoded, p, v.end) if n_docs else p
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
+    encoded, others, v, p = learned(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(p)
+    s = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "share_head", "symbols")
+    s = s.mapInArrow(_score(shared, v.end), "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, lm_head double")
+    rest = encoded.select("row", F.explode("rest").alias("word")).join(others, "word", "left")
     f = F.coalesce("c", F.lit(0)) + 1
-    rest = rest.groupBy("row").agg(F.count("c").alias("known"), F.sum(F.log10(f / F.lit(float(denominator)))).alias("base"), F.sum(F.log10(f / F.lit(outside))).alias("lm"))
+    rest = rest.groupBy("row").agg(F.count("c").alias("known"), F.sum(F.log10(f / F.lit(float(v.denominator)))).alias("base"), F.sum(F.log10(f / F.lit(v.outside))).alias("lm"))
     zero = lambda x: F.coalesce(x, F.lit(0))
-    lm = F.col("lm_head") + zero("lm") if n_docs else F.col("base_head") + zero("base")
+    base = F.col("base_head") + zero("base")
     return s.join(rest, "row", "left").select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("n_head") + zero("known") + int(n_docs > 0)).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_head") + zero("base")).alias("base_score"), lm.alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_head") + zero("known") + int(v.n_docs > 0)).cast("long").alias("n_known"), F.lit(v.n_words + v.n_docs).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (F.col("lm_head") + zero("lm") if v.n_docs else base).alias("score"),
     )

@@ -311,15 +311,68 @@ def test_language_model(spark, sf, some):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in out, len(w), sum(x in counts for x in w), n)
         assert abs(r.base_score - sum(np.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in w)) < 1e-6
-    assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out)
+
+
+def test_language_model_gains_on_held_out_texts(spark, sf):
+    """With a thousand texts; of a hundred, as above, the model has too little to learn from to do better than the counts."""
+    more = spark.read.parquet(str(Path(sf).parent / "sf0.01" / "documents.parquet"))
+    r = lm.score(more).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1] + 0.001 * abs(r[1])
 
 
 def test_language_model_is_normalised():
-    p = lm.Parameters(np.arange(lm.CLASSES, dtype=float))
-    z = p.log_z()
-    a, b, r, bias = p.tables
-    s = np.exp((a[3] + b[7]) @ r.T + bias - z[3, 7])
-    assert abs(s.sum() - 1) < 1e-4
+    for counts_ in (np.arange(600)[::-1] ** 2, np.zeros(2), np.array([5.0, 1, 0])):
+        p = lm.Parameters(counts_.astype(float))
+        n = len(counts_)
+        at = lambda x: np.full(n, min(x, n - 1))
+        assert abs(np.exp(p.log_p(at(3), at(7), np.arange(n))).sum() - 1) < 1e-4
+        trainer = lm.Trainer(p, 1)
+        rng = np.random.default_rng(2)
+        for _ in range(20):
+            trainer.learn(rng.integers(0, n, 500), rng.integers(0, n, 500), rng.integers(0, n, 500))
+        assert abs(np.exp(trainer.p.log_p(at(3), at(7), np.arange(n))).sum() - 1) < 1e-4
+
+
+def brute_score(text, v, p, counts_):
+    """log10 of the text from the fitted tables, word by word, with plain softmaxes."""
+    a, b, r, bias, s, s_bias = (t.astype(float) for t in p.tables)
+    known = {w: int(v.symbol[i]) for i, w in enumerate(v.words[: len(v.symbol)])}
+    words = (text or "").encode().lower().split()
+    symbols, total = [v.end, v.end, *(known.get(w, v.unknown) for w in words), v.end], 0.0
+    for k, x in enumerate(symbols[2:]):
+        q = a[symbols[k]] + b[symbols[k + 1]]
+        c = p.of[x]
+        own = np.flatnonzero(p.of == c)
+        cs, ws = s @ q + s_bias, r[own] @ q + bias[own]
+        total += cs[c] - np.log(np.exp(cs).sum()) + ws[x - own[0]] - np.log(np.exp(ws).sum())
+        if x == v.unknown:
+            total += np.log((counts_.get(words[k], 0) + 1) / v.outside)
+    return total / np.log(10)
+
+
+@pytest.mark.parametrize(("most", "symbols"), [(300_000, 8190), (10, 5), (300, 300)])
+def test_language_model_scores_by_brute_force(spark, monkeypatch, most, symbols):
+    """Also where most words are outside the head, with many equal counts, and where the vocabulary is smaller than the symbols."""
+    from collections import Counter
+
+    monkeypatch.setattr(lm, "HEAD", most)
+    monkeypatch.setattr(lm, "WORDS", symbols)
+    monkeypatch.setattr(lm, "PARTS", 4)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"t{k}" for k in rng.zipf(1.3, 60) if k < 300) for _ in range(120)] + ["never seen words", None, "", "T1 t1"]
+    d = docs(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    train = Counter()
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            train.update((t or "").encode().lower().split())
+    encoded, others, v, p = lm.learned(d)
+    assert len(v.words) <= most and min(v.c, default=0) >= max((r.c for r in others.collect()), default=0)
+    assert len(v.words) + others.count() == len(train) and {w: train[w] for w in v.words} == dict(zip(v.words, v.c.tolist(), strict=True))
+    assert len(v.words) >= min(most, len(train)) * 0.5
+    got = {r.doc_id: r.score for r in lm.score(d).collect()}
+    for k, t in enumerate(texts):
+        # training is the same again but for the order in which sums are formed
+        assert abs(got[k] - brute_score(t, v, p, train)) < 1e-3 * max(1, abs(got[k])), k
 
 
 def test_mixing_budget(spark):
