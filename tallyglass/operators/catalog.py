@@ -60,6 +60,7 @@ def upsert(target: DataFrame, new: DataFrame, key: str, cols: list[str], order:
 def parse_listing_titles(df: DataFrame) -> DataFrame:
     """``card_id, name, set_name, card_number, set_total`` from "Name (Set No. 001/029)": three reference patterns in order; other rows drop out."""
     inner = F.regexp_extract(F.trim("alt_text"), r"(?s)^(.*)\)$", 1)
+    # fixed values: the three patterns of a listing's reference, in order
     patterns = [r"\s+No\.\s+([A-Za-z0-9]+(?:/[A-Za-z0-9\-]+)?)\s*$", r"\s+([0-9]+/[A-Za-z0-9\-]+)\s*$", r"\s+([0-9]+)\s*$"]
     ref, rest = F.lit(None).cast("string"), F.lit(None).cast("string")
     for p in reversed(patterns):
@@ -129,25 +130,58 @@ def explode_set_index(pages: DataFrame, code: str, label: str) -> DataFrame:
 
 
 def group_images_by_name(df: DataFrame) -> DataFrame:
-    """``name, n, images``: the images of each name as set:place:url in order of set and place; blank names and images drop out. ``df(set_code, id, name, url)``."""
-    d = df.filter((F.trim("name") != "") & (F.trim("url") != "")).withColumn("place", F.row_number().over(Window.partitionBy("set_code").orderBy("id")))
+    """``name, n, images``: the images of each name as set:place:url in order of set and place; rows without an image have no place, blank names drop out. ``df(set_code, id, name, url)``."""
+    d = df.filter(F.trim("url") != "").withColumn("place", F.row_number().over(Window.partitionBy("set_code").orderBy("id"))).filter(F.trim("name") != "")
     g = d.groupBy("name").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("set_code", "place", "url"))).alias("i"))
     return g.select("name", "n", F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["set_code"], x["place"].cast("string"), x["url"])), "|").alias("images"))
 
 
-#: Regional and other prefixes with their second-language forms, in order of the passes; suffixes that a card name may carry.
-PREFIXES = [(1, "", ""), (2, "alolan ", "アローラ"), (2, "galarian ", "ガラル"), (2, "hisuian ", "ヒスイ"), (2, "paldean ", "パルデア"), (3, "m ", "メガ"), (3, "mega ", "メガ"), (4, "radiant ", "かがやく"), (5, "origin forme ", "オリジン")]
-SUFFIXES = r"( (ex|gx|v|vmax|vstar|lv\.x|star|break|δ|-ex|-gx))+$"
+def set_totals(pages: DataFrame) -> DataFrame:
+    """``set_code, total, images``: the number of hits that the first page of each set states (0 without one), and the images on all its pages. ``pages(set_code, page, hits, images)``."""
+    return pages.groupBy("set_code").agg(F.coalesce(F.min_by("hits", "page"), F.lit(0)).alias("total"), F.sum("images").alias("images"))
 
 
-def enrich_names(cards: DataFrame, base: DataFrame) -> DataFrame:
-    """``card_id, name, name_ja``: fills empty second-language names by rules made from base names ``(name, kana)``; the first pass wins; names with " & " are skipped in the first two passes."""
-    p = cards.sparkSession.createDataFrame([(n, e, k) for n, e, k in PREFIXES], "pass int, en string, ja string")
-    rules = base.join(F.broadcast(p)).select("pass", F.concat("en", F.lower("name")).alias("key"), F.concat("ja", "kana").alias("filled")).groupBy("key").agg(F.min_by(F.struct("pass", "filled"), F.struct("pass", "filled")).alias("r"))
-    key = F.regexp_replace(F.lower("name"), SUFFIXES, "")
-    j = cards.withColumn("key", key).join(rules, "key", "left")
-    use = F.col("name_ja").isNull() & F.col("r").isNotNull() & ~((F.col("r.pass") <= 2) & F.contains("name", F.lit(" & ")))
-    return j.select("card_id", "name", F.when(use, F.col("r.filled")).otherwise(F.col("name_ja")).alias("name_ja"), F.when(use, F.col("r.pass")).alias("pass"))
+#: Regional prefixes with their second-language forms; suffixes that a card name may carry, those after a blank and those after a hyphen;
+#: the prefixes of the exact passes.
+REGIONS = [("Alolan", "アローラ"), ("Galarian", "ガラル"), ("Hisuian", "ヒスイ"), ("Paldean", "パルデア")]
+SUFFIX = r"(?i)(\s+(VMAX|VSTAR|V-UNION|ex|V|BREAK)|-GX|-EX)$"
+MEGA, RADIANT, ORIGIN, ORIGIN_NAMES, ORIGIN_SUFFIXES = "M", "かがやく", "オリジンフォルム", ("Dialga", "Palkia"), ("V", "VSTAR")
+
+
+def name_rules(base: DataFrame, trainers: DataFrame) -> DataFrame:
+    """``pass, place, key, filled``; keys of the first two passes, "i:", are compared without case and suffix, the others, "e:", as they are.
+
+    1 base names, 2 regional forms, 3 "M <name>-EX", 4 "Radiant <name>", 5 "Origin Forme <name> V" of two names, 6 trainers. Inside a
+    pass the order is that of regions and base names. ``base(place, name, kana)``, ``trainers(place, name, kana)``.
+    """
+    b, text = base.select("place", "name", "kana"), F.lit
+
+    def rule(n: int, source: DataFrame, key: Column, filled: Column, place: Column | None = None) -> DataFrame:
+        return source.select(F.lit(n).alias("pass"), F.struct((F.lit(0) if place is None else place).alias("outer"), F.col("place").alias("inner")).alias("place"), key.alias("key"), filled.alias("filled"))
+
+    lower = lambda *x: F.concat(text("i:"), F.lower(F.concat(*x)))
+    exact = lambda *x: F.concat(text("e:"), *x)
+    rules = rule(1, b, lower("name"), F.col("kana"))
+    for k, (prefix, kana) in enumerate(REGIONS):
+        rules = rules.union(rule(2, b, lower(text(prefix + " "), "name"), F.concat(text(kana), "kana"), F.lit(k)))
+    rules = rules.union(rule(3, b, exact(text("M "), "name", text("-EX")), F.concat(text(MEGA), "kana"))).union(rule(4, b, exact(text("Radiant "), "name"), F.concat(text(RADIANT), "kana")))
+    for suffix in ORIGIN_SUFFIXES:
+        rules = rules.union(rule(5, b.filter(F.col("name").isin(*ORIGIN_NAMES)), exact(text("Origin Forme "), "name", text(" " + suffix)), F.concat(text(ORIGIN), "kana")))
+    return rules.union(rule(6, trainers, exact("name"), F.col("kana")))
+
+
+def enrich_names(cards: DataFrame, base: DataFrame, trainers: DataFrame) -> DataFrame:
+    """``card_id, name, name_ja, pass``: fills empty second-language names by :func:`name_rules`; the first rule wins; names with " & " are skipped in the first two passes."""
+    loose = F.when(~F.contains("name", F.lit(" & ")), F.array_distinct(F.array(F.concat(F.lit("i:"), F.lower("name")), F.concat(F.lit("i:"), F.lower(F.regexp_replace("name", SUFFIX, ""))))))
+    keys = F.concat(F.coalesce(loose, F.array().cast("array<string>")), F.array(F.concat(F.lit("e:"), "name")))
+    open_ = cards.filter("name_ja IS NULL").select("card_id", F.explode(keys).alias("key"))
+    found = open_.join(name_rules(base, trainers), "key").groupBy("card_id").agg(F.min_by(F.struct("pass", "filled"), F.struct("pass", "place")).alias("r"))
+    return cards.join(found, "card_id", "left").select("card_id", "name", F.coalesce("name_ja", "r.filled").alias("name_ja"), F.col("r.pass").alias("pass"))
+
+
+def enriched_counts(enriched: DataFrame) -> DataFrame:
+    """One row: names filled by each pass, names there are and names still missing."""
+    return enriched.agg(*[F.count_if(F.col("pass") == n).alias(f"pass_{n}") for n in range(1, 7)], F.count("name_ja").alias("populated"), F.count_if(F.col("name_ja").isNull()).alias("still_null"))
 
 
 def refresh_images(cards: DataFrame, scraped: DataFrame, set_prefix: str) -> DataFrame:
@@ -219,12 +253,16 @@ def manifest_diff(mine: DataFrame, theirs: DataFrame, base_url: str | None = Non
     return j.select("filename", "size", F.when(F.col("own").isNull(), "missing").otherwise("changed").alias("state"), (F.concat(F.lit(base_url.rstrip("/") + "/"), "filename") if base_url else F.lit(None).cast("string")).alias("url"))
 
 
-def normalize_annotations(annotations: DataFrame, images: DataFrame, classes: DataFrame) -> DataFrame:
-    """``image_id, labels``: boxes as class and centre/size shares within [0, 1]; classes named like a card, else all; images without a box stay with none."""
+def _card_classes(classes: DataFrame) -> DataFrame:
+    """The classes named like a card, else all."""
     wanted = classes.withColumn("card", F.contains(F.lower("name"), F.lit("card")))
     any_card = wanted.agg(F.bool_or("card").alias("any"))
-    wanted = wanted.join(F.broadcast(any_card)).filter(F.col("card") | ~F.col("any")).select("category_id")
-    a = annotations.join(F.broadcast(wanted), "category_id").join(images.select("image_id", "width", "height"), "image_id")
+    return wanted.join(F.broadcast(any_card)).filter(F.col("card") | ~F.col("any")).select("category_id")
+
+
+def normalize_annotations(annotations: DataFrame, images: DataFrame, classes: DataFrame) -> DataFrame:
+    """``image_id, labels``: boxes as class and centre/size shares within [0, 1]; classes named like a card, else all; images without a box stay with none."""
+    a = annotations.join(F.broadcast(_card_classes(classes)), "category_id").join(images.select("image_id", "width", "height"), "image_id")
     unit = lambda x: F.floor(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)) * 1_000_000 + 0.5) / 1_000_000
     b = F.col("bbox")
     label = F.concat_ws(" ", F.lit("0"), *[F.format_string("%.6f", unit(x)) for x in ((b[0] + b[2] / 2) / F.col("width"), (b[1] + b[3] / 2) / F.col("height"), b[2] / F.col("width"), b[3] / F.col("height"))])
@@ -232,24 +270,39 @@ def normalize_annotations(annotations: DataFrame, images: DataFrame, classes: Da
     return images.select("image_id").join(g, "image_id", "left").na.fill(0, ["n"]).na.fill("", ["labels"])
 
 
+def annotation_counts(annotations: DataFrame, images: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row: boxes of the wanted classes, boxes skipped for their class, images without a wanted box."""
+    a = annotations.join(F.broadcast(_card_classes(classes).withColumn("wanted", F.lit(True))), "category_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    boxes = a.agg(F.count_if("wanted").alias("boxes"), F.count_if(~F.col("wanted")).alias("skipped_class"))
+    bare = images.select("image_id").join(a.filter("wanted").select("image_id"), "image_id", "left_anti").agg(F.count("*").alias("images_without"))
+    return boxes.join(F.broadcast(bare))
+
+
 def merge_label_sets(sets: list[DataFrame]) -> DataFrame:
-    """``stem, n_boxes, boxes``: label lines of a class and 4, 8 or N numbers as boxes (least and greatest of even and odd places), cut to [0, 1], empty ones dropped; equal stems of later sets get _2, _3. ``sets(source, stem, lines)``."""
+    """``stem, n_boxes, boxes``: label lines as "0 cx cy w h", shares of centre and size.
+
+    A line has a class and 4 numbers (centre and size) or more (corners, whose least and greatest at even and odd places bound the box).
+    Lines of fewer parts drop out, as do those with a part that is no number; each value is cut to [0, 1] and boxes without a width or
+    height go; the class becomes 0. Equal stems of later sets get _2, _3. ``sets(source, stem, lines)``.
+    """
     u = sets[0]
     for s in sets[1:]:
         u = u.unionByName(s)
 
     def box(line: Column) -> Column:
-        v = F.transform(F.split(line, " "), lambda x: x.try_cast("double"))
+        v = F.transform(F.split(F.trim(line), r"\s+"), lambda x: x.try_cast("double"))
         n = F.slice(v, 2, 1_000_000)
-        corner = F.array(n[0] - n[2] / 2, n[1] - n[3] / 2, n[0] + n[2] / 2, n[1] + n[3] / 2)
         xs, ys = F.filter(n, lambda x, i: i % 2 == 0), F.filter(n, lambda x, i: i % 2 == 1)
-        hull = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-        return F.transform(F.when(F.size(n) == 4, corner).otherwise(hull), lambda x: F.round(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)), 6))
+        x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
+        hull = F.array((x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1)
+        whole = (F.size(n) >= 4) & ~F.exists(n, lambda x: x.isNull())
+        return F.transform(F.when(whole & (F.size(n) == 4), n).when(whole, hull), lambda x: F.round(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)), 6))
 
-    boxes = F.filter(F.transform("lines", box), lambda b: (b[2] > b[0]) & (b[3] > b[1]))
+    boxes = F.filter(F.transform("lines", box), lambda b: b.isNotNull() & (b[2] > 0) & (b[3] > 0))
     u = u.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("source")))
     name = F.when(F.col("nth") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), "nth"))
-    return u.select(name.alias("stem"), F.size(boxes).alias("n_boxes"), F.array_join(F.transform(boxes, lambda b: F.array_join(F.transform(b, lambda x: F.format_string("%.4f", x)), " ")), "|").alias("boxes"))
+    lines = F.transform(boxes, lambda b: F.concat(F.lit("0 "), F.array_join(F.transform(b, lambda x: F.format_string("%.6f", x)), " ")))
+    return u.select(name.alias("stem"), F.size(boxes).alias("n_boxes"), F.array_join(lines, "|").alias("boxes"))
 
 
 def train_valid_split(df: DataFrame, key: str, share: float = 0.8, seed: str = "s", digits: int = 3) -> DataFrame:

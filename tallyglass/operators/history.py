@@ -62,11 +62,32 @@ def fold_collection_events(events: DataFrame) -> DataFrame:
     return top(standing, ["collection_id"], [F.desc("seq"), F.asc("card_id")], 2_000_000_000).select("collection_id", "card_id", F.col("rank").alias("position"))
 
 
+def fold_collection_names(events: DataFrame) -> DataFrame:
+    """``collection_id, name`` of the collections that stand after all events ``seq, collection_id, op, name`` (create, rename, delete).
+
+    A collection stands if it was created after its last deletion; its name is that of the last later renaming, trimmed, else that of its
+    creation. The default one (id 0) can be neither deleted nor renamed; renaming what does not stand does nothing.
+    """
+    own = F.col("collection_id") == 0
+    gone = events.filter((F.col("op") == "delete") & ~own).groupBy("collection_id").agg(F.max("seq").alias("gone"))
+    after = events.join(gone, "collection_id", "left").filter(F.col("seq") > F.coalesce("gone", F.lit(-1)))
+    made = after.filter("op = 'create'").groupBy("collection_id").agg(F.min_by("name", "seq").alias("made_name"), F.min("seq").alias("made"))
+    renamed = after.filter((F.col("op") == "rename") & ~own).join(made.select("collection_id", "made"), "collection_id").filter("seq > made").groupBy("collection_id").agg(F.max_by(F.trim("name"), "seq").alias("new_name"))
+    return made.join(renamed, "collection_id", "left").select("collection_id", F.coalesce("new_name", "made_name").alias("name"))
+
+
 def collections_view(members: DataFrame, cards: DataFrame, previews: int = 4) -> DataFrame:
-    """Non-empty collections with the number of their known cards and the first cards as previews."""
+    """Non-empty collections with the number of their known cards and the first known cards as previews."""
     j = members.join(cards.select("card_id", "name"), "card_id")
-    g = j.groupBy("collection_id").agg(F.count("*").alias("cards"), F.sort_array(F.collect_list(F.when(F.col("position") <= 50, F.struct("position", "name")))).alias("c"))
-    return g.select("collection_id", "cards", F.array_join(F.transform(F.slice("c", 1, previews), lambda x: x["name"]), "|").alias("previews"))
+    first = top(j, ["collection_id"], [F.asc("position")], previews).groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("c"))
+    g = j.groupBy("collection_id").agg(F.count("*").alias("cards")).join(first, "collection_id")
+    return g.select("collection_id", "cards", F.array_join(F.transform("c", lambda x: x["name"]), "|").alias("previews"))
+
+
+def collections_of_cards(members: DataFrame, collections: DataFrame) -> DataFrame:
+    """``card_id, game, collections``: the collections of a game that hold a card, in order of their ids. ``collections(collection_id, game)``."""
+    j = members.join(collections, "collection_id").groupBy("card_id", "game").agg(F.sort_array(F.collect_set("collection_id")).alias("c"))
+    return j.select("card_id", "game", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("collections"))
 
 
 def session_dedupe(items: DataFrame) -> DataFrame:

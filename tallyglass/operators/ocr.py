@@ -142,10 +142,22 @@ def detect_blocked_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", outcome.alias("outcome"))
 
 
+def _unexpected() -> Column:
+    """A run failed: refused or not understood, or without a price where one is expected."""
+    return F.col("outcome").isin("blocked", "parse error") | ((F.col("outcome") == "no price") & F.col("expected").isNull())
+
+
 def assess_fetch_runs(results: DataFrame, no_price: DataFrame, runs: int = 3) -> DataFrame:
-    """Per item: outcome of each run, counts and whether it failed though a price was expected. ``results(item, run, outcome)`` with priced, no price, blocked."""
+    """Per item: outcome of each run, counts, and in how many runs it failed unexpectedly. ``results(item, run, outcome)`` with priced, no price, blocked, parse error."""
     g = results.groupBy("item").pivot("run", list(range(1, runs + 1))).agg(F.first("outcome"))
     g = g.select("item", *[F.col(str(r)).alias(f"run_{r}") for r in range(1, runs + 1)])
-    c = results.groupBy("item").agg(*[F.count_if(F.col("outcome") == o).alias(a) for o, a in (("priced", "priced"), ("no price", "no_price"), ("blocked", "blocked"))])
-    j = g.join(c, "item").join(no_price.select("item", F.lit(True).alias("expected")), "item", "left")
-    return j.withColumn("unexpected", (F.col("priced") < runs) & F.col("expected").isNull()).drop("expected")
+    marked = results.join(no_price.select("item", F.lit(True).alias("expected")).distinct(), "item", "left")
+    c = marked.groupBy("item").agg(*[F.count_if(F.col("outcome") == o).alias(a) for o, a in (("priced", "priced"), ("no price", "no_price"), ("blocked", "blocked"))], F.count_if(_unexpected()).alias("failures"))
+    return g.join(c, "item").withColumn("unexpected", F.col("failures") > 0)
+
+
+def fetch_totals(results: DataFrame, no_price: DataFrame) -> DataFrame:
+    """One row: runs with a price, runs of items of which one is expected, items with an unexpected failure."""
+    marked = results.join(no_price.select("item", F.lit(True).alias("expected")).distinct(), "item", "left")
+    failed = marked.filter(_unexpected()).agg(F.count_distinct("item").alias("failed_items"))
+    return marked.agg(F.count_if(F.col("outcome") == "priced").alias("priced"), F.count_if(F.col("expected").isNull()).alias("expected_priced")).join(F.broadcast(failed))

@@ -156,6 +156,21 @@ def batch_prices(requests: DataFrame, cards: DataFrame, prices: DataFrame, cap:
     return j.select("request_id", F.col("rank").alias("at"), "card_id", F.when(F.col("known").isNull(), "not_found").otherwise("ok").alias("status"), F.when(F.col("known"), F.col("price")).alias("price"))
 
 
+def batch_prices_slim(requests: DataFrame, cards: DataFrame, prices: DataFrame, sales: DataFrame, cap: int = 25, n: int = 3) -> DataFrame:
+    """:func:`batch_prices` in its slim form: the current prices and the first ``n`` sales, no histories, as one struct.
+
+    ``prices(card_id, ...)``: every further column of it is a field; ``sales(card_id, rank, ...)``.
+    """
+    kept = batch_prices(requests, cards, prices.select("card_id", F.lit(None).cast("double").alias("price")), cap).drop("price")
+    fields = [c for c in sales.columns if c != "card_id"]
+    few = sales.filter(F.col("rank") <= n).groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("rank", *[c for c in fields if c != "rank"]))).alias("recent_sales"))
+    known = prices.select("card_id", F.struct(*[c for c in prices.columns if c != "card_id"]).alias("now"))
+    j = kept.join(known, "card_id", "left").join(few, "card_id", "left")
+    sold = F.coalesce("recent_sales", F.array().cast(few.schema["recent_sales"].dataType))
+    price = F.when((F.col("status") == "ok") & F.col("now").isNotNull(), F.struct("now.*", sold.alias("recent_sales")))
+    return j.select("request_id", "at", "card_id", "status", price.alias("price"))
+
+
 def classify_sales(sales: DataFrame, variant: str = "normal", n: int = 10, tie: tuple[str, ...] = ("l_orderkey", "l_linenumber", "l_suppkey")) -> DataFrame:
     """The first n sales of each card and class (raw, 7 to 10; a title may be in several)."""
     s = sales if variant != "normal" else sales.filter(~F.col("title").rlike(BALLS))
@@ -170,6 +185,15 @@ def convert_currency(prices: DataFrame, rates: DataFrame) -> DataFrame:
     return prices.join(F.broadcast(last)).select("card_id", yen.alias("jpy"), F.when(F.col("price").isNull(), "N/A").otherwise(F.concat(F.lit("¥"), F.format_number(yen, 0))).alias("shown"))
 
 
+def convert_history(history: DataFrame, rates: DataFrame, currency: str = "JPY") -> DataFrame:
+    """The points of price histories in another currency: whole yen by the latest rate, halves up; unchanged in USD or without a rate. All columns but ``price`` stay."""
+    if currency == "USD":
+        return history
+    last = rates.agg(F.max_by("rate", "day").alias("_rate"))
+    yen = F.when(F.col("_rate").isNull(), F.col("price")).otherwise(half_up(F.col("price") * F.col("_rate")).cast("double"))
+    return history.join(F.broadcast(last)).withColumn("price", yen).drop("_rate")
+
+
 def chart_series(history: DataFrame, n: int = 24) -> DataFrame:
     """The last n points of each series of two or more, a label on every ceil(points / 6)-th, and the axis decimals. ``history(card_id, at, month, price)``."""
     w = Window.partitionBy("card_id")

@@ -11,6 +11,8 @@ from ..streaming import frames as f
 VIEWS["v_views"] = """SELECT event_id AS id, user_id AS card_id, event_type AS kind, event_id % 11 = 0 AS refresh, CASE WHEN event_id % 7 = 0 THEN 'shadowless' ELSE 'normal' END AS variant, CASE WHEN value < 1 THEN NULL ELSE value END AS price, event_id % 13 = 0 AS test FROM events"""
 VIEWS["v_timings"] = """SELECT l_orderkey * 100000 + l_partkey AS id, l_linenumber * 10 AS start, l_linenumber * 10 + CAST(l_quantity AS INT) AS detected, l_linenumber * 10 + CAST(l_quantity AS INT) * 3 AS read, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_linenumber * 10 + CAST(l_quantity AS INT) * 4 END AS first, l_linenumber * 10 + CAST(l_quantity AS INT) * 5 AS done FROM lineitem"""
 VIEWS["v_collection_all"] = """SELECT o_orderkey AS seq, o_custkey % 50 AS collection_id, o_orderkey % 40 AS card_id, CASE WHEN o_orderkey % 997 = 0 THEN 'delete' WHEN o_orderkey % 1501 = 0 THEN 'remove_all' WHEN o_orderstatus = 'P' THEN 'remove' ELSE 'add' END AS op FROM orders"""
+VIEWS["v_collection_names"] = """SELECT o_orderkey AS seq, o_custkey % 50 AS collection_id, CASE WHEN o_orderkey % 97 = 0 THEN 'delete' WHEN o_orderkey % 5 = 0 THEN 'create' ELSE 'rename' END AS op, concat(' List ', o_orderkey, ' ') AS name FROM orders"""
+VIEWS["v_collections"] = """SELECT DISTINCT o_custkey % 50 AS collection_id, CASE WHEN o_custkey % 50 % 3 = 0 THEN 'onepiece' ELSE 'pokemon' END AS game FROM orders"""
 VIEWS["v_items"] = """SELECT l_orderkey AS request_id, l_linenumber AS idx, l_partkey AS item, CAST(l_suppkey * 37 % 1009 AS INT) AS arrived FROM lineitem"""
 NOW = "2024-02-01 00:00:00"
 HIST = lambda sp, d: view(sp, d, "v_history")
@@ -36,6 +38,8 @@ QUERIES = {
     "h4_next_page_unseen": lambda sp, d: h.next_page_unseen(h.page_before(HIST(sp, d), cut_id(HIST(sp, d)), 200), h.page_at(HIST(sp, d), 0, 40)).select("id", "card_id"),
     "h5_age_bucket": lambda sp, d: HIST(sp, d).select("id", h.age_text(F.col("scanned_at"), F.lit(NOW).cast("timestamp")).alias("age")),
     "h6_fold_collection_events": members,
+    "h6_fold_collection_names": lambda sp, d: h.fold_collection_names(view(sp, d, "v_collection_names")),
+    "h7_collections_of_cards": lambda sp, d: h.collections_of_cards(members(sp, d), view(sp, d, "v_collections")),
     "h7_collections_view": lambda sp, d: h.collections_view(members(sp, d), view(sp, d, "v_catalog")),
     "h8_session_dedupe": lambda sp, d: h.session_dedupe(FRAMES(sp, d).withColumnRenamed("top_card", "card")),
     "h8_session_newest": lambda sp, d: h.session_newest(FRAMES(sp, d).withColumnRenamed("top_card", "card")),
@@ -62,6 +66,9 @@ ORACLES = {
     "h4_next_page_unseen": with_views(f"SELECT id, card_id FROM (SELECT * FROM v_history WHERE id < {CUT} ORDER BY id DESC LIMIT 200) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM v_history ORDER BY scanned_at DESC, id DESC LIMIT 40) s WHERE s.card_id = p.card_id)"),
     "h5_age_bucket": with_views(f"SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS age FROM (SELECT id, floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(scanned_at))) / 60)::BIGINT AS m FROM v_history)"),
     "h6_fold_collection_events": with_views("SELECT collection_id, card_id, position FROM mb", "u0 AS (SELECT 1 FROM v_collection_all LIMIT 0)", FOLD),
+    "h6_fold_collection_names": with_views("""SELECT collection_id, coalesce((SELECT arg_max(trim(r.name), r.seq) FROM v_collection_names r WHERE r.collection_id = m.collection_id AND r.op = 'rename' AND r.seq > m.seq AND m.collection_id <> 0), m.name) AS name FROM (SELECT collection_id, min(seq) AS seq, arg_min(name, seq) AS name FROM v_collection_names c
+      WHERE op = 'create' AND NOT EXISTS (SELECT 1 FROM v_collection_names x WHERE x.collection_id = c.collection_id AND x.op = 'delete' AND x.seq > c.seq AND x.collection_id <> 0) GROUP BY collection_id) m"""),
+    "h7_collections_of_cards": with_views("SELECT card_id, game, string_agg(collection_id::VARCHAR, ',' ORDER BY collection_id) AS collections FROM mb JOIN v_collections USING (collection_id) GROUP BY card_id, game", "u0 AS (SELECT 1 FROM v_collection_all LIMIT 0)", FOLD),
     "h7_collections_view": with_views("SELECT collection_id, count(*) AS cards, array_to_string(list(name ORDER BY position)[1:4], '|') AS previews FROM mb JOIN v_catalog USING (card_id) GROUP BY collection_id", FOLD),
     "h8_session_dedupe": with_views("SELECT session_id, count(DISTINCT top_card) AS kept, count(top_card) - count(DISTINCT top_card) AS removed FROM v_frames GROUP BY session_id"),
     "h8_session_newest": with_views("SELECT session_id, top_card AS card, frame_id FROM v_frames WHERE top_card IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, top_card ORDER BY ts DESC, frame_id DESC) = 1"),

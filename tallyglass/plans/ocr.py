@@ -11,7 +11,7 @@ from ..sources.views import VIEWS, table, view, with_views
 VIEWS["v_card_text"] = """SELECT p_partkey AS scan_id, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), chr(10), CASE WHEN p_partkey % 3 = 0 THEN 'weakness retreat' WHEN p_partkey % 3 = 1 THEN 'ピカチュウ 弱点 にげる' ELSE 'plain words' END, chr(10), CASE WHEN p_partkey % 4 = 0 THEN concat(p_size, '/', 165) WHEN p_partkey % 4 = 1 THEN concat('HP ', p_size) ELSE 'x' END, chr(10),
    CASE WHEN p_partkey % 17 = 0 THEN 'Supporter' WHEN p_partkey % 5 = 0 THEN 'Nintendo' ELSE '' END) AS text, CAST(p_size AS INT) AS blocks, 'pokemon' AS game, CASE WHEN p_partkey % 3 = 1 THEN 'ja' ELSE 'en' END AS language FROM part"""
 VIEWS["v_fetched"] = """SELECT page_id, CASE page_id % 13 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 503 ELSE 200 END AS status, CASE page_id % 11 WHEN 3 THEN concat('Just a moment', html) WHEN 4 THEN concat(html, 'Enable JavaScript') ELSE html END AS html FROM pages"""
-VIEWS["v_runs"] = """SELECT o_custkey AS item, CAST(1 + o_orderkey % 3 AS INT) AS run, min(CASE WHEN o_orderpriority LIKE '1%' THEN 'blocked' WHEN o_orderpriority LIKE '2%' THEN 'no price' ELSE 'priced' END) AS outcome FROM orders GROUP BY o_custkey, 1 + o_orderkey % 3"""
+VIEWS["v_runs"] = """SELECT o_custkey AS item, CAST(1 + o_orderkey % 3 AS INT) AS run, min(CASE WHEN o_orderpriority LIKE '1%' THEN 'blocked' WHEN o_orderpriority LIKE '2%' THEN 'no price' WHEN o_orderpriority LIKE '3%' THEN 'parse error' ELSE 'priced' END) AS outcome FROM orders GROUP BY o_custkey, 1 + o_orderkey % 3"""
 VIEWS["v_rects"] = """SELECT l_orderkey AS image_id, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 400 AS INT) AS x1, CAST((l_suppkey * 7) % 300 AS INT) AS y1, CAST(l_partkey % 400 AS INT) + 40 + CAST(l_quantity AS INT) * 3 AS x2, CAST((l_suppkey * 7) % 300 AS INT) + 56 + CAST(l_quantity AS INT) * 4 AS y2,
    round(l_discount * 5 + l_tax, 4) AS confidence, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS z FROM lineitem"""
 VIEWS["v_blocks"] = """SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS block_id, CAST(l_partkey % 400 AS INT) + CAST(l_suppkey % 90 AS INT) AS left, CAST((l_suppkey * 7) % 300 AS INT) + CAST(l_partkey % 120 AS INT) AS top, 30 AS width, 12 AS height, CASE WHEN l_partkey % 4 = 0 THEN concat(l_linenumber, '/', 50) ELSE concat('t', l_partkey) END AS text FROM lineitem"""
@@ -45,6 +45,7 @@ QUERIES = {
     "b8_score_card_text": lambda sp, d: o.score_card_text(view(sp, d, "v_card_text")),
     "b11_detect_blocked_pages": lambda sp, d: o.detect_blocked_pages(view(sp, d, "v_fetched")),
     "b12_assess_fetch_runs": lambda sp, d: o.assess_fetch_runs(view(sp, d, "v_runs"), table(sp, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("item"))),
+    "b12_fetch_totals": lambda sp, d: o.fetch_totals(view(sp, d, "v_runs"), table(sp, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("item"))),
     "c1_blocks_in_regions": lambda sp, d: y.blocks_in_regions(view(sp, d, "v_blocks"), boxes(sp, d).select("image_id", "box_id", "box_left", "box_top", "box_width", "box_height").distinct()),
     "c2_merge_region_text": merged,
     "c3_pad_and_clamp": lambda sp, d: y.pad_and_clamp(view(sp, d, "v_boxes"), 350, 280).select("image_id", *TIE, "x", "y", "w", "h"),
@@ -115,7 +116,8 @@ ORACLES = {
       ELSE least(len(regexp_extract_all(text, '(?i)\b(weakness|resistance|retreat|basic|stage\s*[12]|trainer|supporter|stadium|item|energy)\b')), 2) + CASE WHEN len(list_filter(l[1:5], lambda x: regexp_full_match(x, '[A-Z][a-zA-Z\s\-''.]{1,30}'))) > 0 THEN 1 ELSE 0 END END
       + CASE WHEN regexp_matches(text, '(?i)nintendo') THEN 1 ELSE 0 END - CASE WHEN blocks > 20 THEN 1 ELSE 0 END, 0) END AS score FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM v_card_text))"""),
     "b11_detect_blocked_pages": with_views("SELECT page_id, CASE WHEN status = 403 THEN 'forbidden' WHEN status = 429 THEN 'rate limited' WHEN status >= 500 THEN 'server error' WHEN contains(html, 'Just a moment') OR contains(html, 'cf-browser-verification') THEN 'challenge' WHEN contains(html, 'Enable JavaScript') OR contains(html, 'Please enable cookies') THEN 'cookie gate' WHEN length(html) < 2000 THEN 'short' ELSE 'ok' END AS outcome FROM v_fetched"),
-    "b12_assess_fetch_runs": with_views("""SELECT item, max(outcome) FILTER (run = 1) AS run_1, max(outcome) FILTER (run = 2) AS run_2, max(outcome) FILTER (run = 3) AS run_3, count(*) FILTER (outcome = 'priced') AS priced, count(*) FILTER (outcome = 'no price') AS no_price, count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER (outcome = 'priced') < 3 AND item % 10 <> 0 AS unexpected FROM v_runs GROUP BY item"""),
+    "b12_assess_fetch_runs": with_views("""SELECT item, max(outcome) FILTER (run = 1) AS run_1, max(outcome) FILTER (run = 2) AS run_2, max(outcome) FILTER (run = 3) AS run_3, count(*) FILTER (outcome = 'priced') AS priced, count(*) FILTER (outcome = 'no price') AS no_price, count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER ((outcome IN ('blocked', 'parse error') OR outcome = 'no price' AND item % 10 <> 0)) AS failures, count(*) FILTER ((outcome IN ('blocked', 'parse error') OR outcome = 'no price' AND item % 10 <> 0)) > 0 AS unexpected FROM v_runs GROUP BY item"""),
+    "b12_fetch_totals": with_views("SELECT count(*) FILTER (outcome = 'priced') AS priced, count(*) FILTER (item % 10 <> 0) AS expected_priced, count(DISTINCT item) FILTER ((outcome IN ('blocked', 'parse error') OR outcome = 'no price' AND item % 10 <> 0)) AS failed_items FROM v_runs"),
     "c1_blocks_in_regions": with_views("SELECT image_id, box_id, name_text, whole_text, number_text, blocks FROM r2", BX.format(""), RG, R2, "u0 AS (SELECT 1 FROM v_boxes, v_blocks LIMIT 0)"),
     "c2_merge_region_text": with_views(r"""SELECT image_id, box_id, CASE WHEN late IS NULL THEN t WHEN t IS NULL THEN late WHEN NOT regexp_matches(t, '\d+/\d+') THEN t || chr(10) || late ELSE t END AS raw_text FROM (SELECT image_id, box_id, CASE WHEN box_id % 5 = 0 THEN '7/50' END AS late, CASE WHEN box_id % 3 <> 0 THEN own WHEN blocks > 1 THEN coalesce(own, whole_text) END AS t
       FROM (SELECT *, CASE WHEN regexp_matches(number_text, '\d') THEN name_text || chr(10) || number_text ELSE nullif(name_text, '') END AS own FROM r2))""", BX.format(" WHERE confidence >= 0.25"), RG, R2),

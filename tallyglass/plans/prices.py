@@ -37,6 +37,17 @@ def sold(sp, d):
     return view(sp, d, "v_collection_events").filter("op = 'add'").select("collection_id", "card_id", F.when(F.col("seq") % 2 == 0, "graded").otherwise("raw").alias("kind"))
 
 
+def rates(sp, d):
+    return table(sp, d, "events").select(F.struct("ts", "event_id").alias("day"), (F.lit(140) + F.round("value", 1)).alias("rate"))
+
+
+def slim(sp, d):
+    sales = p.recent_sales(view(sp, d, "v_sales"), PART(sp, d)).select("card_id", "rank", "date_text", "title", F.col("href").alias("url"))
+    r = p.batch_prices_slim(view(sp, d, "v_requests").withColumnRenamed("pos", "at"), view(sp, d, "v_catalog"), PART(sp, d), sales)
+    sold = F.transform("price.recent_sales", lambda x: F.concat_ws(" ", x["date_text"], x["title"], x["url"]))
+    return r.select("request_id", "at", "card_id", "status", "price.ungraded", "price.grade_10", F.size(sold).alias("n_sales"), F.array_join(sold, "|").alias("sales"))
+
+
 QUERIES = {
     "p1_page_keys": lambda sp, d: p.page_keys(key_cards(sp, d), alias(sp, d)),
     "p1_page_keys_ja": lambda sp, d: p.page_keys(key_cards(sp, d), alias(sp, d), "ja", "master_ball"),
@@ -48,8 +59,10 @@ QUERIES = {
     "p7_extract_certificates": lambda sp, d: p.extract_certificates(view(sp, d, "v_cert_pages")),
     "p8_price_freshness": lambda sp, d: p.freshness(view(sp, d, "v_catalog"), view(sp, d, "v_history").select("id", "card_id", F.col("scanned_at").alias("cached_at"), F.when(F.col("scan_type") != "click", F.col("price_loose")).alias("price")), NOW()),
     "p9_batch_prices": lambda sp, d: p.batch_prices(view(sp, d, "v_requests").withColumnRenamed("pos", "at"), view(sp, d, "v_catalog"), PART(sp, d).select("card_id", F.col("ungraded").alias("price"))),
+    "p9_batch_prices_slim": slim,
     "p10_classify_sales": lambda sp, d: p.classify_sales(view(sp, d, "v_sales")),
-    "p11_convert_currency": lambda sp, d: p.convert_currency(PART(sp, d).select("card_id", F.col("ungraded").alias("price")), table(sp, d, "events").select(F.struct("ts", "event_id").alias("day"), (F.lit(140) + F.round("value", 1)).alias("rate"))),
+    "p11_convert_currency": lambda sp, d: p.convert_currency(PART(sp, d).select("card_id", F.col("ungraded").alias("price")), rates(sp, d)),
+    "p11_convert_history": lambda sp, d: p.convert_history(p.extract_history(view(sp, d, "v_price_pages")), rates(sp, d)),
     "p12_chart_series": lambda sp, d: p.chart_series(points(sp, d)),
     "p13_portfolio_value": lambda sp, d: p.portfolio_value(sold(sp, d), PART(sp, d)),
     "p14_link_labels": lambda sp, d: view(sp, d, "v_sales").groupBy(p.link_label(F.col("href")).alias("label")).agg(F.count("*").alias("n")),
@@ -67,13 +80,15 @@ def key_sql(page: str, lang: str) -> str:
 SET = f"CASE WHEN al.set_name IS NOT NULL THEN 'aliased' ELSE {SLUG.format('kc.set_name')} END"
 SQ = "sq AS (SELECT *, CASE l_linenumber % 4 WHEN 1 THEN date_text[7:10] || '-' || date_text[1:2] || '-' || date_text[4:5] WHEN 2 THEN strftime(strptime(date_text, '%b %d, %Y'), '%Y-%m-%d') ELSE date_text END AS key FROM v_sales)"
 PARTS = "pr AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS ungraded, CASE WHEN p_size > 25 THEN p_retailprice * 10 END AS grade_10 FROM part)"
+RECENT = """rs AS (SELECT card_id, rank, date_text, title, href FROM (SELECT *, count(href) OVER (PARTITION BY card_id) AS links FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY key DESC, l_orderkey, l_linenumber, l_suppkey)::INT AS rank FROM sq) WHERE rank <= 10) LEFT JOIN pr USING (card_id) WHERE ungraded IS NOT NULL OR links > 0)"""
+HISTORY = r"""SELECT page_id, series, (i - 1)::INT AS at, strftime(to_timestamp(CAST(pt[1] AS BIGINT) / 1000) AT TIME ZONE 'UTC', '%Y-%m') AS month, round(CAST(pt[2] AS BIGINT) / 100, 2) AS price FROM (
+      SELECT page_id, series, i, from_json(json_extract(j, '$[' || (i - 1) || ']'), '["BIGINT"]') AS pt FROM (SELECT page_id, series, json_extract(c, '$.' || series) AS j, unnest(range(1, 1 + json_array_length(json_extract(c, '$.' || series))::INT)) AS i FROM (
+      SELECT page_id, regexp_extract(html, 'chart_data = (\{.*\});', 1)::JSON AS c FROM v_price_pages), (VALUES ('used'), ('graded')) AS s(series))) WHERE pt[2] <> 0"""
 ORACLES = {
     "p1_page_keys": with_views(key_sql(f"coalesce(stored_page, 'game/' || CASE language WHEN 'ja' THEN 'pokemon-japanese-' ELSE 'pokemon-' END || {SET} || '/' || {SLUG.format('name')} || '-' || CASE WHEN ltrim(card_number, '0') = '' THEN '0' ELSE ltrim(card_number, '0') END)", "language"), KEYS, ALIAS),
     "p1_page_keys_ja": with_views(key_sql(f"'game/pokemon-japanese-' || {SET} || '/' || {SLUG.format('name')} || '-master-ball-' || ltrim(CASE WHEN language = 'ja' THEN card_number ELSE coalesce(scanned_number, card_number) END, '0')", "'ja'"), KEYS, ALIAS),
     "p2_extract_prices": with_views(r"""SELECT page_id, CAST(regexp_extract(html, 'Ungraded</td><td>\$([0-9.]+)', 1) AS DOUBLE) AS ungraded, NULL::DOUBLE AS grade_7, NULL::DOUBLE AS grade_8, NULL::DOUBLE AS grade_9, TRY_CAST(nullif(regexp_extract(html, 'PSA 10</td><td>\$([0-9.]+)', 1), '') AS DOUBLE) AS grade_10 FROM v_price_pages"""),
-    "p3_extract_history": with_views(r"""SELECT page_id, series, (i - 1)::INT AS at, strftime(to_timestamp(CAST(pt[1] AS BIGINT) / 1000) AT TIME ZONE 'UTC', '%Y-%m') AS month, round(CAST(pt[2] AS BIGINT) / 100, 2) AS price FROM (
-      SELECT page_id, series, i, from_json(json_extract(j, '$[' || (i - 1) || ']'), '["BIGINT"]') AS pt FROM (SELECT page_id, series, json_extract(c, '$.' || series) AS j, unnest(range(1, 1 + json_array_length(json_extract(c, '$.' || series))::INT)) AS i FROM (
-      SELECT page_id, regexp_extract(html, 'chart_data = (\{.*\});', 1)::JSON AS c FROM v_price_pages), (VALUES ('used'), ('graded')) AS s(series))) WHERE pt[2] <> 0"""),
+    "p3_extract_history": with_views(HISTORY),
     "p4_extract_sales": with_views("""SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS page_id, 1 AS at, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date_text, 'card ' || l_partkey || CASE l_linenumber % 3 WHEN 0 THEN 'see' WHEN 1 THEN 'list' ELSE 'offer' END AS title,
       CAST(l_quantity AS INT) + CASE WHEN l_linenumber % 5 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS price, CASE l_linenumber % 3 WHEN 0 THEN 'https://www.ebay.example/itm/' || l_orderkey WHEN 2 THEN 'https://prices.example/offer/' || l_partkey END AS url FROM lineitem"""),
     "p5_recent_sales": with_views("""SELECT card_id, l_orderkey, l_linenumber, l_suppkey, rank, date_text, title, href FROM (SELECT *, count(href) OVER (PARTITION BY card_id) AS links FROM (
@@ -84,8 +99,12 @@ ORACLES = {
       SELECT c.card_id, l.cached, l.price, epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(l.cached)) AS age FROM v_catalog c LEFT JOIN (SELECT card_id, scanned_at AS cached, CASE WHEN scan_type <> 'click' THEN price_loose END AS price FROM v_history WHERE card_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY scanned_at DESC, id DESC) = 1) l USING (card_id)))"""),
     "p9_batch_prices": with_views("""SELECT request_id, q."at", q.card_id, CASE WHEN c.card_id IS NULL THEN 'not_found' ELSE 'ok' END AS status, CASE WHEN c.card_id IS NOT NULL THEN ungraded END AS price FROM (SELECT request_id, card_id, row_number() OVER (PARTITION BY request_id ORDER BY f, card_id)::INT AS "at" FROM (SELECT request_id, card_id, min(pos) AS f FROM v_requests GROUP BY 1, 2)) q
       LEFT JOIN v_catalog c USING (card_id) LEFT JOIN pr ON pr.card_id = q.card_id WHERE q."at" <= 25""", PARTS),
+    "p9_batch_prices_slim": with_views("""SELECT request_id, q."at", q.card_id, CASE WHEN c.card_id IS NULL THEN 'not_found' ELSE 'ok' END AS status, CASE WHEN c.card_id IS NOT NULL THEN ungraded END AS ungraded, CASE WHEN c.card_id IS NOT NULL THEN grade_10 END AS grade_10, CASE WHEN c.card_id IS NULL THEN NULL ELSE coalesce(n, 0) END AS n_sales, CASE WHEN c.card_id IS NULL THEN NULL ELSE coalesce(sales, '') END AS sales
+      FROM (SELECT request_id, card_id, row_number() OVER (PARTITION BY request_id ORDER BY f, card_id)::INT AS "at" FROM (SELECT request_id, card_id, min(pos) AS f FROM v_requests GROUP BY 1, 2)) q LEFT JOIN v_catalog c USING (card_id) LEFT JOIN pr ON pr.card_id = q.card_id LEFT JOIN s3 ON s3.card_id = q.card_id WHERE q."at" <= 25""",
+      SQ, PARTS, RECENT, "s3 AS (SELECT card_id, count(*)::INT AS n, string_agg(concat_ws(' ', date_text, title, href), '|' ORDER BY rank) AS sales FROM rs WHERE rank <= 3 GROUP BY card_id)", "u0 AS (SELECT 1 FROM v_sales LIMIT 0)"),
     "p10_classify_sales": with_views("""SELECT card_id, sale_class, rank, l_orderkey, l_linenumber, l_suppkey, title FROM (SELECT *, row_number() OVER (PARTITION BY card_id, sale_class ORDER BY l_orderkey, l_linenumber, l_suppkey)::INT AS rank FROM (SELECT *, CASE WHEN title LIKE '%PSA 10%' THEN '10' WHEN title LIKE '%BGS-9%' THEN '9' ELSE 'raw' END AS sale_class FROM v_sales WHERE title NOT LIKE '%Poke Ball%')) WHERE rank <= 10"""),
     "p11_convert_currency": "SELECT p_partkey AS card_id, jpy, CASE WHEN jpy IS NULL THEN 'N/A' ELSE '¥' || format('{:,}', jpy) END AS shown FROM (SELECT p_partkey, floor(CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END * rate + 0.5)::BIGINT AS jpy FROM part, (SELECT 140 + round(value, 1) AS rate FROM events ORDER BY ts DESC, event_id DESC LIMIT 1))",
+    "p11_convert_history": with_views("SELECT page_id, series, h.\"at\", month, floor(price * rate + 0.5)::DOUBLE AS price FROM (" + HISTORY + ") h, (SELECT 140 + round(value, 1) AS rate FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)"),
     "p12_chart_series": """SELECT card_id, (points - r)::INT AS place, price, CASE WHEN (points - r) % ceil(points / 6)::INT = 0 THEN left(month, 7) ELSE '' END AS label, CASE WHEN most < 1 THEN 2 WHEN most < 10 THEN 1 ELSE 0 END AS decimals FROM (
       SELECT *, count(*) OVER (PARTITION BY card_id) AS points, max(price) OVER (PARTITION BY card_id) AS most FROM (SELECT o_custkey AS card_id, strftime(o_orderdate, '%Y-%m-%d') AS month, round(o_totalprice / 10000, 2) AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 24) WHERE points >= 2""",
     "p13_portfolio_value": with_views("SELECT collection_id, round(coalesce(sum(CASE WHEN seq % 2 = 0 THEN grade_10 ELSE ungraded END), 0), 2) AS value, count(*) AS items FROM v_collection_events JOIN pr USING (card_id) WHERE op = 'add' GROUP BY collection_id", PARTS),
