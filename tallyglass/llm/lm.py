@@ -5,9 +5,9 @@ classes of like frequency, and the probability of w after u, v is that of its cl
 log-bilinear scores: S[class] . q + s[class] and R[w] . q + b[w] with q = A[u] + B[v]. Both are normalised exactly, in batched matrix
 products. A word without a symbol has the probability of the symbol for others times its smoothed share of their occurrences.
 
-Texts are encoded once into files of symbols. Training walks ``ROUNDS`` times over all training documents: each time, every task trains
-on its own documents from the common parameters, which are then averaged by the number of tokens, chunk by chunk. Counts of all words come
-from one aggregation and stay distributed; only the ``HEAD`` most frequent go to the executors, the rest is joined.
+Texts are encoded once into files of symbols. Training has two rounds, over half of the training documents and then over all: in each,
+every task trains on its own documents from the common parameters, which are then averaged by the number of tokens, chunk by chunk. Counts
+of all words come from one aggregation and stay distributed; only the ``HEAD`` most frequent go to the executors, the rest is joined.
 
 Defined cases: null text is empty (the end alone); a null ``doc_id`` is not held out; repeated rows are scored each, and counted each
 in training; without training documents counts are zero and the score equals the base; an empty table gives an empty result;
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, scratch, texts
 
-#: Words with a symbol, width of the vectors, noise classes a batch, noise words a class and batch, tokens a batch, step size, passes.
-WORDS, WIDTH, NOISE, BESIDE, BATCH, STEP, ROUNDS = 8190, 16, 16, 4, 4096, 0.05, 2
+#: Words with a symbol, width of the vectors, noise classes a batch, noise words a class and batch, tokens a batch, step size.
+WORDS, WIDTH, NOISE, BESIDE, BATCH, STEP = 8190, 16, 16, 4, 4096, 0.05
 #: Most words whose counts are sent to the executors.
 HEAD = 300_000
 #: Words counted in a task before it hands them on; parameters in a chunk; tokens scored together; parts of a range of counts.
@@ -134,9 +134,11 @@ class Parameters:
 
 
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1)
+    """Of each row's scores, the log of the softmax at ``at``. Scores of moderate size need no shift to keep their exponentials finite."""
+    top = scores.max(axis=1) if np.abs(scores).max(initial=0) > 60 else np.float32(0)
     own = scores[np.arange(len(at)), at] - top
-    scores -= top[:, None]
+    if np.ndim(top):
+        scores -= top[:, None]
     return own - np.log(np.exp(scores, out=scores).sum(axis=1))
 
 
@@ -162,40 +164,50 @@ class Trainer:
         self.sizes = np.diff(start.edges)
         self.log_beside = np.log(BESIDE / self.sizes).astype(np.float32)
 
-    def _step(self, table: int, at: np.ndarray, g: np.ndarray) -> None:
-        rows, g = _sums(at, g)
-        g /= BATCH
+    def _step(self, table: int, rows: np.ndarray, g: np.ndarray) -> None:
+        g = g / np.float32(BATCH)
         t, s = self.p.tables[table], self.square[table]
-        s[rows] += g * g
-        t[rows] += STEP * g / np.sqrt(s[rows])
+        now = s[rows] + g * g
+        s[rows] = now
+        t[rows] += np.float32(STEP) * g / np.sqrt(now)
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         """One batch: symbols ``w`` after ``u``, ``v`` (``v`` the nearer)."""
         a, b, r, bias, s, s_bias = self.p.tables
-        k = self.p.of[w]
+        n, k = len(w), self.p.of[w]
         q = a[u] + b[v]
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.upto) - 1)
         beside = self.p.edges[:-1, None] + (self.rng.random((len(self.sizes), BESIDE)) * self.sizes[:, None]).astype(np.int64)
-        sk, sn, rw = s[k], s[noise], r[w]
-        pull = 1 / (1 + np.exp((q * sk).sum(axis=1) + s_bias[k] - self.log_noise[k]))
-        push = -1 / (1 + np.exp(-(q @ sn.T + s_bias[noise] - self.log_noise[noise])))
-        several = (self.sizes[k] > 1).astype(np.float32)
-        at = beside[k]
-        rn = r[at]
+        sk, sn, rw, rn = s[k], s[noise], r[w], r[beside][k]
+        pull = 1 / (1 + np.exp((q * sk).sum(axis=1) + (s_bias - self.log_noise)[k]))
+        push = -1 / (1 + np.exp((self.log_noise - s_bias)[noise] - q @ sn.T))
+        # a class of one word has nothing to tell apart
+        several = (self.sizes > 1).astype(np.float32)[k]
         pull_w = several / (1 + np.exp((q * rw).sum(axis=1) + bias[w] - self.log_beside[k]))
-        push_w = -several[:, None] / (1 + np.exp(-(np.einsum("nd,nkd->nk", q, rn) + bias[at] - self.log_beside[k][:, None])))
+        push_w = -several[:, None] / (1 + np.exp((self.log_beside[:, None] - bias[beside])[k] - np.einsum("nd,nkd->nk", q, rn)))
         gq = pull[:, None] * sk + push @ sn + pull_w[:, None] * rw + np.einsum("nk,nkd->nd", push_w, rn)
-        classes, g = _sums(k, np.concatenate([push_w, (push_w[:, :, None] * q[:, None, :]).reshape(len(w), -1)], axis=1))
-        places = beside[classes].ravel()
-        self._step(0, u, gq)
-        self._step(1, v, gq)
-        self._step(2, w, pull_w[:, None] * q)
-        self._step(2, places, g[:, BESIDE:].reshape(-1, WIDTH))
-        self._step(3, w, pull_w)
-        self._step(3, places, g[:, :BESIDE].ravel())
-        self._step(4, np.concatenate([k, noise]), np.concatenate([pull[:, None] * q, push.T @ q]))
-        self._step(5, np.concatenate([k, noise]), np.concatenate([pull, push.sum(axis=0)]))
-        self.n += len(w)
+        self._step(0, *_sums(u, gq))
+        self._step(1, *_sums(v, gq))
+        words, g = _sums(w, np.column_stack([pull_w[:, None] * q, pull_w]))
+        self._step(2, words, g[:, :WIDTH])
+        self._step(3, words, g[:, WIDTH])
+        # by class: what it learns itself, and what its noise words learn
+        order = np.argsort(k.astype(np.uint16), kind="stable")
+        q_sorted, push_sorted, by_class = q[order], push_w[order].T, k[order]
+        starts = np.flatnonzero(np.append(True, by_class[1:] != by_class[:-1]))
+        classes, ends = by_class[starts], np.append(starts[1:], n)
+        g_beside = np.empty((len(classes), BESIDE, WIDTH), np.float32)
+        for i, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            np.dot(push_sorted[:, lo:hi], q_sorted[lo:hi], out=g_beside[i])
+        pushed = np.add.reduceat(push_sorted, starts, axis=1).T
+        places, g = _sums(beside[classes].ravel(), np.column_stack([g_beside.reshape(-1, WIDTH), pushed.ravel()]))
+        self._step(2, places, g[:, :WIDTH])
+        self._step(3, places, g[:, WIDTH])
+        g = np.add.reduceat(np.column_stack([pull[order, None] * q_sorted, pull[order]]), starts, axis=0)
+        classes, g = _sums(np.append(classes, noise), np.concatenate([g, np.column_stack([push.T @ q, push.sum(axis=0)])]))
+        self._step(4, classes, g[:, :WIDTH])
+        self._step(5, classes, g[:, WIDTH])
+        self.n += n
 
 
 def contexts(texts_: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,11 +277,12 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(encoded: DataFrame, start: Parameters, end: int) -> Parameters:
-    """``ROUNDS`` passes over the training documents; each ends in an average of what the tasks learned."""
+    """A first round over half of the training documents, a second over all; each ends in an average of what the tasks learned."""
     spark = encoded.sparkSession
-    for k in range(ROUNDS):
+    train = encoded.filter("NOT held_out")
+    for k, docs in enumerate((train.filter(F.pmod(F.xxhash64("row"), F.lit(2)) == 0), train)):
         shared = spark.sparkContext.broadcast(start)
-        found = encoded.filter("NOT held_out").select("symbols").mapInArrow(_train(shared, end, 100_003 * k), "chunk int, n double, p binary")
+        found = docs.select("symbols").mapInArrow(_train(shared, end, 100_003 * k), "chunk int, n double, p binary")
         rows = found.repartition(partitions(spark), "chunk").mapInArrow(_average, "chunk int, p binary").collect()
         if rows:
             start = start.filled(np.concatenate([np.frombuffer(r.p, "<f4") for r in sorted(rows, key=lambda r: r.chunk)]))
