@@ -62,17 +62,21 @@ def intersect_boost(image: DataFrame, text: DataFrame, catalog: DataFrame, k: in
     return again(j, F.col("kind"), F.when(F.col("kind") == 2, promo()).otherwise(0), F.coalesce("ri", "rt"), F.col("card_id")).filter(F.col("rank") <= k).select("query_id", "card_id", "kind", "rank")
 
 
+def image_label(best: Column) -> Column:
+    return F.when(best.isNull(), "image:no_match").otherwise(F.format_string("image:%.2f", best))
+
+
 def assemble(crops: DataFrame, fused: DataFrame, image_sim: DataFrame, text: DataFrame, least_sim: float = 0.83) -> DataFrame:
-    """One row per crop: ordered candidates, the source (both, image, ocr, none) and the partial flag with its reasons.
+    """One row per crop: ordered candidates, the label of the search used, the source (both, image, ocr, none) and the partial flag with its reasons.
 
-    ``crops(query_id, image_failed, ocr_failed)``; ``image_sim(query_id, best)``.
+    ``crops(query_id, label, image_failed, ocr_failed)``, ``label`` of the text search; ``image_sim(query_id, best)``.
     """
     lists = fused.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "card_id"))).alias("c"))
     j = crops.join(lists, "query_id", "left").join(image_sim, "query_id", "left").join(text.select("query_id", F.lit(True).alias("has_text")).distinct(), "query_id", "left")
     has_text = F.coalesce("has_text", F.lit(False))
     has_image = F.col("best").isNotNull() & (~has_text | (F.col("best") >= least_sim))
     reasons = F.array_compact(F.array(F.when(F.col("image_failed"), "image_failed"), F.when(F.col("ocr_failed"), "ocr_failed")))
-    return j.select("query_id", F.coalesce(F.transform("c", lambda x: x["card_id"]), F.array().cast("array<bigint>")).alias("candidates"), F.when(has_text & has_image, "both").when(has_image, "image").when(has_text, "ocr").otherwise("none").alias("source"), (F.size(reasons) > 0).alias("partial"), F.when(F.size(reasons) > 0, F.array_join(reasons, ",")).alias("partial_reason"))
+    return j.select("query_id", F.coalesce(F.transform("c", lambda x: x["card_id"]), F.array().cast("array<bigint>")).alias("candidates"), F.when(has_text, F.col("label")).otherwise(image_label(F.col("best"))).alias("query_used"), F.when(has_text & has_image, "both").when(has_image, "image").when(has_text, "ocr").otherwise("none").alias("source"), (F.size(reasons) > 0).alias("partial"), F.when(F.size(reasons) > 0, F.array_join(reasons, ",")).alias("partial_reason"))
 
 
 def first_per_top_hit(results: DataFrame) -> DataFrame:

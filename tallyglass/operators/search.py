@@ -127,16 +127,36 @@ def tokens_search(queries: DataFrame, catalog: DataFrame, k: int = 10, k1: float
     return top(found, ["query_id"], [F.desc("score"), F.asc("card_id")], k).select("query_id", "card_id", "score", "rank")
 
 
-def tiered_lookup(queries: DataFrame, ref: DataFrame, strict: bool = True) -> DataFrame:
-    """The best row of equal name: by total and number, total, number, newest; ``strict`` gives none if a hint was given but nothing matches it."""
-    j = queries.select("query_id", *KEY, F.col("text").alias("name"), F.col("card_number").alias("q"), F.col("set_total").alias("t")).join(ref.select("card_id", *KEY, "name", "card_number", "set_total"), [*KEY, "name"])
+def tiered_lookup(queries: DataFrame, ref: DataFrame, strict: bool = True, second: DataFrame | None = None) -> DataFrame:
+    """``query_id, card_id, tier``: the best row of equal name, by total and number (0), total (1), number (2), newest (3).
+
+    ``strict`` gives none if a hint was given but nothing matches it. ``second(card_id, game, language, name, set_total, place)`` answers
+    for names that ``ref`` does not have: the least place in a set of the total (4), else the newest (5).
+    """
+    q = queries.select("query_id", *KEY, F.col("text").alias("name"), F.col("card_number").alias("q"), F.col("set_total").alias("t"))
+    j = q.join(ref.select("card_id", *KEY, "name", "card_number", "set_total"), [*KEY, "name"])
     number = F.coalesce(strip_zeros(F.col("card_number")) == strip_zeros(F.col("q")), F.lit(False))
     total = F.coalesce(F.col("set_total") == F.col("t"), F.lit(False))
     tier = F.when(total & number, 0).when(total, 1).when(number, 2).otherwise(3)
     best = top(j.withColumn("tier", tier), ["query_id"], [F.asc("tier"), F.desc("card_id")], 1)
     if strict:
         best = best.filter((F.col("tier") < 3) | (F.col("q").isNull() & F.col("t").isNull()))
-    return best.select("query_id", "card_id", "tier")
+    best = best.select("query_id", "card_id", "tier")
+    if second is None:
+        return best
+    unknown = q.join(ref.select(*KEY, "name").distinct(), [*KEY, "name"], "left_anti")
+    other = unknown.join(second.select("card_id", *KEY, "name", "set_total", "place"), [*KEY, "name"]).withColumn("tier", F.when(F.coalesce((F.col("t") > 0) & (F.col("set_total") == F.col("t")), F.lit(False)), 4).otherwise(5))
+    other = top(other, ["query_id"], [F.asc("tier"), F.when(F.col("tier") == 4, F.col("place")), F.desc("card_id")], 1)
+    return best.unionByName(other.select("query_id", "card_id", "tier"))
+
+
+def all_of_name(queries: DataFrame, ref: DataFrame, second: DataFrame) -> DataFrame:
+    """``query_id, card_id, rank``: all rows of equal name, the newest first; those of ``second`` where ``ref`` has none."""
+    q = queries.select("query_id", *KEY, F.col("text").alias("name"))
+    found = q.join(ref.select("card_id", *KEY, "name"), [*KEY, "name"])
+    other = q.join(found.select("query_id").distinct(), "query_id", "left_anti").join(second.select("card_id", *KEY, "name"), [*KEY, "name"])
+    both = found.unionByName(other)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("card_id")))).select("query_id", "card_id", "rank")
 
 
 def attach_metadata(ranked: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import rank as r
 from ..operators import search as s
 from ..operators import vectors as v
 from ..sources.views import table, view, with_views
+from .ocr import DICT, FOUND, NAMES, NEAR, NUM, OCR, entries
 from .search import CAT, J2, J2_PARTS, J3, QRY, j1, other_catalog  # noqa: F401
 
 #: Thresholds for the given vectors, whose similarities are low.
@@ -67,7 +68,7 @@ def ivf_recall(sp, d):
 
 
 def crops(sp, d):
-    return QRY(sp, d).select("query_id", (F.col("query_id") % 70 == 0).alias("image_failed"), (F.col("query_id") % 110 == 0).alias("ocr_failed"))
+    return QRY(sp, d).select("query_id", F.col("text").alias("label"), (F.col("query_id") % 70 == 0).alias("image_failed"), (F.col("query_id") % 110 == 0).alias("ocr_failed"))
 
 
 def fused(sp, d):
@@ -83,6 +84,18 @@ def flagship(sp, d):
     return out.withColumn("candidates", F.array_join("candidates", ","))
 
 
+def raw_scans(sp, d):
+    """Every tenth scan, a stated set."""
+    return OCR(sp, d).filter("scan_id % 10 = 0").withColumn("image_failed", F.col("scan_id") % 70 == 0).withColumn("ocr_failed", F.col("scan_id") % 110 == 0)
+
+
+def scanned(sp, d, raw, mode):
+    """Hints from a scan's raw text, its vector."""
+    own = QV(sp, d).join(raw.select(F.col("scan_id").alias("vec_id")), "vec_id", "left_semi")
+    out = i.identify_scans(raw, own, NAMES(sp, d), entries(sp, d), CAT(sp, d), VEC(sp, d), totals(sp, d), mode, least_sim=WITH_TEXT, floor=FLOOR, confident=CONFIDENT)
+    return out.withColumn("candidates", F.array_join("candidates", ","))
+
+
 def first_hits(sp, d):
     a = assembled(sp, d)
     return r.first_per_top_hit(a.select((F.col("query_id") % 200).alias("scan_id"), F.col("query_id").alias("crop"), "candidates", "source"))
@@ -107,6 +120,9 @@ QUERIES = {
     "r7_first_per_top_hit": first_hits,
     "r7_scan_counts": lambda sp, d: r.scan_counts(first_hits(sp, d)),
     "r8_identify": flagship,
+    "r8_identify_scans": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "combined"),
+    "r8_identify_ocr": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "ocr"),
+    "r8_identify_image": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "image"),
     "j_search_cascade": lambda sp, d: s.search(QRY(sp, d), CAT(sp, d)),
 }
 
@@ -149,17 +165,49 @@ def fuse_parts(img: str, txt: str, name: str = "fu", least=WITH_TEXT):
 
 
 def assemble_sql(crops_: str, fu: str, img: str, txt: str) -> str:
-    return f"""SELECT query_id, coalesce(c, '') AS candidates, CASE WHEN ht AND hi THEN 'both' WHEN hi THEN 'image' WHEN ht THEN 'ocr' ELSE 'none' END AS source, image_failed OR ocr_failed AS partial,
+    return f"""SELECT query_id, coalesce(c, '') AS candidates, CASE WHEN ht THEN label WHEN best IS NULL THEN 'image:no_match' ELSE printf('image:%.2f', best) END AS query_used, CASE WHEN ht AND hi THEN 'both' WHEN hi THEN 'image' WHEN ht THEN 'ocr' ELSE 'none' END AS source, image_failed OR ocr_failed AS partial,
       CASE WHEN image_failed AND ocr_failed THEN 'image_failed,ocr_failed' WHEN image_failed THEN 'image_failed' WHEN ocr_failed THEN 'ocr_failed' END AS partial_reason FROM (
-      SELECT cr.*, l.c, t.query_id IS NOT NULL AS ht, b.best IS NOT NULL AND (t.query_id IS NULL OR b.best >= {WITH_TEXT}) AS hi FROM {crops_} cr LEFT JOIN (SELECT query_id, string_agg(card_id::VARCHAR, ',' ORDER BY rank) AS c FROM {fu} GROUP BY query_id) l USING (query_id)
+      SELECT cr.*, l.c, b.best, t.query_id IS NOT NULL AS ht, b.best IS NOT NULL AND (t.query_id IS NULL OR b.best >= {WITH_TEXT}) AS hi FROM {crops_} cr LEFT JOIN (SELECT query_id, string_agg(card_id::VARCHAR, ',' ORDER BY rank) AS c FROM {fu} GROUP BY query_id) l USING (query_id)
       LEFT JOIN (SELECT query_id, max(sim) AS best FROM {img} GROUP BY query_id) b USING (query_id) LEFT JOIN (SELECT DISTINCT query_id FROM {txt}) t USING (query_id))"""
 
 
-CROPS = "cr0 AS (SELECT query_id, query_id % 70 = 0 AS image_failed, query_id % 110 = 0 AS ocr_failed FROM v_queries)"
+CROPS = "cr0 AS (SELECT query_id, text AS label, query_id % 70 = 0 AS image_failed, query_id % 110 = 0 AS ocr_failed FROM v_queries)"
 ASM = [*IMG, *CASCADE, *fuse_parts("kn", "tx"), CROPS]
 FIRST = f"fi AS (SELECT scan_id, crop, best, source FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, best ORDER BY crop) AS n FROM (SELECT query_id % 200 AS scan_id, query_id AS crop, nullif(string_split(candidates, ',')[1], '')::BIGINT AS best, source FROM ({assemble_sql('cr0', 'fu', 'kn', 'tx')}))) WHERE n = 1 OR best IS NULL)"
 USE = "u0 AS (SELECT 1 FROM v_catalog, v_queries LIMIT 0)"
 OTHER = [QV_SQL, "sw AS (SELECT * REPLACE (CASE WHEN language = 'en' THEN 'ja' ELSE 'en' END AS language) FROM qv)", knn("ka"), knn("kb", "sw")]
+#: Scans as they are and, for second-language ones, again as first-language ones under another id, which counts where the own has no hit.
+AGAIN = 1_000_000_000
+HINTS = [
+    f"o1 AS (SELECT scan_id, language, raw_text, CASE WHEN scan_id % 13 = 0 THEN 'onepiece' ELSE 'pokemon' END AS game FROM v_ocr WHERE scan_id % 10 = 0 AND scan_id % 110 <> 0)",
+    f"oc AS (SELECT scan_id, language, raw_text, game FROM o1 UNION ALL SELECT scan_id + {AGAIN}, 'en', raw_text, game FROM o1 WHERE language = 'ja')",
+    NUM, *FOUND, *NEAR, *DICT,
+    """hq AS (SELECT query_id, game, language, name AS text, card_number, TRY_CAST(set_total AS INT) AS set_total, CASE WHEN name IS NULL THEN '(unknown)' WHEN card_number IS NULL THEN name ELSE name || ' #' || card_number END AS label, CASE WHEN n <> '' THEN CASE WHEN ltrim(n, '0') = '' THEN '0' ELSE ltrim(n, '0') END END AS image_number
+      FROM (SELECT oc.scan_id AS query_id, oc.game, oc.language, CASE WHEN oc.game = 'onepiece' THEN ln.l[1] WHEN oc.language = 'ja' THEN dk.translation ELSE coalesce(fn.name, nk.name) END AS name, CASE WHEN oc.game = 'onepiece' THEN code ELSE number END AS card_number, CASE WHEN oc.game = 'pokemon' THEN total END AS set_total, regexp_extract(raw_text, '([0-9]+)/[0-9]+', 1) AS n
+      FROM oc JOIN nu USING (scan_id) JOIN ln USING (scan_id) LEFT JOIN fn USING (scan_id) LEFT JOIN nk USING (scan_id) LEFT JOIN dk USING (scan_id)))""",
+    f"h1 AS ({j1('hq')})",
+    J2_PARTS[1].replace("v_queries", "hq").replace("WHERE", "WHERE game = 'pokemon' AND text IS NOT NULL AND"),
+    J2_PARTS[2],
+    f"h2 AS ({J2})",
+    "ta AS (SELECT query_id, card_id, rank FROM h1 UNION ALL SELECT query_id, card_id, rank FROM h2)",
+    f"vi AS (SELECT query_id, CASE WHEN language = 'ja' AND query_id NOT IN (SELECT query_id FROM ta) THEN query_id + {AGAIN} ELSE query_id END AS vid FROM hq WHERE query_id < {AGAIN})",
+    "fq AS (SELECT vi.query_id, hq.* EXCLUDE (query_id) FROM vi JOIN hq ON hq.query_id = vid)",
+    "tx AS (SELECT vi.query_id, card_id, rank FROM vi JOIN ta ON ta.query_id = vid)",
+    TOT,
+    f"t2 AS (SELECT * FROM {DEDUPE.replace('v_queries', 'fq')} WHERE rank <= 10)",
+    "as0 AS (SELECT scan_id AS query_id, scan_id % 70 = 0 AS image_failed, scan_id % 110 = 0 AS ocr_failed FROM v_ocr WHERE scan_id % 10 = 0)",
+    "aq AS (SELECT as0.*, fq.label, fq.image_number, CASE WHEN contains(fq.label, '#') THEN fq.card_number END AS card_number FROM as0 LEFT JOIN fq USING (query_id))",
+]
+SCAN_IMAGE = [
+    QV_SQL.replace("vec_id % 10 = 0", "vec_id % 10 = 0 AND (vec_id % 70 <> 0 OR vec_id NOT IN (SELECT p_partkey FROM part))"),
+    knn(),
+    f"ki AS (SELECT kn.query_id, kn.card_id, kn.sim, row_number() OVER (PARTITION BY kn.query_id ORDER BY coalesce(ltrim(c.card_number, '0') = q.image_number, false) DESC, kn.rank, card_id)::INT AS rank FROM kn LEFT JOIN v_catalog c USING (card_id) LEFT JOIN aq q USING (query_id) WHERE kn.query_id IN (SELECT query_id FROM kn GROUP BY query_id HAVING max(sim) >= {FLOOR}))",
+]
+ORDERED = [
+    *fuse_parts("ki", "t2"),
+    "f2 AS (SELECT query_id, card_id, c.set_code, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(ltrim(c.card_number, '0') = ltrim(q.card_number, '0'), false) DESC, fu.rank, card_id)::INT AS rank FROM fu LEFT JOIN v_catalog c USING (card_id) LEFT JOIN aq q USING (query_id))",
+    "f3 AS (SELECT query_id, card_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(starts_with(set_code, 'mcd'), false), rank, card_id)::INT AS rank FROM f2)",
+]
 ORACLES = {
     "e1_prepare_vectors": with_views("""SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'wrong length' WHEN vec_id % 7 = 0 THEN 'other version' ELSE 'ok' END AS status,
       CASE WHEN vec_id % 13 <> 0 AND vec_id % 7 <> 0 THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) END AS sum_unit FROM v_vectors"""),
@@ -189,9 +237,14 @@ ORACLES = {
     "r7_scan_counts": with_views("SELECT scan_id, count(best) AS found, count(*) FILTER (source IN ('both', 'image')) AS confident FROM fi GROUP BY scan_id", *ASM, FIRST, USE),
     "r8_identify": with_views(
         assemble_sql("cr1", "f3", "ki", "t2"),
-        *IMG, *CASCADE, TOT, f"t2 AS (SELECT * FROM {DEDUPE})", f"ki AS (SELECT * FROM kn WHERE query_id IN (SELECT query_id FROM kn GROUP BY query_id HAVING max(sim) >= {FLOOR}))", *fuse_parts("ki", "t2"),
+        *IMG, *CASCADE, TOT, f"t2 AS (SELECT * FROM {DEDUPE})", f"ki AS (SELECT kn.query_id, kn.card_id, kn.sim, row_number() OVER (PARTITION BY kn.query_id ORDER BY coalesce(ltrim(c.card_number, '0') = ltrim(q.card_number, '0'), false) DESC, kn.rank, card_id)::INT AS rank FROM kn LEFT JOIN v_catalog c USING (card_id) LEFT JOIN v_queries q USING (query_id) WHERE kn.query_id IN (SELECT query_id FROM kn GROUP BY query_id HAVING max(sim) >= {FLOOR}))", *fuse_parts("ki", "t2"),
         "f2 AS (SELECT query_id, card_id, c.set_code, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(ltrim(c.card_number, '0') = ltrim(q.card_number, '0'), false) DESC, fu.rank, card_id)::INT AS rank FROM fu LEFT JOIN v_catalog c USING (card_id) LEFT JOIN v_queries q USING (query_id))",
         "f3 AS (SELECT query_id, card_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(starts_with(set_code, 'mcd'), false), rank, card_id)::INT AS rank FROM f2)",
-        "cr1 AS (SELECT query_id, false AS image_failed, false AS ocr_failed FROM v_queries)"),
+        "cr1 AS (SELECT query_id, text AS label, false AS image_failed, false AS ocr_failed FROM v_queries)"),
+    "r8_identify_scans": with_views(assemble_sql("aq", "f3", "ki", "t2"), *HINTS, *SCAN_IMAGE, *ORDERED, USE),
+    "r8_identify_ocr": with_views("""SELECT query_id, coalesce(c, '') AS candidates, coalesce(label, 'unknown') AS query_used, CASE WHEN c IS NULL THEN 'none' ELSE 'ocr' END AS source, ocr_failed AS partial, CASE WHEN ocr_failed THEN 'ocr_failed' END AS partial_reason
+      FROM aq LEFT JOIN (SELECT query_id, string_agg(card_id::VARCHAR, ',' ORDER BY rank) AS c FROM t2 GROUP BY query_id) USING (query_id)""", *HINTS, USE),
+    "r8_identify_image": with_views(f"""SELECT query_id, coalesce(c, '') AS candidates, CASE WHEN best IS NULL THEN 'image:no_match' ELSE printf('image:%.2f', best) END AS query_used, CASE WHEN best >= {CONFIDENT} THEN 'image' WHEN best IS NOT NULL THEN 'image:low' ELSE 'none' END AS source, image_failed AS partial, CASE WHEN image_failed THEN 'image_failed' END AS partial_reason
+      FROM aq LEFT JOIN (SELECT query_id, max(sim) AS best, string_agg(card_id::VARCHAR, ',' ORDER BY coalesce(starts_with(set_code, 'mcd'), false), ki.rank, card_id) AS c FROM ki LEFT JOIN v_catalog USING (card_id) GROUP BY query_id) USING (query_id)""", *HINTS, *SCAN_IMAGE, USE),
     "j_search_cascade": with_views("SELECT query_id, card_id, rank, source FROM tx", *CASCADE),
 }

@@ -96,8 +96,20 @@ def identified_in_full(sp, d):
     sink = lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
     run = frames.stream_identify(scans, find, sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    found = sp.read.schema("query_id long, candidates array<long>, source string, partial boolean, partial_reason string").parquet(f"{path}/out")
-    return found.select("query_id", F.array_join("candidates", ",").alias("candidates"), "source", "partial", "partial_reason")
+    found = sp.read.schema("query_id long, candidates array<long>, query_used string, source string, partial boolean, partial_reason string").parquet(f"{path}/out")
+    return found.select("query_id", F.array_join("candidates", ",").alias("candidates"), "query_used", "source", "partial", "partial_reason")
+
+
+def identified_scans(sp, d):
+    """``r8_identify_scans``, hints included, over a stream of raw scans in ``SCAN_BATCHES`` micro-batches."""
+    path, scans = landing(sp, "scans"), identify.raw_scans(sp, d)
+    scans.repartition(SCAN_BATCHES, "scan_id").write.parquet(f"{path}/in")
+    stream = sp.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    sink = lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    run = frames.stream_identify(stream, lambda batch: identify.scanned(sp, d, batch, "combined"), sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = sp.read.schema("query_id long, candidates string, query_used string, source string, partial boolean, partial_reason string").parquet(f"{path}/out")
+    return found.select("query_id", "candidates", "query_used", "source", "partial", "partial_reason")
 
 
 QUERIES = {
@@ -109,6 +121,7 @@ QUERIES = {
     "a25_write_results_jsonl": results_jsonl,
     "s3_stream_identify": identified_stream,
     "s3_stream_identify_full": identified_in_full,
+    "s3_stream_identify_scans": identified_scans,
 }
 
 ORACLES = {
@@ -122,4 +135,5 @@ ORACLES = {
     "a25_write_results_jsonl": with_views(f"SELECT query_id, string_agg(rank || ':' || card_id, ',' ORDER BY rank) AS candidates FROM ({j1()}) GROUP BY query_id"),
     "s3_stream_identify": with_views(j1()),
     "s3_stream_identify_full": identify.ORACLES["r8_identify"],
+    "s3_stream_identify_scans": identify.ORACLES["r8_identify_scans"],
 }

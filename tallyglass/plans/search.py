@@ -16,6 +16,14 @@ def other_catalog(spark, d):
     return CAT(spark, d).filter("card_id % 3 = 0").withColumn("card_id", F.col("card_id") + 1_000_000)
 
 
+def own_names(spark, d):
+    return CAT(spark, d).filter("card_id % 4 <> 0")
+
+
+def second_source(spark, d):
+    return CAT(spark, d).filter("card_id % 3 <> 1").select((F.col("card_id") + 2_000_000).alias("card_id"), "game", "language", "name", "set_total", (F.col("card_id") % 17).alias("place"))
+
+
 def certificates(spark, d):
     return QRY(spark, d).filter("query_id % 20 = 0").select(F.col("query_id").alias("cert_id"), F.col("text").alias("name"))
 
@@ -41,6 +49,8 @@ QUERIES = {
     "j5_language_fallback": lambda sp, d: s.language_fallback(QRY(sp, d), CAT(sp, d)),
     "j6_tokens_search": lambda sp, d: s.tokens_search(QRY(sp, d), CAT(sp, d)),
     "j7_tiered_lookup": lambda sp, d: s.tiered_lookup(QRY(sp, d), CAT(sp, d)),
+    "j7_lookup_second_source": lambda sp, d: s.tiered_lookup(QRY(sp, d), own_names(sp, d), False, second_source(sp, d)),
+    "j7_all_of_name": lambda sp, d: s.all_of_name(QRY(sp, d), own_names(sp, d), second_source(sp, d)),
     "j8_attach_metadata": lambda sp, d: s.attach_metadata(s.name_search(QRY(sp, d), CAT(sp, d)), CAT(sp, d)),
     "j9_match_certificates": lambda sp, d: s.match_certificates(certificates(sp, d), CAT(sp, d), prices(sp, d)),
     "j10_share_searches": lambda sp, d: s.share_searches(QRY(sp, d), CAT(sp, d)),
@@ -93,6 +103,7 @@ J6_PARTS = [
     f"qt AS (SELECT query_id, language, len(t) AS need, unnest(t) AS token FROM (SELECT query_id, language, list_distinct({TOKENS.format('text')}) AS t FROM v_queries))",
     "sc AS (SELECT query_id, card_id, need, count(*) AS c, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN po USING (token, language) JOIN df USING (token), st GROUP BY ALL)",
 ]
+SECOND = ["rf AS (SELECT * FROM v_catalog WHERE card_id % 4 <> 0)", "sc2 AS (SELECT card_id + 2000000 AS card_id, game, language, name, set_total, card_id % 17 AS place FROM v_catalog WHERE card_id % 3 <> 1)"]
 ORACLES = {
     "j1_name_search": with_views(j1()),
     "j2_fuzzy_search": with_views(J2, *J2_PARTS),
@@ -112,6 +123,11 @@ ORACLES = {
       SELECT q.query_id, c.card_id, q.card_number AS qn, q.set_total AS qt, CASE WHEN c.set_total = q.set_total AND ltrim(c.card_number, '0') = ltrim(q.card_number, '0') THEN 0 WHEN c.set_total = q.set_total THEN 1 WHEN ltrim(c.card_number, '0') = ltrim(q.card_number, '0') THEN 2 ELSE 3 END AS tier
       FROM v_queries q JOIN v_catalog c ON q.language = c.language AND q.text = c.name)) WHERE r = 1 AND (tier < 3 OR (qn IS NULL AND qt IS NULL))"""
     ),
+    "j7_lookup_second_source": with_views("""SELECT query_id, card_id, tier::INT AS tier FROM (SELECT q.query_id, c.card_id, CASE WHEN c.set_total = q.set_total AND ltrim(c.card_number, '0') = ltrim(q.card_number, '0') THEN 0 WHEN c.set_total = q.set_total THEN 1 WHEN ltrim(c.card_number, '0') = ltrim(q.card_number, '0') THEN 2 ELSE 3 END AS tier
+      FROM v_queries q JOIN rf c ON q.language = c.language AND q.text = c.name QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY tier, c.card_id DESC) = 1) UNION ALL SELECT query_id, card_id, tier::INT FROM (SELECT q.query_id, c.card_id, CASE WHEN c.set_total = q.set_total THEN 4 ELSE 5 END AS tier
+      FROM v_queries q JOIN sc2 c ON q.language = c.language AND q.text = c.name WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.language = q.language AND rf.name = q.text) QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY tier, CASE WHEN tier = 4 THEN c.place ELSE 0 END, c.card_id DESC) = 1)""", *SECOND),
+    "j7_all_of_name": with_views("""SELECT query_id, card_id, row_number() OVER (PARTITION BY query_id ORDER BY card_id DESC)::INT AS rank FROM (SELECT q.query_id, c.card_id FROM v_queries q JOIN rf c ON q.language = c.language AND q.text = c.name
+      UNION ALL SELECT q.query_id, c.card_id FROM v_queries q JOIN sc2 c ON q.language = c.language AND q.text = c.name WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.language = q.language AND rf.name = q.text))""", *SECOND),
     "j8_attach_metadata": with_views("SELECT query_id, rank, card_id, name, set_code, card_number FROM h1 JOIN v_catalog USING (card_id)", f"h1 AS ({j1()})"),
     "j9_match_certificates": with_views(
         "SELECT q.query_id AS cert_id, q.text AS name, f.card_id, p_retailprice AS price FROM ce q LEFT JOIN f USING (query_id) LEFT JOIN part ON p_partkey = f.card_id",

@@ -5,10 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def landing(spark: SparkSession, kind: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``; only where that is unset, as in tests, below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-landing-")
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what several branches use is worked out once, and survives lost executors."""
+    path = landing(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,7 +1,9 @@
 """Frame streams: confirmation gate, cooldown, ordered emission, limiter, debounce, running totals and expiring prices.
 
 Each has a batch twin over a table, which tests hold against the stream under different micro-batch splits. The stateful operators
-sort the rows of a micro-batch by (event time, id); a row older than the state of its key is late and dropped, and counted in state.
+sort the rows of a micro-batch by (event time, id). A row older than the last one of its key is late and dropped, and counted in the
+key's state by gate, cooldown and limiter; rows behind the watermark are dropped by Spark. State goes when a timer in event time finds its
+key idle for long enough; a key that comes back begins anew.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 # ---------------------------------------------------------------- batch twins
 
@@ -25,34 +28,54 @@ def confirm_gate(frames: DataFrame, high: float = 0.70) -> DataFrame:
     return frames.withColumn("pending", F.last(sets, ignorenulls=True).over(w)["top_card"]).filter(F.col("top_card").isNotNull() & ((F.col("sim") >= high) | (F.col("pending") == F.col("top_card")))).drop("pending")
 
 
-def _kept_times(seconds: int):
-    """Of sorted times, those kept when each kept one silences the next ``seconds``."""
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<struct<ts:timestamp,id:bigint>>").alias("kept"))
+def _in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, step) -> DataFrame:
+    """``df``, of key columns, order columns and no others, through ``step(state, row) -> (state, row out or None)`` key by key in order.
 
-    def step(s, x):
-        ok = s["last"].isNull() | (F.unix_micros(x["ts"]) - F.unix_micros(s["last"]) >= seconds * 1_000_000)
-        return F.struct(F.when(ok, x["ts"]).otherwise(s["last"]).alias("last"), F.when(ok, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
+    Rows stream through the task of their key: memory holds one batch and one state, whatever the key's size.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    return lambda times: F.aggregate(times, start, step, lambda s: s["kept"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = None
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[: len(keys)] != key:
+                    key, state = row[: len(keys)], None
+                state, made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=pa.schema([(n, ARROW[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)]))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 def cooldown(frames: DataFrame, seconds: int = 30) -> DataFrame:
     """``session_id, top_card, ts, frame_id`` of frames at least ``seconds`` after the last one emitted of the same session and card."""
-    g = frames.filter("top_card IS NOT NULL").groupBy("session_id", "top_card").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("frame_id").cast("long").alias("id")))).alias("t"))
-    return g.select("session_id", "top_card", F.explode(_kept_times(seconds)(F.col("t"))).alias("x")).select("session_id", "top_card", "x.ts", F.col("x.id").alias("frame_id"))
+
+    def step(last, row):
+        session, card, us, frame = row
+        return (us, row) if last is None or us - last >= seconds * 1_000_000 else (last, None)
+
+    f = frames.filter("top_card IS NOT NULL").select(F.col("session_id").cast("long").alias("session_id"), "top_card", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("frame_id").cast("long").alias("frame_id"))
+    kept = _in_order(f, ["session_id", "top_card"], ["us", "frame_id"], "session_id long, top_card string, us long, frame_id long", step)
+    return kept.select("session_id", "top_card", F.timestamp_micros("us").alias("ts"), "frame_id")
 
 
 def fixed_window_limit(events: DataFrame, n: int, seconds: int) -> DataFrame:
     """``key, ts, id, allowed``: the first event of a key opens a window of ``seconds``; its first n events are allowed; the next event after it opens another."""
-    g = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id")))).alias("t"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("open"), F.lit(0).alias("n"), F.array().cast("array<struct<ts:timestamp,id:bigint,allowed:boolean>>").alias("out"))
 
-    def step(s, x):
-        new = s["open"].isNull() | (F.unix_micros(x["ts"]) - F.unix_micros(s["open"]) >= seconds * 1_000_000)
-        count = F.when(new, F.lit(1)).otherwise(s["n"] + 1)
-        return F.struct(F.when(new, x["ts"]).otherwise(s["open"]).alias("open"), count.alias("n"), F.concat(s["out"], F.array(F.struct(x["ts"].alias("ts"), x["id"].alias("id"), (count <= n).alias("allowed")))).alias("out"))
+    def step(state, row):
+        key, us, at = row
+        opened, count = state if state is not None and us - state[0] < seconds * 1_000_000 else (us, 0)
+        return (opened, count + 1), (key, us, at, count < n)
 
-    return g.select("key", F.explode(F.aggregate("t", start, step, lambda s: s["out"])).alias("x")).select("key", "x.ts", "x.id", "x.allowed")
+    e = events.select(F.col("key").cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("id").cast("long").alias("id"))
+    return _in_order(e, ["key"], ["us", "id"], "key long, us long, id long, allowed boolean", step).select("key", F.timestamp_micros("us").alias("ts"), "id", "allowed")
 
 
 def ordered_emit(items: DataFrame) -> DataFrame:
@@ -83,26 +106,66 @@ def price_state(updates: DataFrame, now, hours: int = 24, missing_hours: int = 1
 
 # ---------------------------------------------------------------- streams
 
-_EMPTY = pd.DataFrame()
+#: How late an event may be, and how long after its last event a key's state is kept; both in event time.
+DELAY, IDLE_MS = "10 minutes", 6 * 3_600_000
+LATE = StructType([StructField("late", LongType())])
 
 
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = list(rows)
-    return pd.concat(parts).sort_values(by) if parts else _EMPTY
+    return pd.concat(parts).sort_values(by) if parts else pd.DataFrame()
 
 
-class _Gate(StatefulProcessor):
-    def __init__(self, high: float):
-        self.high = high
+class _Expiring(StatefulProcessor):
+    """State of a key that a timer clears ``idle_ms`` of event time after the key's last event."""
+
+    columns: list[str] = []
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", StructType([StructField("card", StringType()), StructField("ts", TimestampType()), StructField("late", LongType())]))
+        self.handle, self.late = handle, handle.getValueState("late", LATE)
+        self.state = handle.getValueState("state", self.schema)
+
+    def keep(self, values: tuple, last: pd.Timestamp, late: int = 0, idle_ms: int | None = None) -> None:
+        self.state.update(values)
+        if late:
+            self.late.update(((self.late.get()[0] if self.late.exists() else 0) + late,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(last.timestamp() * 1000) + (self.idle_ms if idle_ms is None else idle_ms))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        self.late.clear()
+        yield pd.DataFrame([], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(t: pd.Timestamp):
+    return t.to_pydatetime()
+
+
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+class _Gate(_Expiring):
+    schema = StructType([StructField("card", StringType()), StructField("ts", TimestampType())])
+    columns = ["session_id", "frame_id", "ts", "top_card", "sim"]
+
+    def __init__(self, high: float, idle_ms: int):
+        super().__init__(idle_ms)
+        self.high = high
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        card, last, late = self.pending.get() if self.pending.exists() else (None, None, 0)
-        out, r = [], _sorted(rows, ["ts", "frame_id"])
-        for row in r.itertuples():
-            if last is not None and row.ts < pd.Timestamp(last):
+        card, last = self.state.get() if self.state.exists() else (None, None)
+        out, late, last = [], 0, pd.Timestamp(last) if last is not None else None
+        for row in _sorted(rows, ["ts", "frame_id"]).itertuples():
+            if last is not None and row.ts < last:
                 late += 1
                 continue
             last = row.ts
@@ -113,93 +176,154 @@ class _Gate(StatefulProcessor):
                     out.append((row.session_id, row.frame_id, row.ts, row.top_card, row.sim))
                 if row.sim < self.high:
                     card = row.top_card
-        self.pending.update((card, last.to_pydatetime() if hasattr(last, "to_pydatetime") else last, late))
-        yield pd.DataFrame(out, columns=["session_id", "frame_id", "ts", "top_card", "sim"])
-
-    def close(self) -> None:
-        pass
+        self.keep((card, _plain(last)), last, late)
+        yield pd.DataFrame(out, columns=self.columns)
 
 
-def stream_confirm_gate(frames: DataFrame, high: float = 0.70) -> DataFrame:
+def stream_confirm_gate(frames: DataFrame, high: float = 0.70, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
     """``frames(session_id, frame_id, ts, top_card, sim)``, a stream; emits in append mode."""
-    return frames.groupBy("session_id").transformWithStateInPandas(_Gate(high), "session_id long, frame_id long, ts timestamp, top_card string, sim double", "Append", "None")
+    return _timed(frames, delay).groupBy("session_id").transformWithStateInPandas(_Gate(high, idle_ms), "session_id long, frame_id long, ts timestamp, top_card string, sim double", "Append", "EventTime")
 
 
-class _Cooldown(StatefulProcessor):
-    def __init__(self, seconds: int):
-        self.gap = pd.Timedelta(seconds=seconds)
+class _Cooldown(_Expiring):
+    schema = StructType([StructField("ts", TimestampType()), StructField("seen", TimestampType())])
+    columns = ["session_id", "top_card", "ts", "frame_id"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("ts", TimestampType())]))
+    def __init__(self, seconds: int, idle_ms: int):
+        super().__init__(idle_ms)
+        self.gap = pd.Timedelta(seconds=seconds)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        out = []
+        last, seen = (pd.Timestamp(x) for x in self.state.get()) if self.state.exists() else (None, None)
+        out, late = [], 0
         for row in _sorted(rows, ["ts", "frame_id"]).itertuples():
+            if seen is not None and row.ts < seen:
+                late += 1
+                continue
+            seen = row.ts
             if last is None or row.ts - last >= self.gap:
                 last = row.ts
                 out.append((row.session_id, row.top_card, row.ts, row.frame_id))
-        if last is not None:
-            self.last.update((last.to_pydatetime(),))
-        yield pd.DataFrame(out, columns=["session_id", "top_card", "ts", "frame_id"])
+        # what came more than the gap ago silences nothing
+        self.keep((_plain(last), _plain(seen)), seen, late)
+        yield pd.DataFrame(out, columns=self.columns)
 
-    def close(self) -> None:
-        pass
 
+def stream_cooldown(frames: DataFrame, seconds: int = 30, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
+    """State outlives the cooldown, however short ``idle_ms`` is."""
+    f = _timed(frames, delay).filter("top_card IS NOT NULL")
+    return f.groupBy("session_id", "top_card").transformWithStateInPandas(_Cooldown(seconds, max(idle_ms, seconds * 1000)), "session_id long, top_card string, ts timestamp, frame_id long", "Append", "EventTime")
 
-def stream_cooldown(frames: DataFrame, seconds: int = 30) -> DataFrame:
-    return frames.filter("top_card IS NOT NULL").groupBy("session_id", "top_card").transformWithStateInPandas(_Cooldown(seconds), "session_id long, top_card string, ts timestamp, frame_id long", "Append", "None")
 
+class _Limit(_Expiring):
+    schema = StructType([StructField("ts", TimestampType()), StructField("n", LongType()), StructField("seen", TimestampType())])
+    columns = ["key", "ts", "id", "allowed"]
 
-class _Limit(StatefulProcessor):
-    def __init__(self, n: int, seconds: int):
+    def __init__(self, n: int, seconds: int, idle_ms: int):
+        super().__init__(idle_ms)
         self.n, self.gap = n, pd.Timedelta(seconds=seconds)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", StructType([StructField("ts", TimestampType()), StructField("n", LongType())]))
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        at, n = self.open.get() if self.open.exists() else (None, 0)
-        at, out = pd.Timestamp(at) if at is not None else None, []
+        at, n, seen = self.state.get() if self.state.exists() else (None, 0, None)
+        at, seen = (pd.Timestamp(x) if x is not None else None for x in (at, seen))
+        out, late = [], 0
         for row in _sorted(rows, ["ts", "id"]).itertuples():
+            if seen is not None and row.ts < seen:
+                late += 1
+                continue
+            seen = row.ts
             if at is None or row.ts - at >= self.gap:
                 at, n = row.ts, 0
             n += 1
             out.append((row.key, row.ts, row.id, n <= self.n))
-        self.open.update((at.to_pydatetime(), int(n)))
-        yield pd.DataFrame(out, columns=["key", "ts", "id", "allowed"])
+        self.keep((_plain(at), int(n), _plain(seen)), seen, late)
+        yield pd.DataFrame(out, columns=self.columns)
 
-    def close(self) -> None:
-        pass
 
+def stream_limit(events: DataFrame, n: int, seconds: int, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
+    return _timed(events, delay).groupBy("key").transformWithStateInPandas(_Limit(n, seconds, max(idle_ms, seconds * 1000)), "key long, ts timestamp, id long, allowed boolean", "Append", "EventTime")
 
-def stream_limit(events: DataFrame, n: int, seconds: int) -> DataFrame:
-    return events.groupBy("key").transformWithStateInPandas(_Limit(n, seconds), "key long, ts timestamp, id long, allowed boolean", "Append", "None")
 
+class _Ordered(_Expiring):
+    schema = StructType([StructField("idx", LongType()), StructField("seen", TimestampType())])
+    columns = ["request_id", "idx", "item"]
 
-class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", StructType([StructField("idx", LongType())]))
+        super().init(handle)
         self.held = handle.getMapState("held", StructType([StructField("idx", LongType())]), StructType([StructField("item", StringType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        at, out = self.next.get()[0] if self.next.exists() else 0, []
-        for row in _sorted(rows, ["idx"]).itertuples():
-            self.held.updateValue((int(row.idx),), (row.item,))
+        (at, seen), late, out = self.state.get() if self.state.exists() else (0, None), 0, []
+        r = _sorted(rows, ["idx", "ts"])
+        seen = max(r["ts"].max(), pd.Timestamp(seen)) if seen is not None else r["ts"].max()
+        for row in r.itertuples():
+            if row.idx < at:
+                late += 1  # out already
+            elif not self.held.containsKey((int(row.idx),)):
+                self.held.updateValue((int(row.idx),), (row.item,))
         while self.held.containsKey((int(at),)):
             out.append((key[0], at, self.held.getValue((int(at),))[0]))
             self.held.removeKey((int(at),))
             at += 1
-        self.next.update((int(at),))
-        yield pd.DataFrame(out, columns=["request_id", "idx", "item"])
+        self.keep((int(at), _plain(seen)), seen, late)
+        yield pd.DataFrame(out, columns=self.columns)
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+
+def stream_ordered_emit(items: DataFrame, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
+    """``items(request_id, idx, item, ts)``, indexes from 0; an item waits in state for those before it, and one whose index has come is dropped."""
+    return _timed(items, delay).groupBy("request_id").transformWithStateInPandas(_Ordered(idle_ms), "request_id long, idx long, item string", "Append", "EventTime")
+
+
+class _Total(_Expiring):
+    schema = StructType([StructField("value", DoubleType()), StructField("priced", LongType()), StructField("seen", TimestampType())])
+    columns = ["session_id", "value", "priced"]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        value, priced, seen = self.state.get() if self.state.exists() else (0.0, 0, None)
+        r = _sorted(rows, ["ts"])
+        prices = r["price"].dropna()
+        value, priced = value + float(prices.sum()), priced + len(prices)
+        seen = max(r["ts"].max(), pd.Timestamp(seen)) if seen is not None else r["ts"].max()
+        self.keep((value, int(priced), _plain(seen)), seen)
+        yield pd.DataFrame([(key[0], round(value, 2) if priced else None, priced)], columns=self.columns)
+
+
+def stream_running_total(items: DataFrame, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
+    """``items(session_id, ts, price)``; in update mode, the value of each session that a batch changed."""
+    return _timed(items, delay).groupBy("session_id").transformWithStateInPandas(_Total(idle_ms), "session_id long, value double, priced long", "Update", "EventTime")
 
 
-def stream_ordered_emit(items: DataFrame) -> DataFrame:
-    """``items(request_id, idx, item)``, indexes from 0 and each once; an item waits in state for those before it."""
-    return items.groupBy("request_id").transformWithStateInPandas(_Ordered(), "request_id long, idx long, item string", "Append", "None")
+class _Prices(_Expiring):
+    schema = StructType([StructField("ts", TimestampType()), StructField("id", LongType()), StructField("price", DoubleType())])
+    columns = ["key", "ts", "price", "state"]
+
+    def __init__(self, hours: int, missing_hours: int):
+        super().__init__(hours * 3_600_000)
+        self.missing_ms = missing_hours * 3_600_000
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = _sorted(rows, ["ts", "id"]).iloc[-1]
+        old = self.state.get() if self.state.exists() else None
+        if old is not None and (pd.Timestamp(old[0]), old[1]) > (new.ts, new.id):
+            yield pd.DataFrame([], columns=self.columns)
+            return
+        missing = pd.isna(new.price)
+        self.keep((_plain(new.ts), int(new.id), None if missing else float(new.price)), new.ts, idle_ms=self.missing_ms if missing else self.idle_ms)
+        yield pd.DataFrame([(key[0], new.ts, None if missing else float(new.price), "missing" if missing else "fresh")], columns=self.columns)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        ts = pd.Timestamp(self.state.get()[0])
+        self.state.clear()
+        yield pd.DataFrame([(key[0], ts, None, "expired")], columns=self.columns)
+
+
+def stream_price_state(updates: DataFrame, hours: int = 24, missing_hours: int = 1, delay: str = DELAY) -> DataFrame:
+    """``updates(key, ts, id, price)``; in update mode, each key's latest price (a null price is a miss) and, once the watermark passes its life, that it expired."""
+    return _timed(updates, delay).groupBy("key").transformWithStateInPandas(_Prices(hours, missing_hours), "key long, ts timestamp, price double, state string", "Update", "EventTime")
 
 
 def stream_debounce(events: DataFrame, gap_ms: int = 400, delay: str = "10 seconds") -> DataFrame:
