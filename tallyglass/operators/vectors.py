@@ -1,7 +1,8 @@
 """Vector search: exact, by cells, and on 8-bit vectors; perceptual-hash re-ranking; parity of two vector tables.
 
-Exact search takes a stated set of queries in blocks of bounded size. Each block is one pass over the index, in which every task
-keeps the k best of its own rows for each query; only those reach the shuffle.
+Exact search takes a stated set of queries, which is landed once in the shared folder. Every task reads its rows of the index once and
+streams over the queries in blocks of bounded size; only the k best of its own rows for each query reach the shuffle, and nothing passes
+through the driver.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dot, hamming_hex, norm
+from ..sources.shared import landing
 from .search import top
 
-#: Query vectors sent to the executors at a time.
-BLOCK = 4096
+#: Query vectors and index rows compared at a time.
+BLOCK, COLUMNS = 512, 16_384
 
 
 def prepare(df: DataFrame, dim: int, version: str) -> DataFrame:
@@ -28,72 +32,74 @@ def prepare(df: DataFrame, dim: int, version: str) -> DataFrame:
     return df.withColumn("status", status).select("vec_id", "status", F.when(F.col("status") == "ok", unit).alias("unit"))
 
 
-def _matrix(column, dtype=np.float64) -> np.ndarray:
-    flat = column.flatten() if hasattr(column, "flatten") else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
+def _matrix(column: pa.ListArray, dtype=np.float64) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
-def _partial(shared, k: int, cosine: bool, floor: float | None):
+def _best(s: np.ndarray, own: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k greatest of each row that reach ``least``, and all that equal the k-th."""
+    if s.shape[1] > k:
+        least = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], least)[:, None]
+    return np.nonzero(s >= least)
+
+
+def _partial(path: str, k: int, cosine: bool, floor: float | None):
+    """Holds the index rows of its task and streams over the landed queries, block by block."""
+    least = -2.0 if floor is None else floor
+
+    def search(q, ids, v, own, scale):
+        found = []
+        for at in range(0, len(own), COLUMNS):
+            c = slice(at, at + COLUMNS)
+            s = (q @ v[c].T) * scale[c]
+            if cosine:
+                s = s / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v[c], axis=1), 1e-30)
+            s = np.round(s, 6)
+            s[ids[:, None] == own[c]] = -9
+            rows, columns = _best(s, own[c], k, least)
+            found.append((rows, own[c][columns], s[rows, columns]))
+        rows, cards, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((cards, -sims, rows))
+        rows, cards, sims = rows[order], cards[order], sims[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = nth < k
+        return pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]]), pa.array(cards[keep]), pa.array(sims[keep])], ["query_id", "card_id", "sim"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, langs, q = shared.value
-        best: dict[int, list] = {}
-        for b in batches:
-            b = b.filter(b.column("vector").is_valid())
-            if not b.num_rows:
+        held = [b for b in (b.filter(b.column("vector").is_valid()) for b in batches) if b.num_rows]
+        if not held:
+            return
+        own, scale = (np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in held]) for n in ("id", "scale"))
+        lang, v = np.array([x for b in held for x in b.column("language").to_pylist()]), np.concatenate([_matrix(b.column("vector")) for b in held])
+        mine = {at: (v[lang == at], own[lang == at], scale[lang == at]) for at in set(lang.tolist())}
+        files, root = fs.FileSystem.from_uri(path)
+        for info in files.get_file_info(fs.FileSelector(root)):
+            if not info.path.endswith(".parquet"):
                 continue
-            own, lang, v, scale = b.column("id").to_numpy(zero_copy_only=False), np.array(b.column("language").to_pylist()), _matrix(b.column("vector")), b.column("scale").to_numpy(zero_copy_only=False)
-            for at in np.unique(lang):
-                rows, mine = np.flatnonzero(lang == at), np.flatnonzero(langs == at)
-                s = (q[mine] @ v[rows].T) * scale[rows]
-                if cosine:
-                    s = s / np.maximum(np.linalg.norm(q[mine], axis=1)[:, None] * np.linalg.norm(v[rows], axis=1), 1e-30)
-                s = np.round(s, 6)
-                s[ids[mine][:, None] == own[rows]] = -9
-                if floor is not None:
-                    s[s < floor] = -9
-                for i, m in enumerate(mine):
-                    order = np.lexsort((own[rows], -s[i]))[:k]
-                    found = [(-float(s[i, j]), int(own[rows[j]])) for j in order if s[i, j] > -9]
-                    best[m] = sorted(best.get(m, []) + found)[:k]
-        rows = [(int(ids[m]), c, -s) for m, found in best.items() for s, c in found]
-        if rows:
-            x = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.float64())], ["query_id", "card_id", "sim"])
+            for b in pq.ParquetFile(files.open_input_file(info.path)).iter_batches(BLOCK):
+                ids, langs, q = b.column("vec_id").to_numpy(), np.array(b.column("language").to_pylist()), _matrix(b.column("embedding"))
+                for at in sorted(set(langs.tolist()) & set(mine)):
+                    yield search(q[langs == at], ids[langs == at], *mine[at])
 
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    held = []
-    for r in queries.filter("embedding IS NOT NULL").select("vec_id", "language", "embedding").toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def _knn(queries: DataFrame, index: DataFrame, k: int, cosine: bool, floor: float | None = None) -> DataFrame:
-    spark, out, schema = queries.sparkSession, None, "query_id long, card_id long, sim double"
-    for block in _blocks(queries):
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in block]), np.array([r.language for r in block]), np.array([r.embedding for r in block], np.float64)))
-        found = index.mapInArrow(_partial(shared, k, cosine, floor), schema)
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return top(out, ["query_id"], [F.desc("sim"), F.asc("card_id")], k)
+    path = landing(queries.sparkSession, "query-vectors")
+    queries.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "language", F.col("embedding").cast("array<double>").alias("embedding")).write.parquet(path)
+    found = index.mapInArrow(_partial(path, k, cosine, floor), "query_id long, card_id long, sim double")
+    return top(found, ["query_id"], [F.desc("sim"), F.asc("card_id")], k)
 
 
 def knn_exact(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, card_id, sim, rank``: cosine similarity within the query's language; no row matches itself; null vectors are skipped."""
-    rows = index.select(F.col("vec_id").alias("id"), "language", F.col("embedding").alias("vector"), F.lit(1.0).alias("scale"))
+    rows = index.select(F.col("vec_id").cast("long").alias("id"), "language", F.col("embedding").alias("vector"), F.lit(1.0).alias("scale"))
     return _knn(queries, rows, k, True)
 
 
 def knn_int8(queries: DataFrame, index8: DataFrame, floor: float = 0.45, k: int = 10) -> DataFrame:
     """As :func:`knn_exact` on 8-bit vectors: dot product times scale; rows below the floor are dropped before the k best are taken."""
-    return _knn(queries, index8.select(F.col("vec_id").alias("id"), "language", F.col("q").alias("vector"), "scale"), k, False, floor)
+    return _knn(queries, index8.select(F.col("vec_id").cast("long").alias("id"), "language", F.col("q").alias("vector"), "scale"), k, False, floor)
 
 
 def quantize(df: DataFrame) -> DataFrame:

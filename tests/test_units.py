@@ -104,6 +104,25 @@ def test_ivf_with_all_cells_is_exact(spark, sf):
     assert vectors.recall(vectors.knn_ivf(QV(spark, sf), cells, centres, 5), image(spark, sf)).first().recall == 1.0
 
 
+def test_ivf_recall_with_the_registered_probes(spark):
+    from tallyglass.plans.identify import ivf_recall
+
+    assert ivf_recall(spark, "/root/testdata/sf0.01").first().recall >= 0.9
+
+
+def test_knn_with_ties_nulls_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    monkeypatch.setattr(vectors, "COLUMNS", 4)
+    rows = [(k, "en" if k % 3 else "ja", [float(k % 4), 1.0, float(k % 2)]) for k in range(40)] + [(100, "en", None), (101, "xx", [0.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, language string, embedding array<double>")
+    unit = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for i, a, v in rows:
+        near = [(-round(sum(x * y for x, y in zip(v, w, strict=True)) / (unit(v) * unit(w)), 6), j) for j, b, w in rows if v and w and a == b and i != j]
+        want += [(i, j, -s, r + 1) for r, (s, j) in enumerate(sorted(near)[:5])]
+    assert sorted(tuple(r) for r in vectors.knn_exact(d, d, 5).collect()) == sorted(want)
+
+
 def test_nms_survivors(spark):
     b = spark.createDataFrame([(1, 1, 0, 0, 10, 10, 0.9), (1, 2, 1, 1, 11, 11, 0.8), (1, 3, 20, 20, 30, 30, 0.5), (1, 4, 0, 0, 9, 9, 0.1)], "image_id long, id int, x1 int, y1 int, x2 int, y2 int, confidence double")
     assert sorted(r.id for r in layout.nms(b, ["id"]).collect()) == [1, 3]
