@@ -35,6 +35,8 @@ BLOCK_CHARS = 4_000_000
 #: Every ASCII character that is no letter, digit or underscore separates words, and so do blanks and punctuation beyond ASCII.
 _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 _WIDE = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f\uff01-\uff0f]")
+#: Repetitions at most.
+MOST = 128
 #: Documents whose windows are embedded together.
 TOGETHER = 2000
 SCHEMA = "doc_id long, item_id long, start long, n_words long, distance long, similarity double"
@@ -81,7 +83,10 @@ def embed_keys(windows: np.ndarray, reps: int, samples: int = SAMPLES) -> np.nda
 
 @lru_cache
 def repetitions(recall: float = RECALL, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = 40) -> int:
-    """How many repetitions bring passages at the limit of ``similarity`` to ``recall``: from the measured agreement of the embeddings of 60 made pairs."""
+    """How many repetitions bring passages at the limit of ``similarity`` to ``recall``: from the measured agreement of the embeddings of 60 made pairs.
+
+    Raises where ``MOST`` do not.
+    """
     rng, chances = np.random.default_rng(5), []
     edits = int(round((1 - similarity) * length))
     for _ in range(60):
@@ -94,8 +99,10 @@ def repetitions(recall: float = RECALL, similarity: float = SIMILARITY, samples:
         k = embed_keys(np.stack([a, b]), 64, 1)
         chances.append((k[:, 0] == k[:, 1]).mean() ** samples)
     reps = 1
-    while np.mean([1 - (1 - c) ** reps for c in chances]) < recall and reps < 128:
+    while np.mean([1 - (1 - c) ** reps for c in chances]) < recall:
         reps += 1
+        if reps > MOST:
+            raise ValueError(f"{MOST} repetitions do not reach a recall of {recall} for items of {length} words")
     return reps
 
 

@@ -171,6 +171,26 @@ def test_decontamination_brute(spark, some, bench):
     assert {r.doc_id for r in decontam.clean(d, bench).collect()} == {doc for doc, _ in rows} - {doc for doc, _ in want}
 
 
+@pytest.mark.parametrize("length", [5, 10, 20, 40, 80, 160, 320])
+def test_decontamination_recall_at_the_limit(length):
+    rng = np.random.default_rng(length)
+    items, texts, k = [], [], int(0.2 * length + 1e-9)
+    for n in range(60):
+        w = [f"a{x}" for x in rng.integers(0, 1 << 40, length)]
+        items.append((n, " ".join(w)))
+        for _ in range(k):
+            at, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+            w[at : at + (kind != 0)] = [] if kind == 2 else [f"e{rng.integers(0, 1 << 40)}"]
+        texts.append(" ".join([f"b{x}" for x in rng.integers(0, 1 << 40, 30)] + w + [f"c{x}" for x in rng.integers(0, 1 << 40, 30)]))
+    found = {(d, i) for d, i, *_ in decontam.search(decontam.Items(items, decontam.SIMILARITY, decontam.RECALL), texts)}
+    assert sum((n, n) in found for n in range(60)) >= 59
+
+
+def test_decontamination_says_when_the_recall_is_out_of_reach():
+    with pytest.raises(ValueError):
+        decontam.repetitions(0.9999999, 0.3)
+
+
 def test_tokens_round_trip(spark, some):
     from tokenizers import Tokenizer
 
