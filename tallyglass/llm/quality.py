@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, texts
 
+#: Windows of a text up to which their places share the 64 bits of their hashes: 45 bits are left at least.
+LONG = 1 << 19
+BLANKS = " \t\n\x0b\x0c\r"
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
     "the of and to in a is that it for on was as with be by this are or an at from "
@@ -35,7 +38,8 @@ def measure(docs: DataFrame) -> DataFrame:
     """Counts and ratios of every whole text.
 
     A repeated three-word window is found by its 64-bit hash: the hashes, with the low bits replaced by the position, are
-    sorted as plain longs, and neighbours that agree above those bits are the repeats. All work stays inside the row.
+    sorted as plain longs, and neighbours that agree above those bits are the repeats. Texts of more than ``LONG`` words, of whose hashes
+    too few bits would be left, have them sorted whole with the position beside. All work stays inside the row.
     """
     return _measure_text(texts(docs), ["doc_id"])
 
@@ -45,7 +49,7 @@ def _measure_text(d: DataFrame, carried: list[str]) -> DataFrame:
         *carried,
         F.array_remove(F.split("text", f"{SPACE}+"), "").alias("words"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(BLANKS)) != "").alias("lines"),
     )
     n = F.size("words")
     d = d.select(
@@ -60,14 +64,19 @@ def _measure_text(d: DataFrame, carried: list[str]) -> DataFrame:
         F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).alias("windows"),
     )
     d = d.withColumn("repeats", F.size("windows") > F.size(F.array_distinct("windows")))
-    d = d.withColumn("sorted", F.when(F.col("repeats"), F.sort_array(F.transform("windows", lambda h, i: F.call_function("shiftleft", h, F.col("bits")).bitwiseOR(i.cast("long")))))).drop("windows")
+    short = F.col("repeats") & (F.size("windows") <= LONG)
+    d = d.withColumn("sorted", F.when(short, F.sort_array(F.transform("windows", lambda h, i: F.call_function("shiftleft", h, F.col("bits")).bitwiseOR(i.cast("long"))))))
+    d = d.withColumn("sorted_long", F.when(F.col("repeats") & (F.size("windows") > LONG), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))))).drop("windows")
 
-    def same(i: Column, j: Column) -> Column:
-        return F.call_function("shiftright", F.get("sorted", i), F.col("bits")) == F.call_function("shiftright", F.get("sorted", j), F.col("bits"))
+    def repeated(name: str, of) -> Column:
+        """Places in the sorted array whose neighbour is equal."""
+        same = lambda i, j: F.coalesce(of(F.get(name, i)) == of(F.get(name, j)), F.lit(False))
+        return F.filter(F.sequence(F.lit(0), F.size(name) - 1), lambda i: same(i, i - 1) | same(i, i + 1))
 
-    at = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    d = d.withColumn("starts", F.when(F.col("repeats"), F.transform(at, lambda i: F.get("sorted", i).bitwiseAND(low))))
+    starts = F.transform(repeated("sorted", lambda x: F.call_function("shiftright", x, F.col("bits"))), lambda i: F.get("sorted", i).bitwiseAND(low))
+    starts_long = F.transform(repeated("sorted_long", lambda x: x["h"]), lambda i: F.get("sorted_long", i)["i"])
+    d = d.withColumn("starts", F.when(F.col("sorted").isNotNull(), starts).when(F.col("sorted_long").isNotNull(), starts_long))
     covered = F.size(F.array_distinct(F.concat("starts", F.transform("starts", lambda p: p + 1), F.transform("starts", lambda p: p + 2))))
     d = d.withColumn("n_repeat_words", F.when(F.col("repeats"), covered).otherwise(0).cast("long"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)

@@ -75,6 +75,13 @@ def test_quality_by_hand(spark):
     assert "symbols" in got[5].failed_rules
 
 
+def test_quality_of_long_texts_sorts_whole_hashes(spark, some, odd, monkeypatch):
+    short, more = sorted(map(tuple, quality.judge(some).collect())), sorted(map(repr, quality.judge(odd).collect()))
+    monkeypatch.setattr(quality, "LONG", 20)
+    assert sorted(map(tuple, quality.judge(some).collect())) == short and sorted(map(repr, quality.judge(odd).collect())) == more
+    assert any(r[5] for r in short)
+
+
 def test_quality_keeps_good_labels(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     j = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).filter("n_words >= 50").join(labels, "doc_id")
