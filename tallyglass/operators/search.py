@@ -47,13 +47,30 @@ def name_search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFram
     return top(hits, ["query_id"], [exact, number, F.desc("card_id")], k).select("query_id", "card_id", "rank")
 
 
+def _rare_first(texts: DataFrame, text: str, freq: DataFrame, least: float, size: str, grams: str) -> DataFrame:
+    """Each distinct text with its trigrams as numbers (``grams``), their count (``size``) and, as ``x``, one row for each of its rarest ones.
+
+    Of two texts whose similarity exceeds ``least``, either shares more than ``least`` of its own trigrams with the other; so leaving out
+    that many of each, the most frequent ones, leaves one in common.
+    """
+    g = texts.select(*KEY, text, F.explode(F.transform(trigrams(F.col(text)), lambda x: F.xxhash64(x))).alias("x")).join(freq, [*KEY, "x"], "left")
+    g = g.groupBy(*KEY, text).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x"))).alias("s"))
+    g = g.withColumn(size, F.size("s")).withColumn(grams, F.transform("s", lambda y: y["x"]))
+    return g.select(*KEY, text, size, grams, F.explode(F.slice(grams, F.lit(1), F.col(size) - F.floor(F.col(size) * least - 1e-9).cast("int"))).alias("x"))
+
+
 def similar_pairs(needles: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """``game, language, needle, name, sim``: distinct texts whose trigram similarity exceeds ``least``."""
-    n = needles.select(*KEY, "needle").distinct().withColumn("g", trigrams(F.col("needle")))
-    m = names.select(*KEY, "name").distinct().withColumn("g", trigrams(F.col("name")))
-    shared = n.select(*KEY, "needle", F.size("g").alias("a"), F.explode("g").alias("x")).join(m.select(*KEY, "name", F.size("g").alias("b"), F.explode("g").alias("x")), [*KEY, "x"])
-    both = shared.groupBy(*KEY, "needle", "name", "a", "b").agg(F.count("*").alias("c"))
-    return both.withColumn("sim", F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).filter(F.col("sim") > least).select(*KEY, "needle", "name", "sim")
+    """``game, language, needle, name, sim``: distinct texts whose trigram similarity exceeds ``least``.
+
+    Candidates share one of their rarest trigrams and are of like size; frequent trigrams bring no pairs together.
+    """
+    m = names.select(*KEY, "name").distinct()
+    freq = m.select(*KEY, F.explode(F.transform(trigrams(F.col("name")), lambda x: F.xxhash64(x))).alias("x")).groupBy(*KEY, "x").agg(F.count("*").alias("n"))
+    left = _rare_first(needles.select(*KEY, "needle").distinct(), "needle", freq, least, "a", "ga")
+    right = _rare_first(m, "name", freq, least, "b", "gb")
+    like = (F.col("a") > F.col("b") * (least - 1e-9)) & (F.col("b") > F.col("a") * (least - 1e-9))
+    found = left.join(right, [*KEY, "x"]).filter(like).withColumn("c", F.size(F.array_intersect("ga", "gb"))).withColumn("sim", F.col("c") / (F.col("a") + F.col("b") - F.col("c")))
+    return found.filter(F.col("sim") > least).select(*KEY, "needle", "name", "sim").distinct()
 
 
 def fuzzy_search(queries: DataFrame, catalog: DataFrame, least: float = 0.35, k: int = 10) -> DataFrame:
