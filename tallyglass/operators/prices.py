@@ -91,7 +91,10 @@ def repair_url(href: Column) -> Column:
 def extract_sales(pages: DataFrame) -> DataFrame:
     """``page_id, at, date_text, title, price, url``: all rows of four cells or more of the sale tables; a marketplace's link first, else the title's unless it is a set listing."""
     tables = F.regexp_extract_all("html", F.lit('(?s)<table class="[^"]*hoverable-rows[^"]*sortable[^"]*">(.*?)</table>'), F.lit(1))
-    r = pages.select("page_id", F.posexplode(F.flatten(F.transform(tables, rows_of))).alias("at", "row")).withColumn("cells", cells_of(F.col("row"), "td")).filter("size(cells) >= 4")
+    r = pages.select("page_id", F.posexplode(F.flatten(F.transform(tables, rows_of))).alias("at", "row"))
+    # through a generator: a filter on the cells would be pushed below them and find them again
+    cells = F.filter(F.array(cells_of(F.col("row"), "td")), lambda c: F.size(c) >= 4)
+    r = r.select("page_id", "at", "row", F.explode(cells).alias("cells"))
     links = lambda x: F.transform(F.regexp_extract_all(x, F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)), repair_url)
     market = F.get(F.filter(links(F.col("row")), lambda u: u.rlike(MARKETS)), F.lit(0))
     own = F.get(links(F.col("cells")[2]), F.lit(0))
