@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, linededup, lm, mixing, passages, quality, quality_sql, simhash, tokenbin, warc
+from . import decontam, fingerprint, licenses, linededup, lm, mixing, passages, quality, quality_sql, simhash, tokenbin, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +65,7 @@ QUERIES = {
         op8_line_dedup,
         op9_lm_scoring,
         op10_quality_rules,
+        op11_document_fingerprints,
     )
 }
-ORACLES = {"op3_warc_revisits": warc.SQL, "op4_source_mixing": mixing.SQL, "op5_license_scan": licenses.SQL, "op8_line_dedup": linededup.SQL, "op10_quality_rules": quality_sql.SQL}
+ORACLES = {"op3_warc_revisits": warc.SQL, "op4_source_mixing": mixing.SQL, "op5_license_scan": licenses.SQL, "op8_line_dedup": linededup.SQL, "op10_quality_rules": quality_sql.SQL, "op11_document_fingerprints": fingerprint.SQL}
