@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, licenses, linededup, lm, mixing, passages, quality, quality_sql, simhash, tokenbin, warc
+from . import decontam, fingerprint, licenses, linededup, lm, merkle, mixing, negatives, passages, quality, quality_sql, simhash, tokenbin, warc
 from .common import table
 
 
@@ -52,6 +52,14 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +74,17 @@ QUERIES = {
         op9_lm_scoring,
         op10_quality_rules,
         op11_document_fingerprints,
+        op12_hard_negatives,
+        op13_merkle_manifest,
     )
 }
-ORACLES = {"op3_warc_revisits": warc.SQL, "op4_source_mixing": mixing.SQL, "op5_license_scan": licenses.SQL, "op8_line_dedup": linededup.SQL, "op10_quality_rules": quality_sql.SQL, "op11_document_fingerprints": fingerprint.SQL}
+ORACLES = {
+    "op3_warc_revisits": warc.SQL,
+    "op4_source_mixing": mixing.SQL,
+    "op5_license_scan": licenses.SQL,
+    "op8_line_dedup": linededup.SQL,
+    "op10_quality_rules": quality_sql.SQL,
+    "op11_document_fingerprints": fingerprint.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_merkle_manifest": merkle.SQL,
+}
