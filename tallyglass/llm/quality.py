@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, texts
 
-#: Windows of a text up to which their places share the 64 bits of their hashes: 45 bits are left at least.
-LONG = 1 << 19
+#: Windows of a text up to which their places share the 64 bits of their hashes: 50 bits are left at least, as many as tell 8,192 windows
+#: apart but for one text in 30 million.
+LONG = 1 << 13
 BLANKS = " \t\n\x0b\x0c\r"
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
