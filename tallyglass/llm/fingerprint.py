@@ -132,7 +132,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     d = with_likeness(with_likeness(with_sketch(d, "edited", "edited_sketch"), "sketch", "edited_sketch", "near_edited"), "sketch", "next_sketch", "near_next")
     return d.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array_join("sketch", "").alias("fingerprint"), F.array_join("edited_sketch", "").alias("edited_fingerprint"),
-        F.round("near_edited", 6).alias("near_edited"), F.round("near_next", 6).alias("near_next"),
+        "near_edited", "near_next",
         F.round(containment(F.col("sketch"), F.col("near_edited"), F.col("near_edited_both")), 6).alias("kept_share"), F.round(distinct_shingles(F.col("sketch")), 3).alias("n_shingles"),
     )
 
@@ -156,7 +156,7 @@ n AS (SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nt, coalesce(
 e AS (SELECT doc_id, length(t)::BIGINT AS n_chars, a, na, left(t, (length(t) - length(t) // 2)::BIGINT) || left(nt, (length(t) // 2)::BIGINT) AS edited FROM n),
 f AS (SELECT *, {_SKETCH} AS b FROM (SELECT *, {_words_sql("edited")} AS w FROM e))
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
- round({_NEAR.format("a", "b")}, 6) AS near_edited, round({_NEAR.format("a", "na")}, 6) AS near_next,
+ {_NEAR.format("a", "b")} AS near_edited, {_NEAR.format("a", "na")} AS near_next,
  round(CASE WHEN len(a) = 0 THEN 1.0 ELSE least(({_NEAR.format("a", "b")}) * {_SIZE.format(_ALL.format("a", "b"))} / {_SIZE.format("a")}, 1.0) END, 6) AS kept_share,
  round({_SIZE.format("a")}, 3) AS n_shingles FROM f
 """
