@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import strip_zeros
 from ..sources.shared import landed
 from . import ocr, rank, search, vectors
+from .grams import Grams
 
 HITS = "query_id long, card_id long, rank int"
 
@@ -40,13 +41,14 @@ def answer(queries: DataFrame, image: DataFrame, text: DataFrame, catalog: DataF
     return rank.assemble(crops, fused, best, text, least_sim)
 
 
-def identify(queries: DataFrame, query_vectors: DataFrame, catalog: DataFrame, index: DataFrame, totals: DataFrame, mode: str = "combined", least_sim: float = 0.83, floor: float = 0.45, confident: float = 0.65) -> DataFrame:
+def identify(queries: DataFrame, query_vectors: DataFrame, catalog: DataFrame, index: DataFrame, totals: DataFrame, mode: str = "combined", least_sim: float = 0.83, floor: float = 0.45, confident: float = 0.65, grams: Grams | None = None) -> DataFrame:
     """The answer to ready queries ``query_id, game, language, text, card_number, set_total``.
 
     Modes: ``ocr`` (text only), ``image`` (vectors only), ``combined``. Either search runs once over the whole table, and its hits are landed.
+    ``grams``: the stored index of the catalogue.
     """
     none = queries.sparkSession.createDataFrame([], HITS)
-    text = none if mode == "image" else landed(rank.dedupe_and_rank(search.search(queries, catalog).drop("source"), queries, catalog, totals), "text-hits")
+    text = none if mode == "image" else landed(rank.dedupe_and_rank(search.search(queries, catalog, grams=grams).drop("source"), queries, catalog, totals), "text-hits")
     image = none.withColumn("sim", F.lit(0.0)) if mode == "ocr" else image_hits(query_vectors, index, floor)
     q = queries.select("query_id", F.col("text").alias("label"), "card_number", F.col("card_number").alias("image_number"), F.lit(False).alias("image_failed"), F.lit(False).alias("ocr_failed"))
     return answer(q, image, text, catalog, mode, least_sim, confident)
@@ -59,18 +61,20 @@ def scan_queries(scans: DataFrame, names: DataFrame, entries: DataFrame) -> Data
     return h.select(F.col("scan_id").alias("query_id"), "game", "language", F.col("name").alias("text"), F.col("ja_trainer_name").alias("trainer"), "card_number", F.col("set_total").cast("int").alias("set_total"), "label", number.alias("image_number"))
 
 
-def text_search(queries: DataFrame, catalog: DataFrame, other: DataFrame | None = None, k: int = 10) -> DataFrame:
+def text_search(queries: DataFrame, catalog: DataFrame, other: DataFrame | None = None, k: int = 10, grams: Grams | None = None) -> DataFrame:
     """Substring, else fuzzy search by name; second-language trainer names where no name is known; a second catalogue where hits are few."""
     named = queries.filter("text IS NOT NULL")
-    first = search.name_search(named, catalog, k)
-    own = first.unionByName(search.fuzzy_search(search.unmatched(named, first), catalog, k=k).drop("sim"))
+    first = search.name_search(named, catalog, k, grams)
+    if grams and grams.name.buckets > 1:  # the buckets that the rest asks for are looked up first
+        first = landed(first, "name-hits")
+    own = first.unionByName(search.fuzzy_search(search.unmatched(named, first), catalog, k=k, grams=grams).drop("sim"))
     trainers = search.unmatched(queries.filter("language = 'ja' AND trainer IS NOT NULL"), own).withColumn("text", F.col("trainer"))
-    hits = own.unionByName(search.ja_name_search(trainers, catalog, k))
+    hits = own.unionByName(search.ja_name_search(trainers, catalog, k, grams))
     return hits if other is None else search.fallback_source(named, hits, catalog, other).drop("origin")
 
 
-def identify_scans(scans: DataFrame, query_vectors: DataFrame, names: DataFrame, entries: DataFrame, catalog: DataFrame, index: DataFrame, totals: DataFrame, mode: str = "combined", other: DataFrame | None = None, least_sim: float = 0.83, floor: float = 0.45, confident: float = 0.65, k: int = 10) -> DataFrame:
-    """The answer to raw scans: hints from their text, search by them, vectors, fusion.
+def identify_scans(scans: DataFrame, query_vectors: DataFrame, names: DataFrame, entries: DataFrame, catalog: DataFrame, index: DataFrame, totals: DataFrame, mode: str = "combined", other: DataFrame | None = None, least_sim: float = 0.83, floor: float = 0.45, confident: float = 0.65, k: int = 10, grams: Grams | None = None) -> DataFrame:
+    """The answer to raw scans: hints from their text, search by them, vectors, fusion. ``grams``: the stored index of the catalogue.
 
     ``scans(scan_id, game, language, raw_text, image_failed, ocr_failed)``: the flags say that a scan's image or text could not be had; that
     branch is left out and reported. Second-language scans without a hit are read and searched again as first-language ones.
@@ -83,11 +87,11 @@ def identify_scans(scans: DataFrame, query_vectors: DataFrame, names: DataFrame,
     if mode == "image":
         text = none
     else:
-        first = landed(text_search(q, catalog, other, k), "text-hits")
+        first = landed(text_search(q, catalog, other, k, grams), "text-hits")
         again = readable.filter("language = 'ja'").join(first.select(F.col("query_id").alias("scan_id")).distinct(), "scan_id", "left_anti").withColumn("language", F.lit("en"))
         q2 = landed(scan_queries(again, names, entries), "queries")
         q = q.join(q2.select("query_id"), "query_id", "left_anti").unionByName(q2)
-        hits = rank.dedupe_and_rank(first.unionByName(text_search(q2, catalog, other, k)), q, cards, totals)
+        hits = rank.dedupe_and_rank(first.unionByName(text_search(q2, catalog, other, k, grams)), q, cards, totals)
         text = landed(hits.filter(F.col("rank") <= k), "text-hits")
     image = none.withColumn("sim", F.lit(0.0)) if mode == "ocr" else image_hits(query_vectors.join(flags.filter("image_failed").select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), index, floor)
     # a number after fusion counts only where the label shows one

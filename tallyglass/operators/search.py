@@ -1,7 +1,8 @@
 """Text search of a catalogue by whole query tables.
 
 Theta joins (substring, trigram similarity) run as equi-joins over grams of the distinct texts of either side; only the pairs of
-texts that match fan out to rows. A catalogue row: ``card_id, game, language, name, ..``; a query row: ``query_id, game, language, text``.
+texts that match fan out to rows. The catalogue's grams are worked out within a search, or read from a stored index (``grams``, see
+:func:`.grams.stored`). A catalogue row: ``card_id, game, language, name, ..``; a query row: ``query_id, game, language, text``.
 """
 
 from __future__ import annotations
@@ -9,74 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import share, similarity, strip_zeros, trigrams, word_similarity
-
-KEY = ["game", "language"]
-
-
-def _pieces(s: Column, n: Column) -> Column:
-    """All distinct stretches of n characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n)))
-
-
-def substring_pairs(needles: DataFrame, names: DataFrame) -> DataFrame:
-    """``game, language, needle, name``: needles that occur in names, case ignored.
-
-    Each needle is looked up by its rarest piece of up to three characters; the pieces' counts come from the names.
-    """
-    needles = needles.select(*KEY, "needle").filter("needle <> ''").distinct()
-    names = names.select(*KEY, "name").filter("name <> ''").distinct()
-    pieces = names.select(*KEY, "name", F.explode(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: _pieces(F.lower("name"), n)))).alias("piece"))
-    freq = pieces.groupBy(*KEY, "piece").agg(F.count("*").alias("n"))
-    own = needles.select(*KEY, "needle", F.explode(_pieces(F.lower("needle"), F.least(F.length("needle"), F.lit(3)))).alias("piece"))
-    rare = own.join(freq, [*KEY, "piece"], "left").groupBy(*KEY, "needle").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count_if(F.col("n").isNull()).alias("absent"))
-    return rare.filter("absent = 0").join(pieces, [*KEY, "piece"]).filter(F.contains(F.lower("name"), F.lower("needle"))).select(*KEY, "needle", "name")
-
+from ..functions.exprs import similarity, strip_zeros, word_similarity
+from ..sources.shared import landed
+from .grams import KEY, Grams, similar_pairs, substring_pairs
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with their rank from 1."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def name_search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
+def name_search(queries: DataFrame, catalog: DataFrame, k: int = 10, grams: Grams | None = None) -> DataFrame:
     """``query_id, card_id, rank``: exact names first, then by number (if given) or set total, then the newest."""
-    pairs = substring_pairs(queries.select(*KEY, F.col("text").alias("needle")), catalog)
+    pairs = substring_pairs(queries.select(*KEY, F.col("text").alias("needle")), grams.name if grams else catalog)
     hits = queries.select("query_id", *KEY, F.col("text").alias("needle"), F.col("card_number").alias("q_number"), F.col("set_total").alias("q_total")).join(pairs, [*KEY, "needle"]).join(catalog.select("card_id", *KEY, "name", "card_number", "set_total"), [*KEY, "name"])
     exact = F.when(F.lower("name") == F.lower("needle"), 0).otherwise(1)
     number = F.when(F.col("q_number").isNotNull(), F.when(F.contains("card_number", "q_number"), 0).otherwise(1)).otherwise(F.when(F.col("set_total") == F.col("q_total"), 0).otherwise(1))
     return top(hits, ["query_id"], [exact, number, F.desc("card_id")], k).select("query_id", "card_id", "rank")
 
 
-def _rare_first(texts: DataFrame, text: str, freq: DataFrame, least: float, size: str, grams: str) -> DataFrame:
-    """Each distinct text with its trigrams as numbers (``grams``), their count (``size``) and, as ``x``, one row for each of its rarest ones.
-
-    Of two texts whose similarity exceeds ``least``, either shares more than ``least`` of its own trigrams with the other; so leaving out
-    that many of each, the most frequent ones, leaves one in common.
-    """
-    g = texts.select(*KEY, text, F.explode(F.transform(trigrams(F.col(text)), lambda x: F.xxhash64(x))).alias("x")).join(freq, [*KEY, "x"], "left")
-    g = g.groupBy(*KEY, text).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x"))).alias("s"))
-    g = g.withColumn(size, F.size("s")).withColumn(grams, F.transform("s", lambda y: y["x"]))
-    return g.select(*KEY, text, size, grams, F.explode(F.slice(grams, F.lit(1), F.col(size) - F.floor(F.col(size) * least - 1e-9).cast("int"))).alias("x"))
-
-
-def similar_pairs(needles: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """``game, language, needle, name, sim``: distinct texts whose trigram similarity exceeds ``least``.
-
-    Candidates share one of their rarest trigrams and are of like size; frequent trigrams bring no pairs together.
-    """
-    m = names.select(*KEY, "name").distinct()
-    freq = m.select(*KEY, F.explode(F.transform(trigrams(F.col("name")), lambda x: F.xxhash64(x))).alias("x")).groupBy(*KEY, "x").agg(F.count("*").alias("n"))
-    left = _rare_first(needles.select(*KEY, "needle").distinct(), "needle", freq, least, "a", "ga")
-    right = _rare_first(m, "name", freq, least, "b", "gb")
-    like = (F.col("a") > F.col("b") * (least - 1e-9)) & (F.col("b") > F.col("a") * (least - 1e-9))
-    found = left.join(right, [*KEY, "x"]).filter(like).withColumn("c", F.size(F.array_intersect("ga", "gb"))).withColumn("sim", F.col("c") / (F.col("a") + F.col("b") - F.col("c")))
-    return found.filter(F.col("sim") > least).select(*KEY, "needle", "name", "sim").distinct()
-
-
-def fuzzy_search(queries: DataFrame, catalog: DataFrame, least: float = 0.35, k: int = 10) -> DataFrame:
+def fuzzy_search(queries: DataFrame, catalog: DataFrame, least: float = 0.35, k: int = 10, grams: Grams | None = None) -> DataFrame:
     """``query_id, card_id, sim, rank`` by trigram similarity; give it the queries that :func:`name_search` left without a hit."""
     q = queries.select("query_id", *KEY, F.col("text").alias("needle"))
-    hits = q.join(similar_pairs(q, catalog, least), [*KEY, "needle"]).join(catalog.select("card_id", *KEY, "name"), [*KEY, "name"])
+    hits = q.join(similar_pairs(q, grams.name if grams else catalog, least), [*KEY, "needle"]).join(catalog.select("card_id", *KEY, "name"), [*KEY, "name"])
     return top(hits, ["query_id"], [F.desc("sim"), F.asc("card_id")], k).select("query_id", "card_id", F.round("sim", 6).alias("sim"), "rank")
 
 
@@ -84,21 +39,21 @@ def unmatched(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
 
 
-def ja_name_search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
+def ja_name_search(queries: DataFrame, catalog: DataFrame, k: int = 10, grams: Grams | None = None) -> DataFrame:
     """Substring search of the second-language name, number matches first, for queries of that language."""
     other = catalog.filter("language = 'ja' AND name_ja IS NOT NULL").select("card_id", *KEY, F.col("name_ja").alias("name"), "card_number", "set_total")
     q = queries.filter("language = 'ja'").withColumn("set_total", F.lit(None).cast("int"))
-    pairs = substring_pairs(q.select(*KEY, F.col("text").alias("needle")), other)
+    pairs = substring_pairs(q.select(*KEY, F.col("text").alias("needle")), grams.name_ja if grams else other)
     hits = q.select("query_id", *KEY, F.col("text").alias("needle"), F.col("card_number").alias("q")).join(pairs, [*KEY, "needle"]).join(other, [*KEY, "name"])
     return top(hits, ["query_id"], [F.when(F.contains("card_number", "q"), 0).otherwise(1), F.desc("card_id")], k).select("query_id", "card_id", "rank")
 
 
-def search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
+def search(queries: DataFrame, catalog: DataFrame, k: int = 10, grams: Grams | None = None) -> DataFrame:
     """The text cascade: substring, else fuzzy, else second-language name. ``query_id, card_id, rank, source``."""
-    first = name_search(queries, catalog, k)
+    first = name_search(queries, catalog, k, grams)
     left = unmatched(queries, first)
-    second = fuzzy_search(left, catalog, k=k)
-    third = ja_name_search(unmatched(left, second), catalog, k)
+    second = fuzzy_search(left, catalog, k=k, grams=grams)
+    third = ja_name_search(unmatched(left, second), catalog, k, grams)
     return first.withColumn("source", F.lit("name")).unionByName(second.drop("sim").withColumn("source", F.lit("fuzzy"))).unionByName(third.withColumn("source", F.lit("name_ja")))
 
 
@@ -130,18 +85,43 @@ def tokens_of(text: Column) -> Column:
 
 
 def tokens_search(queries: DataFrame, catalog: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Cards in which all tokens of a query occur (either name or the set), by BM25 over an inverted index."""
+    """Cards in which all tokens of a query occur (either name or the set), by BM25 over an inverted index. ``query_id, card_id, score, rank``.
+
+    Each different search is made once. Its cards come from the postings of its rarest token alone; the other tokens are looked up in the words
+    of those cards. Cards are dealt into blocks of equal length, for which each token's greatest weight is known: a search visits the block with
+    the greatest bound first, and then only the blocks whose bound reaches its k-th best score so far.
+    """
     body = F.array_remove(F.split(F.lower(F.concat_ws(" ", "name", "name_ja", "set_name")), r"[^\p{L}\p{N}]+"), "")
-    docs = catalog.select("card_id", "language", body.alias("words"), F.size(body).alias("dl"))
+    docs = catalog.select("card_id", "language", body.alias("words")).withColumn("dl", F.size("words"))
     size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    post = docs.select("card_id", "language", "dl", F.explode("words").alias("token")).groupBy("token", "language", "card_id", "dl").agg(F.count("*").alias("tf"))
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    q = queries.select("query_id", "language", tokens_of(F.col("text")).alias("t")).filter("size(t) > 0")
-    hit = q.select("query_id", "language", F.size("t").alias("need"), F.explode("t").alias("token")).join(post, ["token", "language"]).join(df, "token").join(F.broadcast(size))
+    weight = lambda tf: tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = hit.groupBy("query_id", "card_id", "need").agg(F.count("*").alias("c"), F.round(F.sum(score), 6).alias("score")).filter("c = need")
-    return top(found, ["query_id"], [F.desc("score"), F.asc("card_id")], k).select("query_id", "card_id", "score", "rank")
+    post = docs.select("card_id", "language", "dl", F.explode(F.array_distinct("words")).alias("token"), "words")
+    post = post.select("card_id", "language", "dl", "token", F.size(F.filter("words", lambda w: w == F.col("token"))).alias("tf"))
+    blocks = post.groupBy("token", "language", "dl").agg(F.count("*").alias("n_cards"), F.max("tf").alias("most"))
+    df = blocks.groupBy("token").agg(F.sum("n_cards").alias("df"))
+
+    q = queries.select("query_id", "language", F.sort_array(tokens_of(F.col("text"))).alias("t")).filter("size(t) > 0")
+    asked = q.select("language", "t").distinct()
+    known = asked.select("language", "t", F.explode("t").alias("token")).join(df, "token").join(F.broadcast(size)).withColumn("idf", idf)
+    known = known.groupBy("language", "t").agg(F.min_by("token", F.struct("df", "token")).alias("rarest"), F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idfs"), F.first("avgdl").alias("avgdl")).filter("size(idfs) = size(t)")
+    bounds = known.select("language", "t", "rarest", "idfs", "avgdl", F.explode("t").alias("token")).join(blocks, ["token", "language"])
+    bounds = bounds.groupBy("language", "t", "rarest", "dl").agg(F.first("idfs").alias("idfs"), F.first("avgdl").alias("avgdl"), F.count("*").alias("c"), F.sum(F.col("idfs")[F.col("token")] * weight(F.col("most"))).alias("bound")).filter("c = size(t)").drop("c")
+    bounds = landed(bounds, "token-bounds")
+
+    def scored(visits: DataFrame) -> DataFrame:
+        hit = visits.select("language", "t", F.col("rarest").alias("token"), "dl", "idfs", "avgdl").join(post.select("token", "language", "dl", "card_id"), ["token", "language", "dl"])
+        hit = hit.join(docs.select("card_id", "words"), "card_id").withColumn("tfs", F.transform("t", lambda x: F.size(F.filter("words", lambda w: w == x)))).filter(F.forall("tfs", lambda x: x > 0))
+        one = lambda x, i: F.col("idfs")[x] * weight(F.get("tfs", i))
+        hit = hit.withColumn("score", F.round(F.aggregate(F.transform("t", one), F.lit(0.0), lambda s, x: s + x), 6))
+        return top(hit, ["language", "t"], [F.desc("score"), F.asc("card_id")], k).select("language", "t", "dl", "card_id", "score")
+
+    best = bounds.groupBy("language", "t").agg(F.max_by("dl", F.struct("bound", "dl")).alias("dl"))
+    first = landed(scored(bounds.join(best, ["language", "t", "dl"])), "token-hits")
+    reached = first.groupBy("language", "t").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    rest = bounds.join(best, ["language", "t", "dl"], "left_anti").join(reached, ["language", "t"], "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6))
+    found = top(first.unionByName(scored(rest)), ["language", "t"], [F.desc("score"), F.asc("card_id")], k)
+    return q.join(found, ["language", "t"]).select("query_id", "card_id", "score", "rank")
 
 
 def tiered_lookup(queries: DataFrame, ref: DataFrame, strict: bool = True, second: DataFrame | None = None) -> DataFrame:
@@ -209,18 +189,30 @@ def parse_query(text: Column) -> Column:
     return F.struct(F.when(~nothing, tokens).alias("tokens"), excluded.alias("excluded"), number.alias("number"), F.when(F.size(tokens) > 0, F.array_join(tokens, " ")).otherwise(F.lower(F.trim(text))).alias("name_text"), F.when(F.size(tokens) >= 2, F.array_join(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), " ")).alias("set_hint"))
 
 
-def catalog_search(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
+def search_candidates(needles: DataFrame, kinds: DataFrame, grams: Grams, by_name: float, by_set: float) -> DataFrame:
+    """The pairs of a needle and a kind of card (``name, name_ja, set_name``) of which one text may be similar enough to the needle, each once.
+
+    Either bound is a similarity join of its own over distinct texts; only texts that pass it fan out to kinds."""
+    found = None
+    for field, least in (("name", by_name), ("name_ja", by_name), ("set_name", by_set)):
+        pairs = similar_pairs(needles, getattr(grams, field), least).withColumnRenamed("name", field).drop("sim")
+        own = kinds.filter("language = 'ja'") if field == "name_ja" else kinds
+        own = pairs.join(own, [*KEY, field]).select(*KEY, "needle", "name", "name_ja", "set_name")
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
+
+
+def catalog_search(queries: DataFrame, catalog: DataFrame, k: int = 20, grams: Grams | None = None) -> DataFrame:
     """Scored catalogue search, ``query_id, card_id, score, rank``.
 
-    Scores are worked out once for each pair of a distinct query text and a distinct (name, second name, set), found by a shared trigram.
+    A card counts if its name (or second-language name) is similar to the text by more than 0.1, or its set by more than 0.2. Scores are worked out
+    once for each pair of a distinct query text and a distinct (name, second name, set) that passes one of these bounds.
     """
     q = queries.select("query_id", *KEY, parse_query(F.col("text")).alias("p")).select("query_id", *KEY, "p.*").filter("tokens IS NOT NULL")
     kinds = catalog.select(*KEY, "name", "name_ja", "set_name").distinct()
     texts = q.select(*KEY, "name_text", "tokens", "set_hint").distinct()
-    grams = lambda c: F.array_distinct(F.concat(trigrams(F.col("name")), F.when(F.col("language") == "ja", trigrams(F.coalesce("name_ja", F.lit("")))).otherwise(F.array().cast("array<string>")), trigrams(F.col("set_name"))))
-    left = texts.select(*KEY, "name_text", "tokens", "set_hint", F.explode(trigrams(F.col("name_text"))).alias("x"))
-    right = kinds.select("*", F.explode(grams(None)).alias("x"))
-    pairs = left.join(right, [*KEY, "x"]).drop("x").distinct()
+    near = search_candidates(texts.select(*KEY, F.col("name_text").alias("needle")), kinds, grams or Grams.of(catalog), 0.1, 0.2)
+    pairs = texts.join(near.withColumnRenamed("needle", "name_text"), [*KEY, "name_text"])
     ja = F.when(F.col("language") == "ja", F.coalesce(similarity(F.col("name_ja"), F.col("name_text")), F.lit(0.0))).otherwise(0.0)
     pairs = pairs.withColumn("by_name", F.greatest(similarity(F.col("name"), F.col("name_text")), ja)).withColumn("by_set", similarity(F.col("set_name"), F.col("name_text"))).filter("by_name > 0.1 OR by_set > 0.2")
     many = F.size("tokens") >= 2

@@ -8,6 +8,7 @@ from ..operators import identify as i
 from ..operators import rank as r
 from ..operators import search as s
 from ..operators import vectors as v
+from ..operators.grams import stored
 from ..sources.views import table, view, with_views
 from .ocr import DICT, FOUND, NAMES, NEAR, NUM, OCR, entries
 from .search import CAT, J2, J2_PARTS, J3, QRY, j1, other_catalog  # noqa: F401
@@ -80,7 +81,8 @@ def assembled(sp, d):
 
 
 def flagship(sp, d):
-    out = i.identify(QRY(sp, d), QV(sp, d), CAT(sp, d), VEC(sp, d), totals(sp, d), least_sim=WITH_TEXT, floor=FLOOR)
+    """Names are searched in the stored index of the catalogue, which the first query over it builds."""
+    out = i.identify(QRY(sp, d), QV(sp, d), CAT(sp, d), VEC(sp, d), totals(sp, d), least_sim=WITH_TEXT, floor=FLOOR, grams=stored(CAT(sp, d)))
     return out.withColumn("candidates", F.array_join("candidates", ","))
 
 
@@ -89,10 +91,10 @@ def raw_scans(sp, d):
     return OCR(sp, d).filter("scan_id % 10 = 0").withColumn("image_failed", F.col("scan_id") % 70 == 0).withColumn("ocr_failed", F.col("scan_id") % 110 == 0)
 
 
-def scanned(sp, d, raw, mode):
-    """Hints from a scan's raw text, its vector."""
+def scanned(sp, d, raw, mode, grams=None):
+    """Hints from a scan's raw text, its vector; names are searched in the stored index."""
     own = QV(sp, d).join(raw.select(F.col("scan_id").alias("vec_id")), "vec_id", "left_semi")
-    out = i.identify_scans(raw, own, NAMES(sp, d), entries(sp, d), CAT(sp, d), VEC(sp, d), totals(sp, d), mode, least_sim=WITH_TEXT, floor=FLOOR, confident=CONFIDENT)
+    out = i.identify_scans(raw, own, NAMES(sp, d), entries(sp, d), CAT(sp, d), VEC(sp, d), totals(sp, d), mode, least_sim=WITH_TEXT, floor=FLOOR, confident=CONFIDENT, grams=grams or stored(CAT(sp, d)))
     return out.withColumn("candidates", F.array_join("candidates", ","))
 
 
@@ -123,7 +125,7 @@ QUERIES = {
     "r8_identify_scans": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "combined"),
     "r8_identify_ocr": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "ocr"),
     "r8_identify_image": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "image"),
-    "j_search_cascade": lambda sp, d: s.search(QRY(sp, d), CAT(sp, d)),
+    "j_search_cascade": lambda sp, d: s.search(QRY(sp, d), CAT(sp, d), grams=stored(CAT(sp, d))),
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as c
 from ..operators import identify as full
 from ..operators import search
+from ..operators.grams import stored
 from ..sources.shared import landing
 from ..sources.views import VIEWS, table, view, with_views
 from ..streaming import frames
@@ -72,13 +73,13 @@ def results_jsonl(sp, d):
 
 
 def identified_stream(sp, d):
-    """Name search over a stream of queries; a micro-batch that is run again replaces its own rows."""
+    """Name search over a stream of queries; a micro-batch that is run again replaces its own rows. The catalogue's index is opened once."""
     path, queries = landing(sp, "scans"), QRY(sp, d)
     queries.write.parquet(f"{path}/in")
-    catalog = CAT(sp, d)
+    catalog, grams = CAT(sp, d), stored(CAT(sp, d))
     scans = sp.readStream.schema(queries.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/in")
     sink = lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
-    run = frames.stream_identify(scans, lambda batch: search.name_search(batch, catalog), sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run = frames.stream_identify(scans, lambda batch: search.name_search(batch, catalog, grams=grams), sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return sp.read.schema("query_id long, card_id long, rank int").parquet(f"{path}/out").select("query_id", "card_id", "rank")
 
@@ -88,10 +89,11 @@ def identified_in_full(sp, d):
     path, queries = landing(sp, "scans"), QRY(sp, d)
     queries.repartition(SCAN_BATCHES, "query_id").write.parquet(f"{path}/in")
     scans = sp.readStream.schema(queries.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    grams = stored(CAT(sp, d))
 
     def find(batch):
         own = identify.QV(sp, d).join(batch.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
-        return full.identify(batch, own, CAT(sp, d), identify.VEC(sp, d), identify.totals(sp, d), least_sim=identify.WITH_TEXT, floor=identify.FLOOR)
+        return full.identify(batch, own, CAT(sp, d), identify.VEC(sp, d), identify.totals(sp, d), least_sim=identify.WITH_TEXT, floor=identify.FLOOR, grams=grams)
 
     sink = lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
     run = frames.stream_identify(scans, find, sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -104,9 +106,10 @@ def identified_scans(sp, d):
     """``r8_identify_scans``, hints included, over a stream of raw scans in ``SCAN_BATCHES`` micro-batches."""
     path, scans = landing(sp, "scans"), identify.raw_scans(sp, d)
     scans.repartition(SCAN_BATCHES, "scan_id").write.parquet(f"{path}/in")
+    grams = stored(CAT(sp, d))
     stream = sp.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     sink = lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
-    run = frames.stream_identify(stream, lambda batch: identify.scanned(sp, d, batch, "combined"), sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run = frames.stream_identify(stream, lambda batch: identify.scanned(sp, d, batch, "combined", grams), sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     found = sp.read.schema("query_id long, candidates string, query_used string, source string, partial boolean, partial_reason string").parquet(f"{path}/out")
     return found.select("query_id", "candidates", "query_used", "source", "partial", "partial_reason")
