@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import strip_zeros
-from .search import top
+from ..functions.exprs import strip_zeros, top
 
 PAGE = "data array<struct<id:string,name:string,set:struct<id:string,name:string>,number:string,rarity:string,images:struct<small:string,large:string>,supertype:string,subtypes:array<string>>>"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import top
+from ..functions.exprs import top
 
 
 def to_append(views: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import strip_zeros
+from ..functions.exprs import strip_zeros, top
 from .grams import substring_pairs
-from .search import top
 
 # The wording that the rules look for.
 HP = r"(?i)\bHP\s*(\d+)\b"

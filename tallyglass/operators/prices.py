@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import half_up, slug, strip_zeros
-from .search import top
+from ..functions.exprs import half_up, slug, strip_zeros, top
 
 #: Page-path prefix by language, and the part of the path that names a variant.
 PREFIX = {"en": "pokemon-", "ja": "pokemon-japanese-"}

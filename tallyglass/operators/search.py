@@ -10,15 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import similarity, strip_zeros, word_similarity
+from ..functions.exprs import similarity, strip_zeros, top, word_similarity
 from ..sources.shared import landed
 from .grams import KEY, Grams, similar_pairs, substring_pairs
 
-def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group, with their rank from 1."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
-
-
 def name_search(queries: DataFrame, catalog: DataFrame, k: int = 10, grams: Grams | None = None) -> DataFrame:
     """``query_id, card_id, rank``: exact names first, then by number (if given) or set total, then the newest."""
     pairs = substring_pairs(queries.select(*KEY, F.col("text").alias("needle")), grams.name if grams else catalog)

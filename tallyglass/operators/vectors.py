@@ -1,8 +1,8 @@
 """Vector search: exact, by cells, and on 8-bit vectors; perceptual-hash re-ranking; parity of two vector tables.
 
-Exact search takes a stated set of queries, which is landed once in the shared folder. Every task reads its rows of the index once and
-streams over the queries in blocks of bounded size; only the k best of its own rows for each query reach the shuffle, and nothing passes
-through the driver.
+Exact search lands its queries once in the shared folder. Up to ``STREAMED`` of them, every task reads its rows of the index in pieces of bounded
+size and streams over the queries in blocks; only the k best of a piece for each query reach the shuffle. More queries go through :func:`.knn_join.knn_join`,
+where each meets only the cells of the index that a bound leaves. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -11,17 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dot, hamming_hex, norm
+from ..functions.exprs import dot, hamming_hex, norm, top
 from ..sources.shared import landing
-from .search import top
+from .knn_join import knn_join
 
-#: Query vectors and index rows compared at a time.
-BLOCK, COLUMNS = 512, 16_384
+#: Query vectors and index rows compared at a time; numbers of an index piece; most queries that every task streams over.
+BLOCK, COLUMNS, HELD, STREAMED = 512, 16_384, 1 << 23, 20_000
 
 
 def prepare(df: DataFrame, dim: int, version: str) -> DataFrame:
@@ -65,28 +66,45 @@ def _partial(path: str, k: int, cosine: bool, floor: float | None):
         keep = nth < k
         return pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]]), pa.array(cards[keep]), pa.array(sims[keep])], ["query_id", "card_id", "sim"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in (b.filter(b.column("vector").is_valid()) for b in batches) if b.num_rows]
-        if not held:
-            return
+    def against(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scale = (np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in held]) for n in ("id", "scale"))
         lang, v = np.array([x for b in held for x in b.column("language").to_pylist()]), np.concatenate([_matrix(b.column("vector")) for b in held])
-        mine = {at: (v[lang == at], own[lang == at], scale[lang == at]) for at in set(lang.tolist())}
+        mine = {at: np.flatnonzero(lang == at) for at in set(lang.tolist())}
+        mine = {at: (v[rows], own[rows], scale[rows]) for at, rows in mine.items()}
+        del v
         files, root = fs.FileSystem.from_uri(path)
         for info in files.get_file_info(fs.FileSelector(root)):
             if not info.path.endswith(".parquet"):
                 continue
             for b in pq.ParquetFile(files.open_input_file(info.path)).iter_batches(BLOCK):
-                ids, langs, q = b.column("vec_id").to_numpy(), np.array(b.column("language").to_pylist()), _matrix(b.column("embedding"))
+                ids, langs, q = b.column("id").to_numpy(), np.array(b.column("language").to_pylist()), _matrix(b.column("v"))
                 for at in sorted(set(langs.tolist()) & set(mine)):
                     yield search(q[langs == at], ids[langs == at], *mine[at])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            b = b.filter(pc.and_(b.column("vector").is_valid(), b.column("language").is_valid()))
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += len(b.column("vector").flatten())
+            if size >= HELD:
+                yield from against(held)
+                held, size = [], 0
+        if held:
+            yield from against(held)
+
     return run
 
 
 def _knn(queries: DataFrame, index: DataFrame, k: int, cosine: bool, floor: float | None = None) -> DataFrame:
     path = landing(queries.sparkSession, "query-vectors")
-    queries.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "language", F.col("embedding").cast("array<double>").alias("embedding")).write.parquet(path)
+    asked = queries.filter("embedding IS NOT NULL AND language IS NOT NULL").select(F.col("vec_id").cast("long").alias("id"), "language", F.col("embedding").cast("array<double>").alias("v"))
+    asked.write.parquet(path)
+    asked = queries.sparkSession.read.parquet(path)
+    if asked.count() > STREAMED:
+        return knn_join(asked, index.select("id", "language", F.col("vector").alias("v"), "scale"), k, cosine, floor)
     found = index.mapInArrow(_partial(path, k, cosine, floor), "query_id long, card_id long, sim double")
     return top(found, ["query_id"], [F.desc("sim"), F.asc("card_id")], k)
 
@@ -170,11 +188,17 @@ def choose_language(both: DataFrame, margin: float = 0.05, confident: float = 0.
     return g.select("query_id", "primary_best", "other_best", F.when(F.coalesce(swap, F.lit(False)), F.when(F.col("language") == "ja", "en").otherwise("ja")).otherwise(F.col("language")).alias("chosen"))
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """A table of vectors as :func:`.knn_join.knn_join` takes it."""
+    return df.select(F.col("vec_id").alias("id"), "language", F.col("embedding").alias("v"))
+
+
 def parity(a: DataFrame, b: DataFrame, mean_drift: float = 0.02, p99_drift: float = 0.05, agreement: float = 0.99) -> DataFrame:
     """One row: similarity and drift of two tables of vectors by id, agreement of the nearest other row, and the pass flags."""
     j = a.select("vec_id", F.col("embedding").alias("x")).join(b.select("vec_id", F.col("embedding").alias("y")), "vec_id")
     s = j.select("vec_id", F.round(dot(F.col("x"), F.col("y")) / (norm(F.col("x")) * norm(F.col("y"))), 6).alias("s"))
-    near = knn_exact(a, a, 1).select("query_id", F.col("card_id").alias("na")).join(knn_exact(b, b, 1).select("query_id", F.col("card_id").alias("nb")), "query_id")
+    nearest = lambda t: knn_join(keyed(t), keyed(t).withColumn("scale", F.lit(1.0)), 1)
+    near = nearest(a).select("query_id", F.col("card_id").alias("na")).join(nearest(b).select("query_id", F.col("card_id").alias("nb")), "query_id")
     agree = near.agg(F.round(F.avg((F.col("na") == F.col("nb")).cast("double")), 6).alias("agreement"))
     g = s.agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean_sim"), F.min("s").alias("min_sim"), F.round(F.percentile("s", 0.01), 6).alias("p1_sim"), F.round(F.avg(1 - F.col("s")), 6).alias("mean_drift"), F.round(F.percentile(1 - F.col("s"), 0.99), 6).alias("p99_drift"), F.round(F.max(1 - F.col("s")), 6).alias("max_drift"))
     return g.join(F.broadcast(agree)).withColumn("passed", (F.col("mean_drift") <= mean_drift) & (F.col("p99_drift") <= p99_drift) & (F.col("agreement") >= agreement))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import identify as i
+from ..operators import knn_join as j
 from ..operators import rank as r
 from ..operators import search as s
 from ..operators import vectors as v
@@ -68,6 +69,12 @@ def ivf_recall(sp, d):
     return v.recall(v.knn_ivf(QV(sp, d), cells, centres, 10), image(sp, d))
 
 
+def int8_join(sp, d):
+    """Every vector against all 8-bit ones."""
+    index = v.quantize(VEC(sp, d)).select(F.col("vec_id").alias("id"), "language", F.col("q").alias("v"), "scale")
+    return j.knn_join(v.keyed(VEC(sp, d)), index, cosine=False, floor=FLOOR).withColumn("sim", F.round("sim", 5))
+
+
 def crops(sp, d):
     return QRY(sp, d).select("query_id", F.col("text").alias("label"), (F.col("query_id") % 70 == 0).alias("image_failed"), (F.col("query_id") % 110 == 0).alias("ocr_failed"))
 
@@ -108,6 +115,8 @@ QUERIES = {
     "e2_knn_exact": image,
     "e3_knn_ivf_recall": ivf_recall,
     "e4_knn_int8": lambda sp, d: v.knn_int8(QV(sp, d), v.quantize(VEC(sp, d)), FLOOR).withColumn("sim", F.round("sim", 5)),
+    "e2_knn_join": lambda sp, d: j.knn_join(v.keyed(VEC(sp, d)), v.keyed(VEC(sp, d)).withColumn("scale", F.lit(1.0))),
+    "e4_knn_int8_join": int8_join,
     "e5_hamming_rerank": reranked,
     "e6_classify_hits": lambda sp, d: v.classify_hits(reranked(sp, d), FLOOR, CONFIDENT),
     "e7_choose_language": lambda sp, d: v.choose_language(other_language_hits(sp, d), 0.05, CONFIDENT),
@@ -151,6 +160,8 @@ RERANK = [
     "rr AS (SELECT query_id, card_id, sim, distance, distance <= 24 AS strong, row_number() OVER (PARTITION BY query_id ORDER BY (distance <= 24) DESC, sim DESC, card_id)::INT AS rank FROM rd)",
 ]
 QUANT = "qz AS (SELECT vec_id, language, greatest(m / 127, 1e-8) AS scale, list_transform(embedding, lambda x: greatest(least(round_even(x::DOUBLE / greatest(m, 1e-8) * 127, 0), 127), -127)) AS q FROM (SELECT *, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m FROM v_vectors))"
+INT8 = f"""SELECT query_id, card_id, round(sim, 5) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, card_id)::INT AS rank FROM (
+      SELECT q.vec_id AS query_id, i.vec_id AS card_id, round(list_inner_product(q.embedding::DOUBLE[], i.q::DOUBLE[]) * i.scale, 6) AS sim FROM qv q JOIN qz i ON q.language = i.language AND q.vec_id <> i.vec_id) WHERE sim >= {FLOOR}) WHERE rank <= 10"""
 TOT = "tot AS (SELECT set_code, 40 + (length(set_code) % 3) * 5 AS total FROM v_catalog GROUP BY set_code)"
 DEDUPE = """(SELECT query_id, card_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN qt IS NOT NULL AND CASE WHEN language = 'ja' THEN set_total ELSE total END = qt THEN 0 ELSE 1 END,
    CASE WHEN coalesce(qn, '') = '' THEN 0 WHEN ltrim(card_number, '0') = ltrim(qn, '0') THEN 0 WHEN starts_with(ltrim(card_number, '0'), ltrim(qn, '0')) THEN 1 ELSE 2 END, CASE WHEN starts_with(set_code, 'mcd') THEN 1 ELSE 0 END, rank, card_id)::INT AS rank
@@ -213,9 +224,10 @@ ORDERED = [
 ORACLES = {
     "e1_prepare_vectors": with_views("""SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'wrong length' WHEN vec_id % 7 = 0 THEN 'other version' ELSE 'ok' END AS status,
       CASE WHEN vec_id % 13 <> 0 AND vec_id % 7 <> 0 THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) END AS sum_unit FROM v_vectors"""),
+    "e2_knn_join": with_views("SELECT query_id, card_id, sim, rank FROM ka", knn("ka", "v_vectors")),
+    "e4_knn_int8_join": with_views(INT8.replace("qv q", "v_vectors q"), QUANT),
     "e2_knn_exact": with_views("SELECT query_id, card_id, sim, rank FROM kn", *IMG),
-    "e4_knn_int8": with_views(f"""SELECT query_id, card_id, round(sim, 5) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, card_id)::INT AS rank FROM (
-      SELECT q.vec_id AS query_id, i.vec_id AS card_id, round(list_inner_product(q.embedding::DOUBLE[], i.q::DOUBLE[]) * i.scale, 6) AS sim FROM qv q JOIN qz i ON q.language = i.language AND q.vec_id <> i.vec_id) WHERE sim >= {FLOOR}) WHERE rank <= 10""", QV_SQL, QUANT),
+    "e4_knn_int8": with_views(INT8, QV_SQL, QUANT),
     "e5_hamming_rerank": with_views("SELECT query_id, card_id, sim, distance, strong, rank FROM rr", *RERANK),
     "e6_classify_hits": with_views(f"""SELECT query_id, best, CASE WHEN best >= {FLOOR} THEN n ELSE 0 END AS candidates, CASE WHEN strong THEN printf('image:%.2f', best) || '+phash' WHEN best >= {FLOOR} THEN printf('image:%.2f', best) ELSE 'image:no_match' END AS label,
       CASE WHEN best >= {CONFIDENT} THEN 'image' WHEN best >= {FLOOR} THEN 'image:low' ELSE 'none' END AS source FROM (SELECT query_id, max(sim) AS best, count(*) AS n, bool_or(strong AND rank = 1) AS strong FROM rr GROUP BY query_id)""", *RERANK),
