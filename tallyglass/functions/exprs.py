@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +75,31 @@ def strip_zeros(s: Column) -> Column:
     return F.when(s.isNull(), None).when(t == "", "0").otherwise(t)
 
 
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of each character among a-z, 0-9, blanks and hyphens: (single characters, what becomes of each, those
+    that become several). White space beyond ASCII becomes a blank. Whatever leaves nothing is dropped by the slug itself."""
+    single, several = {}, {}
+    for code in [*range(0x1C, 0x20), *range(0x80, 0xD800), *range(0xF900, 0x20000)]:
+        c = chr(code)
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        left = re.sub(r"[^a-z0-9 -]", "", re.sub(r"\s", " ", left))
+        if len(left) == 1:
+            single[c] = left
+        elif left:
+            several[c] = left
+    return "".join(single), "".join(single.values()), several
+
+
+_FROM, _TO, _SEVERAL = _plain_letters()
+
+
 def slug(s: Column) -> Column:
-    plain = F.translate(F.lower(s), "àáâäãåçèéêëìíîïñòóôöõùúûüý", "aaaaaaceeeeiiiinooooouuuuy")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9 -]", ""), "[ -]+", "-"), F.lit("-"))
+    """Lower-case letters and digits joined by hyphens, accents and other forms of letters made plain."""
+    low = F.lower(s)
+    each = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    long = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(each[c], c)), "")
+    plain = F.translate(F.when(low.rlike("[" + "".join(_SEVERAL) + "]"), long).otherwise(low), _FROM, _TO)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s-]", ""), r"[\s-]+", "-"), F.lit("-"))
 
 
 def half_up(x: Column) -> Column:

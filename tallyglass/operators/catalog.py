@@ -57,7 +57,9 @@ def upsert(target: DataFrame, new: DataFrame, key: str, cols: list[str], order:
 
 
 def parse_listing_titles(df: DataFrame) -> DataFrame:
-    """``card_id, name, set_name, card_number, set_total`` from "Name (Set No. 001/029)": three reference patterns in order; other rows drop out."""
+    """``card_id, name, set_name, card_number, set_total`` from "Name (Set No. 001/029)": three reference patterns in order; other rows drop out.
+
+    A total beyond 64 bits is null."""
     inner = F.regexp_extract(F.trim("alt_text"), r"(?s)^(.*)\)$", 1)
     # fixed values: the three patterns of a listing's reference, in order
     patterns = [r"\s+No\.\s+([A-Za-z0-9]+(?:/[A-Za-z0-9\-]+)?)\s*$", r"\s+([0-9]+/[A-Za-z0-9\-]+)\s*$", r"\s+([0-9]+)\s*$"]
@@ -68,7 +70,7 @@ def parse_listing_titles(df: DataFrame) -> DataFrame:
     d = df.select("card_id", inner.alias("inner")).withColumn("ref", ref).withColumn("rest", rest).filter("ref IS NOT NULL").filter(F.instr("rest", "(") > 0)
     name, group = F.trim(F.substring_index("rest", "(", 1)), F.trim(F.expr("substr(rest, instr(rest, '(') + 1)"))
     number, total = F.split("ref", "/")[0], F.get(F.split("ref", "/", 2), F.lit(1))
-    return d.select("card_id", name.alias("name"), group.alias("set_name"), F.when(number.rlike("^[0-9]+$"), strip_zeros(number)).otherwise(number).alias("card_number"), F.when(total.rlike("^[0-9]+$"), total.cast("int")).alias("set_total")).filter("name <> ''")
+    return d.select("card_id", name.alias("name"), group.alias("set_name"), F.when(number.rlike("^[0-9]+$"), strip_zeros(number)).otherwise(number).alias("card_number"), F.when(total.rlike("^[0-9]+$"), total.try_cast("long")).alias("set_total")).filter("name <> ''")
 
 
 def repair_mojibake(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -113,12 +115,25 @@ def find_gaps(ids: DataFrame, least: int = 150, span: int = 100_000) -> DataFram
 
 
 def extract_detail_pages(pages: DataFrame, local: str, remote: str, title: str = r"[぀-ヿ一-鿿]") -> DataFrame:
-    """``page_id, image, set_code, card_number, set_total, title``: an image by two patterns in order (pages with neither drop out), the printed number and the first short text that matches ``title``."""
+    """``page_id, image, set_code, card_number, set_total, title``: an image by two patterns in order (pages with neither drop out), the printed number and a title.
+
+    The title is the first text of 2 to 39 characters that matches ``title``: of the first-level headings, else of the second-level ones, else of elements with the class
+    card-name, name, or one that contains title or card; else any text of a line under 30 characters without a copyright sign.
+    """
     part = lambda p, k: F.when(F.regexp_extract("html", p, 0) != "", F.regexp_extract("html", p, k))
     number = r"(\d{1,3})\s*/\s*(\d{1,3})"
-    heads = F.concat(F.regexp_extract_all("html", F.lit("(?s)<h[12][^>]*>(.*?)</h[12]>"), F.lit(1)), F.regexp_extract_all("html", F.lit("(?s)<p[^>]*>([^<]*)</p>"), F.lit(1)))
-    texts = F.filter(F.transform(heads, lambda h: F.trim(F.regexp_replace(h, "<[^>]*>", ""))), lambda t: t.rlike(title) & (F.length(t) > 1) & (F.length(t) < 40))
-    d = pages.select("page_id", F.coalesce(part(local, 0), part(remote, 0)).alias("image"), F.coalesce(part(local, 1), part(remote, 1)).alias("set_code"), strip_zeros(part(number, 1)).alias("card_number"), strip_zeros(part(number, 2)).alias("set_total"), F.get(texts, F.lit(0)).alias("title"))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    inside = lambda x: F.array_join(F.transform(F.split(x, "<[^>]*>"), strip), "")  # noqa: E731  text of an element: that of its parts, each stripped
+    classed = r"""(?is)<([a-z]\w*)\b[^>]*\bclass\s*=\s*(?:"{0}"|'{0}'|{1}(?=[\s>]))[^>]*>(.*?)</\1\s*>"""
+    # fixed values: where a title stands, best place first
+    places = [("(?is)<h1\\b[^>]*>(.*?)</h1\\s*>", 1), ("(?is)<h2\\b[^>]*>(.*?)</h2\\s*>", 1)]
+    places += [(classed.format(rf"""(?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?""", name), 2) for name in ("card-name", "name")]
+    places += [(classed.format(rf"""[^"'>]*{name}[^"'>]*""", rf"""[^\s"'>]*{name}[^\s"'>]*"""), 2) for name in ("title", "card")]
+    fits = lambda t, most: t.rlike(title) & (F.length(t) > 1) & (F.length(t) < most)
+    found = [F.get(F.filter(F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(k)), inside), lambda t: fits(t, 40)), F.lit(0)) for p, k in places]
+    texts = F.transform(F.regexp_extract_all("html", F.lit(r"(?s)(?:^|>)([^<>]+)(?=<|$)"), F.lit(1)), strip)
+    anywhere = F.get(F.filter(texts, lambda t: fits(t, 30) & ~F.contains(t, F.lit("\n")) & ~F.contains(t, F.lit("©"))), F.lit(0))
+    d = pages.select("page_id", F.coalesce(part(local, 0), part(remote, 0)).alias("image"), F.coalesce(part(local, 1), part(remote, 1)).alias("set_code"), strip_zeros(part(number, 1)).alias("card_number"), strip_zeros(part(number, 2)).alias("set_total"), F.coalesce(*found, anywhere).alias("title"))
     return d.filter("image IS NOT NULL")
 
 
@@ -231,12 +246,20 @@ def retry_list(cards: DataFrame, *failures: DataFrame) -> DataFrame:
     return cards.join(ids.distinct(), "card_id", "left_semi")
 
 
+#: The file types of images.
+IMAGE_TYPES = [".jpg", ".jpeg", ".png"]
+
+
 def match_files_to_cards(files: DataFrame, cards: DataFrame) -> DataFrame:
-    """``card_id, path``: folder = slug of the set, a numeric token of the file name = number; tokens of three digits or more first, then any; the first path wins."""
+    """``card_id, path``: folder = slug of the set, a numeric token of the file name = number; tokens of three digits or more first, then any; the first path wins.
+
+    Letters before a card's number do not count; only image files do."""
     folder, name = F.try_element_at(F.split("path", "/"), F.lit(-2)), F.try_element_at(F.split("path", "/"), F.lit(-1))
-    tokens = F.regexp_extract_all(F.regexp_replace(name, r"\.[a-z]+$", ""), F.lit(r"(?:^|[^0-9A-Za-z])([0-9]+)(?![0-9A-Za-z])"), F.lit(1))
-    f = files.select("path", folder.alias("slug"), F.explode(F.array_distinct(tokens)).alias("token")).withColumn("tier", F.when(F.length("token") >= 3, 0).otherwise(1)).withColumn("number", strip_zeros(F.col("token")))
-    c = cards.select("card_id", F.regexp_replace(F.lower("set_name"), "[^a-z0-9]+", "-").alias("slug"), strip_zeros(F.col("card_number")).alias("number"))
+    tokens = F.filter(F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "[-_]"), lambda t: t.rlike("^[0-9]+$"))
+    f = files.filter(F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1)).isin(IMAGE_TYPES)).select("path", folder.alias("slug"), F.explode(F.array_distinct(tokens)).alias("token"))
+    f = f.withColumn("tier", F.when(F.length("token") >= 3, 0).otherwise(1)).withColumn("number", strip_zeros(F.col("token")))
+    own = F.btrim(F.regexp_replace(F.lower("set_name"), "[^a-z0-9]+", "-"), F.lit("-"))
+    c = cards.select("card_id", own.alias("slug"), strip_zeros(F.regexp_replace("card_number", "^[A-Za-z]+", "")).alias("number"))
     return top(c.join(f, ["slug", "number"]), ["card_id"], [F.asc("tier"), F.asc("path")], 1).select("card_id", "path")
 
 

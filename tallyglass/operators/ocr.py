@@ -12,7 +12,7 @@ from .grams import substring_pairs
 HP = r"(?i)\bHP\s*(\d+)\b"
 NON_NAME = (
     r"\S{0,2}as[in][cgsq]\w*|stage[12]|mega|weakness|resistance|retreat|damage|ability|trainer|item|stadium|supporter|energy|water|fire|grass|lightning|psychic|"
-    r"fighting|darkness|metal|fairy|colorless|dragon|pok[eé]mon|nintendo|creatures|illus\.?|no\.|copyright|overrun|aurora|beam|hp"
+    r"fighting|darkness|metal|fairy|colorless|dragon|pok[eé]mon|nintendo|creatures|game\s*freak|illus\.?|no\.|copyright|overrun|aurora|beam|hp"
 )
 ATTACK = (
     r"put|this\s+attack|your\s+opponent|you\s+may|flip|discard|search|draw|choose|look\s+at|if\s+your|once\s+during|during\s+your|when\s+you|"
@@ -116,7 +116,7 @@ def detect_language(df: DataFrame) -> DataFrame:
     runs = F.regexp_extract_all("text", F.lit("([゠-ヿー]+)"), F.lit(1))
     longest = F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(a) >= F.length(x), a).otherwise(x))
     part = lambda k: F.when(ja & F.col("text").rlike(r"\d+/\d+"), F.regexp_extract("text", r"(\d+)/(\d+)", k))
-    return df.select("scan_id", F.when(ja, "ja").otherwise("en").alias("language"), F.when(ja & (longest != ""), longest).alias("kana"), part(1).alias("number"), part(2).cast("int").alias("total"))
+    return df.select("scan_id", F.when(ja, "ja").otherwise("en").alias("language"), F.when(ja & (longest != ""), longest).alias("kana"), part(1).alias("number"), part(2).try_cast("long").alias("total"))
 
 
 def score_card_text(df: DataFrame) -> DataFrame:

@@ -107,13 +107,14 @@ ORACLES = {
     "a4_upsert": with_views("""SELECT coalesce(t.external_id, n.external_id) AS external_id, CASE WHEN n.external_id IS NOT NULL THEN n.name ELSE t.name END AS name, CASE WHEN n.external_id IS NOT NULL THEN n.set_name ELSE t.set_name END AS set_name, CASE WHEN n.external_id IS NOT NULL THEN n.card_number ELSE t.card_number END AS card_number,
       CASE WHEN n.external_id IS NOT NULL AND t.external_id IS NOT NULL THEN 'updated' WHEN n.external_id IS NOT NULL THEN 'inserted' ELSE 'kept' END AS action FROM v_stored t FULL JOIN n ON n.external_id = t.external_id""",
       "n AS (SELECT external_id, trim(name) AS name, nullif(trim(set_name), '') AS set_name, card_number FROM (SELECT * FROM v_incoming WHERE external_id <> 0 QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY ord) = 1) WHERE trim(name) <> '')"),
-    "a5_parse_listing_titles": "SELECT p_partkey AS card_id, p_name AS name, p_type AS set_name, p_size::VARCHAR AS card_number, CASE WHEN p_partkey % 4 = 1 THEN 50 END AS set_total FROM part WHERE p_partkey % 4 <> 3",
+    "a5_parse_listing_titles": "SELECT p_partkey AS card_id, p_name AS name, p_type AS set_name, p_size::VARCHAR AS card_number, CASE WHEN p_partkey % 4 = 1 THEN 50::BIGINT END AS set_total FROM part WHERE p_partkey % 4 <> 3",
     "a7_best_resolution": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN p_size >= 25 THEN 'a' || p_partkey ELSE 'b' || p_partkey END WHEN p_partkey % 5 <> 0 THEN 's' || p_partkey END AS url FROM part",
     "a8_delta_cutoff": with_views("SELECT DISTINCT page, id FROM cs WHERE id IS NOT NULL AND NOT seen AND page <= coalesce((SELECT min(page) FROM (SELECT page FROM cs GROUP BY page HAVING avg(seen::INT) > 0.5 OR count(id) = 0)), 1000000)",
       "cs AS (SELECT page, id, coalesce(id IN (SELECT c_custkey * 7 FROM customer WHERE c_custkey % 9 = 0) OR page > min(page) OVER (PARTITION BY id) AND id IS NOT NULL, false) AS seen FROM v_crawl)"),
     "a9_find_gaps": with_views("SELECT prev + 1 AS first, id - 1 AS last, id - prev - 1 AS n FROM (SELECT id, lag(id) OVER (ORDER BY id) AS prev FROM (SELECT DISTINCT id FROM v_ids)) WHERE id - prev - 1 >= 150"),
     "a10_extract_detail_pages": r"""SELECT page_id, CASE WHEN t <> '' THEN t ELSE h END AS image, CASE WHEN t <> '' THEN regexp_extract(html, 'track\((\d+)\)', 1) ELSE regexp_extract(html, '<a href="/([^"]*)">', 1) END AS set_code, CASE WHEN regexp_matches(html, '(\d{1,3})\s*/\s*(\d{1,3})') THEN """ + ZERO.format(r"regexp_extract(html, '(\d{1,3})\s*/\s*(\d{1,3})', 1)") + r""" END AS card_number,
-      CASE WHEN regexp_matches(html, '(\d{1,3})\s*/\s*(\d{1,3})') THEN """ + ZERO.format(r"regexp_extract(html, '(\d{1,3})\s*/\s*(\d{1,3})', 2)") + r""" END AS set_total, list_filter(list_transform(list_concat(regexp_extract_all(html, '(?s)<h[12][^>]*>(.*?)</h[12]>', 1), regexp_extract_all(html, '(?s)<p[^>]*>([^<]*)</p>', 1)), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: regexp_matches(x, '[éü]') AND length(x) > 1 AND length(x) < 40)[1] AS title
+      CASE WHEN regexp_matches(html, '(\d{1,3})\s*/\s*(\d{1,3})') THEN """ + ZERO.format(r"regexp_extract(html, '(\d{1,3})\s*/\s*(\d{1,3})', 2)") + r""" END AS set_total, coalesce(list_filter(list_transform(regexp_extract_all(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), lambda x: array_to_string(list_transform(string_split_regex(x, '<[^>]*>'), lambda y: trim(y)), '')), lambda x: regexp_matches(x, '[éü]') AND length(x) > 1 AND length(x) < 40)[1],
+      list_filter(list_transform(regexp_extract_all(html, '(?s)(?:^|>)([^<>]+)', 1), lambda x: trim(x)), lambda x: regexp_matches(x, '[éü]') AND length(x) > 1 AND length(x) < 30 AND NOT contains(x, chr(10)) AND NOT contains(x, '©'))[1]) AS title
       FROM (SELECT *, regexp_extract(html, 'track\(\d+\)') AS t, regexp_extract(html, '<a href="/[^"]*">') AS h FROM pages) WHERE t <> '' OR h <> ''""",
     "a11_explode_set_index": """SELECT page_id, (i - 1)::INT AS "at", c[i] AS code, l[i] AS label FROM (SELECT page_id, c, l, unnest(range(1, least(len(c), len(l)) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="/([^"]*)">', 1) AS c, regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a>', 1) AS l FROM pages))""",
     "a12_group_images_by_name": with_views("SELECT name, count(*) AS n, string_agg(set_code || ':' || place || ':' || url, '|' ORDER BY set_code, place) AS images FROM (SELECT *, row_number() OVER (PARTITION BY set_code ORDER BY id) AS place FROM v_images WHERE trim(url) <> '') WHERE trim(name) <> '' GROUP BY name"),
@@ -124,7 +125,7 @@ ORACLES = {
     "a15_pending_embeddings": with_views("SELECT card_id, language FROM v_catalog WHERE card_id % 6 <> 0 AND card_id NOT IN (SELECT vec_id FROM embeddings)"),
     "a17_failure_report": with_views("SELECT reason, count(*) AS n FROM v_results WHERE reason IS NOT NULL GROUP BY reason"),
     "a17_retry_list": with_views("SELECT card_id, name FROM v_catalog WHERE card_id IN (SELECT card_id FROM v_results WHERE reason = 'timeout' OR (reason = 'no image' AND card_id % 2 = 0) OR card_id % 10 = 0)"),
-    "a18_match_files_to_cards": with_views("SELECT card_id, path FROM (SELECT c.card_id, f.path, row_number() OVER (PARTITION BY c.card_id ORDER BY f.tier, f.path) AS r FROM (SELECT card_id, regexp_replace(lower(set_name), '[^a-z0-9]+', '-', 'g') AS slug, ltrim(card_number, '0') AS number FROM v_catalog) c JOIN fl f ON f.slug = c.slug AND f.number = c.number) WHERE r = 1",
+    "a18_match_files_to_cards": with_views("SELECT card_id, path FROM (SELECT c.card_id, f.path, row_number() OVER (PARTITION BY c.card_id ORDER BY f.tier, f.path) AS r FROM (SELECT card_id, trim(regexp_replace(lower(set_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, ltrim(regexp_replace(card_number, '^[A-Za-z]+', ''), '0') AS number FROM v_catalog) c JOIN fl f ON f.slug = c.slug AND f.number = c.number) WHERE r = 1",
       "ft AS (SELECT 'root/' || slug || '/card_' || tk || '_' || (p_partkey * 1000) || '.png' AS path, slug, tk, p_partkey FROM (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') AS slug, CASE WHEN p_partkey % 2 = 0 THEN lpad(p_size::VARCHAR, 3, '0') ELSE p_size::VARCHAR END AS tk FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0))",
       "fl AS (SELECT path, slug, CASE WHEN length(t) >= 3 THEN 0 ELSE 1 END AS tier, ltrim(t, '0') AS number FROM (SELECT path, slug, unnest([tk, (p_partkey * 1000)::VARCHAR]) AS t FROM ft))"),
     "a20_manifest_diff": with_views("SELECT b.filename, b.size, CASE WHEN a.filename IS NULL THEN 'missing' ELSE 'changed' END AS state, 'https://assets.example/' || b.filename AS url FROM v_manifest_b b LEFT JOIN v_manifest_a a USING (filename) WHERE a.sha256 IS NULL OR a.sha256 <> b.sha256"),

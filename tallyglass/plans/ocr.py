@@ -109,7 +109,7 @@ ORACLES = {
       SELECT oc.scan_id, oc.game, CASE WHEN oc.game = 'onepiece' THEN ln.l[1] WHEN oc.language = 'ja' THEN dk.translation ELSE coalesce(fn.name, nk.name) END AS name, CASE WHEN oc.game = 'pokemon' AND oc.language = 'ja' THEN dk.entry END AS kana_name, CASE WHEN oc.game = 'onepiece' THEN code ELSE number END AS number, total, hp
       FROM oc JOIN nu USING (scan_id) JOIN ln USING (scan_id) LEFT JOIN fn USING (scan_id) LEFT JOIN nk USING (scan_id) LEFT JOIN dk USING (scan_id))""",
         GAME, NUM, *FOUND, *NEAR, *DICT),
-    "b7_detect_language": with_views(r"""SELECT scan_id, CASE WHEN j THEN 'ja' ELSE 'en' END AS language, CASE WHEN j THEN list_sort(list_transform(regexp_extract_all(text, '[゠-ヿー]+'), lambda x: [length(x)::VARCHAR, x]), 'DESC')[1][2] END AS kana, CASE WHEN j THEN nullif(regexp_extract(text, '(\d+)/(\d+)', 1), '') END AS number, CASE WHEN j THEN TRY_CAST(nullif(regexp_extract(text, '(\d+)/(\d+)', 2), '') AS INT) END AS total
+    "b7_detect_language": with_views(r"""SELECT scan_id, CASE WHEN j THEN 'ja' ELSE 'en' END AS language, CASE WHEN j THEN list_sort(list_transform(regexp_extract_all(text, '[゠-ヿー]+'), lambda x: [length(x)::VARCHAR, x]), 'DESC')[1][2] END AS kana, CASE WHEN j THEN nullif(regexp_extract(text, '(\d+)/(\d+)', 1), '') END AS number, CASE WHEN j THEN TRY_CAST(nullif(regexp_extract(text, '(\d+)/(\d+)', 2), '') AS BIGINT) END AS total
       FROM (SELECT *, regexp_matches(text, '[゠-ヿぁ-ゖ]{2,}') AS j FROM v_card_text)"""),
     "b8_score_card_text": with_views(r"""SELECT scan_id, score::INT AS score, score >= 3 AS is_card, CASE WHEN score >= 3 THEN NULL WHEN len(l) < 3 THEN 'too little text' WHEN blocks > 20 THEN 'too many regions' ELSE 'no card' END AS reason FROM (SELECT scan_id, blocks, l, CASE WHEN len(list_filter(l, lambda x: x = 'Supporter')) > 0 THEN 10 ELSE greatest(
       CASE WHEN regexp_matches(text, '\b\d{1,3}\s*/\s*\d{2,3}\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\bHP\s*\d+|\d+\s*HP\b') THEN 2 ELSE 0 END + CASE WHEN language = 'ja' THEN least(len(regexp_extract_all(text, '弱点|抵抗力|にげる|逃げる|特性|ワザ|グッズ|サポート|スタジアム|たね|進化')), 2) + CASE WHEN len(list_filter(l[1:6], lambda x: regexp_matches(x, '[゠-ヿ]{3,}'))) > 0 THEN 2 ELSE 0 END
