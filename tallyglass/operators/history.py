@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import top
@@ -13,8 +14,9 @@ def to_append(views: DataFrame) -> DataFrame:
     return views.filter(~F.col("refresh") & (F.col("variant") == "normal") & F.col("price").isNotNull() & ~F.col("test"))
 
 
-def append_history(views: DataFrame, path: str) -> None:
-    to_append(views).write.mode("append").parquet(path)
+def append_history(views: DataFrame, path: str, batch: int) -> None:
+    """Appends the rows of a batch of views to the history at ``path``. A batch that is written again replaces its own rows, so replays add nothing."""
+    to_append(views).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def page_before(history: DataFrame, before_id: int | None, limit: int = 50) -> DataFrame:
@@ -62,6 +64,54 @@ def fold_collection_events(events: DataFrame) -> DataFrame:
     return top(standing, ["collection_id"], [F.desc("seq"), F.asc("card_id")], 2_000_000_000).select("collection_id", "card_id", F.col("rank").alias("position"))
 
 
+def fold_delta(standing: DataFrame, events: DataFrame) -> DataFrame:
+    """``collection_id, card_id, seq`` of the cards that stand after ``events``, all later than those that ``standing`` comes from.
+
+    Only what the new events touch is worked out: a standing card goes if a new event takes it out, and comes again by the first add after the last of these."""
+    member = events.filter("op IN ('add', 'remove')")
+    pair = member.filter("op = 'remove'").groupBy("collection_id", "card_id").agg(F.max("seq").alias("out1"))
+    card = events.filter("op = 'remove_all'").groupBy("card_id").agg(F.max("seq").alias("out2"))
+    whole = events.filter("op = 'delete' AND collection_id <> 0").groupBy("collection_id").agg(F.max("seq").alias("out3"))
+    kept = standing.join(pair, ["collection_id", "card_id"], "left_anti").join(card, "card_id", "left_anti").join(whole, "collection_id", "left_anti")
+    adds = member.filter("op = 'add'").join(pair, ["collection_id", "card_id"], "left").join(card, "card_id", "left").join(whole, "collection_id", "left")
+    adds = adds.filter(F.col("seq") > F.greatest(F.coalesce("out1", F.lit(-1)), F.coalesce("out2", F.lit(-1)), F.coalesce("out3", F.lit(-1))))
+    fresh = adds.groupBy("collection_id", "card_id").agg(F.min("seq").alias("seq"))
+    both = kept.select("collection_id", "card_id", "seq").unionByName(fresh.select("collection_id", "card_id", "seq"))
+    return both.groupBy("collection_id", "card_id").agg(F.min("seq").alias("seq"))
+
+
+class CollectionState:
+    """Collections as a stored snapshot with the last event it has seen; each run reads the events after it and stores the next snapshot."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def last(self) -> int | None:
+        """The last event of the newest whole snapshot."""
+        try:
+            return self.spark.read.schema("last long").json(f"{self.path}/seen").agg(F.max("last")).first()[0]
+        except AnalysisException:
+            return None
+
+    def standing(self) -> DataFrame:
+        last, schema = self.last(), "collection_id long, card_id long, seq long"
+        return self.spark.createDataFrame([], schema) if last is None else self.spark.read.schema(schema).parquet(f"{self.path}/after={last}")
+
+    def advance(self, events: DataFrame) -> int:
+        """Folds the events that are later than the snapshot; returns their number. Events that come again change nothing; a run that broke off is done again."""
+        last = self.last()
+        new = events if last is None else events.filter(F.col("seq") > last)
+        n, upto = new.agg(F.count("*"), F.max("seq")).first()
+        if n:
+            fold_delta(self.standing(), new).write.mode("overwrite").parquet(f"{self.path}/after={upto}")
+            self.spark.createDataFrame([(upto,)], "last long").coalesce(1).write.mode("append").json(f"{self.path}/seen")
+        return n
+
+    def members(self) -> DataFrame:
+        """``collection_id, card_id, position``, as :func:`fold_collection_events` gives them."""
+        return top(self.standing(), ["collection_id"], [F.desc("seq"), F.asc("card_id")], 2_000_000_000).select("collection_id", "card_id", F.col("rank").alias("position"))
+
+
 def fold_collection_names(events: DataFrame) -> DataFrame:
     """``collection_id, name`` of the collections that stand after all events ``seq, collection_id, op, name`` (create, rename, delete).
 

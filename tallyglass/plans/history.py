@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import history as h
+from ..sources.shared import landing
 from ..sources.views import VIEWS, table, view, with_views
 from ..streaming import frames as f
 
@@ -25,6 +26,23 @@ def members(sp, d):
     return h.fold_collection_events(view(sp, d, "v_collection_all"))
 
 
+def appended(sp, d):
+    """The history that three batches of views make, the second of them written twice."""
+    path, views = landing(sp, "history"), view(sp, d, "v_views")
+    for batch in (0, 1, 1, 2):
+        h.append_history(views.filter(F.col("id") % 3 == batch), path, batch)
+    return sp.read.schema("id long, card_id long, kind string, price double").parquet(path).select("id", "card_id", "kind", "price")
+
+
+def folded_in_deltas(sp, d):
+    """The collections after two deltas, of which the second comes with the events of the first again, and once more as a whole."""
+    events, state = view(sp, d, "v_collection_all"), h.CollectionState(sp, landing(sp, "collections"))
+    half = events.agg(F.expr("max(seq) div 2")).first()[0]
+    for delta in (events.filter(F.col("seq") <= half), events, events):
+        state.advance(delta)
+    return state.members()
+
+
 def cut_id(df):
     """A cursor in the middle of the ids."""
     return df.agg(F.expr("max(id) div 2")).first()[0]
@@ -32,12 +50,14 @@ def cut_id(df):
 
 QUERIES = {
     "h1_append_history": lambda sp, d: h.to_append(view(sp, d, "v_views")).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total")),
+    "h1_append_sink": appended,
     "h2_page_before": lambda sp, d: h.page_before(HIST(sp, d), cut_id(HIST(sp, d)), 150).select("id", "card_id", "scan_type"),
     "h2_page_offset": lambda sp, d: h.page_at(HIST(sp, d), 100, 500).select("id", "card_id", "scan_type"),
     "h3_latest_per_card": lambda sp, d: h.latest_per_card(HIST(sp, d)).select("id", "card_id", "scan_type", "price_loose"),
     "h4_next_page_unseen": lambda sp, d: h.next_page_unseen(h.page_before(HIST(sp, d), cut_id(HIST(sp, d)), 200), h.page_at(HIST(sp, d), 0, 40)).select("id", "card_id"),
     "h5_age_bucket": lambda sp, d: HIST(sp, d).select("id", h.age_text(F.col("scanned_at"), F.lit(NOW).cast("timestamp")).alias("age")),
     "h6_fold_collection_events": members,
+    "h6_fold_in_deltas": folded_in_deltas,
     "h6_fold_collection_names": lambda sp, d: h.fold_collection_names(view(sp, d, "v_collection_names")),
     "h7_collections_of_cards": lambda sp, d: h.collections_of_cards(members(sp, d), view(sp, d, "v_collections")),
     "h7_collections_view": lambda sp, d: h.collections_view(members(sp, d), view(sp, d, "v_catalog")),
@@ -66,6 +86,8 @@ ORACLES = {
     "h4_next_page_unseen": with_views(f"SELECT id, card_id FROM (SELECT * FROM v_history WHERE id < {CUT} ORDER BY id DESC LIMIT 200) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM v_history ORDER BY scanned_at DESC, id DESC LIMIT 40) s WHERE s.card_id = p.card_id)"),
     "h5_age_bucket": with_views(f"SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS age FROM (SELECT id, floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(scanned_at))) / 60)::BIGINT AS m FROM v_history)"),
     "h6_fold_collection_events": with_views("SELECT collection_id, card_id, position FROM mb", "u0 AS (SELECT 1 FROM v_collection_all LIMIT 0)", FOLD),
+    "h6_fold_in_deltas": with_views("SELECT collection_id, card_id, position FROM mb", "u0 AS (SELECT 1 FROM v_collection_all LIMIT 0)", FOLD),
+    "h1_append_sink": with_views("SELECT id, card_id, kind, price FROM v_views WHERE NOT refresh AND variant = 'normal' AND price IS NOT NULL AND NOT test"),
     "h6_fold_collection_names": with_views("""SELECT collection_id, coalesce((SELECT arg_max(trim(r.name), r.seq) FROM v_collection_names r WHERE r.collection_id = m.collection_id AND r.op = 'rename' AND r.seq > m.seq AND m.collection_id <> 0), m.name) AS name FROM (SELECT collection_id, min(seq) AS seq, arg_min(name, seq) AS name FROM v_collection_names c
       WHERE op = 'create' AND NOT EXISTS (SELECT 1 FROM v_collection_names x WHERE x.collection_id = c.collection_id AND x.op = 'delete' AND x.seq > c.seq AND x.collection_id <> 0) GROUP BY collection_id) m"""),
     "h7_collections_of_cards": with_views("SELECT card_id, game, string_agg(collection_id::VARCHAR, ',' ORDER BY collection_id) AS collections FROM mb JOIN v_collections USING (collection_id) GROUP BY card_id, game", "u0 AS (SELECT 1 FROM v_collection_all LIMIT 0)", FOLD),

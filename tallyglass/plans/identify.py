@@ -98,10 +98,10 @@ def raw_scans(sp, d):
     return OCR(sp, d).filter("scan_id % 10 = 0").withColumn("image_failed", F.col("scan_id") % 70 == 0).withColumn("ocr_failed", F.col("scan_id") % 110 == 0)
 
 
-def scanned(sp, d, raw, mode, grams=None):
-    """Hints from a scan's raw text, its vector; names are searched in the stored index."""
+def scanned(sp, d, raw, mode, grams=None, other=None):
+    """Hints from a scan's raw text, its vector; names are searched in the stored index, and in a second catalogue where one is given."""
     own = QV(sp, d).join(raw.select(F.col("scan_id").alias("vec_id")), "vec_id", "left_semi")
-    out = i.identify_scans(raw, own, NAMES(sp, d), entries(sp, d), CAT(sp, d), VEC(sp, d), totals(sp, d), mode, least_sim=WITH_TEXT, floor=FLOOR, confident=CONFIDENT, grams=grams or stored(CAT(sp, d)))
+    out = i.identify_scans(raw, own, NAMES(sp, d), entries(sp, d), CAT(sp, d), VEC(sp, d), totals(sp, d), mode, least_sim=WITH_TEXT, floor=FLOOR, confident=CONFIDENT, grams=grams or stored(CAT(sp, d)), other=other)
     return out.withColumn("candidates", F.array_join("candidates", ","))
 
 
@@ -133,6 +133,7 @@ QUERIES = {
     "r8_identify": flagship,
     "r8_identify_scans": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "combined"),
     "r8_identify_ocr": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "ocr"),
+    "r8_identify_two_catalogues": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "combined", other=other_catalog(sp, d)),
     "r8_identify_image": lambda sp, d: scanned(sp, d, raw_scans(sp, d), "image"),
     "j_search_cascade": lambda sp, d: s.search(QRY(sp, d), CAT(sp, d), grams=stored(CAT(sp, d))),
 }
@@ -221,7 +222,18 @@ ORDERED = [
     "f2 AS (SELECT query_id, card_id, c.set_code, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(ltrim(c.card_number, '0') = ltrim(q.card_number, '0'), false) DESC, fu.rank, card_id)::INT AS rank FROM fu LEFT JOIN v_catalog c USING (card_id) LEFT JOIN aq q USING (query_id))",
     "f3 AS (SELECT query_id, card_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(starts_with(set_code, 'mcd'), false), rank, card_id)::INT AS rank FROM f2)",
 ]
+OTHER_TEXT = [
+    "tb AS (SELECT query_id, card_id, rank FROM h1 UNION ALL SELECT query_id, card_id, rank FROM h2)",
+    "oth AS (SELECT * REPLACE (card_id + 1000000 AS card_id) FROM v_catalog WHERE card_id % 3 = 0)",
+    "allc AS (SELECT * FROM v_catalog UNION ALL SELECT * FROM oth)",
+    "hv AS (SELECT tb.query_id, count(*) AS n, coalesce(bool_or(contains(c.card_number, q.card_number)), false) AS numbered, max(tb.rank) AS last FROM tb JOIN v_catalog c USING (card_id) JOIN hq q USING (query_id) GROUP BY tb.query_id)",
+    """need AS (SELECT q.* FROM hq q LEFT JOIN hv USING (query_id) WHERE q.text IS NOT NULL AND q.language = 'en'
+      AND (coalesce(n, 0) < 3 OR (q.card_number IS NOT NULL AND NOT coalesce(numbered, false))))""",
+    f"""ta AS (SELECT query_id, card_id, rank FROM tb UNION ALL SELECT e.query_id, e.card_id, (coalesce(hv.last, 0) + e.rank)::INT FROM ({j1("need", "oth")}) e LEFT JOIN hv USING (query_id))""",
+]
+TWO = [x for part in HINTS for x in (OTHER_TEXT if part.startswith("ta AS") else [part.replace("JOIN v_catalog c", "JOIN allc c") if part.startswith("t2 AS") else part])]
 ORACLES = {
+    "r8_identify_two_catalogues": with_views(assemble_sql("aq", "f3", "ki", "t2"), *TWO, *SCAN_IMAGE, *[x.replace("JOIN v_catalog c", "JOIN allc c") for x in ORDERED], USE),
     "e1_prepare_vectors": with_views("""SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'wrong length' WHEN vec_id % 7 = 0 THEN 'other version' ELSE 'ok' END AS status,
       CASE WHEN vec_id % 13 <> 0 AND vec_id % 7 <> 0 THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) END AS sum_unit FROM v_vectors"""),
     "e2_knn_join": with_views("SELECT query_id, card_id, sim, rank FROM ka", knn("ka", "v_vectors")),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, history, identify, landed, ocr, prices, search
+from .plans import catalog, history, identify, landed, ocr, prices, search, streams
 
-MODULES = [search, identify, prices, history, ocr, catalog, landed]
+MODULES = [search, identify, prices, history, ocr, catalog, landed, streams]
 
 
 def queries() -> dict:
