@@ -5,8 +5,7 @@ classes of like frequency, and the probability of w after u, v is that of its cl
 log-bilinear scores: S[class] . q + s[class] and R[w] . q + b[w] with q = A[u] + B[v]. Both are normalised exactly, in batched matrix
 products. A word without a symbol has the probability of the symbol for others times its smoothed share of their occurrences.
 
-Texts are encoded once into files of symbols. Training has two rounds, over half of the training documents and then over all: in each,
-every task trains on its own documents from the common parameters, which are then averaged by the number of tokens, chunk by chunk. Counts
+Texts are encoded once into files of symbols. Training has ``ROUNDS`` rounds over all training documents: in each, every task trains on its own documents from the common parameters, which are then averaged by the number of tokens, chunk by chunk. Counts
 of all words come from one aggregation and stay distributed; only the ``HEAD`` most frequent go to the executors, the rest is joined.
 
 Defined cases: null text is empty (the end alone); a null ``doc_id`` is not held out; repeated rows are scored each, and counted each
@@ -31,6 +30,8 @@ from .common import cut, partitions, scratch, texts
 
 #: Words with a symbol, width of the vectors, noise classes a batch, noise words a class and batch, tokens a batch, step size.
 WORDS, WIDTH, NOISE, BESIDE, BATCH, STEP = 8190, 16, 16, 4, 4096, 0.05
+#: Passes over the training documents.
+ROUNDS = 2
 #: Most words whose counts are sent to the executors.
 HEAD = 300_000
 #: Words counted in a task before it hands them on; parameters in a chunk; tokens scored together; parts of a range of counts.
@@ -277,12 +278,12 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(encoded: DataFrame, start: Parameters, end: int) -> Parameters:
-    """A first round over half of the training documents, a second over all; each ends in an average of what the tasks learned."""
+    """``ROUNDS`` rounds over all training documents; each ends in an average of what the tasks learned."""
     spark = encoded.sparkSession
-    train = encoded.filter("NOT held_out")
-    for k, docs in enumerate((train.filter(F.pmod(F.xxhash64("row"), F.lit(2)) == 0), train)):
+    train = encoded.filter("NOT held_out").select("symbols")
+    for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(start)
-        found = docs.select("symbols").mapInArrow(_train(shared, end, 100_003 * k), "chunk int, n double, p binary")
+        found = train.mapInArrow(_train(shared, end, 100_003 * k), "chunk int, n double, p binary")
         rows = found.repartition(partitions(spark), "chunk").mapInArrow(_average, "chunk int, p binary").collect()
         if rows:
             start = start.filled(np.concatenate([np.frombuffer(r.p, "<f4") for r in sorted(rows, key=lambda r: r.chunk)]))
