@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import strip_zeros, top
+from . import scan
 
 PAGE = "data array<struct<id:string,name:string,set:struct<id:string,name:string>,number:string,rarity:string,images:struct<small:string,large:string>,supertype:string,subtypes:array<string>>>"
 
@@ -108,7 +109,7 @@ def find_gaps(ids: DataFrame, least: int = 150, span: int = 100_000) -> DataFram
     """
     d = ids.select("id").distinct().withColumn("part", F.floor(F.col("id") / span))
     ends = d.groupBy("part").agg(F.max("id").alias("end"))
-    ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy(F.lit(0)).orderBy("part")))
+    ends = scan.before(ends, "part", "end", "before", F.max)
     w = Window.partitionBy("part").orderBy("id")
     g = d.withColumn("prev", F.lag("id").over(w)).join(ends.select("part", "before"), "part").withColumn("prev", F.coalesce("prev", "before"))
     return g.filter(F.col("id") - F.col("prev") - 1 >= least).select((F.col("prev") + 1).alias("first"), (F.col("id") - 1).alias("last"), (F.col("id") - F.col("prev") - 1).alias("n"))
@@ -334,8 +335,8 @@ def train_valid_split(df: DataFrame, key: str, share: float = 0.8, seed: str = "
     """
     d = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, digits))
     b = d.groupBy("_b").agg(F.count("*").alias("_n"))
-    b = b.withColumn("_upto", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b"))).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0))))
-    b = b.withColumn("_cut", F.floor(F.col("_all") * share))
+    b = scan.before(b.withColumn("_k", F.conv("_b", 16, 10).cast("long")), "_k", "_n", "_before").withColumn("_upto", F.coalesce("_before", F.lit(0)) + F.col("_n")).drop("_k", "_before")
+    b = b.join(F.broadcast(d.agg(F.floor(F.count("*") * share).alias("_cut"))))
     j = d.join(b, "_b")
     border = (F.col("_upto") > F.col("_cut")) & (F.col("_upto") - F.col("_n") < F.col("_cut"))
     rank = F.row_number().over(Window.partitionBy(F.when(border, F.col("_b")), F.when(~border, F.col("_h"))).orderBy("_h", key)) + F.col("_upto") - F.col("_n")

@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions import exprs as e
@@ -195,3 +197,19 @@ def test_cluster_blocks_of_large_and_empty_images(spark):
     assert [(r.left, r.top, r.left + r.width, r.top + r.height, r.text) for r in got if r.image_id == 1] == [(*map(float, x[:4]), x[4]) for x in want]
     assert [r.text for r in got if r.image_id == 3] == ["p\np"] and not [r for r in got if r.image_id == 2]
     assert layout.cluster_blocks(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("width", [2, 3, 1024])
+def test_running_aggregates_in_levels(spark, width):
+    from itertools import accumulate
+
+    from tallyglass.operators import scan
+
+    rng = np.random.default_rng(width)
+    blocks = sorted(set(rng.integers(-40, 60, 50).tolist())) if width < 1024 else list(range(-5, 5000, 7))
+    values = rng.integers(-9, 9, len(blocks)).tolist()
+    d = spark.createDataFrame(list(zip(blocks, values, strict=True)), "b long, v long")
+    for combine, python in ((F.sum, lambda a, x: a + x), (F.max, max), (F.min, min)):
+        got = {r.b: r.x for r in scan.before(d, "b", "v", "x", combine, width, 7 if width == 2 else 5 if width == 3 else 3).collect()}
+        assert got == dict(zip(blocks, [None, *list(accumulate(values, python))[:-1]], strict=True))
+    assert scan.before(d.limit(0), "b", "v", "x").count() == 0
