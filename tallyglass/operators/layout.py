@@ -81,13 +81,32 @@ def best_box(boxes: DataFrame, tie: list[str]) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.min_by(F.struct(*fields), F.struct((-F.round(score, 6)).alias("s"), *tie)).alias("b")).select("image_id", "b.*")
 
 
+#: Most columns and rows of an image's grid.
+GRID = 64
+
+
+def overlapping(boxes: DataFrame) -> DataFrame:
+    """``image_id, z, o_z, area``: the pairs of boxes of an image, later ones second, that share an area, each once.
+
+    An image is cut into a grid whose cells are about as large as its boxes. A box is put into each cell that it touches, and boxes meet in a cell; the
+    pair is kept only in the cell of the left upper corner of what they share. So a crowded image's boxes meet their neighbours only, in as many tasks as it has cells.
+    """
+    size = lambda lo, hi: F.greatest(F.avg(F.col(hi) - F.col(lo)), (F.max(hi) - F.min(lo)) / GRID, F.lit(1e-6))
+    grid = boxes.groupBy("image_id").agg(size("x1", "x2").alias("gw"), size("y1", "y2").alias("gh"), F.min("x1").alias("gx"), F.min("y1").alias("gy"))
+    real = boxes.filter("x2 > x1 AND y2 > y1").join(grid, "image_id")
+    at = lambda v, lo, step: F.floor((v - F.col(lo)) / F.col(step))
+    cells = lambda lo, hi, g, step: F.explode(F.sequence(at(F.col(lo), g, step), at(F.col(hi), g, step)))
+    put = real.withColumn("cx", cells("x1", "x2", "gx", "gw")).withColumn("cy", cells("y1", "y2", "gy", "gh"))
+    later = put.select("image_id", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("z", "x1", "y1", "x2", "y2")])
+    left, upper = F.greatest("x1", "o_x1"), F.greatest("y1", "o_y1")
+    w, h = F.least("x2", "o_x2") - left, F.least("y2", "o_y2") - upper
+    j = put.join(later, ["image_id", "cx", "cy"]).filter((F.col("o_z") > F.col("z")) & (w > 0) & (h > 0))
+    return j.filter((at(left, "gx", "gw") == F.col("cx")) & (at(upper, "gy", "gh") == F.col("cy"))).select("image_id", "z", "o_z", (w * h).alias("area"))
+
+
 def visible_boxes(boxes: DataFrame, most: float = 0.55) -> DataFrame:
     """Boxes of which later ones (greater z) of the image cover at most a share, overlaps added up. ``boxes(image_id, z, x1, y1, x2, y2)``."""
-    later = boxes.select("image_id", *[F.col(c).alias(f"o_{c}") for c in ("z", "x1", "y1", "x2", "y2")])
-    w = F.least("x2", "o_x2") - F.greatest("x1", "o_x1")
-    h = F.least("y2", "o_y2") - F.greatest("y1", "o_y1")
-    j = boxes.join(later, "image_id").filter(F.col("o_z") > F.col("z"))
-    covered = j.groupBy("image_id", "z").agg(F.sum(F.when((w > 0) & (h > 0), w * h).otherwise(0)).alias("covered"))
+    covered = overlapping(boxes).groupBy("image_id", "z").agg(F.sum("area").alias("covered"))
     area = F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1))
     return boxes.join(covered, ["image_id", "z"], "left").withColumn("covered_share", F.round(F.coalesce("covered", F.lit(0)) / area, 6)).filter(F.col("covered_share") <= most).drop("covered")
 

@@ -213,3 +213,25 @@ def test_running_aggregates_in_levels(spark, width):
         got = {r.b: r.x for r in scan.before(d, "b", "v", "x", combine, width, 7 if width == 2 else 5 if width == 3 else 3).collect()}
         assert got == dict(zip(blocks, [None, *list(accumulate(values, python))[:-1]], strict=True))
     assert scan.before(d.limit(0), "b", "v", "x").count() == 0
+
+
+def test_overlaps_by_grid(spark):
+    """Random, equal, touching, empty and huge boxes; then one image of 100,000 small boxes."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for image in range(3):
+        for z in range(80):
+            x, y = rng.integers(-50, 300, 2).tolist()
+            rows.append((image, z, x, y, x + int(rng.integers(0, 60)), y + int(rng.integers(0, 60))))
+        rows += [(image, 80, -50, -50, 400, 400), (image, 81, 0, 0, 10, 10), (image, 82, 0, 0, 10, 10), (image, 83, 10, 10, 20, 20)]
+    d = spark.createDataFrame(rows, "image_id long, z long, x1 long, y1 long, x2 long, y2 long")
+    want = set()
+    for a in rows:
+        for b in rows:
+            w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+            if a[0] == b[0] and b[1] > a[1] and w > 0 and h > 0:
+                want.add((a[0], a[1], b[1], w * h))
+    got = [tuple(r) for r in layout.overlapping(d).collect()]
+    assert len(got) == len(want) and set(got) == want
+    many = spark.range(100_000).select(F.lit(1).alias("image_id"), F.col("id").alias("z"), (F.col("id") % 400 * 10).alias("x1"), F.floor(F.col("id") / 400 * 10).alias("y1")).withColumn("x2", F.col("x1") + 12).withColumn("y2", F.col("y1") + 12)
+    assert layout.visible_boxes(many, 2.0).count() == 100_000
