@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, scratch, texts
 
 #: Words with a symbol, width of the vectors, noise classes a batch, noise words a class and batch, tokens a batch, step size.
-WORDS, WIDTH, NOISE, BESIDE, BATCH, STEP = 8190, 16, 16, 4, 4096, 0.05
+WORDS, WIDTH, NOISE, BESIDE, BATCH, STEP = 8190, 16, 16, 2, 4096, 0.05
 #: Passes over the training documents.
 ROUNDS = 2
 #: Most words whose counts are sent to the executors.
