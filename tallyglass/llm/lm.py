@@ -5,8 +5,8 @@ classes of like frequency, and the probability of w after u, v is that of its cl
 log-bilinear scores: S[class] . q + s[class] and R[w] . q + b[w] with q = A[u] + B[v]. Both are normalised exactly, in batched matrix
 products. A word without a symbol has the probability of the symbol for others times its smoothed share of their occurrences.
 
-Texts are encoded once into files of symbols. Training has ``ROUNDS`` rounds over all training documents: in each, every task trains on its own documents from the common parameters, which are then averaged by the number of tokens, chunk by chunk. Counts
-of all words come from one aggregation and stay distributed; only the ``HEAD`` most frequent go to the executors, the rest is joined.
+Texts are encoded once into files of symbols. Training has ``ROUNDS`` rounds over all training documents: in each, every task trains on its
+own documents from the common parameters, which are then averaged by the number of tokens, chunk by chunk. Counts of all words come from one aggregation and stay distributed; only the ``HEAD`` most frequent go to the executors, the rest is joined.
 
 Defined cases: null text is empty (the end alone); a null ``doc_id`` is not held out; repeated rows are scored each, and counted each
 in training; without training documents counts are zero and the score equals the base; an empty table gives an empty result;
