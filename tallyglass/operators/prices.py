@@ -49,29 +49,38 @@ def money(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9.]", "").try_cast("double")
 
 
+def opens(tag: str, attribute: str, value: str) -> str:
+    """A pattern of a start tag with this value among others of the attribute: quotes of either kind or none, attributes in any order and case."""
+    return rf"""(?is)<{tag}\b[^>]*?\s{attribute}\s*=\s*(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?'|{value}(?=[\s>]))[^>]*>"""
+
+
+#: The target of a link, quoted in either way or not.
+HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*|[^\s"'>]+)"""
+
+
 def cell_price(cell: Column) -> Column:
     """The accepted offer if the cell has one, else the text without a listed price."""
-    offer = F.regexp_extract(cell, '(?s)<span title="best offer accepted price">(.*?)</span>', 1)
-    rest = F.regexp_replace(cell, '(?s)<span class="listed-price-inline">.*?</span>', "")
+    offer = F.regexp_extract(cell, opens("span", "title", "best offer accepted price") + "(.*?)</span>", 1)
+    rest = F.regexp_replace(cell, opens("span", "class", "listed-price-inline") + ".*?</span>", "")
     return money(plain(F.when(offer != "", offer).otherwise(rest)))
 
 
 def rows_of(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit("(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
 
 
 def cells_of(row: Column, tags: str = "t[dh]") -> Column:
-    return F.regexp_extract_all(row, F.lit(f"(?s)<{tags}[^>]*>(.*?)</{tags}>"), F.lit(1))
+    return F.regexp_extract_all(row, F.lit(rf"(?is)<{tags}\b[^>]*>(.*?)</{tags}>"), F.lit(1))
 
 
 def extract_prices(pages: DataFrame) -> DataFrame:
     """``page_id, ungraded, grade_7, grade_8, grade_9, grade_10`` from the price table; the last row of a label wins; ungraded falls back to its own element."""
-    body = F.regexp_extract("html", '(?s)<table id="full-prices">(.*?)</table>', 1)
+    body = F.regexp_extract("html", opens("[a-z]+", "id", "full-prices") + "(.*?)</table>", 1)
     r = pages.select("page_id", "html", F.posexplode_outer(rows_of(body)).alias("at", "row")).withColumn("cells", cells_of(F.col("row")))
     r = r.withColumn("label", F.when(F.size("cells") >= 2, F.lower(plain(F.col("cells")[0])))).withColumn("price", F.when(F.size("cells") >= 2, cell_price(F.col("cells")[1])))
     names = {"ungraded": "ungraded", "grade 7": "grade_7", "grade 8": "grade_8", "grade 9": "grade_9", "psa 10": "grade_10"}
     g = r.groupBy("page_id").agg(F.first("html").alias("html"), *[F.max_by("price", F.when(F.col("label") == k, F.col("at"))).alias(v) for k, v in names.items()])
-    spare = cell_price(F.regexp_extract("html", '(?s)<[a-z]+ id="used_price">(.*?)</', 1))
+    spare = cell_price(F.regexp_extract("html", opens("([a-z]+)", "id", "used_price") + r"(.*?)</\1>", 2))
     return g.withColumn("ungraded", F.coalesce("ungraded", spare)).drop("html")
 
 
@@ -87,14 +96,18 @@ def repair_url(href: Column) -> Column:
     return F.when(href.rlike("^https?://"), href).when(href.startswith("https//"), F.concat(F.lit("https://"), F.substr(href, F.lit(8)))).when(href.startswith("http//"), F.concat(F.lit("http://"), F.substr(href, F.lit(7)))).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(F.lit("https://prices.example"), href)).otherwise(F.concat(F.lit("https://prices.example/"), href))
 
 
+#: The classes of a sale table, in any order, quoted or not.
+SALES = r"""(?is)<table\b(?=[^>]*\bhoverable-rows\b)(?=[^>]*\bsortable\b)[^>]*>"""
+
+
 def extract_sales(pages: DataFrame) -> DataFrame:
     """``page_id, at, date_text, title, price, url``: all rows of four cells or more of the sale tables; a marketplace's link first, else the title's unless it is a set listing."""
-    tables = F.regexp_extract_all("html", F.lit('(?s)<table class="[^"]*hoverable-rows[^"]*sortable[^"]*">(.*?)</table>'), F.lit(1))
+    tables = F.regexp_extract_all("html", F.lit(SALES + "(.*?)</table>"), F.lit(1))
     r = pages.select("page_id", F.posexplode(F.flatten(F.transform(tables, rows_of))).alias("at", "row"))
     # through a generator: a filter on the cells would be pushed below them and find them again
     cells = F.filter(F.array(cells_of(F.col("row"), "td")), lambda c: F.size(c) >= 4)
     r = r.select("page_id", "at", "row", F.explode(cells).alias("cells"))
-    links = lambda x: F.transform(F.regexp_extract_all(x, F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)), repair_url)
+    links = lambda x: F.transform(F.regexp_extract_all(x, F.lit(HREF), F.lit(1)), repair_url)
     market = F.get(F.filter(links(F.col("row")), lambda u: u.rlike(MARKETS)), F.lit(0))
     own = F.get(links(F.col("cells")[2]), F.lit(0))
     return r.select("page_id", "at", plain(F.col("cells")[0]).alias("date_text"), plain(F.col("cells")[2]).alias("title"), cell_price(F.col("cells")[3]).alias("price"), F.coalesce(market, F.when(~F.contains(own, F.lit("/console/")), own)).alias("url"))
@@ -115,10 +128,10 @@ def recent_sales(sales: DataFrame, ungraded: DataFrame, n: int = 10, tie: tuple[
 
 def extract_search_hits(pages: DataFrame, n: int = 20) -> DataFrame:
     """``page_id, at, title, url, hit_id, price1, price2, price3, console`` of the first n result rows."""
-    body = F.regexp_extract("html", '(?s)<table id="games_table">(.*?)</table>', 1)
-    r = pages.select("page_id", F.posexplode(F.filter(rows_of(body), lambda x: F.contains(x, F.lit('class="title"')))).alias("at", "row")).filter(F.col("at") < n)
-    cell = lambda c: F.regexp_extract("row", f'(?s)<td class="{c}">(.*?)</td>', 1)
-    url = repair_url(F.regexp_extract(cell("title"), 'href="([^"]*)"', 1))
+    body = F.regexp_extract("html", opens("table", "id", "games_table") + "(.*?)</table>", 1)
+    r = pages.select("page_id", F.posexplode(F.filter(rows_of(body), lambda x: x.rlike(opens("td", "class", "title")))).alias("at", "row")).filter(F.col("at") < n)
+    cell = lambda c: F.regexp_extract("row", opens("td", "class", c) + "(.*?)</td>", 1)
+    url = repair_url(F.regexp_extract(cell("title"), HREF, 1))
     return r.select("page_id", "at", plain(cell("title")).alias("title"), url.alias("url"), F.try_element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), F.lit(-1)).alias("hit_id"), *[cell_price(cell(f"price{k}")).alias(f"price{k}") for k in (1, 2, 3)], plain(cell("console")).alias("console"))
 
 
@@ -128,15 +141,15 @@ CERTIFICATE = {"name": "subject|player|name", "grade": "grade", "set_name": "set
 
 def extract_certificates(pages: DataFrame) -> DataFrame:
     """One row per page: label and value pairs into fields by label pattern, the first pair of a field; counts keep digits only; a heading stands in for the name."""
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit("(?s)<dt>(.*?)</dt>"), F.lit(1)).alias("label"), F.regexp_extract_all("html", F.lit("(?s)<dd>(.*?)</dd>"), F.lit(1)).alias("value"))
+    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(r"(?is)<dt\b[^>]*>(.*?)</dt>"), F.lit(1)).alias("label"), F.regexp_extract_all("html", F.lit(r"(?is)<dd\b[^>]*>(.*?)</dd>"), F.lit(1)).alias("value"))
     r = pages.select("page_id", "html", F.posexplode_outer(pairs).alias("at", "p")).select("page_id", "html", "at", F.lower(plain(F.col("p.label"))).alias("label"), plain(F.col("p.value")).alias("value"))
     field, taken = F.lit(None).cast("string"), []
     for name, pattern in CERTIFICATE.items():
         taken.append(F.when(F.col("label").rlike(pattern), F.lit(name)))
     field = F.coalesce(*taken)
     g = r.withColumn("field", field).groupBy("page_id").agg(F.first("html").alias("html"), *[F.min_by("value", F.when(F.col("field") == f, F.col("at"))).alias(f) for f in CERTIFICATE])
-    heading = plain(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1))
-    number = lambda c: F.when(F.regexp_replace(c, "[^0-9]", "") != "", F.regexp_replace(c, "[^0-9]", "").cast("int"))
+    heading = plain(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+    number = lambda c: F.regexp_replace(c, "[^0-9]", "").try_cast("int")  # noqa: E731  a count of any length stops no job
     return g.select("page_id", F.coalesce("name", F.when(heading != "", heading)).alias("name"), "grade", "set_name", "year", "variety", number(F.col("population")).alias("population"), number(F.col("higher")).alias("higher"))
 
 

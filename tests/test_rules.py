@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions.exprs import slug
-from tallyglass.operators import catalog, ocr
+from tallyglass.operators import catalog, ocr, prices
 
 KANA = "[぀-ヿ一-鿿]"
 
@@ -69,3 +69,37 @@ def test_maker_is_no_name(spark):
     scans = spark.createDataFrame([(1, "pokemon", "en", "Gamefreak\nPikachu HP 60"), (2, "pokemon", "en", "Game Freak\nPikachu HP 60")], "scan_id long, game string, language string, raw_text string")
     names = spark.createDataFrame([("pikachu",), ("gamefreak",), ("game",), ("freak",)], "name string")
     assert {r.name for r in ocr.find_name(scans, names).collect()} <= {"Pikachu"}
+
+
+def test_price_page_attributes(spark):
+    page = lambda html: spark.createDataFrame([(1, html)], "page_id long, html string")
+    html = "<div data-x=1 id=full-prices class='a'><table><TR class=r><th>Ungraded</th><td class=price>$1,234.50</td></TR><tr><td> PSA 10 </td><td>$7 <span class='x listed-price-inline'>$9</span></td></tr><tr><td>Grade 9</td></tr></table></div>"
+    got = prices.extract_prices(page(html)).first()
+    assert (got.ungraded, got.grade_9, got.grade_10) == (1234.5, None, 7.0)
+    spare = "<td class='x' id='used_price'><span class=\"price js-price\">$3.25</span></td><p id=\"full-prices-note\">x</p>"
+    assert prices.extract_prices(page(spare)).first().ungraded == 3.25
+    assert tuple(prices.extract_prices(page("")).first())[1:] == (None,) * 5
+
+
+def test_sale_page_attributes(spark):
+    cells = "<td>2024-01-01<td></td><td>x</td>"
+    html = (
+        "<table id=t class='sortable js hoverable-rows'><tr><th>h</th></tr><tr class=r><td>2024-01-02</td><td></td><td>T <a target=_blank href='/offer/7'>o</a></td>"
+        "<td><span class='q' title='best offer accepted price'>$4</span> <span class=listed-price-inline>$9</span></td></tr>"
+        "<tr><td>2024-01-03</td><td><a href=http//mercari.example/1>m</a></td><td>U</td><td><span class=listed-price-inline>$9</span>$5</td></tr></table>"
+        f"<table class=sortable><tr>{cells}<td>$1</td></tr></table>"
+    )
+    got = prices.extract_sales(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("at").collect()
+    assert [(r.at, r.title, r.price, r.url) for r in got] == [(1, "T o", 4.0, "https://prices.example/offer/7"), (2, "U", 5.0, "http://mercari.example/1")]
+
+
+def test_certificate_counts_of_any_length(spark):
+    html = "<H1 class=x>Name</H1><dl><dt class=a>Population</dt><dd>99,999,999,999</dd><dt>Pop Higher</dt><dd class='b'>1,200</dd></dl>"
+    got = prices.extract_certificates(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert (got.name, got.population, got.higher) == ("Name", None, 1200)
+
+
+def test_search_hit_attributes(spark):
+    html = "<table class=x id='games_table'><tr id=p-1 data-product=1><td data-a=1 class='image title'><a title='t' href='/game/s/c-1'>C</a></td><td class='price numeric price1'>$2</td></tr></table>"
+    got = prices.extract_search_hits(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert (got.title, got.hit_id, got.price1, got.price2) == ("C", "c-1", 2.0, None)
