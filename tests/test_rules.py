@@ -43,7 +43,7 @@ def test_files_of_cards(spark):
     cards = spark.createDataFrame([(1, "Base Set!", "TG12"), (2, "Base Set!", "007"), (3, "!Jungle", "4"), (4, "Base Set!", "9"), (5, "Base Set!", "000")], "card_id long, set_name string, card_number string")
     paths = ["r/base-set/x-12_a.PNG", "r/base-set/x_7.png", "r/base-set/z-007.jpg", "r/base-set/a.7.txt", "r/jungle/4.webp", "r/base-set/9a-b9.png", "r/base-set/1_0.jpeg", "r/base-set/.png", "r/base-set/9"]
     got = catalog.match_files_to_cards(spark.createDataFrame([(p,) for p in paths], "path string"), cards).collect()
-    assert {tuple(r) for r in got} == {(1, "r/base-set/x-12_a.PNG"), (2, "r/base-set/z-007.jpg"), (3, "r/jungle/4.webp"), (5, "r/base-set/1_0.jpeg")}
+    assert {tuple(r) for r in got} == {(1, "r/base-set/x-12_a.PNG"), (2, "r/base-set/z-007.jpg"), (5, "r/base-set/1_0.jpeg")}
 
 
 def plain_slug(t):
