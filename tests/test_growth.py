@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyglass.operators import search
+from tallyglass.operators import catalog, search
 
 CARD = "card_id long, game string, language string, name string, name_ja string, set_name string, set_code string, card_number string, set_total int"
 QUERY = "query_id long, game string, language string, text string, card_number string, set_total int"
@@ -105,3 +105,9 @@ def test_catalog_search_by_number(spark, cards):
     en = [c for c in cards.collect() if c["language"] == "en"]
     assert {r["card_id"] for r in got[1]} == {c["card_id"] for c in en if (c["card_number"] or "").split("/")[0] == "005"}
     assert {r["card_id"] for r in got[2]} == {c["card_id"] for c in en if c["name"] != "red rings"} and not got[3]
+
+
+def test_files_of_many_cards(spark, cards):
+    files = spark.createDataFrame([(f"root/set-{k % 2}/card_{k % 13:0{1 + k % 3}d}_{k}.png",) for k in range(N)], "path string")
+    found = catalog.match_files_to_cards(files, cards.withColumn("card_number", cards["card_number"].substr(1, 3)))
+    assert found.count() > N / 2 and widest_join(found) <= 2 * N
