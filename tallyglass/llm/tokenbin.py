@@ -11,6 +11,7 @@ Defined cases: null text is empty (the end id alone); a null ``doc_id`` sorts fi
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, scratch, texts
 
 END = 2
-#: Words whose ids a Python worker keeps; the rest is encoded anew. Characters encoded together.
-KEPT_WORDS, TOGETHER = 800_000, 2_000_000
+#: Words whose ids a Python worker keeps, also between tasks; the rest is encoded anew. Characters encoded together.
+KEPT_WORDS, TOGETHER = 400_000, 1_000_000
 #: New words are encoded in lines of this many, so many lines at a time, with a word between them that is one id and stands in none of them.
 LINE, LINES, BETWEEN = 400, 40, "\u2764"
 NO_ID = -(1 << 63)
@@ -45,6 +46,8 @@ class Encoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
+        # a task has one core; the tokenizer's own threads would each keep memory for as long as the worker lives
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kept, self.dtype = Tokenizer.from_file(path), {}, np.dtype(dtype)
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         between = ids(BETWEEN)
