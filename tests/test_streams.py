@@ -124,3 +124,19 @@ def test_stream_identifies_as_the_batch_does(spark, sf):
     key = lambda r: r.query_id
     batch, stream = (sorted(queries[n](spark, sf).collect(), key=key) for n in ("r8_identify", "s3_stream_identify_full"))
     assert stream == batch and {"image", "both"} & {r.source for r in stream}
+
+
+def test_calls_to_the_state_do_not_grow_with_keys(spark, monkeypatch):
+    """Two micro-batches of 600 keys in 4 buckets: states are read and written once a bucket, and results equal the twin's."""
+    calls, key = spark.sparkContext.accumulator(0), F.col("id") % 600
+    t = spark.range(2400).select(key.alias("session_id"), F.col("id").alias("frame_id"), F.timestamp_seconds(F.col("id") * 7 + 86_400).alias("ts"), F.lit("c").alias("top_card"))
+    monkeypatch.setattr(f, "BUCKETS", 4)
+
+    class Counted(f._Cooldown):
+        def load(self):
+            calls.add(1)
+            return super().load()
+
+    monkeypatch.setattr(f, "_Cooldown", Counted)
+    got = run(spark, t, 2, lambda s: f.stream_cooldown(s, 5000, idle_ms=400 * 86_400_000))
+    assert {r.frame_id for r in got.collect()} == {r.frame_id for r in f.cooldown(t, 5000).collect()} and 0 < calls.value <= 8
