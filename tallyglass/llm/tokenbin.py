@@ -28,7 +28,7 @@ from .common import cut, partitions, scratch, texts
 
 END = 2
 #: Words whose ids a Python worker keeps, also between tasks; the rest is encoded anew. Characters encoded together.
-KEPT_WORDS, TOGETHER = 400_000, 1_000_000
+KEPT_WORDS, TOGETHER = 800_000, 1_000_000
 #: New words are encoded in lines of this many, so many lines at a time, with a word between them that is one id and stands in none of them.
 LINE, LINES, BETWEEN = 400, 40, "\u2764"
 NO_ID = -(1 << 63)
