@@ -74,14 +74,16 @@ def cells_of(row: Column, tags: str = "t[dh]") -> Column:
 
 
 def extract_prices(pages: DataFrame) -> DataFrame:
-    """``page_id, ungraded, grade_7, grade_8, grade_9, grade_10`` from the price table; the last row of a label wins; ungraded falls back to its own element."""
+    """``page_id, ungraded, grade_7, grade_8, grade_9, grade_10`` from the price table; the last row of a label wins; ungraded falls back to its own element.
+
+    A row for each row of ``pages``, worked out within it: no page is shuffled or sorted."""
     body = F.regexp_extract("html", opens("[a-z]+", "id", "full-prices") + "(.*?)</table>", 1)
-    r = pages.select("page_id", "html", F.posexplode_outer(rows_of(body)).alias("at", "row")).withColumn("cells", cells_of(F.col("row")))
-    r = r.withColumn("label", F.when(F.size("cells") >= 2, F.lower(plain(F.col("cells")[0])))).withColumn("price", F.when(F.size("cells") >= 2, cell_price(F.col("cells")[1])))
+    cells = F.filter(F.transform(rows_of(body), lambda x: cells_of(x)), lambda c: F.size(c) >= 2)
+    r = pages.select("page_id", "html", F.transform(cells, lambda c: F.struct(F.lower(plain(c[0])).alias("label"), cell_price(c[1]).alias("price"))).alias("rows"))
     names = {"ungraded": "ungraded", "grade 7": "grade_7", "grade 8": "grade_8", "grade 9": "grade_9", "psa 10": "grade_10"}
-    g = r.groupBy("page_id").agg(F.first("html").alias("html"), *[F.max_by("price", F.when(F.col("label") == k, F.col("at"))).alias(v) for k, v in names.items()])
+    last = lambda k: F.try_element_at(F.filter("rows", lambda x: x["label"] == k), F.lit(-1))["price"]
     spare = cell_price(F.regexp_extract("html", opens("([a-z]+)", "id", "used_price") + r"(.*?)</\1>", 2))
-    return g.withColumn("ungraded", F.coalesce("ungraded", spare)).drop("html")
+    return r.select("page_id", *[(F.coalesce(last(k), spare) if v == "ungraded" else last(k)).alias(v) for k, v in names.items()])
 
 
 def extract_history(pages: DataFrame) -> DataFrame:
@@ -140,14 +142,15 @@ CERTIFICATE = {"name": "subject|player|name", "grade": "grade", "set_name": "set
 
 
 def extract_certificates(pages: DataFrame) -> DataFrame:
-    """One row per page: label and value pairs into fields by label pattern, the first pair of a field; counts keep digits only; a heading stands in for the name."""
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(r"(?is)<dt\b[^>]*>(.*?)</dt>"), F.lit(1)).alias("label"), F.regexp_extract_all("html", F.lit(r"(?is)<dd\b[^>]*>(.*?)</dd>"), F.lit(1)).alias("value"))
-    r = pages.select("page_id", "html", F.posexplode_outer(pairs).alias("at", "p")).select("page_id", "html", "at", F.lower(plain(F.col("p.label"))).alias("label"), plain(F.col("p.value")).alias("value"))
-    field, taken = F.lit(None).cast("string"), []
-    for name, pattern in CERTIFICATE.items():
-        taken.append(F.when(F.col("label").rlike(pattern), F.lit(name)))
-    field = F.coalesce(*taken)
-    g = r.withColumn("field", field).groupBy("page_id").agg(F.first("html").alias("html"), *[F.min_by("value", F.when(F.col("field") == f, F.col("at"))).alias(f) for f in CERTIFICATE])
+    """One row per row of ``pages``: label and value pairs into fields by label pattern, the first pair of a field; counts keep digits only; a heading stands in for the name.
+
+    It is worked out within the row: no page is shuffled or sorted."""
+    every = lambda tag: F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    pairs = F.transform(F.arrays_zip(every("dt").alias("label"), every("dd").alias("value")), lambda p: F.struct(F.lower(plain(p["label"])).alias("label"), plain(p["value"]).alias("value")))
+    field = lambda label: F.coalesce(*[F.when(label.rlike(pattern), F.lit(name)) for name, pattern in CERTIFICATE.items()])
+    r = pages.select("page_id", "html", F.transform(pairs, lambda p: F.struct(field(p["label"]).alias("field"), p["value"].alias("value"))).alias("pairs"))
+    first = lambda f: F.get(F.filter("pairs", lambda p: p["field"] == f), F.lit(0))["value"]
+    g = r.select("page_id", "html", *[first(f).alias(f) for f in CERTIFICATE])
     heading = plain(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
     number = lambda c: F.regexp_replace(c, "[^0-9]", "").try_cast("int")  # noqa: E731  a count of any length stops no job
     return g.select("page_id", F.coalesce("name", F.when(heading != "", heading)).alias("name"), "grade", "set_name", "year", "variety", number(F.col("population")).alias("population"), number(F.col("higher")).alias("higher"))

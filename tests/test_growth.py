@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyglass.operators import catalog, search
+from tallyglass.operators import catalog, prices, search
 
 CARD = "card_id long, game string, language string, name string, name_ja string, set_name string, set_code string, card_number string, set_total int"
 QUERY = "query_id long, game string, language string, text string, card_number string, set_total int"
@@ -111,3 +111,19 @@ def test_files_of_many_cards(spark, cards):
     files = spark.createDataFrame([(f"root/set-{k % 2}/card_{k % 13:0{1 + k % 3}d}_{k}.png",) for k in range(N)], "path string")
     found = catalog.match_files_to_cards(files, cards.withColumn("card_number", cards["card_number"].substr(1, 3)))
     assert found.count() > N / 2 and widest_join(found) <= 2 * N
+
+
+def test_pages_are_read_without_a_shuffle(spark):
+    """Prices and certificates are found within a page's row, so no task sorts or holds pages; rows that repeat an id give a row each."""
+    table = '<table id="full-prices"><tr><td>Grade 9</td><td>$1</td></tr><tr><td>only</td></tr><tr><td>grade 9</td><td>$2.5</td></tr><tr><td>PSA 10</td><td>none</td></tr></table><p id="used_price">$7</p>'
+    cert = "<h1>Cert 1</h1><dl><dt>Grade</dt><dd>GEM 9</dd><dt>Item grade</dt><dd>worse</dd><dt>Population</dt><dd>1,200</dd><dt>Year</dt></dl>"
+    pages = spark.createDataFrame([(1, table + cert), (1, cert), (2, ""), (3, None)], "page_id long, html string")
+    found, certs = prices.extract_prices(pages), prices.extract_certificates(pages)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    none = (None,) * 5
+    assert sorted(map(tuple, found.collect()), key=key) == sorted([(1, 7.0, None, None, 2.5, None), (1, *none), (2, *none), (3, *none)], key=key)
+    one = (1, "Cert 1", "GEM 9", None, None, None, 1200, None)
+    assert sorted(map(tuple, certs.collect()), key=key) == sorted([one, one, (2, *[None] * 7), (3, *[None] * 7)], key=key)
+    for df in (found, certs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan
