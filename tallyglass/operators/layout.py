@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,8 +125,6 @@ class _Image:
         self.width, self.height, self.texts = width, height, texts
         self.x1, self.y1, self.x2, self.y2 = frames[:, 0], frames[:, 1], frames[:, 0] + frames[:, 2], frames[:, 1] + frames[:, 3]
         self.cx, self.cy = frames[:, 0] + frames[:, 2] / 2, frames[:, 1] + frames[:, 3] / 2
-        # of few blocks all distances are kept for all passes
-        self.far = [self.distances(k) for k in range(len(frames))] if len(frames) <= 64 else None
 
     def distances(self, k: int) -> np.ndarray:
         return np.sqrt((self.cx - self.cx[k]) ** 2 + (self.cy - self.cy[k]) ** 2)
@@ -146,12 +145,16 @@ class _Image:
             name[i], todo = n, [i]
             while todo:
                 k = todo.pop()
-                near = np.flatnonzero((name < 0) & ((self.far[k] if self.far else self.distances(k)) <= distance))
+                near = np.flatnonzero((name < 0) & (self.distances(k) <= distance))
                 name[near] = n
                 todo += near.tolist()
             n += 1
         return [np.flatnonzero(name == k) for k in range(n)]
 
+    def halves(self, own: np.ndarray, across: bool, middle: float) -> tuple[np.ndarray, np.ndarray]:
+        low = (self.cx if across else self.cy)[own] <= middle
+        return own[low], own[~low]
+
     def regions(self, own: np.ndarray, depth: int = 0) -> list[np.ndarray]:
         """The cluster if it is shaped like a card, else what its halves give; nothing if it is too small or cannot be halved."""
         if len(own) < FEWEST:
@@ -164,25 +167,67 @@ class _Image:
             return [own]
         if depth >= DEPTH or len(own) < 2 * FEWEST:
             return []
-        low = self.cx[own] <= x1 + (x2 - x1) / 2 if shape > ASPECT[1] else self.cy[own] <= y1 + (y2 - y1) / 2
-        halves = own[low], own[~low]
+        across = shape > ASPECT[1]
+        halves = self.halves(own, across, x1 + (x2 - x1) / 2 if across else y1 + (y2 - y1) / 2)
         return [r for h in halves for r in self.regions(h, depth + 1)] if min(map(len, halves)) >= FEWEST else []
 
     def detect(self) -> list[np.ndarray]:
         best: list[np.ndarray] = []
-        short = min(self.width, self.height)
+        short, clusters, before = min(self.width, self.height), [], 0
         for share in PASSES:
-            found = [r for c in self.clusters(share * short) for r in self.regions(c)]
+            # wider steps only join clusters: as many as before are the same ones, and a single one stays
+            if before != 1:
+                clusters = self.clusters(share * short)
+            if len(clusters) == before:
+                continue
+            before = len(clusters)
+            found = [r for c in clusters for r in self.regions(c)]
             best = found if len(found) > len(best) else best
             if len(best) >= PLENTY:
                 break
         if not best:
-            whole = [c for c in self.clusters(PASSES[-1] * short) if len(c) >= FEWEST]
+            whole = [c for c in clusters if len(c) >= FEWEST]
             return [max(whole, key=self.area)] if whole else []
         middle = lambda b: ((b[0] + b[2]) / 2 - self.width / 2) ** 2 + ((b[1] + b[3]) / 2 - self.height / 2) ** 2
         return sorted(best, key=lambda own: middle(self.bounds(own)))
 
 
+#: Blocks up to which an image is worked on in plain lists.
+FEW = 24
+
+
+class _Few(_Image):
+    """An image of few blocks, in plain lists, as array operations would cost far more than the work itself. ``frames`` are (left, top, width, height)."""
+
+    def __init__(self, width: float, height: float, frames: list[list[float]], texts: list[str]):
+        self.width, self.height, self.texts = width, height, texts
+        self.x1, self.y1 = [f[0] for f in frames], [f[1] for f in frames]
+        self.x2, self.y2 = [f[0] + f[2] for f in frames], [f[1] + f[3] for f in frames]
+        self.cx, self.cy = [f[0] + f[2] / 2 for f in frames], [f[1] + f[3] / 2 for f in frames]
+        at = list(zip(self.cx, self.cy, strict=True))
+        self.far = [[math.sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) for x, y in at] for x0, y0 in at]
+
+    def bounds(self, own: list[int]) -> tuple[float, float, float, float]:
+        return min([self.x1[k] for k in own]), min([self.y1[k] for k in own]), max([self.x2[k] for k in own]), max([self.y2[k] for k in own])
+
+    def clusters(self, distance: float) -> list[list[int]]:
+        left, out = list(range(len(self.cx))), []
+        while left:
+            own, left = [left[0]], left[1:]
+            for k in own:  # grows while it is read
+                if not left:
+                    break
+                far = self.far[k]
+                own += [i for i in left if far[i] <= distance]
+                left = [i for i in left if not far[i] <= distance]
+            out.append(sorted(own))
+        return out
+
+    def halves(self, own: list[int], across: bool, middle: float) -> tuple[list[int], list[int]]:
+        c = self.cx if across else self.cy
+        return [k for k in own if c[k] <= middle], [k for k in own if not c[k] <= middle]
+
+
 def _cluster_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by image: many images a batch; an image that a batch cuts goes on with the next one."""
 
@@ -190,12 +235,14 @@ def _cluster_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ids, sizes = t.column("image_id").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("image_width", "image_height")], axis=1)
         frames, texts = np.stack([t.column(c).to_numpy() for c in ("left", "top", "width", "height")], axis=1), t.column("text").to_pylist()
         starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        rows = []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-            image = _Image(*sizes[s].tolist(), frames[s:e], texts[s:e])
+        ends = np.append(starts[1:], len(ids))
+        enough = ends - starts >= FEWEST  # the others have no region
+        rows, plain = [], frames.tolist()
+        for s, e, name, size in zip(starts[enough].tolist(), ends[enough].tolist(), ids[starts[enough]].tolist(), sizes[starts[enough]].tolist(), strict=True):
+            image = _Few(*size, plain[s:e], texts[s:e]) if e - s <= FEW else _Image(*size, frames[s:e], texts[s:e])
             for place, own in enumerate(image.detect()):
                 x1, y1, x2, y2 = image.bounds(own)
-                rows.append((int(ids[s]), place, x1, y1, x2 - x1, y2 - y1, "\n".join(image.texts[k] for k in own)))
+                rows.append((name, place, x1, y1, x2 - x1, y2 - y1, "\n".join([image.texts[k] for k in own])))
         if rows:
             types = [pa.int64()] * 2 + [pa.float64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in REGION.split(", ")])
