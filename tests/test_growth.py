@@ -1,5 +1,6 @@
 """Searches whose queries and cards share few names: joins stay near the size of queries and cards, and the results equal brute force."""
 
+import math
 import time
 
 import numpy as np
@@ -146,3 +147,35 @@ def test_few_blocks_in_lists(spark):
             spent[k] += time.perf_counter() - began
         assert found[0] == found[1]
     assert spent[1] < spent[0] / 2
+
+
+def test_tokens_search_meets_kinds(spark):
+    """Cards of equal words meet a search as one; what is joined and broadcast follows the different words, not the cards."""
+    rows = [(k, "en" if k % 5 else "ja", ["red ring", "red red ring", "old ring"][k % 3], "カ red" if k % 5 == 0 else None, f"set {k % 2}") for k in range(N)]
+    cards = spark.createDataFrame(rows, "card_id long, language string, name string, name_ja string, set_name string")
+    q = spark.createDataFrame([(k, "en" if k % 2 else "ja", ["red", "ring red", "set ring", "none", ""][k % 5]) for k in range(40)], "query_id long, language string, text string")
+    found = search.tokens_search(q, cards, k=7)
+    words = lambda r: " ".join(x for x in (r[2], r[3], r[4]) if x).split()
+    docs = [(r[0], r[1], words(r)) for r in rows]
+    avgdl = sum(len(w) for _, _, w in docs) / len(docs)
+    want = []
+    for a in q.collect():
+        hits, t = [], sorted(set(a.text.split()))
+        for card, language, w in docs:
+            if t and language == a.language and all(x in w for x in t):
+                score = 0.0
+                for x in t:
+                    df, tf = sum(x in v for _, _, v in docs), w.count(x)
+                    score += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))
+                hits.append((-round(score, 6), card))
+        want += [(a.query_id, c, rank + 1) for rank, (_, c) in enumerate(sorted(hits)[:7])]
+    assert sorted((r.query_id, r.card_id, r["rank"]) for r in found.collect()) == sorted(want)
+    # the whole job, not the last plan alone: rows of all tasks' joins
+    joined = []
+    land = search.landed
+    search.landed = lambda df, kind: (joined.append(widest_join(df)) if "Join" in df._jdf.queryExecution().executedPlan().toString() else None, land(df, kind))[1]
+    try:
+        search.tokens_search(q, cards, k=7).collect()
+    finally:
+        search.landed = land
+    assert max(joined) < N / 2
