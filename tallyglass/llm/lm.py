@@ -34,8 +34,8 @@ WORDS, WIDTH, NOISE, BESIDE, BATCH, STEP = 8190, 16, 16, 4, 4096, 0.05
 ROUNDS = 2
 #: Most words whose counts are sent to the executors.
 HEAD = 300_000
-#: Words counted in a task before it hands them on; parameters in a chunk; tokens scored together; parts of a range of counts.
-COUNTED, CHUNK, TOGETHER, PARTS = 300_000, 4096, 1 << 15, 1024
+#: Words counted in a task before it hands them on; parameters in a chunk; tokens scored together, and at most in one product; parts of a range of counts.
+COUNTED, CHUNK, TOGETHER, BLOCK, PARTS = 300_000, 4096, 1 << 15, 1024, 1024
 
 
 def split(text: str) -> list[bytes]:
@@ -118,37 +118,50 @@ class Parameters:
     def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log P(w | u, v), ``v`` the nearer."""
         a, b, r, bias, s, s_bias = self.tables
+        words, classes = (np.column_stack(t) for t in ((r, bias), (s, s_bias)))
         out = np.empty(len(w))
         for at in range(0, len(w), TOGETHER):
-            x = w[at : at + TOGETHER]
-            q, k = a[u[at : at + TOGETHER]] + b[v[at : at + TOGETHER]], self.of[x]
-            own = _log_softmax(q @ s.T + s_bias, k)
-            order = np.argsort(k.astype(np.uint16), kind="stable")
-            starts = np.flatnonzero(np.append(True, np.diff(k[order]) != 0))
+            # in the order of the words, and so of the classes; a last column of ones takes in the biases
+            order = np.argsort(w[at : at + TOGETHER].astype(np.uint16), kind="stable") + at
+            x = w[order]
+            q, k = np.ones((len(x), WIDTH + 1), np.float32), self.of[x]
+            np.add(a[u[order]], b[v[order]], out=q[:, :WIDTH])
+            own = np.empty(len(x))
+            for i in range(0, len(x), BLOCK):
+                own[i : i + BLOCK] = _log_softmax(q[i : i + BLOCK], classes, k[i : i + BLOCK])
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
-                rows = order[i:j]
-                lo, hi = self.edges[k[rows[0]]], self.edges[k[rows[0]] + 1]
+                lo, hi = self.edges[k[i]], self.edges[k[i] + 1]
                 if hi - lo > 1:
-                    own[rows] += _log_softmax(q[rows] @ r[lo:hi].T + bias[lo:hi], x[rows] - lo)
-            out[at : at + TOGETHER] = own
+                    for i2 in range(i, j, BLOCK):
+                        j2 = min(j, i2 + BLOCK)
+                        own[i2:j2] += _log_softmax(q[i2:j2], words[lo:hi], x[i2:j2] - lo)
+            out[order] = own
         return out
 
 
-def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row's scores, the log of the softmax at ``at``. Scores of moderate size need no shift to keep their exponentials finite."""
-    top = scores.max(axis=1) if np.abs(scores).max(initial=0) > 60 else np.float32(0)
-    own = scores[np.arange(len(at)), at] - top
-    if np.ndim(top):
+def _log_softmax(q: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the scores ``q . table``, the log of the softmax at ``at``. Scores of moderate size need no shift to keep their exponentials finite."""
+    scores = q @ table.T
+    own = scores[np.arange(len(at)), at]
+    if max(scores.max(), -scores.min()) > 60:
+        top = scores.max(axis=1)
+        own -= top
         scores -= top[:, None]
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1))
+    np.exp(scores, out=scores)
+    return own - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
 def _sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places of ``at`` and the sums of the rows of ``g`` there."""
     order = np.argsort(at.astype(np.uint16), kind="stable")
-    a = at[order]
-    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    return a[starts], np.add.reduceat(g[order], starts, axis=0)
+    return _runs(at[order], g.take(order, axis=0))
+
+
+def _runs(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_sums` of places in order."""
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[starts], np.add.reduceat(g, starts, axis=0)
 
 
 class Trainer:
@@ -168,43 +181,55 @@ class Trainer:
     def _step(self, table: int, rows: np.ndarray, g: np.ndarray) -> None:
         g = g / np.float32(BATCH)
         t, s = self.p.tables[table], self.square[table]
-        now = s[rows] + g * g
+        now = g * g
+        now += s.take(rows, axis=0)
         s[rows] = now
-        t[rows] += np.float32(STEP) * g / np.sqrt(now)
+        g *= np.float32(STEP)
+        g /= np.sqrt(now, out=now)
+        t[rows] += g
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        """One batch: symbols ``w`` after ``u``, ``v`` (``v`` the nearer)."""
+        """One batch: symbols ``w`` after ``u``, ``v`` (``v`` the nearer), worked on in the order of the words, and so of the classes."""
         a, b, r, bias, s, s_bias = self.p.tables
+        order = np.argsort(w.astype(np.uint16), kind="stable")
+        u, v, w = u[order], v[order], w[order]
         n, k = len(w), self.p.of[w]
-        q = a[u] + b[v]
+        q = a.take(u, axis=0)
+        q += b.take(v, axis=0)
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.upto) - 1)
         beside = self.p.edges[:-1, None] + (self.rng.random((len(self.sizes), BESIDE)) * self.sizes[:, None]).astype(np.int64)
-        sk, sn, rw, rn = s[k], s[noise], r[w], r[beside][k]
-        pull = 1 / (1 + np.exp((q * sk).sum(axis=1) + (s_bias - self.log_noise)[k]))
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        classes, bounds = k[starts], list(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True))
+        sk, sn, rw, rn = s.take(k, axis=0), s[noise], r.take(w, axis=0), r[beside[classes]]
+        pull = 1 / (1 + np.exp(np.einsum("nd,nd->n", q, sk) + (s_bias - self.log_noise)[k]))
         push = -1 / (1 + np.exp((self.log_noise - s_bias)[noise] - q @ sn.T))
         # a class of one word has nothing to tell apart
         several = (self.sizes > 1).astype(np.float32)[k]
-        pull_w = several / (1 + np.exp((q * rw).sum(axis=1) + bias[w] - self.log_beside[k]))
-        push_w = -several[:, None] / (1 + np.exp((self.log_beside[:, None] - bias[beside])[k] - np.einsum("nd,nkd->nk", q, rn)))
-        gq = pull[:, None] * sk + push @ sn + pull_w[:, None] * rw + np.einsum("nk,nkd->nd", push_w, rn)
+        pull_w = several / (1 + np.exp(np.einsum("nd,nd->n", q, rw) + bias[w] - self.log_beside[k]))
+        score = np.empty((n, BESIDE), np.float32)
+        for (lo, hi), x in zip(bounds, rn, strict=True):
+            np.dot(q[lo:hi], x.T, out=score[lo:hi])
+        push_w = -several[:, None] / (1 + np.exp((self.log_beside[:, None] - bias[beside])[k] - score))
+        # by class: what its noise words teach the contexts, and what these learn themselves
+        gq, g_beside = np.empty((n, WIDTH), np.float32), np.empty((len(classes), BESIDE, WIDTH), np.float32)
+        for i, (lo, hi) in enumerate(bounds):
+            np.dot(push_w[lo:hi], rn[i], out=gq[lo:hi])
+            np.dot(push_w[lo:hi].T, q[lo:hi], out=g_beside[i])
+        sk *= pull[:, None]
+        rw *= pull_w[:, None]
+        gq += sk
+        gq += rw
+        gq += push @ sn
         self._step(0, *_sums(u, gq))
         self._step(1, *_sums(v, gq))
-        words, g = _sums(w, np.column_stack([pull_w[:, None] * q, pull_w]))
+        words, g = _runs(w, np.column_stack([pull_w[:, None] * q, pull_w]))
         self._step(2, words, g[:, :WIDTH])
         self._step(3, words, g[:, WIDTH])
-        # by class: what it learns itself, and what its noise words learn
-        order = np.argsort(k.astype(np.uint16), kind="stable")
-        q_sorted, push_sorted, by_class = q[order], push_w[order].T, k[order]
-        starts = np.flatnonzero(np.append(True, by_class[1:] != by_class[:-1]))
-        classes, ends = by_class[starts], np.append(starts[1:], n)
-        g_beside = np.empty((len(classes), BESIDE, WIDTH), np.float32)
-        for i, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            np.dot(push_sorted[:, lo:hi], q_sorted[lo:hi], out=g_beside[i])
-        pushed = np.add.reduceat(push_sorted, starts, axis=1).T
+        pushed = np.add.reduceat(push_w, starts, axis=0)
         places, g = _sums(beside[classes].ravel(), np.column_stack([g_beside.reshape(-1, WIDTH), pushed.ravel()]))
         self._step(2, places, g[:, :WIDTH])
         self._step(3, places, g[:, WIDTH])
-        g = np.add.reduceat(np.column_stack([pull[order, None] * q_sorted, pull[order]]), starts, axis=0)
+        g = np.add.reduceat(np.column_stack([pull[:, None] * q, pull]), starts, axis=0)
         classes, g = _sums(np.append(classes, noise), np.concatenate([g, np.column_stack([push.T @ q, push.sum(axis=0)])]))
         self._step(4, classes, g[:, :WIDTH])
         self._step(5, classes, g[:, WIDTH])
