@@ -57,7 +57,7 @@ def prices(sp, d):
 
 def ordered(sp, d):
     """Items of a request in three waves by their arrival; an item is out in the wave in which all before it have come."""
-    i = view(sp, d, "v_items").filter("request_id % 8 = 1").groupBy("request_id", "idx").agg(F.min("arrived").alias("arrived"))
+    i = view(sp, d, "v_items").groupBy("request_id", "idx").agg(F.min("arrived").alias("arrived"))
     wave = F.least(F.floor(F.col("arrived") / 337), F.lit(SLICES - 1)).cast("int")
     rows = i.select("request_id", (F.col("idx") - 1).cast("long").alias("idx"), F.col("idx").cast("string").alias("item"), F.timestamp_seconds(F.col("arrived") + 86_400).alias("ts"), wave.alias("slice"))
     out, _ = r.replay(rows, SLICES, lambda s: f.stream_ordered_emit(s, LONG, LONG_MS))
@@ -92,7 +92,7 @@ ORACLES = {
     "s8_price_state_stream": """SELECT user_id AS key, CASE WHEN event_id % 3 <> 0 THEN event_id * 0.5::DOUBLE END AS price, CASE WHEN event_id % 3 <> 0 THEN 'fresh' ELSE 'missing' END AS state
       FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "s4_ordered_emit_stream": with_views(f"""SELECT request_id, (idx - 1)::BIGINT AS idx, idx::VARCHAR AS item, max(least(arrived // 337, {SLICES - 1})) OVER (PARTITION BY request_id ORDER BY idx)::INT AS batch
-      FROM (SELECT request_id, idx, min(arrived) AS arrived FROM v_items WHERE request_id % 8 = 1 GROUP BY 1, 2) QUALIFY idx = row_number() OVER (PARTITION BY request_id ORDER BY idx)"""),
+      FROM (SELECT request_id, idx, min(arrived) AS arrived FROM v_items GROUP BY 1, 2) QUALIFY idx = row_number() OVER (PARTITION BY request_id ORDER BY idx)"""),
     "s1_late_frames": with_views(f"""SELECT session_id, count(*) AS late FROM (SELECT session_id, ts, came, max(ts) FILTER (came = 0) OVER w AS m0, max(ts) FILTER (came <= 1) OVER w AS m1 FROM (
       SELECT *, CASE WHEN frame_id % 10 = 0 THEN least(own + 1, {SLICES - 1}) ELSE own END AS came FROM (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {SLICES} // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS own FROM v_frames)) WINDOW w AS (PARTITION BY session_id))
       WHERE (came = 1 AND ts < m0) OR (came = 2 AND ts < m1) GROUP BY session_id"""),

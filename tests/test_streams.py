@@ -140,3 +140,14 @@ def test_calls_to_the_state_do_not_grow_with_keys(spark, monkeypatch):
     monkeypatch.setattr(f, "_Cooldown", Counted)
     got = run(spark, t, 2, lambda s: f.stream_cooldown(s, 5000, idle_ms=400 * 86_400_000))
     assert {r.frame_id for r in got.collect()} == {r.frame_id for r in f.cooldown(t, 5000).collect()} and 0 < calls.value <= 8
+
+
+def test_ordered_emit_takes_every_request(spark, sf):
+    """Every request is in the result, up to the first index that its items lack."""
+    from tallyglass.plans.streams import QUERIES
+
+    have = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().collect():
+        have.setdefault(r.l_orderkey, set()).add(r.l_linenumber - 1)
+    want = {(k, n) for k, own in have.items() for n in range(len(own)) if all(i in own for i in range(n + 1))}
+    assert {(r.request_id, r.idx) for r in QUERIES["s4_ordered_emit_stream"](spark, sf).collect()} == want
