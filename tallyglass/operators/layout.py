@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.exprs import half_up
 
@@ -105,11 +107,72 @@ def overlapping(boxes: DataFrame) -> DataFrame:
     return j.filter((at(left, "gx", "gw") == F.col("cx")) & (at(upper, "gy", "gh") == F.col("cy"))).select("image_id", "z", "o_z", (w * h).alias("area"))
 
 
+#: Boxes up to which an image is one task's; those of fuller images meet in the cells of a grid.
+CROWDED = 4096
+
+
+def _covered_areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by image and z: the rows with ``covered``, the areas that later boxes of the image share with those of a row's z, added up.
+
+    Whole images are worked on, many at a time; an image that a batch cuts goes on with the next one.
+    """
+
+    def differs(t: pa.Table, column: str) -> np.ndarray:
+        """Whether a row's value is another than that of the row before it."""
+        c = t.column(column)
+        return np.append(True, pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy())
+
+    def covered(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        first = differs(t, "image_id")
+        starts, ties = np.flatnonzero(first), np.flatnonzero(first | differs(t, "z"))
+        sizes = np.diff(np.append(ties, len(t)))
+        end, later = np.append(starts[1:], len(t))[np.cumsum(first) - 1], np.repeat(ties + sizes, sizes)
+        x1, y1, x2, y2 = (t.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        real = (x2 > x1) & (y2 > y1)
+        sums, own = np.zeros(len(t)), np.flatnonzero(real & (later < end))
+        at = later[own]
+        while len(own):  # each row meets the next of its image's later ones
+            w, h = np.minimum(x2[own], x2[at]) - np.maximum(x1[own], x1[at]), np.minimum(y2[own], y2[at]) - np.maximum(y1[own], y1[at])
+            shared = real[at] & (w > 0) & (h > 0)
+            sums[own[shared]] += w[shared] * h[shared]
+            at = at + 1
+            going = at < end[own]
+            own, at = own[going], at[going]
+        found = np.repeat(np.add.reduceat(sums, ties), sizes)
+        yield from t.append_column("covered", pa.array(found)).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column("image_id")
+        last = int(pc.index(ids, ids[-1]).as_py())
+        if last == 0 and (not held or held[0].column("image_id")[0] == ids[0]):
+            held.append(b)
+            continue
+        yield from covered([*held, b.slice(0, last)])
+        held = [b.slice(last)]
+    if held:
+        yield from covered(held)
+
+
 def visible_boxes(boxes: DataFrame, most: float = 0.55) -> DataFrame:
-    """Boxes of which later ones (greater z) of the image cover at most a share, overlaps added up. ``boxes(image_id, z, x1, y1, x2, y2)``."""
-    covered = overlapping(boxes).groupBy("image_id", "z").agg(F.sum("area").alias("covered"))
+    """Boxes of which later ones (greater z) of the image cover at most a share, overlaps added up. ``boxes(image_id, z, x1, y1, x2, y2)``.
+
+    Boxes are dealt by image once, and those of an image meet where they are; only the boxes of crowded images, whose ids are broadcast, go through the
+    grid of :func:`overlapping`.
+    """
+    placed = boxes.filter("image_id IS NOT NULL AND z IS NOT NULL")
+    crowded = F.broadcast(placed.groupBy("image_id").count().filter(F.col("count") > CROWDED).select("image_id"))
+    few, many = placed.join(crowded, "image_id", "left_anti").select(boxes.columns), placed.join(crowded, "image_id", "left_semi").select(boxes.columns)
+    schema = StructType([*few.schema.fields, StructField("covered", DoubleType())])
+    met = few.repartition("image_id").sortWithinPartitions("image_id", "z").mapInArrow(_covered_areas, schema)
+    by_grid = overlapping(many).groupBy("image_id", "z").agg(F.sum("area").cast("double").alias("covered"))
+    alone = boxes.filter("image_id IS NULL OR z IS NULL").withColumn("covered", F.lit(0.0))
     area = F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1))
-    return boxes.join(covered, ["image_id", "z"], "left").withColumn("covered_share", F.round(F.coalesce("covered", F.lit(0)) / area, 6)).filter(F.col("covered_share") <= most).drop("covered")
+    every = met.unionByName(many.join(by_grid, ["image_id", "z"], "left")).unionByName(alone)
+    return every.withColumn("covered_share", F.round(F.coalesce("covered", F.lit(0.0)) / area, 6)).filter(F.col("covered_share") <= most).drop("covered")
 
 
 #: Distances of the passes as shares of the image's short side; bounds of a card's width over height; depth of splits; least share of

@@ -235,3 +235,42 @@ def test_overlaps_by_grid(spark):
     assert len(got) == len(want) and set(got) == want
     many = spark.range(100_000).select(F.lit(1).alias("image_id"), F.col("id").alias("z"), (F.col("id") % 400 * 10).alias("x1"), F.floor(F.col("id") / 400 * 10).alias("y1")).withColumn("x2", F.col("x1") + 12).withColumn("y2", F.col("y1") + 12)
     assert layout.visible_boxes(many, 2.0).count() == 100_000
+
+
+@pytest.mark.parametrize("crowded", [layout.CROWDED, 20])
+def test_visible_boxes_without_grid(spark, crowded, monkeypatch):
+    """Images on either side of the limit, equal z, no z, no image, empty boxes: shares as by brute force; an image's boxes are dealt out once."""
+    monkeypatch.setattr(layout, "CROWDED", crowded)
+    rng, rows = np.random.default_rng(8), []
+    for image, n in enumerate([1, 2, 19, 20, 21, 60, 3] + [5] * 30):
+        for _ in range(n):
+            x, y = rng.integers(-5, 30, 2).tolist()
+            rows.append((image, int(rng.integers(0, n)), x, y, x + int(rng.integers(0, 20)), y + int(rng.integers(0, 20))))
+    rows += [(None, 1, 0, 0, 5, 5), (None, 2, 0, 0, 5, 5), (0, None, 0, 0, 50, 50), (1, 9, None, 0, 5, 5)]
+    inter = lambda b, k: max(0, min(b[4], k[4]) - max(b[2], k[2])) * max(0, min(b[5], k[5]) - max(b[3], k[3]))
+    whole = [r for r in rows if None not in r]
+    want = []
+    for b in rows:
+        area = 1 if None in b[2:] else max((b[4] - b[2]) * (b[5] - b[3]), 1)
+        covered = sum(inter(o, k) for o in whole if o[:2] == b[:2] for k in whole if k[0] == o[0] and k[1] > o[1])
+        if covered / area <= 0.55:
+            want.append((b[0], b[1], round(covered / area, 4)))
+    found = layout.visible_boxes(spark.createDataFrame(rows, "image_id long, z long, x1 int, y1 int, x2 int, y2 int").repartition(3))
+    assert sorted(map(str, want)) == sorted(str((r.image_id, r.z, round(r.covered_share, 4))) for r in found.collect())
+    assert found.columns == ["image_id", "z", "x1", "y1", "x2", "y2", "covered_share"]
+
+
+def test_boxes_of_small_images_are_dealt_once(spark, sf):
+    """No more than the rows and the counts of images are shuffled for images of few boxes: each box is in one record."""
+    from tallyglass.plans.ocr import QUERIES
+
+    spark.range(1).count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("boxes", "boxes")
+    found = QUERIES["c8_visible_boxes"](spark, sf)
+    assert found.count() > 0
+    stages = [s for j in tracker.getJobIdsForGroup("boxes") for s in tracker.getJobInfo(j).stageIds]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = sum(store.stageAttempt(s, 0, False, spark._jvm.java.util.Collections.emptyList(), False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0))._1().shuffleWriteRecords() for s in set(stages))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert written < 3 * spark.read.parquet(f"{sf}/lineitem.parquet").count()
