@@ -261,10 +261,12 @@ def test_visible_boxes_without_grid(spark, crowded, monkeypatch):
 
 
 def test_boxes_of_small_images_are_dealt_once(spark, sf):
-    """No more than the rows and the counts of images are shuffled for images of few boxes: each box is in one record."""
+    """Where tables are too large to be broadcast, no more than the rows and the counts of images are shuffled for images of few boxes."""
     from tallyglass.plans.ocr import QUERIES
 
-    spark.range(1).count()
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("boxes", "boxes")
     found = QUERIES["c8_visible_boxes"](spark, sf)
@@ -273,4 +275,5 @@ def test_boxes_of_small_images_are_dealt_once(spark, sf):
     store = spark.sparkContext._jsc.sc().statusStore()
     written = sum(store.stageAttempt(s, 0, False, spark._jvm.java.util.Collections.emptyList(), False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0))._1().shuffleWriteRecords() for s in set(stages))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert written < 3 * spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    spark.conf.set(size, before)
+    assert 0 < written < 3 * spark.read.parquet(f"{sf}/lineitem.parquet").count()
