@@ -185,3 +185,20 @@ def test_bounds_hold_for_every_row(spark):
         b = cells.bounds(v, cosine)
         for k, c in enumerate(cells.number):
             assert (s[:, cell == c] <= b[:, [k]] + 1e-9).all()
+
+
+def test_queries_are_not_sent_to_every_cell(spark, monkeypatch):
+    """Random vectors, for which a bound leaves most cells: shuffled records follow the number of rows, not that of cells, and tasks that hold little at a time find the same."""
+    monkeypatch.setattr(knn_join, "HELD", 1500)
+    rng, n = np.random.default_rng(3), 1600
+    d = spark.createDataFrame([(k, "en", rng.normal(size=12).tolist()) for k in range(n)], "vec_id long, language string, embedding array<double>")
+    want = rows(vectors.knn_exact(d, d, 2))
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("nearest", "nearest")
+    ready = vectors.keyed(d)
+    assert rows(knn_join.knn_join(ready, ready.withColumn("scale", F.lit(1.0)), 2)) == want
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("nearest") for s in tracker.getJobInfo(j).stageIds}
+    none = spark._jvm.java.util.Collections.emptyList(), False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    written = sum(store.stageAttempt(s, 0, False, *none)._1().shuffleWriteRecords() for s in stages)
+    assert 0 < written < 30 * n
