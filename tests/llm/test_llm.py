@@ -332,6 +332,45 @@ def test_near_passages_against_brute_force(spark):
     assert all(roots[i] == roots[j] for i, j in implied)
 
 
+@pytest.mark.parametrize(("tile", "few"), [(passages.TILE, passages.FEW), (3000, 5)])
+def test_passages_beside_many_decoys(spark, tile, few, monkeypatch):
+    """Two late texts share a passage of which many earlier ones have parts that are just too short, so that these come first in every group; then a family in one class."""
+    monkeypatch.setattr(passages, "TILE", tile)
+    monkeypatch.setattr(passages, "FEW", few)
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"v{k}" for k in rng.integers(0, 50_000, n)]
+    base, other = word(110), word(220)
+    rows = [word(25) + base[at : at + 49] + word(25) for at in range(0, 62, 4) for _ in range(14)]
+    n = len(rows)
+    rows += [word(30) + base + word(30), word(10) + base + word(50)]
+    rows += [word(20) + other[: 100 + 2 * k] + ["x"] + other[100 + 2 * k :] + word(20) for k in range(6)]
+    got = passages.near_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")).collect()
+    pairs, members = {(r.doc_id, r.other_id) for r in got}, {}
+    assert (n + 1, n) in pairs and all(i >= n and j >= n for i, j in pairs)
+    for r in got:
+        members.setdefault((r.class_doc, r.class_start), set()).update((r.doc_id, r.other_id))
+    assert sorted(map(sorted, members.values())) == [[n, n + 1], list(range(n + 2, n + 8))]
+    assert (10, 120, 30, 140, 1.0) in {(r.start_word, r.end_word, r.other_start, r.other_end, r.similarity) for r in got if r.doc_id == n + 1}
+
+
+def test_postings_lose_no_pair_that_shares_enough():
+    """Common shingles are left out, yet any two rows with enough of them in common meet in a list."""
+    rng = np.random.default_rng(6)
+    need, pool = passages.SHARED_LEAST, np.sort(rng.integers(0, 1 << 60, 400).astype(np.uint64))
+    weights = 1 / np.arange(1, 401)
+    rows = [rng.choice(pool, int(rng.integers(46, 120)), replace=k % 3 == 0, p=weights / weights.sum()) for k in range(150)]
+    met = {(i, j) for x in passages.postings(rows) for i in x.tolist() for j in x.tolist()}
+    enough = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if min(np.isin(rows[i], rows[j]).sum(), np.isin(rows[j], rows[i]).sum()) >= need:
+                enough += 1
+                assert (i, j) in met
+    assert enough > 20
+    line = pool[:30]
+    assert not passages.postings([np.concatenate([line, rng.integers(0, 1 << 60, 40).astype(np.uint64)]) for _ in range(50)])
+
+
 def test_windows_of_a_text_of_few_words():
     """Equal hashes are one node, so that a million words of one kind are no more work than others."""
     began = time.monotonic()
