@@ -371,6 +371,21 @@ def test_postings_lose_no_pair_that_shares_enough():
     assert not passages.postings([np.concatenate([line, rng.integers(0, 1 << 60, 40).astype(np.uint64)]) for _ in range(50)])
 
 
+def test_stretches_around_a_place():
+    """No stretch with the place in it is missed, and few flags without one are let through."""
+    rng, let, none = np.random.default_rng(9), 0, 0
+    for k in range(3000):
+        flags = np.ones(int(rng.integers(46, 184)), bool)
+        for at in rng.integers(0, len(flags), int(rng.integers(0, 5))).tolist():
+            flags[at : at + int(rng.integers(1, 9))] = False
+        c = int(rng.integers(0, len(flags)))
+        has = any(s <= c < e for s, e in passages.stretches(flags, passages.SHARED))
+        got = bool(passages.around(flags[None], c)[0])
+        assert got or not has
+        let, none = let + (got and not has), none + (not has)
+    assert none > 500 and let < none / 20
+
+
 def test_windows_of_a_text_of_few_words():
     """Equal hashes are one node, so that a million words of one kind are no more work than others."""
     began = time.monotonic()
